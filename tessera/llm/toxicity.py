@@ -165,100 +165,108 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return np.where(a / na > b / nb, g, 0.0)
 
 
-def select_features(toxic: list[list[str]], clean: list[list[str]], min_ratio: float, min_odds: float = 3.0) -> list[str]:
-    """Features tied to toxic documents; a prefix or word counts once in a document."""
-    ca, cb = Counter(), Counter()
-    for docs, c in ((toxic, ca), (clean, cb)):
-        for words in docs:
-            c.update({f for w in set(words) for f in features(w)})
-    names = [f for f, n in ca.items() if n >= 5]
+def _presence(texts: list[str], only: set[str] | None = None) -> Counter:
+    """In how many texts each feature occurs; given ``only``, of those features alone."""
+    c: Counter = Counter()
+    for text in texts:
+        found = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+        c.update(found if only is None else found & only)
+        if only is None and len(c) > 400_000:  # rare ones cannot pass the tests below
+            c = Counter({f: n for f, n in c.items() if n > 1})
+    return c
+
+
+def select_features(toxic: list[str], clean: list[str], min_ratio: float, min_odds: float = 3.0) -> list[str]:
+    """Features tied to toxic texts; a prefix or word counts once in a text."""
+    ca = {f: n for f, n in _presence(toxic).items() if n >= 5}
+    names = sorted(ca)
     if not names:
         return []
-    a, b = (np.array([c[f] for f in names], float) for c in (ca, cb))
+    cb = _presence(clean, set(names))
+    a, b = (np.array([c.get(f, 0) for f in names], float) for c in (ca, cb))
     min_ratio = max(min_ratio, 2 * math.log(len(names)))  # so many features are tried
     odds = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1))
-    return sorted(f for f, ok in zip(names, (_ratio(a, b, len(toxic), len(clean)) >= min_ratio) & (odds >= min_odds)) if ok)
-
-
-def fit_chain(toxic: list[str], clean: list[str], share: float, min_ratio: float = 15.0, window: int = 256, rounds: int = 60) -> Chain:
+    return [f for f, ok in zip(names, (_ratio(a, b, len(toxic), len(clean)) >= min_ratio) & (odds >= min_odds)) if ok]
+
+
+def _windows(toxic: list[str], clean: list[str], number: dict[str, int], window: int):
+    """Training windows as (window, place, feature) triples, tags and lengths."""
+    rows, cols, feats, tagged, lengths = [], [], [], [], []
+    for bad, texts in ((1, toxic), (0, clean)):
+        for text in texts:
+            words = WORD.findall(text.lower())
+            for i in range(0, len(words), window):
+                part = [(j, number[f]) for j, w in enumerate(words[i : i + window]) for f in features(w) if f in number]
+                if part or i == 0:  # without evidence, the first window stands for the text
+                    r = len(lengths)
+                    lengths.append(min(window, len(words) - i))
+                    rows += [r] * len(part)
+                    cols += [j for j, _ in part]
+                    feats += [f for _, f in part]
+                    if bad:
+                        tagged += [(r, j) for j in sorted({j for j, _ in part})]
+    y = np.zeros((len(lengths), window), bool)
+    if tagged:
+        y[tuple(np.array(tagged).T)] = True
+    return (*map(np.array, (rows, cols, feats)), y, np.arange(window) < np.array(lengths)[:, None])
+
+
+def fit_chain(toxic: list[str], clean: list[str], share: float, min_ratio: float = 15.0, window: int = 128, rounds: int = 40) -> Chain:
     """Fit the chain and its calibration; ``share``: the true share of toxic documents among the labels."""
-    words = [[WORD.findall(t.lower()) for t in docs] for docs in (toxic, clean)]
-    chosen = select_features(*words, min_ratio)
+    chosen = select_features(toxic, clean, min_ratio)
     if not chosen:
         return Chain(prior=share)
-    number = {f: i for i, f in enumerate(chosen)}
-    seqs: list[list[list[int]]] = []
-    tags: list[list[int]] = []
-    for bad, docs in ((1, words[0]), (0, words[1])):
-        for doc in docs:
-            for i in range(0, len(doc), window):
-                part = [[number[f] for f in features(w) if f in number] for w in doc[i : i + window]]
-                if bad or any(part) or i == 0:
-                    seqs.append(part)
-                    tags.append([int(bool(bad and f)) for f in part])
-    steps, k = max(map(len, seqs), default=0), len(seqs)
-    y, mask = np.zeros((k, steps), int), np.zeros((k, steps), bool)
-    rows, cols, feats = [], [], []
-    for i, (s, t) in enumerate(zip(seqs, tags)):
-        y[i, : len(t)], mask[i, : len(t)] = t, True
-        for j, fs in enumerate(s):
-            rows += [i] * len(fs)
-            cols += [j] * len(fs)
-            feats += fs
-    rows, cols, feats = map(np.array, (rows, cols, feats))
-    w, bias, trans, start = np.full(len(chosen), 1.0), -3.0, np.zeros((2, 2)), np.zeros(2)
-    params = np.concatenate([w, [bias], trans.ravel(), start])
+    rows, cols, feats, y, mask = _windows(toxic, clean, {f: i for i, f in enumerate(chosen)}, window)
+    k, steps = y.shape
+    params = np.concatenate([np.full(len(chosen), 1.0), [-3.0], np.zeros(6)])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    ym, pairs = y * mask, mask[:, 1:]
+    prev, here, pairs = y[:, :-1], y[:, 1:], mask[:, 1:]
+    seen = np.array([[((prev == a) & (here == b) & pairs).sum() for b in (False, True)] for a in (False, True)], float)
     for r in range(1, rounds + 1):
         w, bias, trans, start = params[: len(chosen)], params[len(chosen)], params[-6:-2].reshape(2, 2), params[-2:]
         em = np.full((k, steps), bias)
         np.add.at(em, (rows, cols), w[feats])
-        u = np.stack([np.ones_like(em), np.exp(np.clip(em, -40, 40))], 2)
+        u = np.exp(np.clip(em, -40, 40))
         A = np.exp(trans)
-        al, be = np.empty_like(u), np.empty_like(u)
-        al[:, 0] = np.exp(start) * u[:, 0]
-        al[:, 0] /= al[:, 0].sum(1, keepdims=True)
+        al = np.empty((steps, k, 2), np.float32)
+        a = np.stack([np.full(k, math.exp(start[0])), math.exp(start[1]) * u[:, 0]], 1)
+        al[0] = a = a / a.sum(1, keepdims=True)
         for t in range(1, steps):
-            x = (al[:, t - 1] @ A) * u[:, t]
-            al[:, t] = np.where(mask[:, t, None], x / x.sum(1, keepdims=True), al[:, t - 1])
-        be[:, -1] = 1.0
-        for t in range(steps - 2, -1, -1):
-            x = (u[:, t + 1] * be[:, t + 1]) @ A.T
-            be[:, t] = np.where(mask[:, t + 1, None], x / x.sum(1, keepdims=True), 1.0)
-        g = al * be
-        g /= g.sum(2, keepdims=True)
-        two = al[:, :-1, :, None] * A[None, None] * (u[:, 1:] * be[:, 1:])[:, :, None, :]
-        two /= two.sum((2, 3), keepdims=True)
-        seen = np.zeros((2, 2))
-        for a in (0, 1):
-            for b in (0, 1):
-                seen[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & pairs).sum()
-        miss = (ym - g[:, :, 1]) * mask
-        grad = np.concatenate([
-            np.bincount(feats, miss[rows, cols], len(chosen)), [miss.sum()],
-            (seen - (two * pairs[:, :, None, None]).sum((0, 1))).ravel(),
-            np.array([(y[:, 0] == c).sum() - g[:, 0, c].sum() for c in (0, 1)]),
-        ]) / max(1, k) - 1e-3 * np.concatenate([w, np.zeros(7)])
+            x = a @ A
+            x[:, 1] *= u[:, t]
+            al[t] = a = np.where(mask[:, t, None], x / x.sum(1, keepdims=True), a)
+        be, expected, p = np.ones((k, 2)), np.zeros((2, 2)), np.empty((k, steps), np.float32)
+        for t in range(steps - 1, -1, -1):
+            g = al[t] * be
+            p[:, t] = g[:, 1] / g.sum(1)
+            if t:
+                into = np.stack([be[:, 0], u[:, t] * be[:, 1]], 1)
+                two = al[t - 1][:, :, None] * A * into[:, None, :]
+                expected += (two / two.sum((1, 2), keepdims=True))[mask[:, t]].sum(0)
+                x = into @ A.T
+                be = np.where(mask[:, t, None], x / x.sum(1, keepdims=True), 1.0)
+        miss = (y - p) * mask
+        first = float(miss[:, 0].sum())
+        grad = np.concatenate([np.bincount(feats, miss[rows, cols], len(chosen)), [miss.sum()], (seen - expected).ravel(), [-first, first]]) / max(1, k) - 1e-3 * np.concatenate([w, np.zeros(7)])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + 0.2 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     w = params[: len(chosen)]
     chain = Chain({f: float(x) for f, x in zip(chosen, w) if abs(x) > 1e-6}, float(params[len(chosen)]), params[-6:-2].reshape(2, 2), params[-2:], prior=None)
     scores = _Scores(chain)
-    got = [read_spans(chain, scores, t)[:2] for docs in (toxic, clean) for t in docs]
+    got = [read_spans(chain, scores, t)[:2] for texts in (toxic, clean) for t in texts]
     x = np.array([[1.0, a, math.log1p(b)] for a, b in got])
     z = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
     weight = np.r_[np.full(len(toxic), share / len(toxic)), np.full(len(clean), (1 - share) / len(clean))]
     beta = np.zeros(3)
     for _ in range(50):  # Newton's method with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-5 * np.eye(3)
-        beta = beta + np.clip(np.linalg.solve(h, x.T @ (weight * (z - p)) - 1e-5 * beta), -4, 4)
+        q = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-5 * np.eye(3)
+        beta = beta + np.clip(np.linalg.solve(h, x.T @ (weight * (z - q)) - 1e-5 * beta), -4, 4)
     chain.platt = beta
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, max_chars: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
     """Fit on at most ``max_docs`` toxic and twice as many clean labelled documents, none of the held-out fold.
 
     Ids of the sample go to the driver (three times ``max_docs`` rows at most),
