@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import urlfilter
+from .ann import search
 from .common import table
 from .packing import pack
 from .simhash import simhash_components
+from .suffix import suffix_dedup
 from .toxicity import fold_of, score_documents, train
 
 
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -19,6 +30,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents"), 50)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = train(docs, table(spark, sf_dir, "labels"))
@@ -27,5 +43,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op8_packing": op8_packing, "op10_toxicity": op10_toxicity}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_urlfilter": op1_urlfilter,
+    "op3_ann": op3_ann,
+    "op4_simhash": op4_simhash,
+    "op8_packing": op8_packing,
+    "op9_suffix": op9_suffix,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE: dict[str, str] = {"op1_urlfilter": urlfilter.oracle()}
