@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from . import urlfilter
 from .ann import search
 from .common import table
+from .embdedup import embedding_dedup
+from .linededup import drop_lines
+from .mixing import mix
 from .packing import pack
 from .simhash import simhash_components
 from .suffix import suffix_dedup
 from .toxicity import fold_of, score_documents, train
+from .trainorder import training_order
 
 
 def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -26,6 +34,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, _ = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "tokens", "posterior", "rate", "copies")
+
+
+def op7_trainorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -45,8 +66,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_urlfilter": op1_urlfilter,
+    "op2_linededup": op2_linededup,
     "op3_ann": op3_ann,
     "op4_simhash": op4_simhash,
+    "op5_embdedup": op5_embdedup,
+    "op6_mixing": op6_mixing,
+    "op7_trainorder": op7_trainorder,
     "op8_packing": op8_packing,
     "op9_suffix": op9_suffix,
     "op10_toxicity": op10_toxicity,
