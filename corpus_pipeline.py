@@ -1,11 +1,63 @@
-"""A corpus-cleaning pipeline of five stages over ``documents``."""
+"""A corpus-cleaning pipeline over ``documents``, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of documents. ``run`` writes every stage's result to
+the shared checkpoint folder and hands a scan of it to the next stage, so a
+lost executor costs no more than a stage's own work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import materialise, table
+from tessera.llm.linededup import drop_lines
+from tessera.llm.mixing import apply_mixture, mix
+from tessera.llm.packing import pack
+from tessera.llm.simhash import simhash_dedup
+from tessera.llm.toxicity import drop_toxic, train
+
+#: DuckDB can express neither trained models nor the packing tree; tests compare with a plain Python version
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain doesn't score as toxic."""
+    return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines but for the first; n_chars follows the text."""
+    out = drop_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the least id) of each group of near-duplicates."""
+    return simhash_dedup(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their fitted rate asks for."""
+    _, fitted = mix(docs, table(spark, sf_dir, "labels"))
+    return apply_mixture(docs, fitted)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids, packed into sequences."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{name}")
     return docs
