@@ -8,11 +8,14 @@ tokens, and places where the two differ become variable. A template found in
 document but the first (least id) that has it, so boilerplate goes and nothing
 is lost from the corpus as a whole.
 
-Every line sends its leaf, a hash of its masked text, its place and the masked
-text; equal lines are combined before the shuffle's sort, so a line that a
-third of all documents share is one row from each task. Leaves that only one
-document has end there. Big leaves are parsed in parts by hash and the parts'
-templates are then parsed together, so no leaf is one unbounded task.
+A first pass sends leaf, hash of the masked text and document of every line;
+leaves with lines of ``min_docs`` documents or more are candidates. They set
+bits in a bitmap of fixed size, and a second pass sends the masked texts of
+lines in candidate leaves only (a false bit costs work, never results). Equal
+lines are combined before the shuffle, so a line that a third of all documents
+share is one row from each task. Big leaves are parsed in parts by hash and
+the parts' templates are then parsed together, so no leaf is one unbounded
+task.
 
 Defined cases: a null text stays null; blank lines and lines of fewer than
 ``min_tokens`` tokens always stay; ties of similarity go to the template that
@@ -28,6 +31,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -37,6 +41,8 @@ from .common import materialise, partitions
 VARIABLE = "<*>"
 DIGIT = re.compile(r"\d")
 PART = 4096
+#: bytes of the bitmap of candidate leaves
+BITMAP = 1 << 22
 
 
 def masked_tokens(line: str) -> list[str]:
@@ -75,37 +81,55 @@ def parse(lines: list[str], similarity: float) -> tuple[list[str], list[int]]:
     return [" ".join(names[k] for k in table[j].tolist()) for j in range(count)], of
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """(leaf, line, doc, masked) of every line that can be dropped."""
-    schema = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("doc", pa.int64()), ("masked", pa.string())])
+def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, bitmap: Broadcast | None = None) -> DataFrame:
+    """(leaf, line, doc) of every line that can be dropped; given a bitmap of leaves, (leaf, line, masked) of the lines in those."""
+    fields = [("leaf", pa.int64()), ("line", pa.int64()), ("masked", pa.string()) if bitmap else ("doc", pa.int64())]
+    schema = pa.schema(fields)
 
     def run(batches):
+        bits = bitmap.value if bitmap else None
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = set()
                 for s in (t or "").split("\n"):
                     tokens = masked_tokens(s)
-                    if len(tokens) >= min_tokens:
-                        m = " ".join(tokens)
-                        h = _hash(m)
-                        if h not in own:
-                            own.add(h)
-                            out.append((_hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), h, d, m))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()).mapInArrow(run, "leaf long, line long, doc long, masked string")
-
-
-def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    if len(tokens) < min_tokens:
+                        continue
+                    leaf = _hash(f"{len(tokens)} {' '.join(tokens[:depth])}")
+                    if bits is not None and not bits[leaf >> 3 & BITMAP - 1] >> (leaf & 7) & 1:
+                        continue
+                    m = " ".join(tokens)
+                    h = _hash(m)
+                    if h not in own:
+                        own.add(h)
+                        out.append((leaf, h, m if bitmap else d))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, schema)], schema=schema)
+
+    plain = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
+    return plain.mapInArrow(run, f"leaf long, line long, {'masked string' if bitmap else 'doc long'}")
+
+
+def _bitmap(leaves: DataFrame) -> Broadcast:
+    """Bits of the leaves' hashes in ``BITMAP`` bytes; at most one row for each byte reaches the driver."""
+    rows = leaves.select(F.expr(f"cast((leaf >> 3) & {BITMAP - 1} as int)").alias("byte"), F.expr("shiftleft(1, cast(leaf & 7 as int))").alias("bit"))
+    rows = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP, np.uint8)
+    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
+    return leaves.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text", slim: DataFrame | None = None) -> DataFrame:
     """(line, template, doc): lines (by hash) of recurring templates; template is its hash, doc the least document that has it."""
     spark = docs.sparkSession
-    lines = line_rows(docs, id_col, text_col, depth, min_tokens)
-    # one row for each distinct line, with its documents' number (rows are distinct within a document) and ends
-    seen = materialise(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("masked").alias("masked")), "lines-seen")
-    leaves = seen.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.min("lo").alias("a"), F.max("hi").alias("b")).where((F.col("total") >= min_docs) & (F.col("a") < F.col("b")))
-    leaves = materialise(leaves.select("leaf", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "lines-leaves")
-    members = seen.join(leaves, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    if slim is None:
+        slim = materialise(line_rows(docs, id_col, text_col, depth, min_tokens), "lines-slim")
+    leaves = slim.groupBy("leaf").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where((F.col("n") >= min_docs) & (F.col("a") < F.col("b")))
+    leaves = materialise(leaves.select("leaf"), "lines-leaves")
+    seen = line_rows(docs, id_col, text_col, depth, min_tokens, _bitmap(leaves)).groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
+    seen = materialise(seen.join(leaves, "leaf"), "lines-seen")
+    sizes = materialise(seen.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "lines-sizes")
+    members = seen.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
 
     first = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("text", pa.string())])
     second = pa.schema([("leaf", pa.int64()), ("text", pa.string()), ("template", pa.int64())])
@@ -124,19 +148,19 @@ def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min
     merged = local.select("leaf", "text").distinct().groupBy("leaf").applyInArrow(parse_leaf, "leaf long, text string, template long")
     of = materialise(local.join(merged, ["leaf", "text"]).select("line", "template"), "lines-templates")
     # documents of a template: those of its lines, counted once each
-    slim = line_rows(docs, id_col, text_col, depth, min_tokens).select("line", "doc")
-    counted = slim.join(of, "line").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("doc"))
+    counted = slim.select("line", "doc").join(of, "line").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("doc"))
     return of.join(materialise(counted.where(F.col("docs") >= min_docs), "lines-recurring"), "template").select("line", "template", "doc", "docs")
 
 
 def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines taken out of the texts; adds ``n_dropped``, the number of lines taken out of each."""
     docs = docs.drop("n_dropped")
-    recurring = materialise(line_templates(docs, depth, similarity, min_docs, min_tokens, id_col, text_col), "lines-drop")
-    slim = line_rows(docs, id_col, text_col, depth, min_tokens).select("line", "doc")
-    hits = slim.join(recurring, "line").where(slim["doc"] != recurring["doc"]).select(slim["doc"].alias("__doc"), "line")
+    slim = materialise(line_rows(docs, id_col, text_col, depth, min_tokens), "lines-slim")
+    recurring = materialise(line_templates(docs, depth, similarity, min_docs, min_tokens, id_col, text_col, slim), "lines-drop")
+    hits = slim.select("line", F.col("doc").alias("__doc")).join(recurring.select("line", "doc"), "line").where("__doc <> doc").select("__doc", "line")
     lists = materialise(hits.groupBy("__doc").agg(F.collect_set("line").alias("__lines")), "lines-lists")  # at most a document's own lines
-    joined = docs.join(lists, docs[id_col].cast("long") == lists["__doc"], "left").drop("__doc")
+    # the lists have no proven bound, so they are merged and not broadcast, with few documents as with many
+    joined = docs.join(lists.hint("merge"), docs[id_col].cast("long") == lists["__doc"], "left").drop("__doc")
     names = [f.name for f in joined.schema if f.name != "__lines"]
     plan = joined.select(*[F.col(f"`{c}`") for c in names], "__lines")
     at, where = names.index(text_col), len(names)
