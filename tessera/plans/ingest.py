@@ -56,7 +56,11 @@ def ingest_folder(col: Collection, folder: str, exclude=(), prune: bool = True)
     current = _qualified(files.tagged(files.read_folder(col.spark, folder, exclude, root)), col, root)
     current = current.withColumn("root_id", F.lit(root).cast("long"))
     stored = col.table("documents").where(F.col("root_id") == root)
-    out = _apply(col, current.cache(), stored, ("content_hash",), prune, folder)
+    current = current.cache()  # files are read once for all the comparisons of this run
+    try:
+        out = _apply(col, current, stored, ("content_hash",), prune, folder)
+    finally:
+        current.unpersist()
     col.publish({"roots": col.table("roots").withColumn("last_indexed_at", F.when(F.col("root_id") == root, F.current_timestamp()).otherwise(F.col("last_indexed_at")))})
     return out
 
