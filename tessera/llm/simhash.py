@@ -132,7 +132,7 @@ def _cell_runs(batches):
 
 
 def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that span the same components as all links."""
+    """(a, b): edges between distinct fingerprints (column fp) with the same components as all links have."""
     if not 0 <= bits <= 5:
         raise ValueError("bits must be between 0 and 5: the grid enters cells within distance 1 of each half")
     spark = distinct.sparkSession

@@ -3,7 +3,7 @@
 Every byte covered by a ``length``-byte string that also starts in a document
 with a smaller id is removed (overlaps count, strings are judged on the input).
 
-1. Texts are kept as *chunks*: some megabytes of whole documents in one
+1. Texts are kept as *chunks*: under a megabyte of whole documents in one
    compressed row of a shared table.
 2. Every window of ``length`` bytes has a minimiser: the least hash among its
    ``GRAM``-byte grams, leftmost on ties. Equal windows have equal minimisers.
@@ -42,8 +42,10 @@ from .bwt import common_prefix_groups
 from .common import materialise, partitions, release
 
 GRAM = 20
-CHUNK = 4 << 20
-GROUP = 1 << 20
+CHUNK = 768 << 10
+BLOCK = 1 << 16
+GROUP = 128 << 10
+RANGE = 6 << 20
 NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -97,6 +99,34 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> D
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "chunk_id long, n_bytes long, data binary")
 
 
+def _least_grams(body: np.ndarray, length: int) -> np.ndarray:
+    """For each window of ``length`` bytes its least gram: hash in the upper, place in the lower 32 bits."""
+    gram = min(GRAM, length)
+    h = body.astype(np.uint64) + np.uint64(1)
+    grams, width, power = None, 1, BASE  # hashes of doubling widths; those whose sum is ``gram`` are joined
+    done = 0
+    while True:
+        if gram & width:
+            grams = h if grams is None else grams[: len(h) - done] * np.uint64(power) + h[done:]
+            done += width
+        if 2 * width > gram:
+            break
+        h = h[:-width] * np.uint64(power) + h[width:]
+        power = power * power % (1 << 64)
+        width *= 2
+    grams = grams[: len(body) - gram + 1]
+    grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    grams &= np.uint64(0xFFFFFFFF00000000)
+    grams |= np.arange(len(grams), dtype=np.uint64)
+    span, width = length - gram + 1, 1
+    while 2 * width <= span:
+        grams = np.minimum(grams[:-width], grams[width:])
+        width *= 2
+    if width < span:
+        grams = np.minimum(grams[: len(grams) - (span - width)], grams[span - width :])
+    return grams
+
+
 class Chunk:
     """Texts of a chunk, and the fragments their windows fall into."""
 
@@ -107,50 +137,33 @@ class Chunk:
         self.length = length
 
     def fragments(self) -> None:
-        """Set hash, first window, last window and document of each fragment."""
+        """Set hash, first window, last window and document of each fragment.
+
+        Windows are taken a block at a time, so the memory is that of a block
+        however long a text is; a fragment that crosses blocks becomes two.
+        """
         n, length = len(self.body), self.length
-        gram = min(GRAM, length)
         ends = np.cumsum(self.sizes)
         starts = ends - self.sizes
         windows = np.maximum(0, self.sizes - length + 1)
-        if not windows.any():
-            self.hash, self.first, self.last, self.doc = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64, np.int64))
-            return
-        h, width, power = self.body.astype(np.uint64) + np.uint64(1), 1, BASE
-        parts = {1: h}
-        while 2 * width <= gram:
-            h = h[:-width] * np.uint64(power) + h[width:]
-            power = power * power % (1 << 64)
-            width *= 2
-            parts[width] = h
-        rest, done = gram - width, width
-        for w in sorted(parts, reverse=True):
-            while rest >= w:
-                right = parts[w][done:]
-                h = h[: len(right)] * np.uint64(pow(BASE, w, 1 << 64)) + right[: len(h)]
-                done += w
-                rest -= w
-        del parts
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h &= np.uint64(0xFFFFFFFF00000000)
-        h |= np.arange(len(h), dtype=np.uint64)
-        span, width = length - gram + 1, 1
-        while 2 * width <= span:
-            h = np.minimum(h[:-width], h[width:])
-            width *= 2
-        if width < span:
-            h = np.minimum(h[: len(h) - (span - width)], h[span - width :])
-        valid = np.zeros(n + 1, np.int32)
         some = windows > 0
-        valid[starts[some]] += 1
-        np.add.at(valid, starts[some] + windows[some], -1)
-        at = np.flatnonzero(np.cumsum(valid[:n]) > 0)
-        best = h[at]
-        new = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
-        self.hash = (best[new] >> np.uint64(32)).astype(np.uint32)
-        self.first = at[new]
-        self.last = at[np.r_[new[1:], len(at)] - 1]
+        edge = np.zeros(n + 1, np.int8)
+        edge[starts[some]] += 1
+        edge[starts[some] + windows[some]] -= 1
+        valid = np.cumsum(edge[:n], dtype=np.int8) > 0
+        hashes, first, last = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a in range(0, n - length + 1, BLOCK):
+            b = min(a + BLOCK, n - length + 1)
+            at = np.flatnonzero(valid[a:b])
+            if not len(at):
+                continue
+            best = _least_grams(self.body[a : b + length - 1], length)[at]
+            new = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+            hashes.append((best[new] >> np.uint64(32)).astype(np.uint32))
+            first.append(a + at[new])
+            last.append(a + at[np.r_[new[1:], len(at)] - 1])
+        self.hash, self.first, self.last = map(np.concatenate, (hashes, first, last))
+        self.hash = self.hash * np.uint32(0x9E3779B1)  # least hashes crowd the low range; this spreads them one to one
         self.doc = np.searchsorted(ends, self.first, "right")
 
     def hashes(self) -> np.ndarray:
@@ -197,62 +210,64 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED)], schema=PACKED)
 
 
-def window_owners(texts: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, the least id that has each of its windows; ids of whole texts in ``least``."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(sizes) - sizes
+def window_owners(texts: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
+    """The least id that has each window of each text, one text's windows after the other's; ids of whole texts in ``least``."""
+    sizes = np.fromiter(map(len, texts), np.int32, len(texts))
     order, groups = common_prefix_groups(np.frombuffer(b"".join(texts), np.uint8), length)
-    owner = np.repeat(least, sizes)
-    inside = np.arange(int(sizes.sum())) - np.repeat(starts, sizes) <= np.repeat(sizes - length, sizes)
-    owner[~inside] = NO_ID  # windows that would run into the next text
+    place = np.arange(len(order), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
+    inside = place <= np.repeat(sizes - length, sizes)  # other windows would run into the next text
+    owner = np.where(inside, np.repeat(least, sizes), NO_ID)
     low = np.minimum.reduceat(owner[order], groups)
     of = np.empty(len(order), np.int64)
     of[order] = np.repeat(low, np.diff(np.r_[groups, len(order)]))
-    return [of[s : s + k] for s, k in zip(starts.tolist(), (sizes - length + 1).tolist())]
+    return of[inside]
+
+
+def _runs(owners: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal owners: their number in each text, and of each run its end (in windows of its text) and owner."""
+    ends = np.cumsum(windows)
+    last = np.ones(len(owners), bool)
+    last[:-1] = owners[1:] != owners[:-1]
+    last[ends - 1] = True
+    at = np.flatnonzero(last)
+    text = np.searchsorted(ends, at, "right")
+    return np.bincount(text, minlength=len(windows)), at + 1 - (ends - windows)[text], owners[at]
 
 
 def _solve(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[bytes]:
     """Answers to each chunk's entries (hash, size, least id, bytes) of one hash range."""
     seen: dict[bytes, int] = {}
-    hashes, least, numbers = [], [], []
-    for h, size, low, body in entries:
+    numbers = []
+    for _, size, _, body in entries:
         raw, end = body.tobytes(), np.cumsum(size.astype(np.int64)).tolist()
-        own = []
-        for s, e, x, y in zip([0, *end[:-1]], end, h.tolist(), low.tolist()):
-            k = seen.setdefault(raw[s:e], len(seen))
-            if k == len(least):
-                hashes.append(x)
-                least.append(y)
-            elif y < least[k]:
-                least[k] = y
-            own.append(k)
-        numbers.append(own)
-    texts, hashes, least = list(seen), np.array(hashes, np.uint32), np.array(least, np.int64)
+        numbers.append(np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip([0, *end[:-1]], end)], np.int64))
+    texts = list(seen)
+    del seen
+    hashes, least = np.empty(len(texts), np.uint32), np.full(len(texts), NO_ID, np.int64)
+    for own, (h, _, low, _) in zip(numbers, entries):
+        hashes[own] = h
+        np.minimum.at(least, own, low)
     by = np.argsort(hashes, kind="stable")
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))[by]
-    total, sorted_hash = np.cumsum(sizes), hashes[by]
-    edges = np.flatnonzero(np.r_[True, sorted_hash[1:] != sorted_hash[:-1]]).tolist() + [len(by)]
-    answer: list = [None] * len(texts)
-    i = 0
+    total, ordered = np.cumsum(sizes), hashes[by]
+    edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]).tolist() + [len(by)]
+    count, ends, lows, i = [], [], [], 0
     for j, e in enumerate(edges[1:], 1):  # whole minimisers, about GROUP bytes at a time
         if e == len(by) or total[edges[j + 1] - 1] - (total[i - 1] if i else 0) > GROUP:
-            part = by[i:e]
-            for k, w in zip(part.tolist(), window_owners([texts[k] for k in part.tolist()], least[part], length)):
-                answer[k] = w
+            owners = window_owners([texts[k] for k in by[i:e].tolist()], least[by[i:e]], length)
+            for x, y in zip((count, ends, lows), _runs(owners, sizes[i:e] - length + 1)):
+                x.append(y)
             i = e
-    runs = []
-    for w in answer:
-        if w[0] == w[-1] and (w == w[0]).all():
-            runs.append(([len(w)], [int(w[0])]))
-        else:
-            at = np.flatnonzero(w[1:] != w[:-1]) + 1
-            runs.append(([*at.tolist(), len(w)], w[np.r_[0, at]].tolist()))
+    count, ends, lows = map(np.concatenate, (count, ends, lows))
+    start = np.cumsum(count) - count
+    where = np.empty(len(by), np.int64)
+    where[by] = np.arange(len(by))
     out = []
     for own in numbers:
-        count = np.array([len(runs[k][0]) for k in own], np.uint16)
-        ends = np.array([x for k in own for x in runs[k][0]], np.uint16)
-        lows = np.array([x for k in own for x in runs[k][1]], np.int64)
-        out.append(_zip(count, ends, lows))
+        k = where[own]
+        n = count[k]
+        at = np.arange(int(n.sum())) + np.repeat(start[k] - (np.cumsum(n) - n), n)
+        out.append(_zip(n.astype(np.uint16), ends[at].astype(np.uint16), lows[at]))
     return out
 
 
@@ -263,8 +278,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     spark = docs.sparkSession
     table = materialise(chunks(docs, id_col, text_col), "suffix-chunks")
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(partitions(spark), total // (32 << 20), 1)
-    spread = max(1, min(buckets, total // (8 << 20) + 1, 4096) if total else 1)
+    buckets = max(partitions(spark), total // RANGE, 1)  # hash ranges: groups of a few MB, many of them in a task
+    tasks = max(partitions(spark), 12)
 
     def minimisers(batches):
         for b in batches:
@@ -285,13 +300,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         return pa.Table.from_batches([_rows(rows)])
 
     shape = "bucket long, chunk_id long, data binary"
-    met = table.select("chunk_id", "data").mapInArrow(minimisers, shape).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeated, shape)
+    met = table.select("chunk_id", "data").mapInArrow(minimisers, shape).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, shape)
     wanted = materialise(met.groupBy("chunk_id").agg(F.collect_list("data").alias("wanted")), "suffix-wanted")
     release(spark)
-    with_wanted = table.join(wanted, "chunk_id").select("chunk_id", "data", "wanted").repartition(spread, "chunk_id")
-    need = materialise(with_wanted, "suffix-need")
-    release(spark)
-
     def chosen(d: bytes, w: list[bytes]) -> Chunk:
         c = Chunk(d, length)
         c.select(np.sort(np.concatenate([np.cumsum(_unzip(x, np.uint32)[0], dtype=np.uint32) for x in w])))
@@ -312,7 +323,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         entries = [tuple(_unzip(d, np.uint32, np.uint16, np.int64, np.uint8)) for d in t.column("data").to_pylist()]
         return pa.Table.from_batches([_rows(list(zip(t.column("bucket").to_pylist(), t.column("chunk_id").to_pylist(), _solve(entries, length))))])
 
-    solved = need.mapInArrow(send, shape).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(solve, shape)
+    solved = table.join(wanted, "chunk_id").select("chunk_id", "data", "wanted").mapInArrow(send, shape).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(solve, shape)
     answers = materialise(solved.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("answers")), "suffix-answers")
     release(spark)
 
@@ -355,9 +366,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 ids = pa.array(c.ids, mask=~c.known)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(c.sizes), pa.array(kept, pa.binary()), pa.array(spans, schema.field("spans").type)], schema=schema)
 
-    joined = need.join(answers, "chunk_id", "left").select("data", "wanted", "answers")
-    rest = table.join(wanted.select("chunk_id"), "chunk_id", "left_anti").select("data", F.lit(None).cast("array<binary>").alias("wanted"), F.lit(None).cast("array<struct<bucket: long, data: binary>>").alias("answers"))
-    return joined.unionByName(rest).mapInArrow(mark, f"`{id_col}` long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    joined = table.join(wanted, "chunk_id", "left").join(answers, "chunk_id", "left").select("data", "wanted", "answers")
+    return joined.mapInArrow(mark, f"`{id_col}` long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def kept_sha256(kept: bytes) -> str:
