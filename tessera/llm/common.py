@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -49,8 +50,10 @@ def drop(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files whose plans are gone (it does so when the JVM collects garbage)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # a proxy's end reaches the JVM a little later than Python's collection
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def partitions(spark: SparkSession) -> int:
