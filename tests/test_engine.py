@@ -198,3 +198,36 @@ def test_sync(spark, tmp_path, notes):
     assert watch.backoff(5, 10) == 300 and watch.poll_interval(5, 2) == 80 and watch.vanished(5, 0) and not watch.vanished(4, 0)
     a, b = [("a", 1, 1)], [("a", 2, 1), ("b", 1, 1)]
     assert watch.diff(spark, a, b) == {"new": 1, "changed": 1, "deleted": 0}
+
+
+def test_jobs(spark, tmp_path, notes):
+    from tessera.plans.jobs import JobManager
+
+    col, jobs = Collection.create(spark, str(tmp_path / "c")), JobManager()
+    job = jobs.start_index(col, str(notes))
+    with pytest.raises(ConflictError):
+        jobs.start_index(col, str(notes))
+    done = jobs.wait(job["id"], 120)
+    assert done["status"] == "finished" and done["result"]["added"] == 4 and jobs.active_for(col.path) is None
+    failed = jobs.wait(jobs.start_index(col, str(tmp_path / "missing.jsonl"))["id"], 60)
+    assert failed["status"] == "failed" and failed["error"] and len(jobs.list()) == 2
+    with pytest.raises(UsageError):
+        jobs.get("x")
+
+
+def test_export(spark, tmp_path, notes):
+    import datetime as dt
+
+    from tessera.plans import export
+
+    col = Collection.create(spark, str(tmp_path / "c"))
+    ingest_folder(col, str(notes))
+    corpus = col.corpus()
+    shown = results(search(spark, corpus, "yeast", mode="lexical"), corpus, "yeast").cache()
+    assert "**yeast**" in export.to_markdown(shown, "yeast")
+    assert json.loads(export.to_json(shown).first().json)["confidence"] == "strong"
+    events = [json.loads(e) for e in export.search_events(spark, corpus, "yeast", mode="lexical")]
+    assert [e["event"] for e in events] == ["stage", "stage", "result"] and len(events[-1]["hits"]) == 2
+    assert json.loads(list(export.search_events(spark, corpus, " ", mode="lexical"))[-1])["event"] == "error"
+    assert export.export_name("Wild Yeast!", "md", dt.date(2026, 1, 2)) == "search-wild-yeast-2026-01-02.md"
+    assert export.date_preset("any") == {} and export.date_preset("day", dt.datetime.fromtimestamp(86400, dt.UTC)) == {"modified_after": 0.0}
