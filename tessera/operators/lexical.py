@@ -1,7 +1,8 @@
 """Inverted index and BM25, batch-first.
 
-An index is three DataFrames: postings (term, doc_id, positions), document
-lengths, and one row of corpus statistics. Statistics are always those of the
+An index is three DataFrames: postings (term, doc_id, positions, len), document
+lengths, and one row of corpus statistics. The length of a document stands in
+its postings, so scoring needs no join with the lengths. Statistics are always those of the
 whole corpus; metadata filters act on the documents that may be ranked.
 
 A search matches the postings of the query terms only: the filter on ``term``
@@ -30,7 +31,7 @@ MAX_LISTED_TERMS = 1000
 
 @dataclass
 class TextIndex:
-    """postings, lengths (doc_id, len), stats (n_docs, avgdl) and how queries must be tokenised."""
+    """postings (with each document's len), lengths (doc_id, len), stats (n_docs, avgdl) and how queries must be tokenised."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -52,12 +53,12 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", title_col: str | None =
         plain = docs.select(F.col(id_col).alias("doc_id"), simple_tokens(title).alias("t"), simple_tokens(F.col(body_col)).alias("b"))
         both = plain.select("doc_id", F.concat("t", F.array(F.lit(None).cast("string")), "b").alias("all"), (F.size("t") + F.size("b")).cast("long").alias("len"))
         lengths = both.select("doc_id", "len")
-        placed = both.select("doc_id", F.posexplode("all").alias("pos", "term")).where(F.col("term").isNotNull())
-        postings = placed.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        placed = both.select("doc_id", "len", F.posexplode("all").alias("pos", "term")).where(F.col("term").isNotNull())
+        postings = placed.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
     elif tokenizer == "porter":
         plain = docs.select(F.col(id_col).alias("doc_id"), title.cast("string").alias("title"), F.col(body_col).cast("string").alias("body"))
         kind = plain.schema["doc_id"].dataType.simpleString()
-        postings = plain.mapInArrow(_stem_postings, f"term string, doc_id {kind}, positions array<int>")
+        postings = plain.mapInArrow(_stem_postings, f"term string, doc_id {kind}, positions array<int>, len bigint")
         lengths = plain.mapInArrow(_stem_lengths, f"doc_id {kind}, len bigint")
     else:
         raise UsageError(f"unknown tokenizer {tokenizer!r} (simple|porter)")
@@ -68,18 +69,20 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", title_col: str | None =
 def _stem_postings(batches):
     """Postings of each document at once: no shuffle is needed to build them."""
     for b in batches:
-        terms, rows, places = [], [], []
+        terms, rows, places, sizes = [], [], [], []
         for i, (t, x) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
             own: dict[str, list[int]] = {}
             head = [porter(w) for w in fold_tokens(t)]
             for p, w in enumerate(head):
                 own.setdefault(w, []).append(p)
-            for p, w in enumerate((porter(w) for w in fold_tokens(x)), len(head) + 1):
-                own.setdefault(w, []).append(p)
+            tail = fold_tokens(x)
+            for p, w in enumerate(tail, len(head) + 1):
+                own.setdefault(porter(w), []).append(p)
             terms += own
             rows += [i] * len(own)
             places += own.values()
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["term", "doc_id", "positions"])
+            sizes += [len(head) + len(tail)] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], names=["term", "doc_id", "positions", "len"])
 
 
 def _stem_lengths(batches):
@@ -88,8 +91,29 @@ def _stem_lengths(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "len"])
 
 
-def phrases(spark: SparkSession, index: TextIndex, queries: list[tuple[str, str]], match: str) -> DataFrame:
-    """(qid, phrase, place, term, width, n_phrases): the query words as the index sees them.
+@dataclass
+class Phrases:
+    """The words of a batch of queries: rows (qid, phrase, place, term, width, n_phrases, word)."""
+
+    rows: list[tuple]
+    spark: SparkSession
+
+    @property
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, "qid string, phrase int, place int, term string, width int, n_phrases int, word string")
+
+    @property
+    def terms(self) -> list[str]:
+        return sorted({r[3] for r in self.rows})
+
+    @property
+    def several(self) -> bool:
+        """Whether any phrase has more than one word."""
+        return any(r[4] > 1 for r in self.rows)
+
+
+def phrases(spark: SparkSession, index: TextIndex, queries: list[tuple[str, str]], match: str) -> Phrases:
+    """The query words as the index sees them.
 
     A phrase is a whitespace-separated token of the query; several words in it
     must stand side by side. ``all`` takes every token, repeats included;
@@ -99,37 +123,40 @@ def phrases(spark: SparkSession, index: TextIndex, queries: list[tuple[str, str]
         raise UsageError(f"unknown match {match!r} ({'|'.join(MATCHES)})")
     rows = []
     for qid, text in queries:
-        found = [w for w in (index.tokens(t) for t in (all_tokens if match == "all" else content_tokens)(text)) if w]
-        rows += [(qid, i, j, w, len(words), len(found)) for i, words in enumerate(found) for j, w in enumerate(words)]
-    return spark.createDataFrame(rows, "qid string, phrase int, place int, term string, width int, n_phrases int")
-
-
-def _phrase_hits(index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """(qid, phrase, n_phrases, doc_id, tf) of every phrase occurrence."""
-    terms = [r.term for r in wanted.select("term").distinct().limit(MAX_LISTED_TERMS + 1).collect()]
-    postings = index.postings.where(F.col("term").isin(terms)) if len(terms) <= MAX_LISTED_TERMS else index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    met = postings.join(wanted, "term")
-    single = met.where("width = 1").select("qid", "phrase", "n_phrases", "doc_id", F.size("positions").alias("tf"))
+        found = [(t, w) for t in (all_tokens if match == "all" else content_tokens)(text) if (w := index.tokens(t))]
+        rows += [(qid, i, j, w, len(words), len(found), t) for i, (t, words) in enumerate(found) for j, w in enumerate(words)]
+    return Phrases(rows, spark)
+
+
+def _phrase_hits(index: TextIndex, wanted: Phrases) -> DataFrame:
+    """(qid, phrase, n_phrases, doc_id, len, tf) of every phrase occurrence."""
+    terms, table = wanted.terms, wanted.table
+    postings = index.postings.where(F.col("term").isin(terms)) if len(terms) <= MAX_LISTED_TERMS else index.postings.join(table.select("term").distinct(), "term", "left_semi")
+    met = postings.join(table.drop("word"), "term")
+    single = met.where("width = 1").select("qid", "phrase", "n_phrases", "doc_id", "len", F.size("positions").alias("tf"))
+    if not wanted.several:
+        return single
     shifted = F.transform("positions", lambda p: p - F.col("place"))
-    runs = met.where("width > 1").groupBy("qid", "phrase", "n_phrases", "width", "doc_id").agg(F.collect_list(F.struct("place", shifted.alias("p"))).alias("parts"))
+    runs = met.where("width > 1").groupBy("qid", "phrase", "n_phrases", "width", "doc_id", "len").agg(F.collect_list(F.struct("place", shifted.alias("p"))).alias("parts"))
     starts = F.aggregate(F.slice("parts", 2, MAX_RESULTS), F.element_at("parts", 1)["p"], lambda a, x: F.array_intersect(a, x["p"]))
-    several = runs.where(F.size("parts") == F.col("width")).select("qid", "phrase", "n_phrases", "doc_id", F.size(starts).alias("tf")).where("tf > 0")
-    return single.unionByName(several) if wanted.where("width > 1").limit(1).count() else single
+    several = runs.where(F.size("parts") == F.col("width")).select("qid", "phrase", "n_phrases", "doc_id", "len", F.size(starts).alias("tf")).where("tf > 0")
+    return single.unionByName(several)
 
 
-def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
+def bm25(index: TextIndex, wanted: Phrases) -> DataFrame:
     """(qid, doc_id, score, matched, n_phrases): the sum of the matched phrases' scores.
 
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; tf is damped with
     k1 = 1.2 and b = 0.75 on the length of title and body together.
     """
     hits = _phrase_hits(index, wanted)
-    n = hits.groupBy("qid", "phrase").agg(F.countDistinct("doc_id").alias("n"))
+    # a hit is a (phrase, document); counting on tf keeps both uses of the hits one and the same shuffle
+    n = hits.groupBy("qid", "phrase").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("n"))
     raw = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     weights = n.crossJoin(F.broadcast(index.stats)).select("qid", "phrase", idf.alias("idf"), "avgdl")  # one row of statistics
     damp = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
-    scored = hits.join(index.lengths, "doc_id").join(weights, ["qid", "phrase"])
+    scored = hits.join(weights, ["qid", "phrase"])
     score = F.col("idf") * F.col("tf") * (K1 + 1) / damp
     return scored.groupBy("qid", "doc_id", "n_phrases").agg(F.sum(score).alias("score"), F.count("*").cast("int").alias("matched")).select("qid", "doc_id", "score", "matched", "n_phrases")
 
@@ -182,7 +209,7 @@ def lexical_search(spark: SparkSession, index: TextIndex, queries: list[tuple[st
 def term_matches(spark: SparkSession, index: TextIndex, terms: list[tuple[str, str]], docs: DataFrame) -> DataFrame:
     """(qid, doc_id, matched_terms): which of each query's words the result documents (qid, doc_id) contain."""
     rows = [(q, i, j, w, len(words), 1, t) for i, (q, t) in enumerate(terms) if (words := index.tokens(t)) for j, w in enumerate(words)]
-    wanted = spark.createDataFrame(rows, "qid string, phrase int, place int, term string, width int, n_phrases int, word string")
-    hits = _phrase_hits(index, wanted.drop("word")).join(docs.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
-    words = wanted.select("qid", "phrase", "word").distinct()
+    wanted = Phrases(rows, spark)
+    hits = _phrase_hits(index, wanted).join(docs.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+    words = wanted.table.select("qid", "phrase", "word").distinct()
     return hits.join(words, ["qid", "phrase"]).groupBy("qid", "doc_id").agg(F.sort_array(F.collect_set("word")).alias("matched_terms"))

@@ -19,6 +19,7 @@ from ..functions.text import content_tokens, keyword_terms, simple_tokens
 from ..operators import analytics, changes, fusion, lexical, metrics, semantic
 from ..operators.filters import SearchFilters, allowed
 from ..sources.files import front_matter
+from ..sources.tables import spread
 from . import search as plan
 
 QUERY_SET = [("q1", "tion thon ther"), ("q2", "ndtion estion the"), ("q3", "the thor anea thor"), ("q4", "éle oution")]
@@ -56,8 +57,13 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").withColumnRenamed("text", "body")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and texts, dealt over all cores for work on the texts."""
+    return spread(_docs(spark, sf).select("doc_id", "body"))
+
+
 def _index(spark: SparkSession, sf: str, tokenizer: str = "simple") -> lexical.TextIndex:
-    return lexical.build_index(_docs(spark, sf), tokenizer=tokenizer)
+    return lexical.build_index(_texts(spark, sf), tokenizer=tokenizer)
 
 
 def _vectors(spark: SparkSession, sf: str, per: int = 1) -> DataFrame:
@@ -213,13 +219,13 @@ def lexical_confidence(spark, sf):
 
 @query(f"""SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '{CLASS}')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{CLASS}'))) AS n_distinct FROM documents""")
 def token_counts(spark, sf):
-    t = _docs(spark, sf).select("doc_id", simple_tokens(F.col("body")).alias("t"))
+    t = _texts(spark, sf).select("doc_id", simple_tokens(F.col("body")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
 @query(f"""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{CLASS}')) AS term FROM documents) GROUP BY term""")
 def term_statistics(spark, sf):
-    p = _docs(spark, sf).select("doc_id", F.explode(simple_tokens(F.col("body"))).alias("term"))
+    p = _texts(spark, sf).select("doc_id", F.explode(simple_tokens(F.col("body"))).alias("term"))
     per = p.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
@@ -460,7 +466,7 @@ def long_notes_census(spark, sf):
 def split_passages_rows(spark, sf):
     from ..functions.passages import with_passages
 
-    return with_passages(_docs(spark, sf), dict(DEFAULT)).select("doc_id", "seq", "text")
+    return with_passages(_texts(spark, sf), dict(DEFAULT)).select("doc_id", "seq", "text")
 
 
 @query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS digest FROM documents")
@@ -623,7 +629,7 @@ def passage_word_counts(spark, sf):
     def k(b: pd.Series) -> pd.Series:
         return b.map(lambda t: len(split_passages(t, dict(DEFAULT)))).astype("int32")
 
-    return _docs(spark, sf).select("doc_id", n("body").alias("words"), k("body").alias("passages"))
+    return _texts(spark, sf).select("doc_id", n("body").alias("words"), k("body").alias("passages"))
 
 
 # -- extensions over the event tables (not part of the search engine proper) ------------------------

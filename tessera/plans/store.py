@@ -243,7 +243,7 @@ class Collection:
     def integrity(self) -> DataFrame:
         """Health, and how many postings differ from those of the documents as they are."""
         docs = self.table("documents")
-        fresh = lexical.build_index(docs, "doc_id", "title", "body", self.manifest["tokenizer"]).postings.select("term", "doc_id", "positions")
+        fresh = lexical.build_index(docs, "doc_id", "title", "body", self.manifest["tokenizer"]).postings.select("term", "doc_id", "positions", "len")
         stored = self.table("postings")
         wrong = fresh.exceptAll(stored).unionByName(stored.exceptAll(fresh)).agg(F.count("*").alias("wrong_postings"))
         return self.health().crossJoin(F.broadcast(wrong)).withColumn("ok", F.col("ok") & (F.col("wrong_postings") == 0))  # one row each

@@ -24,7 +24,7 @@ DOCUMENTS = T.StructType(
     ]
 )
 PASSAGES = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("text", T.StringType())])
-POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("len", T.LongType())])
 DOC_STATS = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("len", T.LongType())])
 VECTORS = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 ROOTS = T.StructType(
