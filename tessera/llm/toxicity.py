@@ -190,25 +190,26 @@ def select_features(toxic: list[str], clean: list[str], min_ratio: float, min_od
 
 
 def _windows(toxic: list[str], clean: list[str], number: dict[str, int], window: int):
-    """Training windows as (window, place, feature) triples, tags and lengths."""
-    rows, cols, feats, tagged, lengths = [], [], [], [], []
+    """Distinct training windows as (window, place, feature) triples, tags, lengths and how often each occurs.
+
+    Without evidence, the first window stands for a text; windows of one length
+    and the same evidence at the same places are one window with a weight.
+    """
+    seen: dict[tuple, int] = {}
     for bad, texts in ((1, toxic), (0, clean)):
         for text in texts:
             words = WORD.findall(text.lower())
             for i in range(0, len(words), window):
-                part = [(j, number[f]) for j, w in enumerate(words[i : i + window]) for f in features(w) if f in number]
-                if part or i == 0:  # without evidence, the first window stands for the text
-                    r = len(lengths)
-                    lengths.append(min(window, len(words) - i))
-                    rows += [r] * len(part)
-                    cols += [j for j, _ in part]
-                    feats += [f for _, f in part]
-                    if bad:
-                        tagged += [(r, j) for j in sorted({j for j, _ in part})]
-    y = np.zeros((len(lengths), window), bool)
-    if tagged:
-        y[tuple(np.array(tagged).T)] = True
-    return (*map(np.array, (rows, cols, feats)), y, np.arange(window) < np.array(lengths)[:, None])
+                part = tuple((j, number[f]) for j, w in enumerate(words[i : i + window]) for f in features(w) if f in number)
+                if part or i == 0:
+                    key = (bool(bad and part), min(window, len(words) - i), part)
+                    seen[key] = seen.get(key, 0) + 1
+    rows = np.array([r for r, (_, _, part) in enumerate(seen) for _ in part], int)
+    cols, feats = (np.array([x[k] for _, _, part in seen for x in part], int) for k in (0, 1))
+    y = np.zeros((len(seen), window), bool)
+    bad = np.array([b for b, _, _ in seen], bool)
+    y[rows, cols] = bad[rows]
+    return rows, cols, feats, y, np.arange(window) < np.array([n for _, n, _ in seen])[:, None], np.array(list(seen.values()), float)
 
 
 def fit_chain(toxic: list[str], clean: list[str], share: float, min_ratio: float = 15.0, window: int = 128, rounds: int = 40) -> Chain:
@@ -216,38 +217,44 @@ def fit_chain(toxic: list[str], clean: list[str], share: float, min_ratio: float
     chosen = select_features(toxic, clean, min_ratio)
     if not chosen:
         return Chain(prior=share)
-    rows, cols, feats, y, mask = _windows(toxic, clean, {f: i for i, f in enumerate(chosen)}, window)
+    rows, cols, feats, y, mask, times = _windows(toxic, clean, {f: i for i, f in enumerate(chosen)}, window)
     k, steps = y.shape
+    total = times.sum()
     params = np.concatenate([np.full(len(chosen), 1.0), [-3.0], np.zeros(6)])
     m, v = np.zeros_like(params), np.zeros_like(params)
     prev, here, pairs = y[:, :-1], y[:, 1:], mask[:, 1:]
-    seen = np.array([[((prev == a) & (here == b) & pairs).sum() for b in (False, True)] for a in (False, True)], float)
+    seen = np.array([[(((prev == a) & (here == b) & pairs).sum(1) * times).sum() for b in (False, True)] for a in (False, True)], float)
     for r in range(1, rounds + 1):
         w, bias, trans, start = params[: len(chosen)], params[len(chosen)], params[-6:-2].reshape(2, 2), params[-2:]
         em = np.full((k, steps), bias)
         np.add.at(em, (rows, cols), w[feats])
-        u = np.exp(np.clip(em, -40, 40))
+        u = np.exp(np.clip(em, -40, 40)).T.copy()
         A = np.exp(trans)
-        al = np.empty((steps, k, 2), np.float32)
-        a = np.stack([np.full(k, math.exp(start[0])), math.exp(start[1]) * u[:, 0]], 1)
-        al[0] = a = a / a.sum(1, keepdims=True)
-        for t in range(1, steps):
-            x = a @ A
-            x[:, 1] *= u[:, t]
-            al[t] = a = np.where(mask[:, t, None], x / x.sum(1, keepdims=True), a)
-        be, expected, p = np.ones((k, 2)), np.zeros((2, 2)), np.empty((k, steps), np.float32)
+        al = np.empty((steps, 2, k))
+        a0, a1 = np.full(k, math.exp(start[0])), math.exp(start[1]) * u[0]
+        for t in range(steps):
+            if t:
+                b0, b1 = a0 * A[0, 0] + a1 * A[1, 0], (a0 * A[0, 1] + a1 * A[1, 1]) * u[t]
+                on = mask[:, t]
+                a0, a1 = np.where(on, b0, a0), np.where(on, b1, a1)
+            s = a0 + a1
+            a0, a1 = a0 / s, a1 / s
+            al[t] = a0, a1
+        be0, be1, expected, p = np.ones(k), np.ones(k), np.zeros((2, 2)), np.empty((k, steps))
         for t in range(steps - 1, -1, -1):
-            g = al[t] * be
-            p[:, t] = g[:, 1] / g.sum(1)
+            g1 = al[t, 1] * be1
+            p[:, t] = g1 / (al[t, 0] * be0 + g1)
             if t:
-                into = np.stack([be[:, 0], u[:, t] * be[:, 1]], 1)
-                two = al[t - 1][:, :, None] * A * into[:, None, :]
-                expected += (two / two.sum((1, 2), keepdims=True))[mask[:, t]].sum(0)
-                x = into @ A.T
-                be = np.where(mask[:, t, None], x / x.sum(1, keepdims=True), 1.0)
-        miss = (y - p) * mask
+                in0, in1 = be0, u[t] * be1
+                c = np.stack([al[t - 1, 0] * A[0, 0] * in0, al[t - 1, 0] * A[0, 1] * in1, al[t - 1, 1] * A[1, 0] * in0, al[t - 1, 1] * A[1, 1] * in1])
+                on = mask[:, t]
+                expected += ((c / c.sum(0)) @ (times * on)).reshape(2, 2)
+                x0, x1 = A[0, 0] * in0 + A[0, 1] * in1, A[1, 0] * in0 + A[1, 1] * in1
+                s = x0 + x1
+                be0, be1 = np.where(on, x0 / s, 1.0), np.where(on, x1 / s, 1.0)
+        miss = (y - p) * mask * times[:, None]
         first = float(miss[:, 0].sum())
-        grad = np.concatenate([np.bincount(feats, miss[rows, cols], len(chosen)), [miss.sum()], (seen - expected).ravel(), [-first, first]]) / max(1, k) - 1e-3 * np.concatenate([w, np.zeros(7)])
+        grad = np.concatenate([np.bincount(feats, miss[rows, cols], len(chosen)), [miss.sum()], (seen - expected).ravel(), [-first, first]]) / total - 1e-3 * np.concatenate([w, np.zeros(7)])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params + 0.2 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     w = params[: len(chosen)]
