@@ -16,7 +16,7 @@ from ..errors import UsageError
 VERSION, MAX_PASSAGES = 1, 1000
 DEFAULT = {"version": VERSION, "max_words": 200, "overlap_words": 40}
 
-# Scripts whose characters count as one word each, and what ends a sentence.
+# Scripts whose characters count as one word each, what ends a sentence, and the lines that stand alone.
 _SCRIPTS = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 _WORD = re.compile(rf"[{_SCRIPTS}]|[^\s{_SCRIPTS}]+")
 _STOP = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？][\"'”’)\]」』]*\s*")

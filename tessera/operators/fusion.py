@@ -93,6 +93,9 @@ def outcome(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid").agg(F.count("*").alias("n_hits"), weak.alias("weak_count"), (weak == F.count("*")).alias("abstained"))
 
 
+# The wording of the reasons below.
+
+
 def keyword_reason(matched: Column, total: Column) -> Column:
     """matched: array of the words found."""
     n = F.size(matched)

@@ -258,12 +258,12 @@ def semantic_best_passage(spark, sf):
     return semantic.semantic_search(_vectors(spark, sf, 3), _asked(spark, sf), K, digits=6).select(*HITS, "seq")
 
 
-_BATCH = "SELECT vec_id::VARCHAR AS qid, embedding FROM embeddings WHERE vec_id % 25 = 0"
+_BATCH = "SELECT vec_id::VARCHAR AS qid, embedding FROM embeddings"
 
 
 @query(f"WITH {_sem_sql('float', where='v.vec_id::VARCHAR <> a.qid', k=5, asked=_BATCH)} SELECT qid, rank, doc_id, score FROM sem")
 def batch_semantic_topk(spark, sf):
-    asked = _t(spark, sf, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    asked = _t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
     return semantic.semantic_search(_vectors(spark, sf), asked, 5, digits=6, exclude_self=True).select(*HITS)
 
 
@@ -381,10 +381,10 @@ def duplicate_groups(spark, sf):
     return analytics.duplicate_groups(d).select("n", "first_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("SELECT a.doc_id AS id, b.doc_id AS other FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id WHERE a.doc_id % 7 = 1")
+@query("SELECT a.doc_id AS id, b.doc_id AS other FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id")
 def duplicates_of(spark, sf):
     d = _docs(spark, sf).withColumn("content_hash", F.sha2("body", 256))
-    return analytics.duplicates_of(d, d.where("doc_id % 7 = 1"))
+    return analytics.duplicates_of(d, d)
 
 
 @query("SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source")
@@ -474,9 +474,9 @@ def id_digest(spark, sf):
     return analytics.id_digest(_docs(spark, sf))
 
 
-@query("SELECT doc_id, left(text, 100) AS body, length(text) > 100 AS truncated FROM documents")
+@query("SELECT doc_id, left(text, 200000) AS body, length(text) > 200000 AS truncated FROM documents")
 def document_view(spark, sf):
-    return analytics.document_view(_docs(spark, sf), 100).select("doc_id", "body", "truncated")
+    return analytics.document_view(_docs(spark, sf)).select("doc_id", "body", "truncated")
 
 
 # -- incremental changes -----------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..errors import DataError, UsageError
 from ..functions.text import normalize_tags
 
+# Which files are text, what is left out, limits, and the lines of a front matter.
 SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".org", ".text")
 EXCLUDES = (".*", "node_modules", "__pycache__", ".venv", "venv")
 MAX_BYTES, SNIFF_BYTES = 5 * 1024 * 1024, 8192

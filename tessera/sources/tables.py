@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: bytes up to which a table may be dealt anew; beyond it has row groups enough to be split as it is
+SMALL = 256 << 20
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """Deal a table of fewer files than the cluster has cores over all of them.
+    """Deal a small table of fewer files than the cluster has cores over all of them.
 
     A file of one row group is one task however small the splits are, so text
-    work on it would keep one core busy. Tables of many files stay as they are.
+    work on it would keep one core busy. Tables of many files, and large ones,
+    stay as they are.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table._jdf.inputFiles()) < cores else table
+    if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL or len(table._jdf.inputFiles()) >= cores:
+        return table
+    return table.repartition(cores)
