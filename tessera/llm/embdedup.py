@@ -181,3 +181,16 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     fit = plain.where(able).join(answer, ["label", "v"]).select("vec_id", "n_links", "component_id")
     unfit = plain.where(~F.coalesce(able, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fit.unionByName(unfit).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def oracle(cosine: float = 0.98) -> str:
+    """DuckDB SQL for the same rows, from all pairs; for small tables."""
+    return f"""
+WITH RECURSIVE
+v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {cosine}),
+c AS (SELECT r AS a, r AS b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)
+SELECT v.vec_id, coalesce((SELECT count(*) FROM l WHERE l.a = v.r), 0)::BIGINT AS n_links, m.component_id, coalesce(v.vec_id = m.component_id, false) AS kept
+FROM v JOIN (SELECT c.a, min(w.vec_id) AS component_id FROM c JOIN v w ON w.r = c.b GROUP BY c.a) m ON m.a = v.r
+"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import urlfilter
 from .ann import search
 from .common import table
-from .embdedup import embedding_dedup
+from .embdedup import embedding_dedup, oracle
 from .linededup import drop_lines
 from .mixing import mix
 from .packing import pack
@@ -18,12 +19,16 @@ from .toxicity import fold_of, score_documents, train
 from .trainorder import training_order
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+    return drop_lines(_docs(spark, sf_dir)).select("doc_id", "text", "n_dropped")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +36,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(_docs(spark, sf_dir))
 
 
 def op5_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,25 +44,25 @@ def op5_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, _ = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rated, _ = mix(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
     return rated.select("doc_id", "tokens", "posterior", "rate", "copies")
 
 
 def op7_trainorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(table(spark, sf_dir, "documents"))
+    return training_order(_docs(spark, sf_dir))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(_docs(spark, sf_dir))
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(table(spark, sf_dir, "documents"), 50)
+    found = suffix_dedup(_docs(spark, sf_dir), 50)
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _docs(spark, sf_dir)
     chain = train(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, chain).select(
         "doc_id", F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans"
@@ -76,4 +81,4 @@ QUERIES = {
     "op9_suffix": op9_suffix,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {"op1_urlfilter": urlfilter.oracle()}
+ORACLE: dict[str, str] = {"op1_urlfilter": urlfilter.oracle(), "op5_embdedup": oracle()}
