@@ -37,6 +37,20 @@ class TextIndex:
     lengths: DataFrame
     stats: DataFrame
     tokenizer: str = "simple"
+    scan: DataFrame | None = None
+
+    def lookup(self, terms: list[str]) -> DataFrame:
+        """Postings of some terms.
+
+        A stored index is filtered. One that is made on the fly looks the terms
+        up in each document's tokens, so nothing but matches is ever exploded
+        and no shuffle is needed to bring a term's positions together.
+        """
+        if self.scan is None:
+            return self.postings.where(F.col("term").isin(terms))
+        met = self.scan.select("doc_id", "len", "all", F.explode(F.array_intersect("all", F.array(*map(F.lit, terms)))).alias("term")) if terms else self.scan.select("doc_id", "len", "all", F.lit("").alias("term")).where("false")
+        places = F.filter(F.transform("all", lambda x, i: F.when(x == F.col("term"), i)), lambda p: p.isNotNull())
+        return met.select("term", "doc_id", places.alias("positions"), "len")
 
     def tokens(self, text: str) -> list[str]:
         if self.tokenizer == "porter":
@@ -52,18 +66,19 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", title_col: str | None =
     if tokenizer == "simple":
         plain = docs.select(F.col(id_col).alias("doc_id"), simple_tokens(title).alias("t"), simple_tokens(F.col(body_col)).alias("b"))
         both = plain.select("doc_id", F.concat("t", F.array(F.lit(None).cast("string")), "b").alias("all"), (F.size("t") + F.size("b")).cast("long").alias("len"))
-        lengths = both.select("doc_id", "len")
+        lengths, scan = both.select("doc_id", "len"), both
         placed = both.select("doc_id", "len", F.posexplode("all").alias("pos", "term")).where(F.col("term").isNotNull())
         postings = placed.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
     elif tokenizer == "porter":
         plain = docs.select(F.col(id_col).alias("doc_id"), title.cast("string").alias("title"), F.col(body_col).cast("string").alias("body"))
         kind = plain.schema["doc_id"].dataType.simpleString()
         postings = plain.mapInArrow(_stem_postings, f"term string, doc_id {kind}, positions array<int>, len bigint")
+        scan = None
         lengths = plain.mapInArrow(_stem_lengths, f"doc_id {kind}, len bigint")
     else:
         raise UsageError(f"unknown tokenizer {tokenizer!r} (simple|porter)")
     stats = lengths.agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avgdl"))
-    return TextIndex(postings, lengths, stats, tokenizer)
+    return TextIndex(postings, lengths, stats, tokenizer, scan)
 
 
 def _stem_postings(batches):
@@ -131,7 +146,7 @@ def phrases(spark: SparkSession, index: TextIndex, queries: list[tuple[str, str]
 def _phrase_hits(index: TextIndex, wanted: Phrases) -> DataFrame:
     """(qid, phrase, n_phrases, doc_id, len, tf) of every phrase occurrence."""
     terms, table = wanted.terms, wanted.table
-    postings = index.postings.where(F.col("term").isin(terms)) if len(terms) <= MAX_LISTED_TERMS else index.postings.join(table.select("term").distinct(), "term", "left_semi")
+    postings = index.lookup(terms) if len(terms) <= MAX_LISTED_TERMS else index.postings.join(table.select("term").distinct(), "term", "left_semi")
     met = postings.join(table.drop("word"), "term")
     single = met.where("width = 1").select("qid", "phrase", "n_phrases", "doc_id", "len", F.size("positions").alias("tf"))
     if not wanted.several:
@@ -149,9 +164,10 @@ def bm25(index: TextIndex, wanted: Phrases) -> DataFrame:
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; tf is damped with
     k1 = 1.2 and b = 0.75 on the length of title and body together.
     """
-    hits = _phrase_hits(index, wanted)
-    # a hit is a (phrase, document); counting on tf keeps both uses of the hits one and the same shuffle
-    n = hits.groupBy("qid", "phrase").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("n"))
+    # dealt by what the final grouping needs; both uses below read every column, so they share this one shuffle
+    hits = _phrase_hits(index, wanted).repartition("qid", "doc_id")
+    whole = (F.col("tf") > 0) & (F.col("len") > 0) & (F.col("n_phrases") > 0) & F.col("doc_id").isNotNull()
+    n = hits.groupBy("qid", "phrase").agg(F.count(F.when(whole, 1)).alias("n"))
     raw = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     weights = n.crossJoin(F.broadcast(index.stats)).select("qid", "phrase", idf.alias("idf"), "avgdl")  # one row of statistics
