@@ -1,12 +1,13 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import entry, tokens
+from tessera.llm import entry, neardup, tokens
 
-from test_small_operators import brute_classes, brute_lines
+from test_small_operators import brute_classes, brute_lines, components, prose
 
 
 def test_stages(spark, sf):
@@ -49,3 +50,38 @@ def test_packing_query(spark, sf):
         ids = np.append(tokens.encode(texts[r.doc_id]), 0).astype("<u4")
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     assert {r.doc_id for r in got} == set(texts)
+
+
+def brute_jaccard(rows, similarity=0.8):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and rows[i][0] is not None and rows[j][0] is not None]
+    comp = components(near, range(len(rows)))
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[comp[i]] = min((d, i), low.get(comp[i], (d, i)))
+    return sorted(str(rows[i]) for _, i in low.values()) + [str(r) for r in rows if r[0] is None]
+
+
+@pytest.mark.parametrize("small", [48, 2])
+def test_near_dedup_equals_brute_force_jaccard(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(6)
+    rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b c"), (77, "b c"), (3, prose(rng, 40)), (3, prose(rng, 40)), (None, "b c")]
+    shared = prose(rng, 60)
+    for i in range(30):
+        words = (prose(rng, 150) + " " + shared).split()
+        for j in range(rng.choice([1, 1, 2, 12])):
+            copy = words.copy()
+            for _ in range(rng.randint(0, 12)):
+                copy[rng.randrange(len(words))] = "edit"
+            rows.append((100 + 20 * i + j, " ".join(copy)))
+    want = brute_jaccard(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(want)
+    assert len(want) < len(brute_classes(rows)) and got.columns == docs.columns
