@@ -2,8 +2,10 @@
 
 Lines are parsed by a tree of fixed depth: token count, then the leading tokens
 (tokens with digits are variable from the start), then, in a leaf, templates: a
-line joins the first template that shares at least ``similarity`` of its
-tokens, and places where the two differ become variable. A template found in
+line joins the template that has at least ``similarity`` of its tokens after
+the leading ones at fixed places, and places where the two differ become
+variable. Variable places match nothing, so a template keeps that share of
+fixed tokens however many lines join it. A template found in
 ``min_docs`` documents or more is recurring: its lines are dropped from every
 document but the first (least id) that has it, so boilerplate goes and nothing
 is lost from the corpus as a whole.
@@ -54,7 +56,7 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 2) - (1 << 63)
 
 
-def parse(lines: list[str], similarity: float) -> tuple[list[str], list[int]]:
+def parse(lines: list[str], similarity: float, depth: int) -> tuple[list[str], list[int]]:
     """Templates of the lines of one leaf (equal token counts), and the template of each line."""
     order = sorted(range(len(lines)), key=lambda i: lines[i])
     count = 0
@@ -66,9 +68,9 @@ def parse(lines: list[str], similarity: float) -> tuple[list[str], list[int]]:
     for i, code in zip(order, coded):
         row = np.array(code)
         if count:
-            same = ((table[:count] == row) | (table[:count] == 0)).mean(1)
+            same = ((table[:count] == row) & (row != 0))[:, depth:].sum(1)
             best = int(same.argmax())
-            if same[best] >= similarity:
+            if same[best] >= similarity * max(1, len(row) - depth):
                 t = table[best]
                 t[t != row] = 0
                 of[i] = best
@@ -135,12 +137,12 @@ def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min
     second = pa.schema([("leaf", pa.int64()), ("text", pa.string()), ("template", pa.int64())])
 
     def parse_part(t: pa.Table) -> pa.Table:
-        texts, of = parse(t.column("masked").to_pylist(), similarity)
+        texts, of = parse(t.column("masked").to_pylist(), similarity, depth)
         return pa.Table.from_arrays([t.column("leaf"), t.column("line"), pa.array([texts[k] for k in of], pa.string())], schema=first)
 
     def parse_leaf(t: pa.Table) -> pa.Table:
         leaf = t.column("leaf")[0].as_py()
-        texts, of = parse(t.column("text").to_pylist(), similarity)
+        texts, of = parse(t.column("text").to_pylist(), similarity, depth)
         return pa.Table.from_arrays([t.column("leaf"), t.column("text"), pa.array([_hash(f"{leaf} {texts[k]}") for k in of], pa.int64())], schema=second)
 
     n = max(partitions(spark), 12)

@@ -149,6 +149,11 @@ def test_line_parts_are_merged(spark, monkeypatch):
     assert got == 25
 
 
+def test_lines_alike_only_in_leading_tokens_stay(spark):
+    rows = [(i, f"Was erlytion that. word{chr(97 + i)}\nonce upon a x{chr(97 + i)} y{chr(97 + i // 2)} z") for i in range(20)]
+    assert linededup.drop_lines(docs_of(spark, rows)).where("n_dropped > 0").count() == 0
+
+
 # -- 3: nearest neighbours ----------------------------------------------------------------------
 
 
