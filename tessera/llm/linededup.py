@@ -20,7 +20,8 @@ the parts' templates are then parsed together, so no leaf is one unbounded
 task.
 
 Defined cases: a null text stays null; blank lines and lines of fewer than
-``min_tokens`` tokens always stay; ties of similarity go to the template that
+``min_tokens`` tokens (none by default) always stay; a line of no more than
+``depth`` tokens is a leaf of its own, so such lines merge only when equal; ties of similarity go to the template that
 comes first by its text; rows with one id are one document, a null id is no
 document of its own kind: its lines count for nothing and stay; an empty table
 gives an empty result; extra columns pass through.
@@ -96,7 +97,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_token
                 own = set()
                 for s in (t or "").split("\n"):
                     tokens = masked_tokens(s)
-                    if len(tokens) < min_tokens:
+                    if len(tokens) < max(1, min_tokens):
                         continue
                     leaf = _hash(f"{len(tokens)} {' '.join(tokens[:depth])}")
                     if bits is not None and not bits[leaf >> 3 & BITMAP - 1] >> (leaf & 7) & 1:
@@ -121,7 +122,7 @@ def _bitmap(leaves: DataFrame) -> Broadcast:
     return leaves.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text", slim: DataFrame | None = None) -> DataFrame:
+def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text", slim: DataFrame | None = None) -> DataFrame:
     """(line, template, doc): lines (by hash) of recurring templates; template is its hash, doc the least document that has it."""
     spark = docs.sparkSession
     if slim is None:
@@ -154,7 +155,7 @@ def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min
     return of.join(materialise(counted.where(F.col("docs") >= min_docs), "lines-recurring"), "template").select("line", "template", "doc", "docs")
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines taken out of the texts; adds ``n_dropped``, the number of lines taken out of each."""
     docs = docs.drop("n_dropped")
     slim = materialise(line_rows(docs, id_col, text_col, depth, min_tokens), "lines-slim")
@@ -178,7 +179,7 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_doc
                 gone, kept, n = set(gone), [], 0
                 for s in t.split("\n"):
                     tokens = masked_tokens(s)
-                    if len(tokens) >= min_tokens and _hash(" ".join(tokens)) in gone:
+                    if len(tokens) >= max(1, min_tokens) and _hash(" ".join(tokens)) in gone:
                         n += 1
                     else:
                         kept.append(s)

@@ -154,6 +154,12 @@ def test_lines_alike_only_in_leading_tokens_stay(spark):
     assert linededup.drop_lines(docs_of(spark, rows)).where("n_dropped > 0").count() == 0
 
 
+def test_short_recurring_lines_are_dropped(spark):
+    rows = [(i, f"All rights reserved.\n\n版权所有不得转载\nAll rights word{chr(97 + i)}") for i in range(6)]
+    got = {r.doc_id: r.text for r in linededup.drop_lines(docs_of(spark, rows)).collect()}
+    assert got == {i: t if i == 0 else "\n" + t.split("\n")[3] for i, t in rows}
+
+
 # -- 3: nearest neighbours ----------------------------------------------------------------------
 
 
