@@ -2,37 +2,64 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark then deletes the shuffle files of an action when the action ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary folder is made and set.
+    It is what the cluster names in ``spark.checkpoint.dir``. Where that is unset
+    a temporary folder is made and set, but only under a local master (tests, a
+    laptop): executors of a cluster would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Actions in here leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{checkpoint_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
-    Cuts the lineage: a lost executor costs a re-read, not a re-computation.
+    Cuts the lineage: a lost executor costs a re-read, not a re-computation. The
+    shuffle files of the writing go when it is done.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = new_folder(spark, label)
+    with _cleaning(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tessera_path = path
     return out
@@ -48,14 +75,6 @@ def drop(*tables: DataFrame) -> None:
             target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files whose plans are gone (it does so when the JVM collects garbage)."""
-    for _ in range(3):  # a proxy's end reaches the JVM a little later than Python's collection
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import common_prefix_groups
-from .common import materialise, partitions, release
+from .common import drop, materialise, partitions
 
 GRAM = 20
 CHUNK = 768 << 10
@@ -302,8 +302,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     shape = "bucket long, chunk_id long, data binary"
     met = table.select("chunk_id", "data").mapInArrow(minimisers, shape).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, shape)
     wanted = materialise(met.groupBy("chunk_id").agg(F.collect_list("data").alias("wanted")), "suffix-wanted")
-    del met
-    release(spark)
+
     def chosen(d: bytes, w: list[bytes]) -> Chunk:
         c = Chunk(d, length)
         c.select(np.sort(np.concatenate([np.cumsum(_unzip(x, np.uint32)[0], dtype=np.uint32) for x in w])))
@@ -326,8 +325,6 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     solved = table.join(wanted, "chunk_id").select("chunk_id", "data", "wanted").mapInArrow(send, shape).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(solve, shape)
     answers = materialise(solved.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("answers")), "suffix-answers")
-    del solved
-    release(spark)
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(span))])
