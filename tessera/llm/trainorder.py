@@ -1,22 +1,32 @@
 """Training-order materialisation of token-id sequences.
 
-Documents are tokenised, each followed by a closing id, and the stream of each
-input partition is cut into sequences of ``stride`` ids (the last one padded).
-Sequences get a dense number (partition base + place); a keyed Feistel network
-with cycle-walking maps the number to a global slot, a permutation that needs
-no table and can be inverted. Range partitions by slot then lay the sequences
-down in training order as shards: ``per_shard`` records of exactly ``stride``
+Documents are tokenised, each followed by a closing id, and dealt by a hash of
+(id, text) into groups of about ``group_docs``; a group's documents, in order of
+id and text hash, are one stream, cut into sequences of ``stride`` ids (the
+last one padded). Groups, order and cuts follow from the data alone, so the
+bytes are the same on any cluster and for any split into files. Tasks hold
+ranges of groups, so a sequence's dense number is its task's base plus its
+place. A keyed Feistel network with cycle-walking maps the number to a global
+slot, a permutation that needs no table and can be inverted. Range partitions
+by slot then write shards: ``per_shard`` records of exactly ``stride``
 little-endian ids, so slot s starts at byte (s % per_shard) * stride * width of
 shard s // per_shard, and a reader resumes anywhere by arithmetic.
 
+Shards are written in ``waves`` of equal ranges, so that only a part of the
+corpus is in flight besides the shards; each wave's manifest is stored, and a
+file is written under a name of its own and then moved, so a repeated task or a
+repeated wave leaves the same whole file.
+
 Defined cases: a null or empty text is just the closing id; repeated rows are
-written as rows of their own; an empty table gives no shards; ids beyond 65,535
-need ``width=4``; extra columns are ignored.
+written as rows of their own (rows equal in id and text are interchangeable); a
+null id comes first; an empty table gives no shards; ids beyond 65,535 need
+``width=4``; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import drop, materialise, new_folder, partitions
 from .tokens import encode
 
 ROUNDS = 6
@@ -71,89 +81,129 @@ def number_of(slot, n: int, key: int) -> np.ndarray:
     return _walk(slot, n, key, False)
 
 
-def sequences(docs: DataFrame, stride: int, closing_id: int, width: int, text_col: str) -> DataFrame:
-    """(part, place, length, ids): the stream of each input partition in pieces of ``stride`` ids."""
-    schema = pa.schema([("part", pa.int64()), ("place", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+def sequences(docs: DataFrame, stride: int, closing_id: int, width: int, id_col: str, text_col: str, group_docs: int) -> DataFrame:
+    """(part, place, length, ids): the sequences; ``part`` numbers ranges of groups, ``place`` a range's sequences."""
     kind = np.dtype(f"<u{width}")
+    tokens = pa.schema([("grp", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("place", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches):
-        part, place = TaskContext.get().partitionId(), 0
-        rest = np.empty(0, kind)
-
-        def rows(ids: np.ndarray, first: int):
-            raw = ids.tobytes()
-            size = stride * width
-            n = len(ids) // stride
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(first, first + n)), pa.array(np.full(n, stride)), pa.array([raw[i * size : (i + 1) * size] for i in range(n)], pa.binary())], schema=schema)
-
+    def tokenise(batches):
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                got = [rest]
-                for t in texts[i : i + 256]:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                rows = []
+                for t in part.column(3).to_pylist():
                     ids = encode(t)
                     if len(ids) and int(ids.max()) >> (8 * width):
                         raise ValueError("an id does not fit; use width=4")
-                    got += [ids.astype(kind), np.array([closing_id], kind)]
-                stream = np.concatenate(got)
-                full = len(stream) // stride * stride
-                if full:
-                    yield rows(stream[:full], place)
-                    place += full // stride
-                rest = stream[full:]
-        if len(rest):
-            last = np.full(stride, closing_id, kind)
-            last[: len(rest)] = rest
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([place]), pa.array([len(rest)]), pa.array([last.tobytes()], pa.binary())], schema=schema)
+                    rows.append(np.append(ids.astype(kind), kind.type(closing_id)).tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rows, pa.binary())], schema=tokens)
+
+    def cut(batches):
+        part, place, size = TaskContext.get().partitionId(), 0, stride * width
+        group, rest = None, b""
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "part long, place long, length long, ids binary")
+        def rows(raw: bytes, short: int = 0):
+            n = len(raw) // size
+            lengths = np.full(n, stride)
+            if short:
+                lengths[-1] = short
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(place, place + n)), pa.array(lengths), pa.array([raw[i * size : (i + 1) * size] for i in range(n)], pa.binary())], schema=schema)
 
+        def last():
+            return rows(rest + np.full((size - len(rest)) // width, closing_id, kind).tobytes(), len(rest) // width)
 
-def training_order(docs: DataFrame, stride: int = 1024, per_shard: int = 1024, key: int = 7, closing_id: int = 50256, width: int = 2, text_col: str = "text") -> DataFrame:
-    """(shard, first_slot, n_sequences, n_ids, stride_bytes, crc32, payload): the shards, in training order."""
-    if stride < 1 or per_shard < 1 or width not in (2, 4):
-        raise ValueError("stride and per_shard must be positive, width 2 or 4")
+        for b in batches:
+            groups = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]).tolist() + [len(groups)] if len(groups) else []
+            for s, e in zip(edges, edges[1:]):
+                if groups[s] != group:
+                    if rest:
+                        yield last()
+                        place += 1
+                    group, rest = groups[s], b""
+                raw = b"".join([rest, *b.column(3).slice(s, e - s).to_pylist()])
+                full = len(raw) // size * size
+                if full:
+                    yield rows(raw[:full])
+                    place += full // size
+                rest = raw[full:]
+        if rest:
+            yield last()
+
+    total = docs.count()
+    groups = max(1, -(-total // group_docs))
+    tasks = max(1, min(groups, max(partitions(docs.sparkSession), 12)))
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    plain = plain.select(F.pmod(F.xxhash64(F.lit(11), "id", "key"), F.lit(groups)).alias("grp"), "id", "key", "text")
+    # hashed groups are even, so equal ranges of them are known beforehand; no sampling pass
+    dealt = plain.mapInArrow(tokenise, "grp long, id long, key long, ids binary").repartitionById(tasks, F.floor(F.col("grp") * tasks / groups).cast("int"))
+    return dealt.sortWithinPartitions("grp", F.asc_nulls_first("id"), "key").mapInArrow(cut, "part long, place long, length long, ids binary")
+
+
+def training_order(docs: DataFrame, folder: str | None = None, stride: int = 1024, per_shard: int = 4096, key: int = 7, closing_id: int = 50256, width: int = 2, id_col: str = "doc_id", text_col: str = "text", group_docs: int = 512, waves: int = 2) -> DataFrame:
+    """Write the shards and return their manifest: (shard, path, first_slot, n_sequences, n_ids, stride_bytes, n_bytes, crc32).
+
+    ``folder`` is a URI of a file system that all executors share; by default a
+    new folder below the checkpoint folder. The shards there are the result.
+    """
+    if stride < 1 or per_shard < 1 or group_docs < 1 or waves < 1 or width not in (2, 4):
+        raise ValueError("stride, per_shard, group_docs and waves must be positive, width 2 or 4")
     spark = docs.sparkSession
-    cut = materialise(sequences(docs, stride, closing_id, width, text_col), "order-sequences")
-    counts = dict(cut.groupBy("part").count().collect())  # two numbers for each input split
-    base, n = {}, 0
-    for p in sorted(counts):
-        base[p], n = n, n + counts[p]
+    folder = folder or new_folder(spark, "shards")
+    cut = materialise(sequences(docs, stride, closing_id, width, id_col, text_col, group_docs), "order-sequences")
+    counts = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number for each shuffle partition
+    base = np.cumsum([0] + [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)])
+    n = int(base[-1])
+    starts = spark.sparkContext.broadcast(base)
     slotted = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+    shards = -(-n // per_shard)
 
-    def number(batches):
-        for b in batches:
-            part, place = b.column(0).to_pylist(), b.column(1).to_numpy()
-            slot = slot_of(np.array([base[p] for p in part], np.int64) + place, n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), b.column(2), b.column(3)], schema=slotted)
+    def number(low: int, high: int):
+        def run(batches):
+            for b in batches:
+                slot = slot_of(starts.value[b.column(0).to_numpy()] + b.column(1).to_numpy(), n, key)
+                shard = slot // per_shard
+                own = pa.array((shard >= low) & (shard < high))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), b.column(2), b.column(3)], schema=slotted).filter(own)
 
-    shards = -(-n // per_shard)
-    tasks = max(1, min(shards, max(partitions(spark), 12)))
-    # slots are dense and evenly spread, so equal ranges of shards are known beforehand; no sampling pass
-    dealt = cut.mapInArrow(number, "shard long, slot long, length long, ids binary").withColumn("range", F.floor(F.col("shard") * tasks / max(1, shards)).cast("int"))
-    ranged = dealt.repartition(tasks, "range").sortWithinPartitions("slot").drop("range")
-    out = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("n_sequences", pa.int64()), ("n_ids", pa.int64()), ("stride_bytes", pa.int64()), ("crc32", pa.int64()), ("payload", pa.binary())])
+        return run
 
-    def lay(batches):
-        shard, slots, sizes, ids = None, [], 0, []
+    out = pa.schema([("shard", pa.int64()), ("path", pa.string()), *((c, pa.int64()) for c in ("first_slot", "n_sequences", "n_ids", "stride_bytes", "n_bytes", "crc32"))])
+
+    def write(batches):
+        shard, first, sizes, ids = None, 0, 0, []
 
         def row():
             raw = b"".join(ids)
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, slots[0], len(slots), sizes, stride * width, zlib.crc32(raw), raw), (f.type for f in out))], schema=out)
+            path = write_shard(folder, shard, raw)
+            values = (shard, path, first, len(ids), sizes, stride * width, len(raw), zlib.crc32(raw))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, out)], schema=out)
 
         for b in batches:
             for s, k, m, i in zip(*(b.column(c).to_pylist() for c in range(4))):
                 if s != shard:
-                    if slots:
+                    if ids:
                         yield row()
-                    shard, slots, sizes, ids = s, [], 0, []
-                slots.append(k)
+                    shard, first, sizes, ids = s, k, 0, []
                 sizes += m
                 ids.append(i)
-        if slots:
+        if ids:
             yield row()
 
-    return ranged.mapInArrow(lay, "shard long, first_slot long, n_sequences long, n_ids long, stride_bytes long, crc32 long, payload binary")
+    manifests = []
+    each = max(1, -(-shards // waves))
+    for low in range(0, shards, each):
+        high = min(shards, low + each)
+        tasks = max(1, min(high - low, max(partitions(spark), 12)))
+        # slots are dense, so equal ranges of shards are known beforehand
+        dealt = cut.mapInArrow(number(low, high), "shard long, slot long, length long, ids binary").repartitionById(tasks, F.floor((F.col("shard") - low) * tasks / (high - low)).cast("int"))
+        written = dealt.sortWithinPartitions("slot").mapInArrow(write, "shard long, path string, first_slot long, n_sequences long, n_ids long, stride_bytes long, n_bytes long, crc32 long")
+        manifests.append(materialise(written, "order-manifest"))
+    drop(cut)
+    if not manifests:
+        return spark.createDataFrame([], "shard long, path string, first_slot long, n_sequences long, n_ids long, stride_bytes long, n_bytes long, crc32 long")
+    return reduce(DataFrame.unionByName, manifests)
 
 
 def _file(folder: str, shard: int):
@@ -163,29 +213,18 @@ def _file(folder: str, shard: int):
     return system, f"{path}/shard-{shard:08d}.bin"
 
 
-def write_shards(shards: DataFrame, folder: str) -> DataFrame:
-    """Write each shard as ``folder``/shard-NNNNNNNN.bin (a URI of a file system all executors share); return the manifest.
-
-    A file is written under a name of its own and then moved, so a repeated or
-    speculative task leaves the same whole file.
-    """
-    schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_bytes", pa.int64()), ("crc32", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            for s, c, raw in zip(*(b.column(n).to_pylist() for n in ("shard", "crc32", "payload"))):
-                system, path = _file(folder, s)
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                part = f"{path}.{TaskContext.get().taskAttemptId()}"
-                with system.open_output_stream(part) as f:
-                    f.write(raw)
-                system.move(part, path)
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([path]), pa.array([len(raw)]), pa.array([c])], schema=schema)
-
-    return shards.select("shard", "crc32", "payload").mapInArrow(run, "shard long, path string, n_bytes long, crc32 long")
+def write_shard(folder: str, shard: int, raw: bytes) -> str:
+    """Write one shard as ``folder``/shard-NNNNNNNN.bin, whole or not at all; return its path."""
+    system, path = _file(folder, shard)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{TaskContext.get().taskAttemptId()}"
+    with system.open_output_stream(part) as f:
+        f.write(raw)
+    system.move(part, path)
+    return path
 
 
-def read_slots(folder: str, first: int, count: int, stride: int = 1024, per_shard: int = 1024, width: int = 2):
+def read_slots(folder: str, first: int, count: int, stride: int = 1024, per_shard: int = 4096, width: int = 2):
     """Sequences of the slots from ``first`` on, by sequential reads that may start anywhere."""
     size = stride * width
     end = first + count
