@@ -8,8 +8,9 @@ longest first, into the first bin with room: a tournament tree holds the
 largest free capacity below every node and finds that bin in log time.
 
 Defined cases: a null or empty text is just the closing id; repeated rows and
-ids are packed as rows of their own (a ``row`` number keeps their pieces
-apart); a null id is kept; ties of length go by id, row and start; an empty
+ids are packed as rows of their own (rows equal in id and text are counted and
+numbered, so the packing depends on the data alone, not on files or cores); a
+null id is kept; ties of length go by id, text hash, number and start; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .tokens import encode
 
-PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Tournament:
@@ -70,7 +71,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 
 def pieces(docs: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", closing_id: int = 0) -> DataFrame:
     """Each document's ids cut into full pieces and a rest."""
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens")])
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "key", "start", "length", "ids_crc32", "doc_tokens")])
 
     def run(batches):
         for b in batches:
@@ -83,7 +84,8 @@ def pieces(docs: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_c
                     out.append((d, r, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, schema=schema)
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     return plain.mapInArrow(run, PIECES)
 
 
@@ -93,15 +95,17 @@ def pack(docs: DataFrame, capacity: int = 1024, group_rows: int = 16384, seed: i
         raise ValueError("capacity and group_rows must be positive")
     cut = materialise(pieces(docs, capacity, id_col, text_col), "packing-pieces")
     rows = cut.where("start = 0").count()
+    alike = cut.groupBy(*cut.columns).agg(F.count("*").alias("n"))
+    cut = alike.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     groups = max(1, -(-rows // group_rows))
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])
+        t = t.sort_by([("doc_id", "ascending"), ("key", "ascending"), ("copy", "ascending"), ("start", "ascending")])
         bins, offsets = first_fit_decreasing(t.column("length").to_pylist(), capacity)
         base = t.column("grp")[0].as_py() << 32
         got = [t.column(n) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
         return pa.Table.from_arrays([*got, pa.array([base + b for b in bins], pa.int64()), pa.array(offsets, pa.int64())], schema=schema)
 
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.lit(groups)))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key", "copy"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(run, ", ".join(f"{f.name} long" for f in schema))
