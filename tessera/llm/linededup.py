@@ -1,30 +1,36 @@
 """Line dedup by a log-template tree.
 
 Lines are parsed by a tree of fixed depth: token count, then the leading tokens
-(tokens with digits are variable from the start), then, in a leaf, templates: a
-line joins the template that has at least ``similarity`` of its tokens after
-the leading ones at fixed places, and places where the two differ become
-variable. Variable places match nothing, so a template keeps that share of
-fixed tokens however many lines join it. A template found in
-``min_docs`` documents or more is recurring: its lines are dropped from every
-document but the first (least id) that has it, so boilerplate goes and nothing
-is lost from the corpus as a whole.
+(tokens with digits are variable from the start); below that a line's leaf
+generalises its variable fields in two steps. A token stays fixed only where
+``min_docs`` line occurrences of the leaf have it at its place. A place becomes
+variable, too, where ``min_docs`` occurrences of lines that agree in all other
+places hold different tokens there. A line so has up to three templates, each
+more general than the last: itself, that of the first step and that of both. A
+generalised one counts only if at least ``similarity`` of the places after the
+leading ones are fixed.
+
+A template found in ``min_docs`` documents or more is recurring, and so is a
+line of ``long_tokens`` tokens or more found in two: its lines are dropped from
+every document but the first (least id) that has it, so boilerplate goes and
+nothing is lost from the corpus as a whole. Templates depend on counts alone,
+not on an order of the lines: every step is an aggregation or an equi-join on
+(leaf, place, token), and no leaf, template or line is gathered in one task.
 
 A first pass sends leaf, hash of the masked text and document of every line;
 leaves with lines of ``min_docs`` documents or more are candidates. They set
 bits in a bitmap of fixed size, and a second pass sends the masked texts of
 lines in candidate leaves only (a false bit costs work, never results). Equal
-lines are combined before the shuffle, so a line that a third of all documents
-share is one row from each task. Big leaves are parsed in parts by hash and
-the parts' templates are then parsed together, so no leaf is one unbounded
-task.
+lines are combined before the shuffle. Likewise only documents that lose a line
+are shuffled at the end.
 
 Defined cases: a null text stays null; blank lines and lines of fewer than
 ``min_tokens`` tokens (none by default) always stay; a line of no more than
-``depth`` tokens is a leaf of its own, so such lines merge only when equal; ties of similarity go to the template that
-comes first by its text; rows with one id are one document, a null id is no
-document of its own kind: its lines count for nothing and stay; an empty table
-gives an empty result; extra columns pass through.
+``depth`` tokens is a leaf of its own, so such lines merge only when equal;
+rows with one id are one document, a null id is no document of its own kind:
+its lines count for nothing and stay; an empty table gives an empty result;
+extra columns pass through under any name (but a column ``n_dropped``, which
+the result's replaces).
 """
 
 from __future__ import annotations
@@ -39,12 +45,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import materialise, partitions
+from .common import drop, materialise
 
 VARIABLE = "<*>"
 DIGIT = re.compile(r"\d")
-PART = 4096
-#: bytes of the bitmap of candidate leaves
+#: bytes of a bitmap of hashes
 BITMAP = 1 << 22
 
 
@@ -57,36 +62,9 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 2) - (1 << 63)
 
 
-def parse(lines: list[str], similarity: float, depth: int) -> tuple[list[str], list[int]]:
-    """Templates of the lines of one leaf (equal token counts), and the template of each line."""
-    order = sorted(range(len(lines)), key=lambda i: lines[i])
-    count = 0
-    table = np.empty((0, 0), dtype=np.int64)
-    words: dict[str, int] = {VARIABLE: 0}
-    coded = [[words.setdefault(w, len(words)) for w in lines[i].split(" ")] for i in order]
-    names = list(words)
-    of = [0] * len(lines)
-    for i, code in zip(order, coded):
-        row = np.array(code)
-        if count:
-            same = ((table[:count] == row) & (row != 0))[:, depth:].sum(1)
-            best = int(same.argmax())
-            if same[best] >= similarity * max(1, len(row) - depth):
-                t = table[best]
-                t[t != row] = 0
-                of[i] = best
-                continue
-        if count == len(table):
-            table = np.concatenate([table.reshape(-1, len(row)), np.zeros((max(16, len(table)), len(row)), np.int64)])
-        table[count] = row
-        of[i] = count
-        count += 1
-    return [" ".join(names[k] for k in table[j].tolist()) for j in range(count)], of
-
-
-def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, bitmap: Broadcast | None = None) -> DataFrame:
-    """(leaf, line, doc) of every line that can be dropped; given a bitmap of leaves, (leaf, line, masked) of the lines in those."""
-    fields = [("leaf", pa.int64()), ("line", pa.int64()), ("masked", pa.string()) if bitmap else ("doc", pa.int64())]
+def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, long_tokens: int, bitmap: Broadcast | None = None) -> DataFrame:
+    """(leaf, line, doc, long) of every line that can be dropped; given a bitmap of leaves, (leaf, line, masked) of the lines in those."""
+    fields = [("leaf", pa.int64()), ("line", pa.int64()), *([("masked", pa.string())] if bitmap else [("doc", pa.int64()), ("long", pa.bool_())])]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -106,72 +84,103 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_token
                     h = _hash(m)
                     if h not in own:
                         own.add(h)
-                        out.append((leaf, h, m if bitmap else d))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, schema)], schema=schema)
+                        out.append((leaf, h, m) if bitmap else (leaf, h, d, len(tokens) >= long_tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(fields), schema)], schema=schema)
 
-    plain = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    return plain.mapInArrow(run, f"leaf long, line long, {'masked string' if bitmap else 'doc long'}")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
+    return plain.mapInArrow(run, f"leaf long, line long, {'masked string' if bitmap else 'doc long, long boolean'}")
 
 
-def _bitmap(leaves: DataFrame) -> Broadcast:
-    """Bits of the leaves' hashes in ``BITMAP`` bytes; at most one row for each byte reaches the driver."""
-    rows = leaves.select(F.expr(f"cast((leaf >> 3) & {BITMAP - 1} as int)").alias("byte"), F.expr("shiftleft(1, cast(leaf & 7 as int))").alias("bit"))
+def _bitmap(hashes: DataFrame) -> Broadcast:
+    """Bits of the hashes (the only column) in ``BITMAP`` bytes; at most one row for each byte reaches the driver."""
+    h = f"`{hashes.columns[0]}`"
+    rows = hashes.select(F.expr(f"cast(shiftright({h}, 3) & {BITMAP - 1} as int)").alias("byte"), F.expr(f"shiftleft(1, cast({h} & 7 as int))").alias("bit"))
     rows = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITMAP, np.uint8)
     out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
-    return leaves.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
-def line_templates(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text", slim: DataFrame | None = None) -> DataFrame:
-    """(line, template, doc): lines (by hash) of recurring templates; template is its hash, doc the least document that has it."""
-    spark = docs.sparkSession
-    if slim is None:
-        slim = materialise(line_rows(docs, id_col, text_col, depth, min_tokens), "lines-slim")
-    leaves = slim.groupBy("leaf").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where((F.col("n") >= min_docs) & (F.col("a") < F.col("b")))
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _templates(seen: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+    """(line, template): the templates of each line of ``seen`` (leaf, line, masked, n)."""
+    key = ["leaf", "place", "token"]
+    tokens = F.split("masked", " ")
+    places = seen.select("leaf", "line", "n", F.posexplode(tokens).alias("place", "token")).where(F.col("place") >= depth)
+    common = materialise(places.where(F.col("token") != VARIABLE).groupBy(*key).agg(F.sum("n").alias("s")).where(F.col("s") >= min_docs).select(*key, F.lit(True).alias("fixed")), "lines-common")
+    places = places.join(common, key, "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    code = lambda token: F.xxhash64("place", token)
+    places = materialise(places.select("leaf", "line", "n", "place", "token", "fixed", code("token").alias("code"), code(F.when(F.col("fixed"), F.col("token")).otherwise(VARIABLE)).alias("first")), "lines-places")
+    lines = places.groupBy("leaf", "line").agg(F.bit_xor("code").alias("whole"), F.bit_xor("first").alias("step"), F.count_if("fixed").alias("fixed"), F.count("*").alias("m"))
+    lines = materialise(lines, "lines-codes")
+    # what a line is but for one place: lines alike in it with different tokens there make the place variable
+    context = places.where(F.col("token") != VARIABLE).select("leaf", "line", "n", "place", "token", "fixed", "first").join(lines.select("leaf", "line", "step"), ["leaf", "line"])
+    context = materialise(context.select("leaf", "line", "n", "place", "token", "fixed", "first", F.expr("step ^ first").alias("rest")), "lines-contexts")
+    varying = context.groupBy("leaf", "place", "rest").agg(F.min("token").alias("a"), F.max("token").alias("b"), F.sum("n").alias("s")).where((F.col("a") < F.col("b")) & (F.col("s") >= min_docs))
+    varying = materialise(varying.select("leaf", "place", "rest"), "lines-varying")
+    change = F.bit_xor(F.expr("first").bitwiseXOR(code(F.lit(VARIABLE)))).alias("change")
+    freed = context.where("fixed").join(varying, ["leaf", "place", "rest"]).groupBy("leaf", "line").agg(change, F.count("*").alias("freed"))
+    every = seen.select("leaf", "line").join(lines, ["leaf", "line"], "left").join(freed, ["leaf", "line"], "left")
+    name = lambda step, code: F.xxhash64(F.lit(step), "leaf", code)
+    whole = name("", F.coalesce("whole", F.lit(0).cast("long")))
+    first = F.when(F.col("fixed") >= similarity * F.col("m") - 1e-9, name("*", "step"))
+    second = F.when(F.col("fixed") - F.coalesce("freed", F.lit(0)) >= similarity * F.col("m") - 1e-9, name("**", F.expr("step ^ coalesce(change, 0L)")))
+    out = materialise(every.select("line", F.explode(F.filter(F.array(whole, first, second), lambda x: x.isNotNull())).alias("template")), "lines-templates")
+    drop(common, places, lines, context, varying)
+    return out
+
+
+def recurring_lines(docs: DataFrame, slim: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 1, long_tokens: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(line, doc): lines (by hash) of recurring templates, and the document that keeps them. ``slim``: what ``line_rows`` gives."""
+    ends = [F.min("doc").alias("a"), F.max("doc").alias("b")]
+    leaves = slim.groupBy("leaf").agg(F.count("*").alias("n"), *ends).where((F.col("n") >= min_docs) & (F.col("a") < F.col("b")))
     leaves = materialise(leaves.select("leaf"), "lines-leaves")
-    seen = line_rows(docs, id_col, text_col, depth, min_tokens, _bitmap(leaves)).groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
-    seen = materialise(seen.join(leaves, "leaf"), "lines-seen")
-    sizes = materialise(seen.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "lines-sizes")
-    members = seen.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
-
-    first = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("text", pa.string())])
-    second = pa.schema([("leaf", pa.int64()), ("text", pa.string()), ("template", pa.int64())])
-
-    def parse_part(t: pa.Table) -> pa.Table:
-        texts, of = parse(t.column("masked").to_pylist(), similarity, depth)
-        return pa.Table.from_arrays([t.column("leaf"), t.column("line"), pa.array([texts[k] for k in of], pa.string())], schema=first)
-
-    def parse_leaf(t: pa.Table) -> pa.Table:
-        leaf = t.column("leaf")[0].as_py()
-        texts, of = parse(t.column("text").to_pylist(), similarity, depth)
-        return pa.Table.from_arrays([t.column("leaf"), t.column("text"), pa.array([_hash(f"{leaf} {texts[k]}") for k in of], pa.int64())], schema=second)
-
-    n = max(partitions(spark), 12)
-    local = materialise(members.repartition(n, "leaf", "part").groupBy("leaf", "part").applyInArrow(parse_part, "leaf long, line long, text string"), "lines-parts")
-    merged = local.select("leaf", "text").distinct().groupBy("leaf").applyInArrow(parse_leaf, "leaf long, text string, template long")
-    of = materialise(local.join(merged, ["leaf", "text"]).select("line", "template"), "lines-templates")
+    seen = line_rows(docs, id_col, text_col, depth, min_tokens, long_tokens, _bitmap(leaves)).groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("n"))
+    seen = materialise(seen.join(leaves, "leaf", "left_semi"), "lines-seen")
+    of = _templates(seen, depth, similarity, min_docs)
     # documents of a template: those of its lines, counted once each
     counted = slim.select("line", "doc").join(of, "line").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("doc"))
-    return of.join(materialise(counted.where(F.col("docs") >= min_docs), "lines-recurring"), "template").select("line", "template", "doc", "docs")
+    found = of.join(materialise(counted.where(F.col("docs") >= min_docs).select("template", "doc"), "lines-recurring"), "template").select("line", "doc")
+    twice = slim.where("long").groupBy("line").agg(*ends).where("a < b").select("line", F.col("a").alias("doc"))
+    out = materialise(found.unionByName(twice).groupBy("line").agg(F.min("doc").alias("doc")), "lines-drop")
+    drop(seen, leaves, of)
+    return out
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 1, long_tokens: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with recurring lines taken out of the texts; adds ``n_dropped``, the number of lines taken out of each."""
     docs = docs.drop("n_dropped")
-    slim = materialise(line_rows(docs, id_col, text_col, depth, min_tokens), "lines-slim")
-    recurring = materialise(line_templates(docs, depth, similarity, min_docs, min_tokens, id_col, text_col, slim), "lines-drop")
-    hits = slim.select("line", F.col("doc").alias("__doc")).join(recurring.select("line", "doc"), "line").where("__doc <> doc").select("__doc", "line")
-    lists = materialise(hits.groupBy("__doc").agg(F.collect_set("line").alias("__lines")), "lines-lists")  # at most a document's own lines
-    # the lists have no proven bound, so they are merged and not broadcast, with few documents as with many
-    joined = docs.join(lists.hint("merge"), docs[id_col].cast("long") == lists["__doc"], "left").drop("__doc")
-    names = [f.name for f in joined.schema if f.name != "__lines"]
-    plan = joined.select(*[F.col(f"`{c}`") for c in names], "__lines")
-    at, where = names.index(text_col), len(names)
+    slim = materialise(line_rows(docs, id_col, text_col, depth, min_tokens, long_tokens), "lines-slim")
+    keepers = recurring_lines(docs, slim, depth, similarity, min_docs, min_tokens, long_tokens, id_col, text_col)
+    hits = slim.join(keepers.withColumnRenamed("doc", "keeper"), "line").where("doc <> keeper").select("doc", "line")
+    lists = materialise(hits.groupBy("doc").agg(F.collect_set("line").alias("lines")), "lines-lists")  # at most a document's own lines
+    bitmap = _bitmap(lists.select(F.xxhash64("doc").alias("h")))
+    drop(slim, keepers)
+    # the caller's columns travel in a struct, so no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"))
+    rows = rows.withColumn("h", F.when(F.col("doc").isNotNull(), F.xxhash64("doc")))
+    names, at = docs.columns, docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("n_dropped", IntegerType())])
+
+    def hit(b: pa.RecordBatch) -> np.ndarray:
+        known, h = np.frombuffer(bitmap.value, np.uint8), b.column(2)
+        there = h.is_valid().to_numpy(zero_copy_only=False)
+        h = h.fill_null(0).to_numpy()
+        return there & (known[h >> 3 & BITMAP - 1] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+
+    def other(batches):
+        for b in batches:
+            own = b.filter(pa.array(~hit(b)))
+            yield pa.RecordBatch.from_arrays([*own.column(0).flatten(), pa.array(np.zeros(own.num_rows, np.int32))], names=[*names, "n_dropped"])
 
-    def run(batches):
+    def affected(batches):
+        for b in batches:
+            yield b.filter(pa.array(hit(b)))
+
+    def strip(batches):
         for b in batches:
             texts, counts = [], []
-            for t, gone in zip(b.column(at).to_pylist(), b.column(where).to_pylist()):
+            columns = b.column(0).flatten()
+            for t, gone in zip(columns[at].to_pylist(), b.column(1).to_pylist()):
                 if t is None or not gone:
                     texts.append(t)
                     counts.append(0)
@@ -185,7 +194,9 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_doc
                         kept.append(s)
                 texts.append("\n".join(kept))
                 counts.append(n)
-            columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(where)]
+            columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], names=[*names, "n_dropped"])
 
-    return plan.mapInArrow(run, StructType([*joined.select(*[F.col(f"`{c}`") for c in names]).schema.fields, StructField("n_dropped", IntegerType())]))
+    # the lists have no proven bound, so they are merged and not broadcast, with few documents as with many
+    joined = rows.mapInArrow(affected, rows.schema).join(lists.hint("merge"), "doc", "left").select("row", "lines")
+    return joined.mapInArrow(strip, schema).unionByName(rows.mapInArrow(other, schema))
