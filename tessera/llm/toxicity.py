@@ -19,8 +19,9 @@ marginal of one half or more form the reported spans (character offsets).
 Defined cases: null and empty texts get the score of a text without evidence;
 without any training row, or with one class only, the score is the share of
 toxic labels (0 without labels); a repeated label row counts once and of
-contradictory ones the toxic one holds; repeated documents are scored alike;
-a null id is never held out; extra columns are ignored.
+contradictory ones the toxic one holds; repeated documents are scored alike; of
+several texts with one id the least one trains; a null id is never held out;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, one for each match of ``WORD`` in the text itself."""
+    low = text.lower()
+    # lower() may lengthen a text, and what it adds need not belong to words
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -116,15 +127,13 @@ def evidence(chain: Chain, scores: dict, text: str | None):
     """(token count, places and emissions of weighted tokens, their character spans)."""
     if not text:
         return 0, np.empty(0, int), np.empty(0), []
-    low = text.lower()
-    words = WORD.findall(low)
+    words = words_of(text)
     got = np.fromiter(map(scores.__getitem__, words), float, len(words))
     at = np.flatnonzero(got)
     if not len(at):
         return len(words), at, got[at], []
-    source = low if len(low) == len(text) else text  # lower() may lengthen a text; then offsets come from the text itself
-    where = [m.span() for m in WORD.finditer(source)]
-    return len(words), at, got[at], [where[i] if i < len(where) else where[-1] for i in at.tolist()]
+    where = [m.span() for m in WORD.finditer(text)]
+    return len(words), at, got[at], [where[i] for i in at.tolist()]
 
 
 def read_spans(chain: Chain, scores: dict, text: str | None) -> tuple[float, float, list[tuple[int, int]]]:
@@ -165,24 +174,32 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return np.where(a / na > b / nb, g, 0.0)
 
 
-def _presence(texts: list[str], only: set[str] | None = None) -> Counter:
-    """In how many texts each feature occurs; given ``only``, of those features alone."""
-    c: Counter = Counter()
-    for text in texts:
-        found = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
-        c.update(found if only is None else found & only)
-        if only is None and len(c) > 400_000:  # rare ones cannot pass the tests below
-            c = Counter({f: n for f, n in c.items() if n > 1})
-    return c
+def _found(text: str) -> set[str]:
+    return {f for w in set(words_of(text)) for f in features(w)}
+
+
+def _presence(texts: list[str], least: int, only: set[str] | None = None) -> Counter:
+    """In how many texts each feature occurs, of those in ``least`` texts or more; given ``only``, of those features alone.
+
+    Features are counted by 64-bit hashes first, so a rare one takes eight bytes.
+    """
+    if only is None:
+        hashes = [np.fromiter((xxhash.xxh3_64_intdigest(f) for f in _found(t)), np.uint64) for t in texts]
+        value, count = np.unique(np.concatenate(hashes or [np.empty(0, np.uint64)]), return_counts=True)
+        often = set(value[count >= least].tolist())
+        c = Counter(f for t, h in zip(texts, hashes) if not often.isdisjoint(h.tolist()) for f in _found(t) if xxhash.xxh3_64_intdigest(f) in often)
+    else:
+        c = Counter(f for t in texts for f in _found(t) & only)
+    return Counter({f: n for f, n in c.items() if n >= least})
 
 
 def select_features(toxic: list[str], clean: list[str], min_ratio: float, min_odds: float = 3.0) -> list[str]:
     """Features tied to toxic texts; a prefix or word counts once in a text."""
-    ca = {f: n for f, n in _presence(toxic).items() if n >= 5}
+    ca = _presence(toxic, 5)
     names = sorted(ca)
     if not names:
         return []
-    cb = _presence(clean, set(names))
+    cb = _presence(clean, 1, set(names))
     a, b = (np.array([c.get(f, 0) for f in names], float) for c in (ca, cb))
     min_ratio = max(min_ratio, 2 * math.log(len(names)))  # so many features are tried
     odds = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1))
@@ -198,7 +215,7 @@ def _windows(toxic: list[str], clean: list[str], number: dict[str, int], window:
     seen: dict[tuple, int] = {}
     for bad, texts in ((1, toxic), (0, clean)):
         for text in texts:
-            words = WORD.findall(text.lower())
+            words = words_of(text)
             for i in range(0, len(words), window):
                 part = tuple((j, number[f]) for j, w in enumerate(words[i : i + window]) for f in features(w) if f in number)
                 if part or i == 0:
@@ -288,8 +305,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_chars: i
     picked = [r for y in (0, 1) for r in lab.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(max_docs if y else 2 * max_docs).collect()]
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(picked, "__id long, __y int"))
-    fetched = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.col("__t").isNotNull() & (F.length("__t") <= max_chars)).join(sample, "__id").select("__y", "__t").distinct().collect()
-    fetched = sorted(map(tuple, fetched))  # the fit doesn't depend on the order of arrival
+    fetched = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.col("__t").isNotNull() & (F.length("__t") <= max_chars)).join(sample, "__id").groupBy("__id").agg(F.first("__y").alias("__y"), F.min("__t").alias("__t")).select("__y", "__t").collect()
+    fetched = sorted(set(map(tuple, fetched)))  # the fit doesn't depend on the order of arrival
     toxic, clean = ([t for y, t in fetched if y == c] for c in (1, 0))
     share = shares[1] / n
     if not toxic or not clean:
