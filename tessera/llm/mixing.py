@@ -17,9 +17,11 @@ the probability of the fraction, so expected totals match.
 Defined cases: null and empty texts have one (closing) token; without labels,
 or with one domain only, every target domain gets equal posteriors or the one
 domain all; labels of other domains than the targets' are ignored; repeated
-labels count once (largest name); repeated rows are treated alike; targets that
-no document can serve leave a residual and the nearest rates; an empty table
-gives an empty result; extra columns pass through.
+labels count once (largest name); of several texts with one id the least one
+trains; repeated rows are treated alike; targets that no document can serve
+leave a residual, which is returned, and the nearest rates; a fit that neither
+meets its targets nor comes to rest is an error; an empty table gives an empty
+result; extra columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -92,8 +94,8 @@ def train_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], dom
         return Classifier(domains)
     picked = [r for d in domains for r in lab.where(F.col("__y") == d).orderBy(F.xxhash64("__id"), "__id").limit(max_docs).collect()]
     sample = F.broadcast(docs.sparkSession.createDataFrame(picked, "__id long, __y string"))  # max_docs rows for each domain at most
-    found = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.col("__t").isNotNull() & (F.length("__t") <= max_chars)).join(sample, "__id").select("__y", "__t").distinct().collect()
-    found = sorted(map(tuple, found))
+    found = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.col("__t").isNotNull() & (F.length("__t") <= max_chars)).join(sample, "__id").groupBy("__id").agg(F.first("__y").alias("__y"), F.min("__t").alias("__t")).select("__y", "__t").collect()
+    found = sorted(set(map(tuple, found)))
     shares = np.array([counts.get(d, 0) for d in domains], float) / sum(counts.values())
     return fit_classifier([t for _, t in found], [y for y, _ in found], domains, shares)
 
@@ -107,6 +109,11 @@ class Mixture:
     targets: list[float] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
 
+    @property
+    def residual(self) -> float:
+        """How far the expected totals are from the targets, as a share of the budget."""
+        return sum(abs(a - b) for a, b in zip(self.totals, self.targets)) / max(1e-300, sum(self.targets))
+
     def rates(self, posterior: np.ndarray) -> np.ndarray:
         r = np.ones(len(posterior))
         for g in self.steps:
@@ -138,8 +145,11 @@ def _rate(steps: list[list[float]], k: int) -> F.Column:
     return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def fit_rates(described: DataFrame, model: Classifier, targets: dict[str, float], budget: float | None = None, max_rounds: int = 60, tolerance: float = 1e-4) -> Mixture:
-    """Projected gradient on the rates until the residual is under ``tolerance`` of the budget."""
+def fit_rates(described: DataFrame, model: Classifier, targets: dict[str, float], budget: float | None = None, max_rounds: int = 200, tolerance: float = 1e-4) -> Mixture:
+    """Projected gradient on the rates until the residual is under ``tolerance`` of the budget, or stays where it is.
+
+    Raises RuntimeError if ``max_rounds`` bring neither.
+    """
     k = len(model.domains)
     p = [F.col("posterior")[i] for i in range(k)]
     t = F.col("tokens").cast("double")
@@ -157,14 +167,18 @@ def fit_rates(described: DataFrame, model: Classifier, targets: dict[str, float]
     scale = 1 / np.maximum(np.diag(mass), 1e-9 * total)
     root = np.sqrt(scale)
     step = 1 / np.linalg.eigvalsh(root[:, None] * mass * root[None, :]).max()
+    best, still = np.inf, 0
     for _ in range(max_rounds):
         got = described.select((_rate(out.steps, k) * t).alias("w"), *[x.alias(f"p{i}") for i, x in enumerate(p)]).agg(*[F.sum(F.col("w") * F.col(f"p{i}")).alias(f"s{i}") for i in range(k)]).first()
         out.totals = [float(got[f"s{i}"]) for i in range(k)]
         gap = np.array(out.totals) - wanted
-        if np.abs(gap).sum() <= tolerance * wanted.sum():
-            break
+        loss = float(gap @ (scale * gap))
+        still = still + 1 if loss > best * (1 - 1e-3) else 0
+        if out.residual <= tolerance or still >= 3:  # met, or at the nearest point: the weighted squares fall no further
+            return out
+        best = min(best, loss)
         out.steps.append((step * scale * gap).tolist())
-    return out
+    raise RuntimeError(f"the rates did not settle in {max_rounds} rounds; residual {out.residual:.2g} of the budget")
 
 
 def _chance(key: F.Column) -> F.Column:
@@ -179,31 +193,30 @@ def _copies(rate: F.Column, key: F.Column) -> F.Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, domain_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mixture]:
-    """((id, tokens, posterior, rate, copies), the fitted mixture)."""
+    """((id, tokens, posterior, rate, residual, copies), the fitted mixture); the residual is that of the whole fit."""
     if not targets or any(v < 0 for v in targets.values()) or not sum(targets.values()):
         raise ValueError("targets must be nonnegative shares, not all zero")
     domains = sorted(targets)
     model = train_classifier(docs, labels, domains, domain_col, id_col=id_col, text_col=text_col)
     described = materialise(_describe(docs, model, id_col, text_col), "mixing-described")
     fitted = fit_rates(described, model, targets, budget)
-    rated = described.withColumn("rate", _rate(fitted.steps, len(domains)))
+    rated = described.withColumn("rate", _rate(fitted.steps, len(domains))).withColumn("residual", F.lit(fitted.residual if fitted.totals else 0.0))
     return rated.withColumn("copies", _copies(F.col("rate"), F.col(id_col))), fitted
 
 
 def apply_mixture(docs: DataFrame, fitted: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every row as many times as its copies; one pass over the texts, no shuffle."""
-    plain = docs.select("*", _chance(F.col(id_col).cast("long")).alias("__chance"), F.col(text_col).cast("string").alias("__text"))
     names = docs.columns
-    width = len(names)
+    # the caller's columns travel in a struct, so no name of theirs can clash
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _chance(F.col(f"`{id_col}`").cast("long")).alias("u"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            p = fitted.classifier.posterior(np.stack([text_features(t) for t in b.column(width + 1).to_pylist()])) if b.num_rows else np.empty((0, len(fitted.classifier.domains)))
+            p = fitted.classifier.posterior(np.stack([text_features(t) for t in b.column(2).to_pylist()])) if b.num_rows else np.empty((0, len(fitted.classifier.domains)))
             rates = fitted.rates(p)
-            u = b.column(width).to_numpy(zero_copy_only=False)
+            u = b.column(1).to_numpy(zero_copy_only=False)
             copies = (np.floor(rates) + (u < rates - np.floor(rates))).astype(np.int64)
-            rows = pa.array(np.repeat(np.arange(b.num_rows), copies))
-            kept = b.take(rows)
-            yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(width)], names=names)
+            kept = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), copies)))
+            yield pa.RecordBatch.from_arrays(kept.flatten(), names=names)
 
     return plain.mapInArrow(run, docs.schema)
