@@ -45,11 +45,12 @@ def op5_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated, _ = mix(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return rated.select("doc_id", "tokens", "posterior", "rate", "copies")
+    return rated.select("doc_id", "tokens", "posterior", "rate", "copies", "residual")
 
 
 def op7_trainorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(_docs(spark, sf_dir))
+    shards = training_order(_docs(spark, sf_dir))
+    return shards.select("shard", F.regexp_extract("path", r"[^/]*$", 0).alias("file"), "first_slot", "n_sequences", "n_ids", "stride_bytes", "n_bytes", "crc32")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
