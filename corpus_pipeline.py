@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise, table
 from tessera.llm.linededup import drop_lines
 from tessera.llm.mixing import apply_mixture, mix
-from tessera.llm.neardup import near_dedup as jaccard_dedup
+from tessera.llm.neardup import simhash_dedup
 from tessera.llm.packing import pack
 from tessera.llm.toxicity import drop_toxic, train
 
@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least id) of each group linked by a five-word similarity of 0.8 or more."""
-    return jaccard_dedup(docs)
+    return simhash_dedup(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""SimHash near-dedup of documents by word shingles, at an exact Jaccard similarity.
 
-A document is the set of its five-word shingles (64-bit hashes). Two sets of
+A document is the set of its five-word shingles (64-bit hashes). The first step
+is that of ``simhash.py``: fingerprints of the sets meet by the segment-popcount
+embedding within ``BITS`` bits, and what meets is verified by the sets' exact
+similarity. That joins the large groups of near copies cheaply. It can't be the
+only step: sets of similarity 0.8 lie about 10 of 64 bits apart, where the
+grid's lower bound no longer tells near from far.
+
+So a second step brings together what the fingerprints leave apart. Two sets of
 similarity t or more share a shingle among the first n - ceil(t n) + 1 of each,
 whatever the order, as long as it is one order for all: these prefixes are
 dealt out by shingle, so every true pair meets and nothing hangs on a radius or
 on chance. Shingles that are common in a sample of documents come last in the
 order, so passages that many documents share hardly enter a prefix; the sample
-changes the work, never the result. Pairs whose bitmaps of parities differ in
-more bits than similar sets may differ in shingles are out for certain; all
-others are verified on whole sets, which are cut again for their documents only.
+changes the work, never the result. Pairs that the first step has joined are
+not looked at again. Pairs whose bitmaps of parities differ in more bits than
+similar sets may differ in shingles are out for certain; all others are
+verified on whole sets, which are cut again for their documents only.
 
 A shingle that at most ``SMALL`` documents have in their prefixes gives all its
 pairs at once. For a larger one neighbours by size are linked first; then only
@@ -18,8 +26,9 @@ pairs of blocks, so a large group of near copies isn't compared with itself.
 Defined cases: documents with equal sets are one node (exact copies cost
 nothing); a text of fewer words than a shingle is one shingle; null and blank
 texts are equal to each other only; a null id keeps its row and links to
-nothing; rows with one id and different texts are judged by their texts; an
-empty table gives an empty result; extra columns pass through.
+nothing; rows with one id and different texts are judged by their texts; of
+rows equal in id and text one stays; an empty table gives an empty result;
+extra columns pass through under any name.
 """
 
 from __future__ import annotations
@@ -32,10 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, partitions, release
+from .common import drop, materialise, partitions
 from .graph import connected_components
-from .simhash import SEED
+from .simhash import SEED, links, majority
 
+#: the widest radius of the grid of fingerprints
+BITS = 5
 SAMPLE = 16384
 COMMON = 1 << 19
 SMALL = 48
@@ -92,27 +103,28 @@ def _common(plain: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(plain: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, node, size, prefix, parity) of every row; prefix holds the hashes as bytes."""
+    """(id, node, size, fp, prefix, parity) of every row; prefix holds the hashes as bytes."""
     common = plain.sparkSession.sparkContext.broadcast(_common(plain, words))
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary()), ("parity", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("fp", pa.int64()), ("prefix", pa.binary()), ("parity", pa.binary())])
 
     def run(batches):
         known, counts = common.value
         for b in batches:
-            nodes, sizes, heads, odd = [], [], [], []
+            nodes, sizes, prints, heads, odd = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 found = shingles(t, words)
                 n = len(found)
                 nodes.append(node_of(found))
                 sizes.append(n)
                 odd.append(parity(found))
+                prints.append(majority(found[i : i + (1 << 15)] for i in range(0, n, 1 << 15)))
                 if n and len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     found = found[np.lexsort((found, np.where(known[at] == found, counts[at], 0)))]
                 heads.append(found[: n - least(n, similarity) + 1].tobytes() if n else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), pa.array(odd, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(heads, pa.binary()), pa.array(odd, pa.binary())], schema=schema)
 
-    return plain.mapInArrow(run, "id long, node long, size int, prefix binary, parity binary")
+    return plain.mapInArrow(run, "id long, node long, size int, fp long, prefix binary, parity binary")
 
 
 def _runs(batches):
@@ -131,15 +143,29 @@ def _runs(batches):
         yield rest
 
 
+def by_fingerprint(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link all nodes whose fingerprints are linked: nodes with the first of their fingerprint, those by the grid."""
+    prints = materialise(reps.groupBy("fp").agg(F.min("node").alias("head")), "near-prints")
+    own = reps.select("fp", "node").join(prints, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    met = links(prints.select("fp"), BITS)
+    x, y = (prints.select(F.col("fp").alias(k), F.col("head").alias(f"h{k}")) for k in "ab")
+    across = met.join(x, "a").join(y, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    both = own.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = materialise(both, "near-fingerprints")
+    drop(prints)
+    return out
+
+
 def meetings(reps: DataFrame, similarity: float) -> DataFrame:
-    """kind 0: pairs (a, b); kind 1: (cell, node) with its size where more than ``SMALL`` meet."""
-    entry = pa.schema([("cell", pa.int64()), ("size", pa.int32()), ("node", pa.int64())])
+    """kind 0: pairs (a, b); kind 1: (cell, node) with its size where more than ``SMALL`` meet. Pairs of one ``root`` are left out."""
+    entry = pa.schema([("cell", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("root", pa.int64())])
 
     def deal(batches):
         for b in batches:
-            for n, s, raw in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for n, s, r, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
                 cells = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(cells), s, np.int32)), pa.array(np.full(len(cells), n, np.int64))], schema=entry)
+                k = len(cells)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(k, s, np.int32)), pa.array(np.full(k, n, np.int64)), pa.array(np.full(k, r, np.int64))], schema=entry)
 
     kind = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32())])
 
@@ -147,7 +173,7 @@ def meetings(reps: DataFrame, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b), pa.array(size)], schema=kind)
 
     def meet(batches):
-        for c, size, node in _runs(batches):
+        for c, size, node, root in _runs(batches):
             start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
             many = np.diff(np.r_[start, len(c)])
             big = np.repeat(many > SMALL, many)
@@ -158,14 +184,15 @@ def meetings(reps: DataFrame, similarity: float) -> DataFrame:
                 same = np.flatnonzero((c[d:] == c[:-d]) & ((d == 1) | ~big[d:]))
                 if not len(same):
                     break
-                same = same[size[same] >= similarity * size[same + d] - 1e-9]  # sizes ascend within a cell
+                # sizes ascend within a cell
+                same = same[(size[same] >= similarity * size[same + d] - 1e-9) & (root[same] != root[same + d])]
                 pairs.append(np.stack([np.minimum(node[same], node[same + d]), np.maximum(node[same], node[same + d])], 1))
             if pairs:
                 e = np.unique(np.concatenate(pairs), axis=0)
                 yield out(0, e[:, 0], e[:, 1], np.zeros(len(e), np.int32))
 
     n = max(partitions(reps.sparkSession), 12)
-    dealt = reps.select("node", "size", "prefix").mapInArrow(deal, "cell long, size int, node long")
+    dealt = reps.select("node", "size", "root", "prefix").mapInArrow(deal, "cell long, size int, node long, root long")
     return dealt.repartition(n, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, "kind int, a long, b long, size int")
 
 
@@ -251,48 +278,52 @@ def _apart(big: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rooted(reps: DataFrame, comp: DataFrame) -> DataFrame:
+    return reps.join(comp.hint("merge"), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+
+
+def simhash_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` (of the least id) for each component of documents of ``similarity`` or more."""
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
     rows = materialise(prefixes(plain, words, similarity), "near-prefixes")
-    twice = materialise(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__low")), "near-twice")
-    reps = materialise(rows.groupBy("node").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("size", "prefix", "parity")]), "near-nodes")
+    twice = materialise(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("low")), "near-twice")
+    reps = materialise(rows.groupBy("node").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix", "parity")]), "near-nodes")
     drop(rows)
-    met = materialise(meetings(reps, similarity), "near-met")
+    edges = similar(by_fingerprint(reps), reps, plain, words, similarity)
+    joined = materialise(connected_components(edges), "near-joined")
+    met = materialise(meetings(_rooted(reps, joined), similarity), "near-met")
     pairs = materialise(met.where("kind = 0").select("a", "b").distinct(), "near-pairs")
-    del rows
-    release(docs.sparkSession)
-    edges = similar(pairs, reps, plain, words, similarity)
-    comp = connected_components(edges)
+    edges = edges.unionByName(similar(pairs, reps, plain, words, similarity))
+    comp = materialise(connected_components(edges), "near-components")
     big = met.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("node"), "size")
     if big.limit(1).count():
         more = materialise(_apart(big, comp.select(F.col("node").alias("__n"), "component"), similarity), "near-apart")
         comp = connected_components(edges.unionByName(similar(more, reps, plain, words, similarity)))
-    of = reps.select("node", "low").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = of.groupBy("component").agg(F.min(F.struct("low", "node")).alias("head")).select(F.col("head.low").alias("__low"), F.col("head.node").alias("__node"))
+    of = _rooted(reps.select("node", "low"), comp)
+    heads = of.groupBy("root").agg(F.min(F.struct("low", "node")).alias("head")).select("head.low", "head.node")
     heads = materialise(heads, "near-heads")
-    drop(reps, met, pairs)
-    release(docs.sparkSession)
+    drop(reps, joined, met, pairs)
     # almost all ids stand in one row; only those that don't need their texts told apart
     return _keep(docs, twice, heads, words, id_col, text_col)
 
 
 def _keep(docs: DataFrame, twice: DataFrame, heads: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``docs`` that are a head, one each, and rows without an id."""
-    key = F.col(f"`{id_col}`").cast("long")
-    nodes = pa.schema([("__low", pa.int64()), ("__node", pa.int64()), ("__text", pa.string())])
+    # the caller's columns travel in a struct, so no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("low"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    nodes = pa.schema([("low", pa.int64()), ("node", pa.int64()), ("text", pa.string())])
 
     def tell(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(shingles(t, words)) for t in b.column(1).to_pylist()], pa.int64()), b.column(1)], schema=nodes)
 
-    once = docs.join(heads.select("__low").join(twice, "__low", "left_anti").hint("merge"), key == F.col("__low"), "left_semi")
-    out = once.unionByName(docs.where(key.isNull()))
-    if not twice.limit(1).count():
-        return out
-    repeated = docs.join(twice, key == F.col("__low"), "left_semi")
-    told = repeated.select(key.alias("__low"), F.col(f"`{text_col}`").cast("string")).mapInArrow(tell, "__low long, __node long, __text string")
-    # of equal rows of one head the one with the least text stands for it
-    told = told.join(heads, ["__low", "__node"], "left_semi").groupBy("__low", "__node").agg(F.min("__text").alias("__text")).select("__low", "__text")
-    same = (key == F.col("__low")) & F.col(f"`{text_col}`").cast("string").eqNullSafe(F.col("__text"))
-    return out.unionByName(repeated.join(told, same, "left_semi").dropDuplicates([id_col, text_col]))
+    once = rows.join(heads.select("low").join(twice, "low", "left_anti").hint("merge"), "low", "left_semi")
+    out = once.select("row").unionByName(rows.where("low is null").select("row"))
+    if twice.limit(1).count():
+        repeated = rows.join(twice, "low", "left_semi")
+        told = repeated.select("low", "text").mapInArrow(tell, "low long, node long, text string")
+        # of several texts of one head the least one stands for it
+        told = told.join(heads, ["low", "node"], "left_semi").groupBy("low", "node").agg(F.min("text").alias("least")).select(F.col("low").alias("own"), "least")
+        same = (F.col("low") == F.col("own")) & F.col("text").eqNullSafe(F.col("least"))
+        out = out.unionByName(repeated.join(told, same, "left_semi").dropDuplicates(["low", "text"]).select("row"))
+    return out.select("row.*")

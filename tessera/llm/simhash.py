@@ -49,11 +49,16 @@ def fingerprint(text: str | None, words: int = 4, chunk: int = 1 << 15) -> int:
     else:
         starts, ends = starts[: len(tokens) - words + 1], ends[words - 1 :]
     h = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(starts), chunk):
-        part = np.array([h(joined[s:e], SEED) for s, e in zip(starts[i : i + chunk].tolist(), ends[i : i + chunk].tolist())], "<u8")
+    return majority(np.array([h(joined[s:e], SEED) for s, e in zip(starts[i : i + chunk].tolist(), ends[i : i + chunk].tolist())], "<u8") for i in range(0, len(starts), chunk))
+
+
+def majority(parts) -> int:
+    """The fingerprint of hashes that come in arrays: the bits that over half of them have."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in parts:
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        n += len(part)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
@@ -216,11 +221,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = of.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = materialise(of.join(least, "root").select("fp", "component_id"), "simhash-class")
     return fps.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """Rows of ``docs`` whose id is its component's least; of repeated such rows one stays; rows with a null id stay."""
-    found = simhash_components(docs.select(id_col, text_col), id_col, text_col, words, bits)
-    keep = materialise(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct(), "simhash-keep")
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
