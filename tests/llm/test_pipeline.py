@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from tessera.llm import entry, neardup, tokens
 
-from test_small_operators import brute_classes, brute_lines, components, prose
+from test_small_operators import brute_lines, components, prose
 
 
 def test_stages(spark, sf):
@@ -19,11 +19,11 @@ def test_stages(spark, sf):
     assert clean.columns == docs.columns and docs.join(clean, "doc_id", "left_anti").count() < 0.25 * docs.count()
     lined = stages["line_dedup"](spark, clean, sf).cache()
     rows = [(r.doc_id, r.text) for r in clean.collect()]
-    assert sorted(map(str, ((r.doc_id, r.text) for r in lined.collect()))) == sorted(map(str, brute_lines(rows, 5)))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in lined.collect()))) == sorted(map(str, brute_lines(rows)))
     assert all(r.n_chars == len(r.text) for r in lined.collect() if r.text is not None)
     one = stages["near_dedup"](spark, lined, sf).cache()
-    heads = {c.rsplit(", ", 1)[1].rstrip(")") for c in brute_classes([(r.doc_id, r.text) for r in lined.collect()])}
-    assert sorted(str(r.doc_id) for r in one.collect()) == sorted(heads) and one.columns == docs.columns
+    heads = brute_jaccard([(r.doc_id, r.text) for r in lined.collect()])
+    assert sorted(str((r.doc_id, r.text)) for r in one.collect()) == heads and one.columns == docs.columns
     mixed = stages["mixing"](spark, one, sf).cache()
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in one.collect()}
     packed = stages["packing"](spark, mixed, sf).collect()
@@ -63,7 +63,7 @@ def brute_jaccard(rows, similarity=0.8):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             low[comp[i]] = min((d, i), low.get(comp[i], (d, i)))
-    return sorted(str(rows[i]) for _, i in low.values()) + [str(r) for r in rows if r[0] is None]
+    return sorted([str(rows[i]) for _, i in low.values()] + [str(r) for r in rows if r[0] is None])
 
 
 @pytest.mark.parametrize("small", [48, 2])
@@ -84,4 +84,6 @@ def test_near_dedup_equals_brute_force_jaccard(spark, monkeypatch, small):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(want)
-    assert len(want) < len(brute_classes(rows)) and got.columns == docs.columns
+    assert len(want) < len(rows) and got.columns == docs.columns
+    clash = docs.selectExpr("doc_id", "text", "'a' as low", "'b' as row", "map('c', 1) as node")
+    assert sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.near_dedup(spark, clash, "").collect()) == sorted(want)

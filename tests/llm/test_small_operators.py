@@ -321,9 +321,6 @@ def test_simhash_equals_brute_force(spark):
     df = docs_of(spark, rows)
     got = simhash.simhash_components(df).collect()
     assert sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in got) == brute_classes(rows)
-    kept = simhash.simhash_dedup(df).collect()
-    classes = {r.component_id for r in got if r.component_id is not None}
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(classes) and sum(r.doc_id is None for r in kept) == 2
     assert simhash.simhash_components(df.where("false")).count() == 0
 
 
@@ -415,6 +412,11 @@ def test_rates_match_targets(spark):
     t = rng.integers(1, 500, 400)
     df = spark.createDataFrame([(i, int(a), b.tolist()) for i, (a, b) in enumerate(zip(t, p))], "doc_id long, tokens long, posterior array<double>")
     model = mixing.Classifier(["a", "b", "c"])
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(df, model, {"a": 0.5, "b": 0.3, "c": 0.2}, tolerance=1e-9, max_rounds=2)
+    one_sided = spark.createDataFrame([(i, 10, [0.5, 0.5, 0.0]) for i in range(20)], "doc_id long, tokens long, posterior array<double>")
+    nearest = mixing.fit_rates(one_sided, model, {"a": 0.8, "b": 0.2, "c": 0.0})  # no document can tell a from b
+    assert nearest.totals == pytest.approx([100, 100, 0], rel=1e-3) and nearest.residual == pytest.approx(0.6, rel=1e-2)
     fitted = mixing.fit_rates(df, model, {"a": 0.5, "b": 0.3, "c": 0.2}, tolerance=1e-6, max_rounds=300)
     r = fitted.rates(p)
     assert (r >= 0).all() and np.allclose((r * t) @ p, np.array([0.5, 0.3, 0.2]) * t.sum(), rtol=1e-4)
@@ -436,7 +438,9 @@ def test_mix(spark):
     df = docs_of(spark, rows)
     rated, fitted = mixing.mix(df, labels, {"0": 0.5, "1": 0.5})
     got = rated.collect()
-    assert len(got) == len(rows) and all(abs(sum(r.posterior) - 1) < 1e-9 for r in got)
+    assert len(got) == len(rows) and all(abs(sum(r.posterior) - 1) < 1e-9 and r.residual <= 1e-4 for r in got)
+    clash = df.withColumnsRenamed({"score": "u", "rule": "row"})
+    assert mixing.apply_mixture(clash, fitted).columns == ["doc_id", "text", "u", "row"]
     held = [r for r in got if r.doc_id is not None and 200 <= r.doc_id < 300]
     assert sum((r.posterior[1] > 0.5) == (r.doc_id % 4 > 0) for r in held) >= 98
     total = sum(r.tokens for r in got)
@@ -461,6 +465,7 @@ def test_token_ids():
     rng = random.Random(2)
     texts = ["", "a", " lead  two\n\n\ttabs ", "don't we'll I'M", "日本語 ñandú ÀÉ 🙂👍🏽", "<|endoftext|> x<|endoftext|>", "x" * 3000, " " * 500 + "y", "  a\r\n", "1234567 3.14", "%%%*** &&&$$$"]
     texts += ["".join(rng.choice(["ab", " ", "\n", "é", "9", "!", "中", "<|endoftext|>", "'s", "\t"]) for _ in range(80)) for _ in range(150)]
+    texts += [" " * 1_200_000 + "y", "\n" * 1_200_000]  # on which the faster engine panics
     for t in texts:
         assert tokens.encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids
     assert len(tokens.encode(None)) == 0
@@ -698,6 +703,44 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score_documents(df, blind).collect()} == {0.0}
 
 
+def slow_score(chain, text):
+    """Score and spans of a text from dense forward-backward over all its words."""
+    found = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w+", text or "")]
+    extra = [chain.weights.get(w, 0.0) + sum(chain.weights.get(w[:n] + "^", 0.0) for n in (3, 4, 5, 6) if len(w) > n) for _, _, w in found]
+    p = np.where(np.array(extra) != 0, dense_marginals(chain, extra), 0.0) if found else np.zeros(0)
+    spans, last = [], -2
+    for i in np.flatnonzero(p >= 0.5).tolist():
+        if i == last + 1:
+            spans[-1] = (spans[-1][0], found[i][1])
+        else:
+            spans.append(found[i][:2])
+        last = i
+    z = chain.platt @ np.array([1, p.max(initial=0), math.log1p(p.sum())])
+    return 1 / (1 + math.exp(-z)), spans
+
+
+def test_toxicity_equals_dense_scoring(spark):
+    rows, labels = toxic_rows(random.Random(13), 500)
+    rows += [(900, None), (901, ""), (902, "\u0130stanbul: you are a moron today"), (903, "\u0130\u0130\u0130 scum, vileword moron. fine idiot!"), (904, "MORON"), (905, "moron " * 300)]
+    df = docs_of(spark, rows)
+    chain = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts, shown = dict(rows), {}
+    for r in toxicity.score_documents(df, chain).collect():
+        score, spans = slow_score(chain, texts[r.doc_id])
+        assert r.score == pytest.approx(score, abs=1e-9) and [(s.start, s.end) for s in r.spans] == spans
+        shown[r.doc_id] = [texts[r.doc_id][s.start : s.end] for s in r.spans]
+    assert shown[902] == ["moron"] and "scum" in shown[903][0]
+
+
+def test_feature_counts_are_exact():
+    rng = random.Random(15)
+    texts = [prose(rng, 60) + " \u0130stanbul" for _ in range(40)]
+    plain = Counter(f for t in texts for f in {f for w in re.findall(r"\w+", t) for f in toxicity.features(w.lower())})
+    assert toxicity._presence(texts, 5) == {f: n for f, n in plain.items() if n >= 5}
+    some = set(list(plain)[::3])
+    assert toxicity._presence(texts, 1, some) == {f: n for f, n in plain.items() if f in some}
+
+
 def test_training_never_sees_the_held_out_fold(spark):
     rows, labels = toxic_rows(random.Random(12), 300)
     out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
