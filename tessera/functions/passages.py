@@ -30,33 +30,42 @@ def count_words(text: str | None) -> int:
     return len(_WORD.findall(text or ""))
 
 
+#: what a setting may be called instead of being spelled out
+SPOKEN = {"": None, "off": None, "none": None, "false": None, "on": DEFAULT, "default": DEFAULT, "true": DEFAULT}
+
+
+def _whole(low: int, high: int):
+    return lambda x: isinstance(x, int) and not isinstance(x, bool) and low <= x <= high
+
+
+#: in order: key, its value where it is missing, and what a value must be, both given the keys before it
+RULES = (
+    ("version", lambda so_far: VERSION, lambda so_far: _whole(VERSION, VERSION)),
+    ("max_words", lambda so_far: DEFAULT["max_words"], lambda so_far: _whole(16, 4000)),
+    ("overlap_words", lambda so_far: min(DEFAULT["overlap_words"], so_far["max_words"] // 2), lambda so_far: _whole(0, so_far["max_words"] // 2)),
+)
+
+
 def normalize_chunking(setting) -> dict | None:
-    """A valid setting as a dict, or None for off."""
-    if isinstance(setting, str):
-        low = setting.strip().lower()
-        if low in ("", "off", "none", "false"):
-            return None
-        if low in ("on", "default", "true"):
-            return dict(DEFAULT)
-        try:
-            setting = json.loads(setting)
-        except ValueError:
-            raise UsageError(f"invalid chunking setting {setting!r}") from None
-    if setting is None or setting is False:
-        return None
-    if setting is True:
-        return dict(DEFAULT)
-    if not isinstance(setting, dict) or set(setting) - set(DEFAULT):
-        raise UsageError("chunking must be off, default or a dict of max_words and overlap_words")
-    if setting.get("version", VERSION) != VERSION:
-        raise UsageError("unsupported chunking version")
-    most = setting.get("max_words", DEFAULT["max_words"])
-    if type(most) is not int or not 16 <= most <= 4000:
-        raise UsageError("max_words must be an integer within 16..4000")
-    overlap = setting.get("overlap_words", min(DEFAULT["overlap_words"], most // 2))
-    if type(overlap) is not int or not 0 <= overlap <= most // 2:
-        raise UsageError("overlap_words must be an integer within 0..max_words / 2")
-    return {"version": VERSION, "max_words": most, "overlap_words": overlap}
+    """A valid setting as a dict, or None for off. Settings are dicts, JSON of one, or the words of ``SPOKEN``."""
+    word = str(setting).strip().lower()
+    if word in SPOKEN:
+        return SPOKEN[word] and dict(SPOKEN[word])
+    try:
+        given = json.loads(setting) if isinstance(setting, str) else setting
+    except ValueError:
+        raise UsageError(f"invalid chunking setting {setting!r}") from None
+    if given is None or isinstance(given, bool):
+        return dict(DEFAULT) if given else None
+    unknown = set(given) - {key for key, _, _ in RULES} if isinstance(given, dict) else {str(given)}
+    if unknown:
+        raise UsageError(f"a chunking setting has version, max_words and overlap_words; not {', '.join(sorted(map(str, unknown)))}")
+    out: dict = {}
+    for key, missing, rule in RULES:
+        out[key] = given.get(key, missing(out))
+        if not rule(out)(out[key]):
+            raise UsageError(f"chunking: {key} can't be {out[key]!r}")
+    return out
 
 
 def chunking_text(setting: dict | None) -> str:
@@ -113,7 +122,9 @@ def split_passages(body: str | None, setting: dict | None) -> list[str]:
 
     A passage takes pieces up to max_words. It doesn't end on a heading if text
     follows, and it starts with up to overlap_words of the pieces before its
-    first new one, unless that is a heading.
+    first new one, unless that is a heading. A document has ``MAX_PASSAGES``
+    passages at most: what follows is in no passage (and so not in its vectors),
+    but in the document's text and terms as ever.
     """
     body = body or ""
     if setting is None or count_words(body) <= setting["max_words"]:

@@ -32,7 +32,9 @@ def test_query_parsing():
 def test_chunking_settings():
     assert normalize_chunking("default") == DEFAULT and normalize_chunking(False) is None
     assert chunking_of(chunking_text(DEFAULT)) == DEFAULT and chunking_of("junk{") is None
-    for bad in ({"max_words": 15}, {"max_words": 20, "overlap_words": 11}, {"x": 1}, {"version": 2}, 3):
+    assert normalize_chunking(None) is None and normalize_chunking(" OFF ") is None and normalize_chunking(True) == normalize_chunking("on") == DEFAULT
+    assert normalize_chunking({"max_words": 30}) == {"version": 1, "max_words": 30, "overlap_words": 15} and normalize_chunking('{"overlap_words": 0}')["overlap_words"] == 0
+    for bad in ([], "[1]", "maybe", {"max_words": True}, {"max_words": 20.0}, {"max_words": 4001}, {"max_words": 15}, {"max_words": 20, "overlap_words": 11}, {"x": 1}, {"version": 2}, 3):
         with pytest.raises(UsageError):
             normalize_chunking(bad)
 
@@ -63,10 +65,36 @@ def test_passages_are_slices_in_order():
             assert count_words(p) <= 24 + 12
 
 
-def test_stem_variants_and_highlights():
-    lit = [s["text"] for s in S.segments_with_terms("run runs runner running rune ran", "running") if s["highlight"]]
-    assert lit == ["run", "runs", "runner", "running"]
-    assert S.stem_variants("noted") == {"not", "note"} and S.stem_variants("cats") == {"cat"}
+def lit(text, query, **more):
+    return [s["text"] for s in S.segments_with_terms(text, query, **more) if s["highlight"]]
+
+
+@pytest.mark.parametrize(
+    ("query", "text", "want"),
+    [
+        ("running", "run runs runner running rune ran", "run runs runner running"), ("studies", "study studied studying student", "study studied studying"),
+        ("notes", "note noted notes nothing", "note noted notes"), ("renew", "Renewals are renewed; the renewal fee", "Renewals renewed renewal"),
+        ("boxes", "a box, two boxes", "box boxes"), ("class", "classes in class, classic", "classes class classic"), ("run", "run rune runway", "run"),
+        ("cat", "Cat, concatenate, CAT and cats.", "Cat CAT cats"), ("cafe", "Visit the Café today", "Café"), ("straße", "Die STRASSE ist lang", "STRASSE"),
+        ("don't", "I don’t know", "don’t"), ("ΕΛΛΗΝΙΚΆ", "Ελληνικά κείμενα", "Ελληνικά"), ("a", "a b c", ""), ('"" () :', "some text", ""),
+    ],
+)
+def test_words_that_light_up(query, text, want):
+    assert lit(text, query) == want.split()
+    assert "".join(s["text"] for s in S.segments_with_terms(text, query)) == text
+
+
+def test_segments():
+    assert S.stem("Owner's") == S.stem("owner")
+    assert S.segments_with_terms("   \n\t ", "q") == []
+    assert "".join(s["text"] for s in S.segments_with_terms("alpha\n\n  beta\tgamma", "beta")) == "alpha beta gamma"
+    many = " ".join(["orbit"] * (S.MAX_HIGHLIGHTS + 50))
+    assert len(lit(many, "orbit", max_chars=10_000)) == S.MAX_HIGHLIGHTS
+    cut = "".join(s["text"] for s in S.segments_with_terms("word " * 400, "word", max_chars=103))
+    assert cut.endswith(" …") and len(cut) <= 105 and set(cut[:-2].split()) == {"word"}
+    assert S.segments_from_marks(None) == S.segments_from_marks("") == [{"text": "", "highlight": False}]
+    assert S.segments_from_marks(f"a {S.MARK_ON}open")[1] == {"text": "open", "highlight": True}
+    assert S.segments_from_marks(f"{S.MARK_OFF}tail") == [{"text": "tail", "highlight": False}]
     assert S.segments_with_terms("", "x") == []
     assert not any(s["highlight"] for s in S.segments_with_terms("the cat", "the dog"))
     a, b = S.MARK_ON, S.MARK_OFF
@@ -78,11 +106,20 @@ def test_best_passage():
     got = S.best_passage(body, "wild yeast", 120)
     assert "wild yeast" in got and got.startswith("…") and got.endswith("…") and len(got) <= 124
     assert S.best_passage("# Title\n- item", "x") == "Title: item."
+    assert S.best_passage("Line one.\n\nLine   two.", "two") == "Line one. Line two."
+    assert S.units_of("> quoted **bold** [link](http://x) `code`\n|a|b|\n|-|-|\n***\n__init__ __so it is__") == ["quoted bold link code", "a: b.", "__init__ so it is"]
+    far = "x " * 400_000 + "wild yeast."  # whole texts are read
+    assert "wild yeast" in S.best_passage(far, "wild yeast", 120)
+    filler = " ".join(f"filler{n}." for n in range(80))
+    assert "beta" in S.best_passage(f"Alpha alpha alpha alpha. {filler} The alpha and beta pair appears here. {filler}", "alpha beta", 120)
     assert S.best_passage("", "x") == ""
     rng = random.Random(3)
     for _ in range(30):
         body = " ".join(rng.choice(["alpha", "beta", "gamma.", "delta\n"]) for _ in range(300))
-        inner = S.best_passage(body, "beta gamma", 90).strip("… ")
+        got, whole = S.best_passage(body, "beta gamma", 90), " ".join(S.units_of(body))
+        inner = got.strip("… ")
+        at = whole.find(inner)
+        assert at >= 0 and (not at or got[0] == "…") and (got[-1] == "…" or whole.endswith(inner))
         assert len(inner) <= 90 and set(inner.replace(".", "").split()) <= {"alpha", "beta", "gamma", "delta"}
 
 
