@@ -25,11 +25,27 @@ def modified_range(documents: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(documents: DataFrame, hash_col: str = "content_hash", key: str = "doc_id", limit: int | None = None) -> DataFrame:
-    """(content_hash, n, first_id, ids): documents with one content, large groups first, then by least id."""
-    groups = documents.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("content_hash")).agg(F.count("*").alias("n"), F.min(key).alias("first_id"), F.sort_array(F.collect_list(key)).alias("ids")).where("n > 1")
+    """(content_hash, n, first_id): contents that several documents have, large groups first, then by least id.
+
+    Members are rows of :func:`duplicate_classes`, so a group of any size is no single row.
+    """
+    groups = documents.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("content_hash")).agg(F.count("*").alias("n"), F.min(key).alias("first_id")).where("n > 1")
     return groups.orderBy(F.desc("n"), "first_id").limit(limit) if limit else groups
 
 
+def duplicate_classes(documents: DataFrame, hash_col: str = "content_hash", key: str = "doc_id") -> DataFrame:
+    """(key, first_id, n): every document that shares its content, the class's least id and its size; no pairs."""
+    groups = duplicate_groups(documents, hash_col, key).select(F.col("content_hash").alias("__h"), "first_id", "n")
+    return documents.select(key, F.col(hash_col).alias("__h")).join(groups, "__h").select(key, "first_id", "n")
+
+
+def root_duplicates(documents: DataFrame, root_id: int, hash_col: str = "content_hash") -> DataFrame:
+    """(content_hash, n, first_id) of the contents that a root shares, within it or with others."""
+    own = F.sum((F.col("root_id") == root_id).cast("int"))
+    groups = documents.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), own.alias("__own"))
+    return groups.where("n > 1 and __own > 0").drop("__own")
+
+
 def duplicates_of(documents: DataFrame, ids: DataFrame, hash_col: str = "content_hash", key: str = "doc_id") -> DataFrame:
     """(id, other): other documents with the same content as the given ones."""
     own = documents.join(ids.select(key).distinct(), key, "left_semi").select(F.col(key).alias("id"), F.col(hash_col).alias("h"))
@@ -109,5 +125,31 @@ def document_view(documents: DataFrame, most: int = BODY_CHARS) -> DataFrame:
 
 
 def id_digest(ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row: SHA-256 of the sorted ids, one on a line; a manifest check for collections that fit one row."""
-    return ids.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(key)), lambda x: x.cast("string")), "\n"), 256).alias("digest"))
+    """One row: a SHA-256 that says whether two collections have the same ids.
+
+    Ids are dealt to 4,096 buckets by the first digits of their MD5; each
+    bucket's sorted ids, one on a line, have a digest, and the digest of these,
+    in order of the buckets, is the answer. So no row holds more than a
+    4,096th of the ids.
+    """
+    text = F.col(key).cast("string")
+    each = ids.select(F.left(F.md5(text), F.lit(3)).alias("b"), text.alias("id")).groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256).alias("d"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"])
+    return each.agg(F.sha2(F.array_join(parts, "\n"), 256).alias("digest"))
+
+
+def last_indexed(roots: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: when any root was last indexed, and when the first document came in."""
+    return roots.agg(F.max("last_indexed_at").alias("last_indexed_at")).crossJoin(F.broadcast(documents.agg(F.min("created_at").alias("first_created_at"))))  # one row each
+
+
+def long_documents(documents: DataFrame, words: int = 200, body_col: str = "body") -> DataFrame:
+    """One row: how many documents have more than ``words`` words."""
+    n = F.size(F.regexp_extract_all(F.coalesce(body_col, F.lit("")), F.lit(r"[^\s]+"), F.lit(0)))
+    return documents.where(n > words).agg(F.count("*").alias("long_notes"))
+
+
+def is_bookmarked(bookmarks: DataFrame, hits: DataFrame) -> DataFrame:
+    """``hits`` with a flag ``bookmarked``."""
+    marks = bookmarks.select("doc_id", F.lit(True).alias("__mark")).dropDuplicates(["doc_id"])
+    return hits.join(marks, "doc_id", "left").withColumn("bookmarked", F.coalesce("__mark", F.lit(False))).drop("__mark")

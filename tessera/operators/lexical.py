@@ -6,8 +6,9 @@ its postings, so scoring needs no join with the lengths. Statistics are always t
 whole corpus; metadata filters act on the documents that may be ranked.
 
 A search matches the postings of the query terms only: the filter on ``term``
-reaches the scan of a stored index (and goes below the grouping of one that is
-built on the fly). Scores are grouped by (query, document) with map-side
+reaches the scan of a stored index, whose postings lie in folders by a hash of
+the term and sorted in them (and goes below the grouping of one that is built
+on the fly). Scores are grouped by (query, document) with map-side
 partial sums, so a term that a third of all documents has stays spread out.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ MATCHES = ("all", "any", "auto")
 MAX_RESULTS = 10_000
 #: beyond so many distinct terms, postings are matched by a join and not by a list in the plan
 MAX_LISTED_TERMS = 1000
+#: folders of a stored index's postings
+TERM_BUCKETS = 64
 
 
 @dataclass
@@ -38,6 +42,7 @@ class TextIndex:
     stats: DataFrame
     tokenizer: str = "simple"
     scan: DataFrame | None = None
+    bucketed: bool = False
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """Postings of some terms.
@@ -46,6 +51,8 @@ class TextIndex:
         up in each document's tokens, so nothing but matches is ever exploded
         and no shuffle is needed to bring a term's positions together.
         """
+        if self.bucketed:  # prunes folders, then row groups
+            return self.postings.where(F.col("bucket").isin(sorted({_bucket_of(t) for t in terms})) & F.col("term").isin(terms))
         if self.scan is None:
             return self.postings.where(F.col("term").isin(terms))
         met = self.scan.select("doc_id", "len", "all", F.explode(F.array_intersect("all", F.array(*map(F.lit, terms)))).alias("term")) if terms else self.scan.select("doc_id", "len", "all", F.lit("").alias("term")).where("false")
@@ -60,6 +67,27 @@ class TextIndex:
         return regex.findall(r"[\p{L}\p{N}\p{Co}]+", (text or "").lower())
 
 
+def _bucket_of(term: str) -> int:
+    """What :func:`save_index` computes on the JVM: XXH64 with Spark's seed, as a signed number."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % TERM_BUCKETS
+
+
+def save_index(index: TextIndex, folder: str) -> None:
+    """Write an index: postings by bucket and sorted by term, lengths, and last the one row of statistics."""
+    postings = index.postings.select("term", "doc_id", "positions", "len").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
+    postings.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    index.lengths.select("doc_id", "len").write.parquet(f"{folder}/lengths")
+    lengths = index.lengths.sparkSession.read.parquet(f"{folder}/lengths")
+    lengths.agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avgdl")).coalesce(1).write.parquet(f"{folder}/stats")
+
+
+def load_index(spark: SparkSession, folder: str, tokenizer: str = "simple") -> TextIndex:
+    """What :func:`save_index` wrote."""
+    postings, lengths, stats = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "stats"))
+    return TextIndex(postings, lengths, stats, tokenizer, bucketed=True)
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = None, body_col: str = "body", tokenizer: str = "simple") -> TextIndex:
     """Index the title and the body; a gap between their positions keeps phrases inside one of them."""
     title = F.col(title_col) if title_col else F.lit("")

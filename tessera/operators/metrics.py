@@ -47,8 +47,38 @@ def smoke(run: DataFrame, gold: DataFrame, k: int = 3) -> DataFrame:
     return hit.crossJoin(F.broadcast(silent.agg(F.avg(F.when(F.coalesce("abstained", F.lit(True)), 1.0).otherwise(0.0)).alias("no_answer"))))  # one row each
 
 
+#: values that are sorted at once; more are narrowed down first
+SORTED, CUTS = 4096, 1024
+
+
 def percentile(values: DataFrame, column: str, p: float) -> DataFrame:
-    """One row: the nearest-rank percentile, index round(p (n - 1)) half to even; for measurement series of one row's size."""
-    s = F.sort_array(F.collect_list(column))
-    at = F.rint((F.size("s") - 1) * F.lit(float(p))).cast("int")
-    return values.agg(s.alias("s")).select(F.when(F.size("s") > 0, F.element_at("s", at + 1)).alias("value"))
+    """One row: the nearest-rank percentile, index round(p (n - 1)) half to even; null values don't count, NaN comes last.
+
+    Counts in ``CUTS`` equal intervals tell which of them holds the rank; it is
+    cut again until few values are left or all are equal, so no task ever holds
+    the series. Each turn is one aggregation with a row for each interval.
+    """
+    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    finite = v.where("not isnan(v) and abs(v) < double('infinity')")
+    total, below, n, low, high = v.agg(F.count("*"), F.count_if(F.col("v") == float("-inf")), F.count_if(~F.isnan("v") & (F.abs("v") < float("inf"))), F.min(F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v"))), F.max(F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.col("v")))).first()
+    answer = lambda x: values.sparkSession.createDataFrame([(x,)], "value double")
+    if not total:
+        return answer(None)
+    rank = round((total - 1) * float(p))
+    if not below <= rank < below + n:
+        return v.where("isnan(v) or abs(v) = double('infinity')").orderBy("v").offset(rank - n if rank >= below else rank).limit(1).select(F.col("v").alias("value"))
+    rank -= below
+    while n > SORTED and low < high:
+        width = (high - low) / CUTS
+        cut = F.least(F.lit(CUTS - 1), F.floor((F.col("v") - low) / F.lit(width))) if width > 0 else F.lit(0)
+        found = finite.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy(cut.alias("cut")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("cut").collect()
+        for part in found:
+            if rank < part["n"]:
+                break
+            rank -= part["n"]
+        if part["n"] == n and (part["low"], part["high"]) == (low, high):
+            break  # neighbours in double precision
+        n, low, high = part["n"], part["low"], part["high"]
+    if low == high:
+        return answer(low)
+    return finite.where((F.col("v") >= low) & (F.col("v") <= high)).orderBy("v").offset(rank).limit(1).select(F.col("v").alias("value"))

@@ -6,6 +6,7 @@ of doubles depend on the order of their terms.
 
 from __future__ import annotations
 
+import hashlib
 from functools import wraps
 
 import pandas as pd
@@ -19,7 +20,7 @@ from ..functions.text import content_tokens, keyword_terms, simple_tokens
 from ..operators import analytics, changes, fusion, lexical, metrics, semantic
 from ..operators.filters import SearchFilters, allowed
 from ..sources.files import front_matter
-from ..sources.tables import spread
+from ..sources.tables import file_stamp, shared_folder, spread
 from . import search as plan
 
 QUERY_SET = [("q1", "tion thon ther"), ("q2", "ndtion estion the"), ("q3", "the thor anea thor"), ("q4", "éle oution")]
@@ -63,7 +64,16 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str, tokenizer: str = "simple") -> lexical.TextIndex:
-    return lexical.build_index(_texts(spark, sf), tokenizer=tokenizer)
+    """The stored index of the documents: built by the first query that needs it, and anew when a file of theirs changes."""
+    docs = _docs(spark, sf)
+    stamp = hashlib.sha256(f"{tokenizer}\n{file_stamp(docs)}".encode()).hexdigest()[:32]
+    folder = f"{shared_folder(spark)}/tessera/index-{stamp}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stats/_SUCCESS")
+    files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(done):
+        files.delete(done.getParent().getParent(), True)  # what a lost run may have left
+        lexical.save_index(lexical.build_index(_texts(spark, sf), tokenizer=tokenizer), folder)
+    return lexical.load_index(spark, folder, tokenizer)
 
 
 def _vectors(spark: SparkSession, sf: str, per: int = 1) -> DataFrame:
@@ -375,16 +385,20 @@ def metadata_filters(spark, sf):
 # -- read models ---------------------------------------------------------------------------
 
 
-@query("SELECT n, first_id, ids FROM (SELECT count(*) AS n, min(doc_id) AS first_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)) WHERE n > 1")
+@query("SELECT count(*) AS n, min(doc_id) AS first_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1")
 def duplicate_groups(spark, sf):
-    d = _docs(spark, sf).withColumn("content_hash", F.sha2("body", 256))
-    return analytics.duplicate_groups(d).select("n", "first_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return analytics.duplicate_groups(_docs(spark, sf).withColumn("content_hash", F.sha2("body", 256)))
+
+
+@query("SELECT doc_id, first_id, n FROM (SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY sha256(text))) WHERE n > 1")
+def duplicate_classes(spark, sf):
+    return analytics.duplicate_classes(_docs(spark, sf).withColumn("content_hash", F.sha2("body", 256)))
 
 
-@query("SELECT a.doc_id AS id, b.doc_id AS other FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id")
+@query("SELECT a.doc_id AS id, b.doc_id AS other FROM benchmark i JOIN documents a ON a.doc_id = i.item_id JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id")
 def duplicates_of(spark, sf):
     d = _docs(spark, sf).withColumn("content_hash", F.sha2("body", 256))
-    return analytics.duplicates_of(d, d)
+    return analytics.duplicates_of(d, _t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")))
 
 
 @query("SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source")
@@ -459,7 +473,7 @@ def passage_census(spark, sf):
 
 @query("SELECT count(*) AS long_notes FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')) > 200")
 def long_notes_census(spark, sf):
-    return _docs(spark, sf).where(F.size(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"[^\s]+"), F.lit(0))) > 200).agg(F.count("*").alias("long_notes"))
+    return analytics.long_documents(_docs(spark, sf))
 
 
 @query()
@@ -469,7 +483,7 @@ def split_passages_rows(spark, sf):
     return with_passages(_texts(spark, sf), dict(DEFAULT)).select("doc_id", "seq", "text")
 
 
-@query("SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS digest FROM documents")
+@query("SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM (SELECT left(md5(doc_id::VARCHAR), 3) AS b, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS d FROM documents GROUP BY 1)")
 def id_digest(spark, sf):
     return analytics.id_digest(_docs(spark, sf))
 
@@ -612,11 +626,12 @@ def front_matter_parse(spark, sf):
 @query()
 def highlight_segments(spark, sf):
     @F.pandas_udf("array<struct<text: string, highlight: boolean>>")
-    def light(b: pd.Series) -> pd.Series:
-        return b.map(lambda t: segments_with_terms(best_passage(t, "tion thon"), "tion thon"))
+    def light(bodies: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([segments_with_terms(best_passage(b, q), q) for b, q in zip(bodies, asked)])
 
-    hits = _lex(spark, sf).where("qid = 'q1'").select("doc_id")
-    return _docs(spark, sf).join(hits, "doc_id").select("doc_id", light("body").alias("segments"))
+    asked = spark.createDataFrame(QUERY_SET, "qid string, query string")
+    hits = _lex(spark, sf).select("qid", "doc_id").join(asked, "qid")
+    return _docs(spark, sf).join(hits, "doc_id").select("qid", "doc_id", light("body", "query").alias("segments"))
 
 
 @query()

@@ -1,14 +1,44 @@
-"""Physical layout of stored tables."""
+"""Physical layout of stored tables, and the folder for those a session makes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: bytes up to which a table may be dealt anew; beyond it has row groups enough to be split as it is
 SMALL = 256 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that a job makes for itself.
+
+    It is what the cluster names in ``spark.checkpoint.dir``. Where that is unset
+    a temporary folder is made and set, but only under a local master (tests, a
+    laptop): executors of a cluster would write to disks of their own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def file_stamp(table: DataFrame) -> str:
+    """Paths, sizes and times of a table's files, as text; it changes whenever a file does."""
+    spark, out = table.sparkSession, []
+    conf = spark._jsc.hadoopConfiguration()
+    for name in sorted(table.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        s = path.getFileSystem(conf).getFileStatus(path)
+        out.append(f"{name} {s.getLen()} {s.getModificationTime()}")
+    return "\n".join(out)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Deal a small table of fewer files than the cluster has cores over all of them.
 

@@ -208,7 +208,8 @@ def test_changes(spark):
 
 def test_read_models(spark):
     d = spark.createDataFrame([("c", "h"), ("a", "h"), ("b", "h"), ("d", "h2"), ("e", "h2"), ("f", "h3"), ("g", None), ("i", None)], "doc_id string, content_hash string")
-    assert [r.ids for r in analytics.duplicate_groups(d, limit=10).collect()] == [["a", "b", "c"], ["d", "e"]]
+    assert [(r.n, r.first_id) for r in analytics.duplicate_groups(d, limit=10).collect()] == [(3, "a"), (2, "d")]
+    assert sorted((r.doc_id, r.first_id, r.n) for r in analytics.duplicate_classes(d).collect()) == [("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("d", "d", 2), ("e", "d", 2)]
     f = spark.createDataFrame([("1", "n", ["work"]), ("2", "n", ["home", "work"]), ("3", "", None), ("4", None, [])], "doc_id string, folder string, tags array<string>")
     assert {(r.value, r.n) for r in analytics.facets(f, "folder").collect()} == {("n", 2), ("", 1)}
     assert {(r.value, r.n) for r in analytics.tag_facet(f).collect()} == {("work", 2), ("home", 1)}
@@ -226,6 +227,18 @@ def test_metrics(spark):
     assert got["q"].ndcg == pytest.approx(dcg / ideal) and got["q"].ap == pytest.approx((1 / 2 + 2 / 3) / 3)
     assert got["q"].rr == 0.5 and got["q"].precision == 0.2 and got["p"].ndcg == 0
     v = spark.createDataFrame([(float(i),) for i in range(1, 21)], "v double")
+    import random
+
+    from tessera.operators import metrics as m
+
+    rng, kept = random.Random(4), (m.SORTED, m.CUTS)
+    for series in ([], [3.0], [5.0] * 70, [rng.gauss(0, 1) for _ in range(500)], [rng.choice([1e300, -1e300, 1e-300, 0.0, 2.0]) for _ in range(300)], [float("-inf")] * 9 + [1.0] * 40 + [2.0] * 9 + [float("inf")] * 5, [1.0, 1.0 + 2**-52] * 50):
+        df = spark.createDataFrame([(x,) for x in series] + [(None,)], "v double")
+        m.SORTED, m.CUTS = 8, 4
+        for p in (0.0, 0.5, 0.95, 1.0):
+            want = sorted(series)[round((len(series) - 1) * p)] if series else None
+            assert m.percentile(df, "v", p).first()[0] == want
+        m.SORTED, m.CUTS = kept
     assert metrics.percentile(v, "v", 0.5).first()[0] == 11.0 and metrics.percentile(v, "v", 0.95).first()[0] == 19.0
 
 
