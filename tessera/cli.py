@@ -12,7 +12,7 @@ from .errors import TesseraError
 from .functions.vectors import HashingEmbedder
 from .operators.analytics import status
 from .plans.evaluate import load_gold, report, run_eval, run_smoke
-from .plans.ingest import ingest_folder, ingest_jsonl, scan_changes
+from .plans.ingest import ingest, scan_changes
 from .plans.library import Library
 from .plans.search import results, search
 from .plans.store import Collection
@@ -85,7 +85,7 @@ def run(spark: SparkSession, argv: list[str], out=print) -> None:
         return out(report(run_eval(spark, a.folder, a.qrels, model), "Evaluation"))
     col = lib.open(a.collection, model)
     if a.command == "index":
-        out(json.dumps(ingest_jsonl(col, a.path) if a.path.endswith(".jsonl") else ingest_folder(col, a.path, a.exclude, not a.keep_deleted)))
+        out(json.dumps(ingest(col, a.path, a.exclude, not a.keep_deleted)))
     elif a.command == "search":
         hits = search(spark, col.corpus(), a.query, mode=a.mode, k=a.k, precision=a.precision, match=a.match, filters=a.filters, rerank=a.rerank, explain=a.explain).cache()
         col.record_search(a.query, a.mode, a.precision, hits.where("confidence <> 'weak'").count(), a.filters)

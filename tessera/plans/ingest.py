@@ -1,4 +1,9 @@
-"""Incremental ingest of folders and JSON-lines files into a collection."""
+"""Incremental ingest of folders, single files and JSON-lines files into a collection.
+
+A run compares what it reads with what is stored, puts all tables that change
+together and publishes them as one version: a run that fails or is cancelled
+leaves the collection, its roots and its log as they were.
+"""
 
 from __future__ import annotations
 
@@ -8,61 +13,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import changes
+from ..operators import analytics, changes
 from ..sources import files
 from .store import Collection
 
+RUNS_KEPT = 200
+
 
-def _qualified(docs: DataFrame, col: Collection, root_id: int) -> DataFrame:
-    """An id that another root's document has gets this root's number before it."""
-    others = col.table("documents").where(F.col("root_id") != root_id).select("doc_id", F.lit(True).alias("__taken"))
+def _qualified(docs: DataFrame, col: Collection, root_ids: list[int]) -> DataFrame:
+    """An id that another root's document has gets this root's number before it; ``root_ids`` are this root and those it takes over."""
+    others = col.table("documents").where(~F.col("root_id").isin(root_ids)).select("doc_id", F.lit(True).alias("__taken"))
     named = docs.join(others, "doc_id", "left")
-    return named.withColumn("doc_id", F.when(F.col("__taken"), F.concat(F.lit(f"~{root_id}/"), "doc_id")).otherwise(F.col("doc_id"))).drop("__taken")
+    return named.withColumn("doc_id", F.when(F.col("__taken"), F.concat(F.lit(f"~{root_ids[0]}/"), "doc_id")).otherwise(F.col("doc_id"))).drop("__taken")
 
 
-def _apply(col: Collection, current: DataFrame, stored: DataFrame, compare: tuple[str, ...], prune: bool, root_path: str) -> dict:
-    """Compare, write what differs, remove what is gone, carry the user's rows over renames, log the run."""
+def _apply(col: Collection, current: DataFrame, stored: DataFrame, compare: tuple[str, ...], prune: bool, root_path: str, before: dict[str, DataFrame] | None = None) -> dict:
+    """Compare, gather what differs, what is gone and the user's rows under new names, log the run; publish once.
+
+    ``before``: tables that this run has changed already (roots, documents of adopted roots).
+    """
     started = dt.datetime.now()
     good, skipped = current.where("skip is null").drop("skip"), current.where("skip is not null")
     diff = changes.classify(good, stored, compare, changes.META).cache()
-    counts = dict(diff.groupBy("change").count().collect())
-    gone = diff.where("change = 'stale'").select("doc_id")
-    unread = skipped.select("doc_id")  # a file that cannot be read now is not gone
-    gone = gone.join(unread, "doc_id", "left_anti")
-    removed = 0
-    fresh = good.join(diff.where("change in ('added', 'updated')").select("doc_id"), "doc_id", "left_semi")
-    if counts.get("added") or counts.get("updated"):
-        col.add_documents(fresh)
-    if counts.get("touched"):
-        touched = good.join(diff.where("change = 'touched'").select("doc_id"), "doc_id", "left_semi")
-        col.publish({"documents": changes.update_metadata(col.table("documents"), touched)})
-    if prune and counts.get("stale"):
-        removed = gone.count()
-        moved = changes.renames(fresh.join(diff.where("change = 'added'").select("doc_id"), "doc_id", "left_semi"), stored.join(gone, "doc_id", "left_semi"))
-        tables = col.manifest["tables"]
-        carried = {t: changes.carry_rows(col.table(t), moved) for t in ("bookmarks", "activity") if t in tables}
-        if carried:
-            col.publish(carried)
-        col.remove_documents(gone)
-    out = {k: counts.get(k, 0) for k in ("added", "updated", "touched", "unchanged")} | {"removed": removed, "skipped": skipped.count()}
-    col._append("runs", {"root_path": root_path, "started_at": started, "finished_at": dt.datetime.now(), "status": "ok", "added": out["added"], "updated": out["updated"], "unchanged": out["unchanged"] + out["touched"], "removed": removed, "skipped": out["skipped"], "error": None}, 200)
-    diff.unpersist()
+    try:
+        counts = dict(diff.groupBy("change").count().collect())
+        # a file that cannot be read now is not gone
+        gone = diff.where("change = 'stale'").select("doc_id").join(skipped.select("doc_id"), "doc_id", "left_anti")
+        removed = gone.count() if prune and counts.get("stale") else 0
+        fresh = good.join(diff.where("change in ('added', 'updated')").select("doc_id"), "doc_id", "left_semi")
+        tables = dict(before or {})
+        if counts.get("added") or counts.get("updated"):
+            tables |= col.with_documents(fresh)
+            if before and "documents" in before:  # those of adopted roots that stay
+                tables["documents"] = changes.remove(before["documents"], fresh.select("doc_id")).unionByName(tables["documents"].join(fresh.select("doc_id"), "doc_id", "left_semi"))
+        if counts.get("touched"):
+            touched = good.join(diff.where("change = 'touched'").select("doc_id"), "doc_id", "left_semi")
+            tables["documents"] = changes.update_metadata(tables["documents"] if "documents" in tables else col.table("documents"), touched)
+        if removed:
+            added = fresh.join(diff.where("change = 'added'").select("doc_id"), "doc_id", "left_semi")
+            moved = changes.renames(added, stored.join(gone, "doc_id", "left_semi"))
+            tables |= {t: changes.carry_rows(col.table(t), moved) for t in ("bookmarks", "activity") if t in col.manifest["tables"]}
+            tables = col.without_documents(gone, tables)
+        out = {k: counts.get(k, 0) for k in ("added", "updated", "touched", "unchanged")} | {"removed": removed, "skipped": skipped.count()}
+        run = {"id": (col.table("runs").agg(F.max("id")).first()[0] or 0) + 1, "root_path": root_path, "started_at": started, "finished_at": dt.datetime.now(), "status": "ok", "added": out["added"], "updated": out["updated"]}
+        run |= {"unchanged": out["unchanged"] + out["touched"], "removed": removed, "skipped": out["skipped"], "error": None}
+        row = col.spark.createDataFrame([tuple(run.get(f.name) for f in schemas.TABLES["runs"])], schemas.TABLES["runs"])
+        tables["runs"] = analytics.keep_newest(col.table("runs").unionByName(row), RUNS_KEPT)
+        col.publish(tables)
+    finally:
+        diff.unpersist()
     return out
 
 
-def ingest_folder(col: Collection, folder: str, exclude=(), prune: bool = True) -> dict:
-    """Bring a folder's documents up to date; returns the numbers of each change."""
-    root = col.ensure_root(folder, exclude)
-    current = _qualified(files.tagged(files.read_folder(col.spark, folder, exclude, root)), col, root)
-    current = current.withColumn("root_id", F.lit(root).cast("long"))
-    stored = col.table("documents").where(F.col("root_id") == root)
+def _below(path: str, folder: str) -> str | None:
+    """The way from a folder to a path below it; None if it isn't."""
+    folder = folder.rstrip("/") + "/"
+    return path[len(folder) :] if path.startswith(folder) else None
+
+
+def place(col: Collection, path: str) -> tuple[str, str]:
+    """(root, way below it) of a folder: the nearest registered root that holds it, else itself."""
+    path = path.rstrip("/")
+    above = [r.path for r in col.table("roots").where("not coalesce(files_only, false)").collect() if _below(path, r.path) is not None]
+    root = max(above, key=len, default=path)
+    return root, _below(path, root) or ""
+
+
+def ingest_folder(col: Collection, folder: str, exclude=(), prune: bool = True, limit: int | None = None) -> dict:
+    """Bring a folder's documents up to date; returns the numbers of each change.
+
+    A folder inside a registered root is a part of that root, and only that part
+    is compared. A root inside a new folder is taken over by it. A listing cut
+    at ``limit`` files (the result says ``truncated``) removes nothing.
+    """
+    root_path, way = place(col, folder)
+    known = {r.path: r for r in col.table("roots").collect()}
+    root, roots = col.with_root(root_path, exclude)
+    excludes = [*exclude, *((known[root_path].exclude or ()) if root_path in known else ())]
+    nested = [] if way or root_path in known else [(r.root_id, inside) for r in known.values() if (inside := _below(r.path, root_path)) is not None]
+    before: dict[str, DataFrame] = {}
+    documents = col.table("documents")
+    for child, inside in nested:
+        documents = before["documents"] = col.adopted(documents, child, root, inside)
+    roots = col.table("roots") if roots is None else roots
+    done = F.when(F.col("root_id") == root, F.current_timestamp()).otherwise(F.col("last_indexed_at"))
+    before["roots"] = roots.where(~F.col("root_id").isin([c for c, _ in nested])).withColumn("last_indexed_at", done)
+    found = files.read_folder(col.spark, folder, excludes, root, limit, way)
+    current = _qualified(files.tagged(found), col, [root, *(c for c, _ in nested)]).withColumn("root_id", F.lit(root).cast("long"))
+    stored = documents.where(F.col("root_id") == root)
+    if way:
+        stored = stored.where((F.col("source") == way) | F.startswith("source", F.lit(way + "/")))
+    cut = bool(limit) and files.count_files(col.spark, folder, excludes) > limit
     current = current.cache()  # files are read once for all the comparisons of this run
     try:
-        out = _apply(col, current, stored, ("content_hash",), prune, folder)
+        out = _apply(col, current, stored, ("content_hash",), prune and not cut, folder, before)
+    finally:
+        current.unpersist()
+    return out | ({"truncated": True} if cut else {})
+
+
+def ingest_file(col: Collection, path: str) -> dict:
+    """Add or update the document of one file; it belongs to the root that holds it, else to its folder as a root of single files."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    root_path, way = place(col, folder)
+    covered = root_path in {r.path for r in col.table("roots").collect()}
+    root, roots = col.with_root(root_path, (), files_only=not covered)
+    current = _qualified(files.tagged(files.read_folder(col.spark, folder, (), root, None, way, name)), col, [root]).withColumn("root_id", F.lit(root).cast("long")).cache()
+    stored = col.table("documents").where((F.col("root_id") == root) & (F.col("source") == (f"{way}/{name}" if way else name)))
+    try:
+        return _apply(col, current, stored, ("content_hash",), False, path, {} if roots is None else {"roots": roots})
     finally:
         current.unpersist()
-    col.publish({"roots": col.table("roots").withColumn("last_indexed_at", F.when(F.col("root_id") == root, F.current_timestamp()).otherwise(F.col("last_indexed_at")))})
-    return out
 
 
 def ingest_jsonl(col: Collection, path: str) -> dict:
@@ -72,11 +133,23 @@ def ingest_jsonl(col: Collection, path: str) -> dict:
     return _apply(col, current, stored, ("content_hash", "title", "source", "meta"), False, path)
 
 
+def ingest(col: Collection, path: str, exclude=(), prune: bool = True) -> dict:
+    """A JSON-lines file, a single file or a folder."""
+    if path.endswith(".jsonl"):
+        return ingest_jsonl(col, path)
+    return ingest_file(col, path) if files.is_file(col.spark, path) else ingest_folder(col, path, exclude, prune)
+
+
 def scan_changes(col: Collection, root_id: int) -> DataFrame:
-    """(path, change) between a root's folder and the collection."""
+    """(path, change) between a root's folder and the collection: a listing first; only files whose size or time differ are read and hashed."""
     root = col.table("roots").where(F.col("root_id") == root_id).first()
-    disk = files.read_folder(col.spark, root.path, root.exclude or (), root_id).select(F.col("source").alias("path"), "mtime", F.col("size_bytes").alias("size"), "content_hash")
     stored = col.table("documents").where(F.col("root_id") == root_id).select(F.col("source").alias("path"), "mtime", F.col("size_bytes").alias("size"), "content_hash")
+    listed = files.snapshot(col.spark, root.path, root.exclude or ()).select("path", (F.col("mtime_ns") / 1e9).alias("mtime"), "size")
+    near = (F.abs(F.col("mtime") - F.col("s.mtime")) < 1e-6) & (F.col("size") == F.col("s.size"))
+    met = listed.join(stored.select("path", F.struct("mtime", "size").alias("s")), "path", "left")
+    differ = met.where(F.col("s").isNotNull() & ~F.coalesce(near, F.lit(False))).select("path")
+    hashes = files.hashes(col.spark, root.path, root.exclude or (), [r.path for r in differ.collect()])  # paths of the files to be read
+    disk = met.join(hashes, "path", "left").select("path", F.when(near, F.col("s.mtime")).otherwise(F.col("mtime")).alias("mtime"), "size", "content_hash")
     return changes.scan_changes(disk, stored)
 
 

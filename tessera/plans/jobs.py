@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from ..errors import ConflictError, UsageError
-from .ingest import ingest_folder, ingest_jsonl
+from .ingest import ingest
 from .store import Collection
 
 KEPT = 100
@@ -46,7 +46,7 @@ class JobManager:
         return job
 
     def start_index(self, col: Collection, path: str, exclude=(), prune: bool = True) -> dict:
-        return self.start(col, "index", lambda: ingest_jsonl(col, path) if path.endswith(".jsonl") else ingest_folder(col, path, exclude, prune))
+        return self.start(col, "index", lambda: ingest(col, path, exclude, prune))
 
     def start_rebuild(self, col: Collection, chunking) -> dict:
         return self.start(col, "rebuild", lambda: {"version": col.rebuild_passages(chunking)["version"]})

@@ -2,8 +2,10 @@
 
 Every change writes new directories for the tables it touches and then swaps
 the manifest, so readers see one consistent version, a failed run leaves the
-old one in place, and a backup is a copy of what a manifest names. The swap
-compares the version it started from; a lock file keeps writers apart.
+old one in place, and a backup is a copy of what a manifest names. Tables are
+written first; the swap is short: under a lock file it compares the version it
+started from and renames a new manifest over the old one, so there is a whole
+manifest at any moment. A lock left by a killed writer expires.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from .search import Corpus
 SCHEMA_VERSION = 1
 KEYED = ("passages", "postings", "doc_stats", "vectors", "bookmarks", "activity")
 TERM_BUCKETS = 64
+#: seconds after which a lock is taken to be left by a writer that died; a swap takes far less
+LOCK_SECONDS = 300
+#: bytes a file of a compacted table should have
+FILE_BYTES = 128 << 20
 
 
 class Files:
@@ -51,17 +57,34 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str, overwrite: bool = True) -> None:
-        """Atomically where the file system renames atomically."""
-        fs, p = self._at(path if not overwrite else f"{path}.{uuid.uuid4().hex}")
+    def create(self, path: str, text: str) -> None:
+        """A new file; an error if there is one."""
+        fs, p = self._at(path)
         out = fs.create(p, False)
         out.write(bytearray(text.encode()))
         out.close()
-        if overwrite:
-            _, final = self._at(path)
-            if not fs.rename(p, final):
-                fs.delete(final, False)
-                fs.rename(p, final)
+
+    def write(self, path: str, text: str) -> None:
+        """Put a whole file in the place of the old one, by one rename."""
+        part = f"{path}.{uuid.uuid4().hex}"
+        self.create(part, text)
+        fs_package = self.spark._jvm.org.apache.hadoop.fs
+        kind = getattr(fs_package, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        _, old = self._at(part)
+        _, new = self._at(path)
+        fs_package.FileContext.getFileContext(new.toUri(), self.conf).rename(old, new, options)
+
+    def rename(self, source: str, target: str) -> None:
+        fs, p = self._at(source)
+        if not fs.rename(p, self._at(target)[1]):
+            raise DataError(f"could not rename {source} to {target}")
+
+    def age(self, path: str) -> float:
+        """Seconds since a file was written."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
 
     def delete(self, path: str) -> bool:
         fs, p = self._at(path)
@@ -101,6 +124,13 @@ class Collection:
         self.files.write(self._manifest, json.dumps(state))
         return self
 
+    def preference(self, name: str, default=None):
+        """A setting kept with the collection, such as whether it keeps itself in step with its folders."""
+        return self.manifest.get("preferences", {}).get(name, default)
+
+    def set_preference(self, name: str, value) -> dict:
+        return self.publish({}, preferences={**self.manifest.get("preferences", {}), name: value})
+
     @staticmethod
     def _model(e) -> dict:
         return {"name": e.name, "revision": e.revision, "dimension": e.dimension}
@@ -115,16 +145,23 @@ class Collection:
         return state
 
     @contextmanager
-    def _writing(self):
-        lock = f"{self.path}/.lock"
+    def _swapping(self):
+        """Hold the lock; yields a check that it is still ours."""
+        lock, mine = f"{self.path}/.lock", uuid.uuid4().hex
+        for last in (False, True):
+            try:
+                self.files.create(lock, mine)
+                break
+            except Exception as e:
+                if last or not self.files.exists(lock) or self.files.age(lock) < LOCK_SECONDS:
+                    raise ConflictError(f"another writer holds {self.path}") from e
+                self.files.delete(lock)
+        ours = lambda: self.files.exists(lock) and self.files.read(lock) == mine
         try:
-            self.files.write(lock, json.dumps({"at": time.time()}), overwrite=False)
-        except Exception as e:
-            raise ConflictError(f"another writer holds {self.path}") from e
-        try:
-            yield
+            yield ours
         finally:
-            self.files.delete(lock)
+            if ours():
+                self.files.delete(lock)
 
     def table(self, name: str) -> DataFrame:
         where = self.manifest["tables"].get(name)
@@ -134,38 +171,41 @@ class Collection:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{where}")
 
     def publish(self, tables: dict[str, DataFrame], **keys) -> dict:
-        """Write new directories for some tables and swap the manifest."""
-        with self._writing():
-            before = self.manifest
-            state = {**before, **keys, "version": before["version"] + 1, "tables": dict(before["tables"])}
+        """Write new directories for some tables and, once all are whole, swap the manifest."""
+        before = self.manifest
+        state = {**before, **keys, "version": before["version"] + 1, "tables": dict(before["tables"])}
+        new = {name: f"tables/{name}/v{state['version']}-{uuid.uuid4().hex[:8]}" for name in tables}
+        try:
             for name, df in tables.items():
-                where = f"tables/{name}/v{state['version']}-{uuid.uuid4().hex[:8]}"
-                columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]]
-                df = df.select(*columns)
+                df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]])
                 if name == "postings":  # a query's terms touch a few row groups of a few files
                     df = df.repartition(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS))).sortWithinPartitions("term", "doc_id")
-                df.write.parquet(f"{self.path}/{where}")
-                state["tables"][name] = where
-            if self.manifest["version"] != before["version"]:
-                raise ConflictError("another writer has published meanwhile")
-            self.files.write(self._manifest, json.dumps(state))
+                df.write.parquet(f"{self.path}/{new[name]}")
+            state["tables"] |= new
+            with self._swapping() as ours:
+                if self.manifest["version"] != before["version"] or not ours():
+                    raise ConflictError("another writer has published meanwhile")
+                self.files.write(self._manifest, json.dumps(state))
+        except BaseException:
+            for where in new.values():
+                self.files.delete(f"{self.path}/{where}")
+            raise
         return state
 
     # -- documents -----------------------------------------------------------------
 
-    def _derived(self, docs: DataFrame) -> dict[str, DataFrame]:
+    def derived(self, docs: DataFrame) -> dict[str, DataFrame]:
         """Passages, postings, lengths and vectors of some documents; vectors of unchanged texts are reused."""
         state = self.manifest
         passages = with_passages(docs, chunking_of(state["chunking"]))
         index = lexical.build_index(docs, "doc_id", "title", "body", state["tokenizer"])
         out = {"passages": passages, "postings": index.postings, "doc_stats": index.lengths}
         if "model" in state:
-            out["vectors"] = self._vectors(passages, docs)
+            out["vectors"] = self._vectors(passages, docs, state["model"])
         return out
 
-    def _vectors(self, passages: DataFrame, docs: DataFrame) -> DataFrame:
-        state = self.manifest
-        if self.embedder is None or self._model(self.embedder) != state["model"]:
+    def _vectors(self, passages: DataFrame, docs: DataFrame, model: dict) -> DataFrame:
+        if self.embedder is None or self._model(self.embedder) != model:
             raise UsageError("this collection needs the model it was built with")
         text = passages.join(docs.select("doc_id", "title"), "doc_id").select("doc_id", "seq", compose_embed_text(F.col("title"), F.col("text")).alias("t"))
         old = self.table("passages").join(self.table("documents").select("doc_id", "title"), "doc_id").join(self.table("vectors"), ["doc_id", "seq"])
@@ -174,8 +214,8 @@ class Collection:
         fresh = embed(met.where("known is null"), self.embedder, "t").select("doc_id", "seq", "embedding")
         return met.where("known is not null").select("doc_id", "seq", F.col("known").alias("embedding")).unionByName(fresh)
 
-    def add_documents(self, docs: DataFrame) -> dict:
-        """Insert or replace documents; creation times of known ones stay."""
+    def with_documents(self, docs: DataFrame) -> dict[str, DataFrame]:
+        """All tables as they are with some documents inserted or replaced; creation times of known ones stay."""
         now = F.current_timestamp()
         full = docs
         for f in schemas.DOCUMENTS:
@@ -183,16 +223,22 @@ class Collection:
                 full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
         full = full.withColumns({"created_at": F.coalesce("created_at", now), "updated_at": now, "title": F.coalesce("title", F.lit(""))}).select(*[f.name for f in schemas.DOCUMENTS])
         ids = full.select("doc_id").distinct()
-        new = self._derived(full)
+        new = self.derived(full)
         tables = {"documents": changes.upsert(self.table("documents"), full, keep=("created_at",))}
         for name, df in new.items():
             tables[name] = changes.remove(self.table(name), ids).unionByName(df.select(*[f.name for f in schemas.TABLES[name]]))
-        return self.publish(tables)
+        return tables
+
+    def add_documents(self, docs: DataFrame) -> dict:
+        return self.publish(self.with_documents(docs))
+
+    def without_documents(self, ids: DataFrame, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+        """``tables`` (of those not given, the stored ones) without some documents and every row that hangs on them."""
+        given, present = tables or {}, self.manifest["tables"]
+        return {**given, **{t: changes.remove(given[t] if t in given else self.table(t), ids) for t in ("documents", *KEYED) if t in present or t in given}}
 
     def remove_documents(self, ids: DataFrame) -> dict:
-        """Delete documents and every row that hangs on them."""
-        present = self.manifest["tables"]
-        return self.publish({t: changes.remove(self.table(t), ids) for t in ("documents", *KEYED) if t in present})
+        return self.publish(self.without_documents(ids))
 
     def clear(self) -> dict:
         """Empty the collection; its name, model and settings stay."""
@@ -204,26 +250,31 @@ class Collection:
         if state.get("model") not in (None, self._model(embedder)):
             raise UsageError("the collection was built with another model")
         self.embedder = embedder
-        self.publish({}, model=self._model(embedder))
         passages, docs, old = self.table("passages"), self.table("documents"), self.table("vectors")
         missing = passages.join(old, ["doc_id", "seq"], "left_anti")
-        return self.publish({"vectors": old.join(passages.select("doc_id", "seq"), ["doc_id", "seq"], "left_semi").unionByName(self._vectors(missing, docs))})
+        vectors = old.join(passages.select("doc_id", "seq"), ["doc_id", "seq"], "left_semi").unionByName(self._vectors(missing, docs, self._model(embedder)))
+        return self.publish({"vectors": vectors}, model=self._model(embedder))
+
+    def vectors_need_rebuild(self, chunking) -> bool:
+        """Whether passages were cut, or vectors made, under another setting or model than asked for."""
+        state = self.manifest
+        other = self.embedder is not None and state.get("model") != self._model(self.embedder)
+        return other or state["chunking"] != chunking_text(normalize_chunking(chunking))
 
     def rebuild_passages(self, chunking) -> dict:
         """Re-split under another setting; only documents whose passages differ are embedded anew."""
-        setting = normalize_chunking(chunking)
+        setting, state = normalize_chunking(chunking), self.manifest
         docs = self.table("documents")
-        self.publish({}, chunking=chunking_text(setting))
         new = with_passages(docs, setting)
         tables = {"passages": new}
-        if "model" in self.manifest:
-            tables["vectors"] = self._vectors(new, docs)
-        return self.publish(tables)
+        if "model" in state:
+            tables["vectors"] = self._vectors(new, docs, state["model"])
+        return self.publish(tables, chunking=chunking_text(setting))
 
     def repair(self) -> dict:
         """Recompute all derived tables from the documents and drop rows of documents that are gone."""
         docs = self.table("documents")
-        tables = self._derived(docs)
+        tables = self.derived(docs)
         for t in ("bookmarks", "activity"):
             if t in self.manifest["tables"]:
                 tables[t] = self.table(t).join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -291,14 +342,20 @@ class Collection:
 
     # -- roots ---------------------------------------------------------------------
 
-    def ensure_root(self, path: str, exclude=(), files_only: bool = False) -> int:
+    def with_root(self, path: str, exclude=(), files_only: bool = False) -> tuple[int, DataFrame | None]:
+        """(number of the root at ``path``, the roots with it, or None if it is there)."""
         found = self.table("roots").where(F.col("path") == path).select("root_id").first()
         if found:
-            return found[0]
+            return found[0], None
         new_id = (self.table("roots").agg(F.max("root_id")).first()[0] or 0) + 1
         row = self.spark.createDataFrame([(new_id, path, list(exclude), None, None, files_only)], schemas.ROOTS).withColumn("added_at", F.current_timestamp())
-        self.publish({"roots": self.table("roots").unionByName(row)})
-        return new_id
+        return new_id, self.table("roots").unionByName(row)
+
+    def ensure_root(self, path: str, exclude=(), files_only: bool = False) -> int:
+        root_id, roots = self.with_root(path, exclude, files_only)
+        if roots is not None:
+            self.publish({"roots": roots})
+        return root_id
 
     def roots(self) -> DataFrame:
         """Registered folders and their numbers of documents."""
@@ -306,8 +363,9 @@ class Collection:
         return self.table("roots").join(n, "root_id", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
 
     def remove_root(self, root_id: int) -> dict:
-        self.remove_documents(self.table("documents").where(F.col("root_id") == root_id).select("doc_id"))
-        return self.forget_root(root_id)
+        """Forget a root and its documents, at once."""
+        tables = self.without_documents(self.table("documents").where(F.col("root_id") == root_id).select("doc_id"))
+        return self.publish({**tables, "roots": self.table("roots").where(F.col("root_id") != root_id)})
 
     def forget_root(self, root_id: int) -> dict:
         return self.publish({"roots": self.table("roots").where(F.col("root_id") != root_id)})
@@ -315,15 +373,17 @@ class Collection:
     def relocate_root(self, root_id: int, path: str) -> dict:
         return self.publish({"roots": self.table("roots").withColumn("path", F.when(F.col("root_id") == root_id, path).otherwise(F.col("path")))})
 
-    def adopt_root(self, child: int, parent: int, prefix: str) -> dict:
-        """Give a nested root's documents to the root above it; their sources and folders get the prefix."""
+    def adopted(self, documents: DataFrame, child: int, parent: int, prefix: str) -> DataFrame:
+        """``documents`` with a nested root's given to the root above it; their sources and folders get the prefix."""
         own = F.col("root_id") == child
-        docs = self.table("documents").withColumns({
+        docs = documents.withColumns({
             "source": F.when(own, F.concat_ws("/", F.lit(prefix), "source")).otherwise(F.col("source")),
             "folder": F.when(own, F.when(F.coalesce("folder", F.lit("")) == "", prefix).otherwise(F.concat_ws("/", F.lit(prefix), "folder"))).otherwise(F.col("folder")),
         })
-        docs = docs.withColumn("root_id", F.when(own, parent).otherwise(F.col("root_id")))
-        return self.publish({"documents": docs, "roots": self.table("roots").where(F.col("root_id") != child)})
+        return docs.withColumn("root_id", F.when(own, F.lit(parent).cast("long")).otherwise(F.col("root_id")))
+
+    def adopt_root(self, child: int, parent: int, prefix: str) -> dict:
+        return self.publish({"documents": self.adopted(self.table("documents"), child, parent, prefix), "roots": self.table("roots").where(F.col("root_id") != child)})
 
     # -- copies ----------------------------------------------------------------
 
@@ -339,22 +399,35 @@ class Collection:
 
     @classmethod
     def restore(cls, spark: SparkSession, source: str, target: str, embedder=None, replace: bool = False) -> "Collection":
-        """A new collection from a backup; with ``replace`` the old one is kept beside it as a safety copy."""
-        got = cls(spark, source, embedder)
-        got.manifest  # noqa: B018 - refuse what isn't a collection before touching the target
-        old = cls(spark, target)
-        if old.files.exists(old._manifest):
-            if not replace:
-                raise UsageError(f"a collection exists at {target}")
-            old.backup(f"{target}-before-restore-{int(time.time())}")
-            old.files.delete(target)
-        got.backup(target)
+        """A new collection from a backup; with ``replace`` the old one is kept beside it as a safety copy.
+
+        The copy is made and checked in a folder of its own; only then does it
+        take the target's place, by renames.
+        """
+        target = target.rstrip("/")
+        got, old = cls(spark, source, embedder), cls(spark, target)
+        there = old.files.exists(old._manifest)
+        if there and not replace:
+            raise UsageError(f"a collection exists at {target}")
+        staged = cls(spark, f"{target}.restoring-{uuid.uuid4().hex[:8]}", embedder)
+        try:
+            got.backup(staged.path)
+            for name, where in staged.manifest["tables"].items():
+                if staged.files.size(f"{staged.path}/{where}") != got.files.size(f"{got.path}/{where}"):
+                    raise DataError(f"the copy of table {name} is not whole")
+        except BaseException:
+            staged.files.delete(staged.path)
+            raise
+        if there:
+            old.files.rename(target, f"{target}-before-restore-{time.time_ns()}")
+        staged.files.rename(staged.path, target)
         return cls(spark, target, embedder)
 
-    def compact(self, files: int = 1) -> tuple[int, int]:
-        """Rewrite tables into fewer files and delete directories no manifest names; bytes before and after."""
-        before = self.files.size(self.path)
-        self.publish({t: self.table(t).coalesce(files) for t in self.manifest["tables"]})
+    def compact(self, file_bytes: int = FILE_BYTES) -> tuple[int, int]:
+        """Rewrite tables into files of about ``file_bytes`` and delete directories no manifest names; bytes before and after."""
+        before, state = self.files.size(self.path), self.manifest
+        few = lambda t, where: self.table(t).coalesce(max(1, self.files.size(f"{self.path}/{where}") // file_bytes))
+        self.publish({t: few(t, where) for t, where in state["tables"].items()})
         live = set(self.manifest["tables"].values())
         for t in self.files.children(f"{self.path}/tables"):
             for v in self.files.children(f"{self.path}/tables/{t}"):

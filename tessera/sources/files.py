@@ -6,7 +6,7 @@ import fnmatch
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,8 +124,35 @@ def snapshot(spark: SparkSession, folder: str, exclude=()) -> DataFrame:
     return files.select(F.col("relative").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
 
 
-def _files(spark: SparkSession, folder: str, exclude) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
+def list_directory(spark: SparkSession, path: str, most: int = 500) -> list[dict]:
+    """Up to ``most`` entries of a folder for a picker, folders first; hidden ones are left out."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [{"name": s.getPath().getName(), "folder": s.isDirectory(), "size": s.getLen()} for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted((x for x in found if not x["name"].startswith(".")), key=lambda x: (not x["folder"], x["name"].lower()))[:most]
+
+
+def count_files(spark: SparkSession, folder: str, exclude=()) -> int:
+    return _files(spark, folder, exclude).count()
+
+
+def hashes(spark: SparkSession, folder: str, exclude, paths: list[str]) -> DataFrame:
+    """(path, content_hash) of some files of a folder; no other file is opened."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content_hash string")
+    files = _files(spark, folder, exclude, paths)
+    return files.select(F.col("relative").alias("path"), F.when(F.col("length") <= MAX_BYTES, F.sha2("content", 256)).alias("content_hash"))
+
+
+def _files(spark: SparkSession, folder: str, exclude, only: list[str] | None = None) -> DataFrame:
+    """The files of a folder, or those at some ways below it."""
+    reader = spark.read.format("binaryFile")
+    files = reader.load([f"{folder.rstrip('/')}/{p}" for p in only]) if only else reader.option("recursiveFileLookup", True).load(folder)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
     at = F.instr(F.col("path"), base)
@@ -134,9 +161,15 @@ def _files(spark: SparkSession, folder: str, exclude) -> DataFrame:
     return files.withColumn("ext", suffix).where(F.col("ext").isin(*SUFFIXES) & ~excluded(F.col("relative"), [*EXCLUDES, *normalize_excludes(exclude)]))
 
 
-def read_folder(spark: SparkSession, folder: str, exclude=(), root_id: int | None = None, limit: int | None = None) -> DataFrame:
-    """Documents of a folder, and the files that were skipped (column ``skip`` says why)."""
-    files = _files(spark, folder, exclude)
+def read_folder(spark: SparkSession, folder: str, exclude=(), root_id: int | None = None, limit: int | None = None, way: str = "", only: str | None = None) -> DataFrame:
+    """Documents of a folder, and the files that were skipped (column ``skip`` says why).
+
+    ``way``: how the folder lies below its root; ids and folders start with it.
+    ``only``: the name of the one file to be read.
+    """
+    files = _files(spark, folder, exclude, [only] if only else None)
+    if way:
+        files = files.withColumn("relative", F.concat(F.lit(way + "/"), "relative"))
     if limit:
         files = files.orderBy("relative").limit(limit)
     parse = F.pandas_udf(_parse, PARSED)
@@ -154,18 +187,25 @@ def read_folder(spark: SparkSession, folder: str, exclude=(), root_id: int | Non
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a JSON-lines file: id from _id, id or the line's number; text or body; no file metadata.
 
-    Line numbers are offsets of the lines in the order the file is read.
+    Line numbers count all lines of a file from 1, however it is split for
+    reading; of several files at ``path`` the number follows the file's name.
     """
     schema = "_id string, id string, title string, text string, body string, source string, metadata string"
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value").where(F.trim("value") != "")
-    rows = lines.select("at", F.from_json("value", schema).alias("j"), "value")
-    number = F.concat(F.lit("line-"), (F.col("at") + 1).cast("string"))
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    several = len(spark.read.text(path).inputFiles()) > 1
+    lines = raw.where(F.trim("value") != "").join(starts, ["file", "block"])
+    rows = lines.select(F.from_json("value", schema).alias("j"), "value", "file", (F.col("at") + F.col("shift") + 1).alias("line"))
+    name = F.concat(F.url_decode(F.regexp_extract("file", r"([^/]*)$", 1)), F.lit(":")) if several else F.lit("")
+    number = F.concat(name, F.lit("line-"), F.col("line").cast("string"))
     body = F.coalesce("j.text", "j.body")
     none = {"mtime": "double", "size_bytes": "long", "ext": "string", "folder": "string", "tags": "array<string>", "root_id": "long"}
     return rows.select(
         F.coalesce("j._id", "j.id", number).alias("doc_id"), F.coalesce("j.title", F.lit("")).alias("title"), body.alias("body"), F.col("j.source").alias("source"),
         F.col("j.metadata").alias("meta"), F.sha2("value", 256).alias("content_hash"), *[F.lit(None).cast(t).alias(n) for n, t in none.items()],
-        F.when(F.coalesce(F.trim(body), F.lit("")) == "", "empty").alias("skip"),
+        F.when(~F.startswith(F.trim("value"), F.lit("{")) | F.get_json_object("value", "$").isNull(), "invalid").when(F.coalesce(F.trim(body), F.lit("")) == "", "empty").alias("skip"),
     )
 
 

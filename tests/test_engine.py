@@ -69,7 +69,7 @@ def test_collection_life(spark, notes, tmp_path):
     col = Collection.create(spark, str(tmp_path / "col"), "mine", chunking="off", embedder=Axis())
     col = Collection(spark, str(tmp_path / "col"), Axis())
     first = ingest_folder(col, str(notes))
-    assert (first["added"], first["skipped"], first["removed"]) == (4, 2, 0)
+    assert (first["added"], first["skipped"], first["removed"]) == (4, 2, 0) and col.manifest["version"] == 1
     assert ingest_folder(col, str(notes))["unchanged"] == 4
     assert col.integrity().first().ok
     corpus = col.corpus()
@@ -109,9 +109,13 @@ def test_collection_life(spark, notes, tmp_path):
     assert back.integrity().first().ok
     with pytest.raises(UsageError):
         back.attach_embedder(HashingEmbedder())
-    back.files.write(f"{back.path}/.lock", "x", overwrite=False)
+    back.files.create(f"{back.path}/.lock", "x")
     with pytest.raises(ConflictError):
         back.remove_bookmark("x")
+    version = back.manifest["version"]
+    os.utime(f"{back.path}/.lock", (1, 1))  # its writer died long ago
+    back.set_preference("sync", True)
+    assert back.manifest["version"] == version + 1 and back.preference("sync") and not os.path.exists(f"{back.path}/.lock")
 
 
 def test_user_rows(spark, tmp_path):
