@@ -96,6 +96,36 @@ def compose_embed_text(title: Column, body: Column) -> Column:
     return F.concat_ws("\n", part(title), part(body))
 
 
+#: embedders a Python worker has made, by their identity
+_MADE: dict[tuple, object] = {}
+
+
+class ModelEmbedder:
+    """An adapter for a real model: ``load`` makes it, once in each Python worker, and only its name travels with a task.
+
+    ``load`` takes no argument and returns a function from texts to a matrix;
+    it must be importable on the workers. ``query_prefix`` and
+    ``document_prefix`` serve models that tell the two apart.
+    """
+
+    def __init__(self, load, name: str, revision: str, dimension: int, query_prefix: str = "", document_prefix: str = ""):
+        self.load, self.name, self.revision, self.dimension = load, name, revision, dimension
+        self.query_prefix, self.document_prefix = query_prefix, document_prefix
+
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        key = (self.name, self.revision, self.dimension)
+        if key not in _MADE:
+            _MADE[key] = self.load()
+        out = np.asarray(_MADE[key](texts), np.float32)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    def encode_documents(self, texts: list[str]) -> np.ndarray:
+        return self._encode([self.document_prefix + t for t in texts])
+
+    def encode_query(self, text: str) -> np.ndarray:
+        return self._encode([self.query_prefix + text])[0]
+
+
 def embed(df: DataFrame, embedder, text_col: str, out_col: str = "embedding") -> DataFrame:
     """Add the vectors of a text column; each Python worker encodes whole Arrow batches."""
     @F.pandas_udf("array<float>")

@@ -1,9 +1,9 @@
 """Exact vector search at three precisions, batch-first.
 
-Query vectors are a bounded set (``MAX_QUERIES`` at a time, more run in turns):
-they travel to the rows, every Arrow batch is one matrix product, and a batch
-hands on its k best documents per query, so what is shuffled doesn't grow with
-the corpus but with batches x queries x k. A document scores its best passage;
+A bounded set of query vectors (``MAX_QUERIES``) travels to the rows, every
+Arrow batch is a few matrix products, and a batch hands on its k best documents
+per query, so what is shuffled doesn't grow with the corpus but with batches x
+queries x k. A larger set meets the rows in blocks. A document scores its best passage;
 ties go to the earlier passage and then to the smaller id.
 """
 
@@ -19,7 +19,7 @@ from ..functions import vectors as V
 from .lexical import check_k, top_k
 
 PRECISIONS = ("float", "int8", "binary")
-MAX_QUERIES = 4096
+MAX_QUERIES, BLOCK, TILE = 4096, 16384, 256
 
 
 def _matrix(column) -> np.ndarray:
@@ -41,7 +41,9 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, precisi
     """(qid, rank, doc_id, score, seq): the k best documents for every query.
 
     vectors: (doc_id, seq, embedding); queries: (qid, embedding). float and int8
-    score by cosine, binary by minus the Hamming distance.
+    score by cosine, binary by minus the Hamming distance. Up to ``MAX_QUERIES``
+    queries travel to the rows; a larger set meets them in blocks of bounded
+    size, and never passes through the driver.
     """
     check_k(k)
     if precision not in PRECISIONS:
@@ -49,50 +51,76 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 10, precisi
     if allowed is not None:
         vectors = vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     kind = vectors.schema["doc_id"].dataType.simpleString()
-    rows = queries.select(F.col("qid").cast("string").alias("qid"), F.col("embedding").cast("array<double>").alias("e")).orderBy("qid").toArrow()
-    legs = [_leg(vectors, rows.slice(i, MAX_QUERIES), k, precision, scale, exclude_self, kind, digits) for i in range(0, rows.num_rows, MAX_QUERIES)]
-    if not legs:
+    rows = vectors.select("doc_id", F.col("seq").cast("int").alias("seq"), "embedding")
+    asked = queries.select(F.col("qid").cast("string").alias("qid"), F.col("embedding").cast("array<double>").alias("e"))
+    first = asked.limit(MAX_QUERIES + 1).toArrow()
+    if not first.num_rows:
         return vectors.sparkSession.createDataFrame([], f"qid string, rank int, doc_id {kind}, score double, seq int")
-    out = legs[0]
-    for leg in legs[1:]:
-        out = out.unionByName(leg)
-    # batches of one document's passages meet here: a partial maximum, then the k best
+    shape = f"qid string, doc_id {kind}, score double, seq int"
+    if first.num_rows <= MAX_QUERIES:
+        names = np.array(first.column("qid").to_pylist(), object)
+        q = _prepare(_matrix(first.column("e").combine_chunks()), precision, scale)
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield from _best(names, q, b.column(0), b.column(1), _prepare(_matrix(b.column(2)), precision, scale), k, precision, exclude_self, digits)
+
+        out = rows.mapInArrow(run, shape)
+    else:
+        out = _in_blocks(rows, asked, kind, shape, k, precision, scale, exclude_self, digits)
+    # a document's passages in several batches meet here: a partial maximum, then the k best
     best = out.groupBy("qid", "doc_id").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"))).alias("b")).select("qid", "doc_id", "b.score", (-F.col("b.s")).alias("seq"))
     return top_k(best, k).select("qid", "rank", "doc_id", "score", "seq")
 
 
-def _leg(vectors: DataFrame, queries: pa.Table, k: int, precision: str, scale: float, exclude_self: bool, kind: str, digits: int | None) -> DataFrame:
-    names = np.array(queries.column("qid").to_pylist(), object)
-    q = _prepare(_matrix(queries.column("e").combine_chunks()), precision, scale)
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _prepare(_matrix(b.column(2)), precision, scale)
-            scores = q @ x.T
-            if precision == "binary":
-                scores = -np.rint((x.shape[1] - scores) / 2)
-            if digits is not None:
-                scores = np.round(scores, digits)
-            ids, inverse = np.unique(np.array(b.column(0).to_pylist(), object), return_inverse=True)
-            if exclude_self:
-                text = ids.astype(str)
-            seq = b.column(1).to_numpy(zero_copy_only=False)
-            out = []
-            for i in range(len(q)):
-                order = np.lexsort((seq, -scores[i]))
-                first = order[np.sort(np.unique(inverse[order], return_index=True)[1])] if len(ids) < len(order) else order
-                if exclude_self:
-                    first = first[text[inverse[first]] != names[i]]
-                if len(first) > k:  # keep all that tie with the k-th: ids decide later
-                    first = first[scores[i, first] >= scores[i, first[k - 1]]]
-                out.append((i, first))
-            take = np.concatenate([f for _, f in out])
-            who = np.repeat([i for i, _ in out], [len(f) for _, f in out]).astype(int)
-            yield pa.RecordBatch.from_arrays([pa.array(names[who].tolist(), pa.string()), b.column(0).take(pa.array(take)), pa.array(scores[who, take].astype(np.float64)), b.column(1).take(pa.array(take))], names=["qid", "doc_id", "score", "seq"])
-
-    return vectors.select("doc_id", F.col("seq").cast("int").alias("seq"), "embedding").mapInArrow(run, f"qid string, doc_id {kind}, score double, seq int")
+def _in_blocks(rows: DataFrame, asked: DataFrame, kind: str, shape: str, k: int, precision: str, scale: float, exclude_self: bool, digits: int | None) -> DataFrame:
+    """Every block of queries meets every block of rows in a task of its own."""
+    n, m = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // MAX_QUERIES))
+    x = rows.withColumn("x", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    y = asked.withColumn("y", F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        if not left.num_rows or not right.num_rows:
+            return empty.empty_table()
+        names = np.array(right.column("qid").to_pylist(), object)
+        columns = [left.column(c).combine_chunks() for c in ("doc_id", "seq", "embedding")]
+        q, v = (_prepare(_matrix(c), precision, scale) for c in (right.column("e").combine_chunks(), columns[2]))
+        return pa.Table.from_batches(list(_best(names, q, columns[0], columns[1], v, k, precision, exclude_self, digits)))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(asked.sparkSession.createDataFrame([], shape).schema)
+    return x.groupBy("x", "y").cogroup(y.groupBy("x", "y")).applyInArrow(meet, shape)
+
+
+def _best(names: np.ndarray, q: np.ndarray, ids: pa.Array, seq: pa.Array, x: np.ndarray, k: int, precision: str, exclude_self: bool, digits: int | None):
+    """Batches of (qid, doc_id, score, seq): of each query the k best documents here, and what ties with the last of them."""
+    number, place = np.unique(np.array(ids.to_pylist(), object), return_inverse=True)
+    order = np.lexsort((seq.to_numpy(zero_copy_only=False), place))  # by document, then by passage
+    starts = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
+    own = {str(d): i for i, d in enumerate(number.tolist())} if exclude_self else {}
+    for t in range(0, len(q), TILE):
+        scores = q[t : t + TILE] @ x[order].T
+        if precision == "binary":
+            scores = -np.rint((x.shape[1] - scores) / 2)
+        if digits is not None:
+            scores = np.round(scores, digits)
+        best = np.maximum.reduceat(scores, starts, axis=1)
+        for i, name in enumerate(names[t : t + TILE]) if own else ():
+            if name in own:
+                best[i, own[name]] = -np.inf
+        kth = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if best.shape[1] > k else np.full(len(best), -np.inf)
+        who, doc = np.nonzero((best >= kth[:, None]) & (best > -np.inf))
+        # the earliest passage with the document's score
+        first = starts[doc]
+        several = np.flatnonzero(np.diff(np.r_[starts, len(order)])[doc] > 1)
+        ends = np.r_[starts[1:], len(order)][doc]
+        for j in several.tolist():
+            first[j] += int(np.argmax(scores[who[j], first[j] : ends[j]] == best[who[j], doc[j]]))
+        take = pa.array(order[first])
+        yield pa.RecordBatch.from_arrays([pa.array(names[t + who].tolist(), pa.string()), ids.take(take), pa.array(best[who, doc].astype(np.float64)), seq.take(take)], names=["qid", "doc_id", "score", "seq"])
 
 
 def attach_passages(hits: DataFrame, passages: DataFrame) -> DataFrame:

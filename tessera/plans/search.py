@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import EmptyQueryError, UsageError
 from ..functions.snippets import build_snippet
 from ..functions.text import keyword_terms
-from ..operators import fusion, lexical, semantic
+from ..operators import analytics, fusion, lexical, semantic
 from ..operators.filters import allowed as allowed_docs
 
 MODES = ("lexical", "semantic", "hybrid")
@@ -43,12 +43,40 @@ def query_vectors(spark: SparkSession, embedder, queries: list[tuple[str, str]])
     return spark.createDataFrame(rows, "qid string, embedding array<float>")
 
 
-def search(spark: SparkSession, corpus: Corpus, queries, mode: str = "hybrid", k: int = 10, precision: str = "float", fusion_kind: str = "rrf", rrf_k: int = 60, alpha: float = 0.5, rerank: bool = False, depth: int = 50, match: str = "all", filters=None, explain: bool = False, on_stage=None) -> DataFrame:
+def search(spark: SparkSession, corpus: Corpus, queries, **options) -> DataFrame:
     """(qid, rank, doc_id, score, lex_rank, sem_rank, seq, confidence ...): hits of every query, in one plan.
 
-    ``queries`` is a text or a list of (qid, text). ``explain`` adds a struct
-    with the words found and missing, the ranks and scores and the reasons.
+    ``queries`` is a text or a list of (qid, text); the options are those of
+    :func:`search_with_outcome`. ``explain`` adds a struct with the words found
+    and missing, the ranks and scores and the reasons.
     """
+    return _search(spark, corpus, queries, **options)[0]
+
+
+def search_with_outcome(spark: SparkSession, corpus: Corpus, queries, **options) -> tuple[DataFrame, DataFrame]:
+    """The hits of :func:`search`, and a row for each query, hits or none.
+
+    (qid, n_hits, strict_count, relaxed, weak_count, abstained): ``strict_count``
+    hits have every keyword (null where matching any is asked for, or without a
+    keyword leg), ``relaxed`` says whether partial matches follow them, and a
+    search abstains if it has hits and all of them are weak.
+    """
+    hits, lex = _search(spark, corpus, queries, **options)
+    asked = spark.createDataFrame([(q,) for q, _ in _checked(queries)], "qid string")
+    out = asked.join(fusion.outcome(hits), "qid", "left")
+    if lex is not None:
+        out = out.join(lex.groupBy("qid").agg(F.max("strict_count").alias("strict_count"), F.bool_or("relaxed").alias("relaxed")), "qid", "left")
+        if options.get("match", "all") != "any":
+            out = out.withColumn("strict_count", F.coalesce("strict_count", F.lit(0).cast("long")))
+    else:
+        out = out.withColumns({"strict_count": F.lit(None).cast("long"), "relaxed": F.lit(False)})
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return hits, out.select("qid", zero("n_hits"), "strict_count", no("relaxed"), zero("weak_count"), no("abstained"))
+
+
+def _search(spark: SparkSession, corpus: Corpus, queries, mode: str = "hybrid", k: int = 10, precision: str = "float", fusion_kind: str = "rrf", rrf_k: int = 60, alpha: float = 0.5, rerank: bool = False, depth: int = 50, match: str = "all", filters=None, explain: bool = False, on_stage=None) -> tuple[DataFrame, DataFrame | None]:
+    """The hits and the keyword leg, if there is one."""
     tell = on_stage or (lambda stage: None)
     tell("parse")
     if mode not in MODES:
@@ -92,7 +120,7 @@ def search(spark: SparkSession, corpus: Corpus, queries, mode: str = "hybrid", k
         hits = hits.join(sem.select("qid", "doc_id", "seq"), ["qid", "doc_id"], "left")
     else:
         hits = hits.withColumn("seq", none("int"))
-    return _labelled(spark, corpus, asked, hits, lex, qv, mode, precision, match, rerank, explain)
+    return _labelled(spark, corpus, asked, hits, lex, qv, mode, precision, match, rerank, explain), lex
 
 
 def _labelled(spark, corpus, asked, hits, lex, qv, mode, precision, match, rerank, explain) -> DataFrame:
@@ -150,8 +178,8 @@ def _labelled(spark, corpus, asked, hits, lex, qv, mode, precision, match, reran
     return hits.select(*keep, detail.alias("explain"))
 
 
-def results(hits: DataFrame, corpus: Corpus, queries) -> DataFrame:
-    """Hits with metadata, duplicates and highlighted snippets; texts are fetched for the hits alone."""
+def results(hits: DataFrame, corpus: Corpus, queries, bookmarks: DataFrame | None = None) -> DataFrame:
+    """Hits with metadata, duplicates, highlighted snippets and, given bookmarks, whether there is one; texts are fetched for the hits alone."""
     asked = corpus.documents.sparkSession.createDataFrame(_checked(queries), "qid string, query string")
     out = hits.join(asked, "qid").join(corpus.documents, "doc_id")
     if corpus.passages is not None:
@@ -168,6 +196,8 @@ def results(hits: DataFrame, corpus: Corpus, queries) -> DataFrame:
         same = corpus.documents.where("content_hash is not null").select(F.col("content_hash"), F.col("doc_id").alias("other"))
         twins = hits.select("doc_id").distinct().join(corpus.documents.select("doc_id", "content_hash"), "doc_id").join(same, "content_hash").where("doc_id <> other")
         out = out.join(twins.groupBy("doc_id").agg(F.sort_array(F.collect_list("other")).alias("duplicates")), "doc_id", "left")
+    if bookmarks is not None:
+        out = analytics.is_bookmarked(bookmarks, out)
     return out.drop("body")
 
 

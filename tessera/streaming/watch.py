@@ -8,7 +8,10 @@ its files is left alone, and failures back off.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import threading
+import time
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +27,13 @@ MAX_BACKOFF, MAX_INTERVAL = 300.0, 120.0
 
 @dataclass
 class RootState:
-    """What the polls of a root have seen."""
+    """What the polls of a root have seen: (number of files, fingerprint) of listings, never the listings themselves."""
 
-    synced: list = field(default_factory=list)
-    last: list | None = None
+    synced: tuple = (0, None)
+    last: tuple | None = None
     stable: int = 0
     failures: int = 0
+    due: float = 0.0
 
 
 def poll_interval(base: float, walk_seconds: float) -> float:
@@ -46,52 +50,82 @@ def vanished(before: int, after: int) -> bool:
     return before >= VANISH_MIN and after == 0
 
 
+def fingerprint(listing: DataFrame) -> tuple:
+    """(n, two sums): equal for equal listings, whatever their order; one row, however many files there are."""
+    h = F.xxhash64("path", "mtime_ns", "size")
+    return tuple(listing.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")).cast("string")).first())
+
+
 class AutoSync:
-    def __init__(self, col: Collection, interval: float = 5.0, sync=ingest_folder):
-        self.col, self.interval, self.sync = col, interval, sync
+    """Polls the roots of a collection; a manual job can hold it off."""
+
+    def __init__(self, col: Collection, interval: float = 5.0, sync=ingest_folder, clock=time.monotonic):
+        self.col, self.interval, self.sync, self.clock = col, interval, sync, clock
         self.states: dict[str, RootState] = {}
         self.log: list[tuple[str, str]] = []
         self.query = None
+        self._busy = threading.RLock()
 
     def poll(self, root: str, exclude=()) -> str:
-        """One poll of one root: unchanged, changing, synced, vanished or failed."""
+        """One poll of one root: unchanged, changing, synced, vanished or failed. Failures, also of the sync, back off."""
         state = self.states.setdefault(root, RootState())
+        began = self.clock()
         try:
-            now = sorted(map(tuple, snapshot(self.col.spark, root, exclude).collect()))
+            now = fingerprint(snapshot(self.col.spark, root, exclude))
+            wait = poll_interval(self.interval, self.clock() - began)
+            if vanished(state.synced[0], now[0]):
+                return self._say(root, "vanished", wait)
+            state.stable = state.stable + 1 if now == state.last else 1
+            state.last = now
+            if now == state.synced or (not now[0] and state.synced[1] is None):
+                return self._say(root, "unchanged", wait)
+            if state.stable < STABLE_POLLS:
+                return self._say(root, "changing", self.interval)
+            self.sync(self.col, root, exclude)
         except Exception:
             state.failures += 1
-            return self._say(root, "failed")
-        if vanished(len(state.synced), len(now)):
-            return self._say(root, "vanished")
-        state.stable = state.stable + 1 if now == state.last else 1
-        state.last = now
-        if now == state.synced:
-            return self._say(root, "unchanged")
-        if state.stable < STABLE_POLLS:
-            return self._say(root, "changing")
-        self.sync(self.col, root, exclude)
+            return self._say(root, "failed", backoff(self.interval, state.failures))
         state.synced, state.failures = now, 0
-        return self._say(root, "synced")
+        return self._say(root, "synced", wait)
 
-    def _say(self, root: str, what: str) -> str:
+    def _say(self, root: str, what: str, wait: float) -> str:
+        self.states[root].due = self.clock() + wait
         self.log.append((root, what))
         return what
 
-    def start(self) -> "AutoSync":
-        """Poll all roots at every trigger until stopped."""
+    def tick(self) -> list[str]:
+        """Poll the roots that are due, unless a manual job holds the collection."""
+        if not self._busy.acquire(blocking=False):
+            return []
+        try:
+            due = [r for r in self.col.table("roots").where("not coalesce(files_only, false)").collect() if self.states.setdefault(r.path, RootState()).due <= self.clock()]
+            return [self.poll(r.path, r.exclude or ()) for r in due]
+        finally:
+            self._busy.release()
 
-        def tick(_: DataFrame, __: int) -> None:
-            for r in self.col.table("roots").collect():
-                self.poll(r.path, r.exclude or ())
+    @contextmanager
+    def preempt(self):
+        """Hold polling off while a manual job runs; waits for a running poll to end."""
+        with self._busy:
+            yield self
 
+    def start(self) -> "AutoSync":
+        """Poll at every trigger until stopped; the collection remembers that it is kept in step."""
+        if self.query is not None and self.query.isActive:
+            return self
+        if not self.col.preference("auto_sync", False):
+            self.col.set_preference("auto_sync", True)
         ticks = self.col.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        self.query = ticks.writeStream.foreachBatch(tick).trigger(processingTime=f"{self.interval} seconds").start()
+        self.query = ticks.writeStream.foreachBatch(lambda _, __: self.tick() and None).trigger(processingTime=f"{self.interval} seconds").start()
         return self
 
-    def stop(self) -> None:
+    def stop(self, forget: bool = False) -> None:
+        """Stop polling; with ``forget`` also the remembered preference."""
         if self.query is not None:
             self.query.stop()
             self.query = None
+        if forget:
+            self.col.set_preference("auto_sync", False)
 
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import os
+import threading
 
 import pytest
 
@@ -7,9 +8,10 @@ from tessera.cli import run as cli
 from tessera.errors import ConflictError, EmptyQueryError, UsageError
 from tessera.functions.vectors import HashingEmbedder
 from tessera.plans import evaluate
-from tessera.plans.ingest import ingest_folder, ingest_jsonl, scan_changes
+from tessera.operators import analytics
+from tessera.plans.ingest import ingest, ingest_folder, ingest_jsonl, scan_changes
 from tessera.plans.library import Library, slugify
-from tessera.plans.search import results, search
+from tessera.plans.search import results, search, search_with_outcome
 from tessera.plans.store import Collection
 from tessera.sources import beir, files
 from tessera.streaming import watch
@@ -142,6 +144,76 @@ def test_jsonl_and_repeats(spark, tmp_path):
         files.refuse_repeats(spark.createDataFrame([("a",), ("a",)], "doc_id string"))
 
 
+def test_line_numbers_hold_for_any_split(spark, tmp_path):
+    d = tmp_path / "d"
+    d.mkdir()
+    for name, n in (("a.jsonl", 400), ("b.jsonl", 30)):
+        (d / name).write_text("\n".join("" if i % 7 == 3 else json.dumps({"text": f"{name} line {i + 1}"}) for i in range(n)) + "\n[1]\nnot json\n")
+    got = []
+    for size in ("128m", "500b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got.append(sorted((r.doc_id, r.body, r.skip) for r in files.read_jsonl(spark, str(d)).collect()))
+        one = files.read_jsonl(spark, str(d / "a.jsonl"))
+        assert all(r.body == f"a.jsonl line {r.doc_id.removeprefix('line-')}" for r in one.where("skip is null").collect()) and one.where("skip = 'invalid'").count() == 2
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0] == got[1] and all(b == f"{i.replace(':line-', ' line ')}" for i, b, s in got[0] if s is None)
+    assert sum(s is None for _, _, s in got[0]) == 400 - 57 + 30 - 4
+
+
+def test_nested_roots_and_single_files(spark, notes, tmp_path):
+    col = Collection.create(spark, str(tmp_path / "c"))
+    ingest_folder(col, str(notes / "deep"))
+    col.add_bookmark("bread.txt", "keep")
+    version = col.manifest["version"]
+    whole = ingest_folder(col, str(notes))  # takes the root inside it over
+    assert [r.path for r in col.table("roots").collect()] == [str(notes)] and col.manifest["version"] == version + 1
+    assert {r.doc_id for r in col.table("documents").collect()} == {"soil.md", "tagged.md", "deep/bread.txt", "deep/copy.txt"} and whole["removed"] == 2
+    assert [r.doc_id for r in col.table("bookmarks").collect()] == ["deep/bread.txt"]
+    (notes / "deep" / "copy.txt").unlink()
+    (notes / "soil.md").unlink()
+    part = ingest_folder(col, str(notes / "deep"))  # a part of its root: what is gone elsewhere stays
+    assert part["removed"] == 1 and {r.doc_id for r in col.table("documents").collect()} == {"soil.md", "tagged.md", "deep/bread.txt"}
+    assert ingest_folder(col, str(notes), limit=1) == {"added": 0, "updated": 0, "touched": 0, "unchanged": 0, "removed": 0, "skipped": 1, "truncated": True}
+    (notes / "deep" / "new.md").write_text("# New\nnew text")
+    assert ingest(col, str(notes / "deep" / "new.md"))["added"] == 1
+    lone = tmp_path / "lone"
+    lone.mkdir()
+    (lone / "x.md").write_text("alone")
+    (lone / "y.md").write_text("other")
+    assert ingest(col, str(lone / "x.md"))["added"] == 1 and ingest(col, str(lone / "x.md"))["unchanged"] == 1
+    assert {r.doc_id for r in col.table("documents").collect()} == {"soil.md", "tagged.md", "deep/bread.txt", "deep/new.md", "x.md"}
+    assert col.integrity().first().ok and files.list_directory(spark, str(notes))[0] == {"name": "deep", "folder": True, "size": files.list_directory(spark, str(notes))[0]["size"]}
+    assert analytics.last_indexed(col.table("roots"), col.table("documents")).first().last_indexed_at is not None
+
+
+def test_a_failed_run_changes_nothing(spark, notes, tmp_path, monkeypatch):
+    col = Collection.create(spark, str(tmp_path / "c"))
+    ingest_folder(col, str(notes))
+    before, tables = col.manifest, sorted(os.listdir(tmp_path / "c" / "tables" / "documents"))
+    (notes / "soil.md").write_text("changed")
+    monkeypatch.setattr(col.files, "write", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        ingest_folder(col, str(notes))
+    assert col.manifest == before and sorted(os.listdir(tmp_path / "c" / "tables" / "documents")) == tables and not os.path.exists(tmp_path / "c" / ".lock")
+
+
+def test_outcome_and_bookmarked(spark, notes, tmp_path):
+    col = Collection.create(spark, str(tmp_path / "c"), embedder=Axis())
+    col.embedder = Axis()
+    ingest_folder(col, str(notes))
+    col.add_bookmark("soil.md")
+    asked = [("1", "wild yeast"), ("2", "water yeast"), ("3", "zebra")]
+    hits, outcome = search_with_outcome(spark, col.corpus(), asked, mode="lexical", match="auto", k=5)
+    got = {r.qid: r for r in outcome.collect()}
+    assert (got["1"].n_hits, got["1"].strict_count, got["1"].relaxed, got["1"].abstained) == (2, 2, False, False)
+    assert (got["2"].strict_count, got["2"].relaxed) == (0, True) and got["2"].n_hits == 4
+    assert tuple(got["3"])[1:] == (0, 0, False, 0, False)
+    _, outcome = search_with_outcome(spark, col.corpus(), "half", mode="semantic", k=5)
+    assert outcome.first().strict_count is None
+    shown = results(search(spark, col.corpus(), "water", mode="lexical"), col.corpus(), "water", col.table("bookmarks")).collect()
+    assert {r.doc_id: r.bookmarked for r in shown} == {"soil.md": True, "tagged.md": False}
+
+
 def test_search_arguments(spark, tmp_path):
     col = Collection.create(spark, str(tmp_path / "c"))
     for kw in ({"mode": "x"}, {"mode": "semantic"}, {"mode": "lexical", "k": 0}, {"mode": "lexical", "match": "x"}):
@@ -199,6 +271,18 @@ def test_sync(spark, tmp_path, notes):
     (notes / "new.md").write_text("new text")
     assert [sync.poll(str(notes)) for _ in range(2)] == ["changing", "synced"]
     assert col.table("documents").where("doc_id = 'new.md'").count() == 1
+    time_now = [0.0]
+    failing = watch.AutoSync(col, 5.0, sync=lambda *a: 1 / 0, clock=lambda: time_now[0])
+    (notes / "more.md").write_text("more")
+    assert failing.tick() == ["changing"] and failing.tick() == []
+    time_now[0] = 5.0
+    assert failing.tick() == ["failed"] and failing.states[str(notes)].due == 15.0
+    time_now[0] = 15.0
+    with failing.preempt():
+        other = threading.Thread(target=lambda: time_now.append(failing.tick()))
+        other.start()
+        other.join()
+    assert time_now[1] == [] and failing.tick() == ["failed"] and failing.states[str(notes)].due == 35.0
     assert watch.backoff(5, 10) == 300 and watch.poll_interval(5, 2) == 80 and watch.vanished(5, 0) and not watch.vanished(4, 0)
     a, b = [("a", 1, 1)], [("a", 2, 1), ("b", 1, 1)]
     assert watch.diff(spark, a, b) == {"new": 1, "changed": 1, "deleted": 0}
