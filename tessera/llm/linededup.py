@@ -10,12 +10,16 @@ more general than the last: itself, that of the first step and that of both. A
 generalised one counts only if at least ``similarity`` of the places after the
 leading ones are fixed.
 
-A template found in ``min_docs`` documents or more is recurring, and so is a
-line of ``long_tokens`` tokens or more found in two: its lines are dropped from
-every document but the first (least id) that has it, so boilerplate goes and
-nothing is lost from the corpus as a whole. Templates depend on counts alone,
-not on an order of the lines: every step is an aggregation or an equi-join on
-(leaf, place, token), and no leaf, template or line is gathered in one task.
+Rows of equal text are one document here: copies of a document are no lines
+that recur, and all of them come out alike, for near-duplicate removal to deal
+with. A template found in ``min_docs`` documents or more is recurring: its lines
+are dropped from every document but the first (that of the least id), so
+boilerplate goes and nothing is lost from the corpus as a whole. A line of
+``long_tokens`` tokens or more goes from the second document on, unless such
+lines are half of a document or more: it is a near copy then, and stays whole.
+Templates depend on counts alone, not on an order of the lines: every step is
+an aggregation or an equi-join on (leaf, place, token), and no leaf, template or
+line is gathered in one task.
 
 A first pass sends leaf, hash of the masked text and document of every line;
 leaves with lines of ``min_docs`` documents or more are candidates. They set
@@ -27,8 +31,8 @@ are shuffled at the end.
 Defined cases: a null text stays null; blank lines and lines of fewer than
 ``min_tokens`` tokens (none by default) always stay; a line of no more than
 ``depth`` tokens is a leaf of its own, so such lines merge only when equal;
-rows with one id are one document, a null id is no document of its own kind:
-its lines count for nothing and stay; an empty table gives an empty result;
+rows of one id and different texts are different documents; the lines of a row
+without an id count for nothing and stay; an empty table gives an empty result;
 extra columns pass through under any name (but a column ``n_dropped``, which
 the result's replaces).
 """
@@ -63,15 +67,15 @@ def _hash(text: str) -> int:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, long_tokens: int, bitmap: Broadcast | None = None) -> DataFrame:
-    """(leaf, line, doc, long) of every line that can be dropped; given a bitmap of leaves, (leaf, line, masked) of the lines in those."""
-    fields = [("leaf", pa.int64()), ("line", pa.int64()), *([("masked", pa.string())] if bitmap else [("doc", pa.int64()), ("long", pa.bool_())])]
+    """(leaf, line, doc, text, long) of every line that can be dropped, documents and texts as numbers; given a bitmap of leaves, (leaf, line, masked) of the lines in those."""
+    fields = [("leaf", pa.int64()), ("line", pa.int64()), *([("masked", pa.string())] if bitmap else [("doc", pa.int64()), ("text", pa.int64()), ("long", pa.bool_())])]
     schema = pa.schema(fields)
 
     def run(batches):
         bits = bitmap.value if bitmap else None
         for b in batches:
             out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, t, x in zip(*(b.column(i).to_pylist() for i in range(3))):
                 own = set()
                 for s in (t or "").split("\n"):
                     tokens = masked_tokens(s)
@@ -84,11 +88,12 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_token
                     h = _hash(m)
                     if h not in own:
                         own.add(h)
-                        out.append((leaf, h, m) if bitmap else (leaf, h, d, len(tokens) >= long_tokens))
+                        out.append((leaf, h, m) if bitmap else (leaf, h, d, x, len(tokens) >= long_tokens))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(fields), schema)], schema=schema)
 
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null")
-    return plain.mapInArrow(run, f"leaf long, line long, {'masked string' if bitmap else 'doc long, long boolean'}")
+    text = F.col(f"`{text_col}`").cast("string")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash")).where("id is not null")
+    return plain.mapInArrow(run, f"leaf long, line long, {'masked string' if bitmap else 'doc long, text long, long boolean'}")
 
 
 def _bitmap(hashes: DataFrame) -> Broadcast:
@@ -130,18 +135,22 @@ def _templates(seen: DataFrame, depth: int, similarity: float, min_docs: int) ->
 
 
 def recurring_lines(docs: DataFrame, slim: DataFrame, depth: int = 3, similarity: float = 0.7, min_docs: int = 5, min_tokens: int = 1, long_tokens: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(line, doc): lines (by hash) of recurring templates, and the document that keeps them. ``slim``: what ``line_rows`` gives."""
-    ends = [F.min("doc").alias("a"), F.max("doc").alias("b")]
+    """(line, keeper, recurring): lines (by hash) that go, the text that keeps them, and whether by their template or as long ones only.
+
+    ``slim``: what ``line_rows`` gives.
+    """
+    ends = [F.min("text").alias("a"), F.max("text").alias("b")]
+    first = F.min(F.struct("doc", "text")).alias("first")
     leaves = slim.groupBy("leaf").agg(F.count("*").alias("n"), *ends).where((F.col("n") >= min_docs) & (F.col("a") < F.col("b")))
     leaves = materialise(leaves.select("leaf"), "lines-leaves")
     seen = line_rows(docs, id_col, text_col, depth, min_tokens, long_tokens, _bitmap(leaves)).groupBy("leaf", "line").agg(F.min("masked").alias("masked"), F.count("*").alias("n"))
     seen = materialise(seen.join(leaves, "leaf", "left_semi"), "lines-seen")
     of = _templates(seen, depth, similarity, min_docs)
     # documents of a template: those of its lines, counted once each
-    counted = slim.select("line", "doc").join(of, "line").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("doc"))
-    found = of.join(materialise(counted.where(F.col("docs") >= min_docs).select("template", "doc"), "lines-recurring"), "template").select("line", "doc")
-    twice = slim.where("long").groupBy("line").agg(*ends).where("a < b").select("line", F.col("a").alias("doc"))
-    out = materialise(found.unionByName(twice).groupBy("line").agg(F.min("doc").alias("doc")), "lines-drop")
+    counted = slim.select("line", "doc", "text").join(of, "line").groupBy("template", "text").agg(F.min("doc").alias("doc")).groupBy("template").agg(F.count("*").alias("docs"), first)
+    found = of.join(materialise(counted.where(F.col("docs") >= min_docs).select("template", "first"), "lines-recurring"), "template").select("line", "first", F.lit(True).alias("recurring"))
+    twice = slim.where("long").groupBy("line").agg(*ends, first).where("a < b").select("line", "first", F.lit(False).alias("recurring"))
+    out = materialise(found.unionByName(twice).groupBy("line").agg(F.min("first").alias("first"), F.max("recurring").alias("recurring")).select("line", F.col("first.text").alias("keeper"), "recurring"), "lines-drop")
     drop(seen, leaves, of)
     return out
 
@@ -151,18 +160,19 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_doc
     docs = docs.drop("n_dropped")
     slim = materialise(line_rows(docs, id_col, text_col, depth, min_tokens, long_tokens), "lines-slim")
     keepers = recurring_lines(docs, slim, depth, similarity, min_docs, min_tokens, long_tokens, id_col, text_col)
-    hits = slim.join(keepers.withColumnRenamed("doc", "keeper"), "line").where("doc <> keeper").select("doc", "line")
-    lists = materialise(hits.groupBy("doc").agg(F.collect_set("line").alias("lines")), "lines-lists")  # at most a document's own lines
-    bitmap = _bitmap(lists.select(F.xxhash64("doc").alias("h")))
+    hits = slim.join(keepers, "line").where("text <> keeper")
+    own = lambda recurring: F.collect_set(F.when(F.col("recurring") == F.lit(recurring), F.col("line")))
+    lists = materialise(hits.groupBy(F.col("text").alias("h")).agg(own(True).alias("lines"), own(False).alias("long")), "lines-lists")  # at most a text's own lines
+    bitmap = _bitmap(lists.select("h"))
     drop(slim, keepers)
     # the caller's columns travel in a struct, so no name of theirs can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"))
-    rows = rows.withColumn("h", F.when(F.col("doc").isNotNull(), F.xxhash64("doc")))
+    key = F.when(F.col(f"`{id_col}`").cast("long").isNotNull(), F.xxhash64(F.col(f"`{text_col}`").cast("string"))).alias("h")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key)
     names, at = docs.columns, docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("n_dropped", IntegerType())])
 
     def hit(b: pa.RecordBatch) -> np.ndarray:
-        known, h = np.frombuffer(bitmap.value, np.uint8), b.column(2)
+        known, h = np.frombuffer(bitmap.value, np.uint8), b.column(1)
         there = h.is_valid().to_numpy(zero_copy_only=False)
         h = h.fill_null(0).to_numpy()
         return there & (known[h >> 3 & BITMAP - 1] >> (h & 7).astype(np.uint8) & 1).astype(bool)
@@ -180,23 +190,21 @@ def drop_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.7, min_doc
         for b in batches:
             texts, counts = [], []
             columns = b.column(0).flatten()
-            for t, gone in zip(columns[at].to_pylist(), b.column(1).to_pylist()):
-                if t is None or not gone:
+            for t, gone, long in zip(columns[at].to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if t is None or not (gone or long):
                     texts.append(t)
                     counts.append(0)
                     continue
-                gone, kept, n = set(gone), [], 0
-                for s in t.split("\n"):
-                    tokens = masked_tokens(s)
-                    if len(tokens) >= max(1, min_tokens) and _hash(" ".join(tokens)) in gone:
-                        n += 1
-                    else:
-                        kept.append(s)
+                gone, long = set(gone), set(long)
+                lines = [(s, len(k), _hash(" ".join(k)) if len(k) >= max(1, min_tokens) else None) for s in t.split("\n") for k in [masked_tokens(s)]]
+                if 2 * sum(n for _, n, h in lines if h in long) < sum(n for _, n, _ in lines):
+                    gone |= long
+                kept = [s for s, _, h in lines if h not in gone]
                 texts.append("\n".join(kept))
-                counts.append(n)
+                counts.append(len(lines) - len(kept))
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32())], names=[*names, "n_dropped"])
 
     # the lists have no proven bound, so they are merged and not broadcast, with few documents as with many
-    joined = rows.mapInArrow(affected, rows.schema).join(lists.hint("merge"), "doc", "left").select("row", "lines")
+    joined = rows.mapInArrow(affected, rows.schema).join(lists.hint("merge"), "h", "left").select("row", "lines", "long")
     return joined.mapInArrow(strip, schema).unionByName(rows.mapInArrow(other, schema))
