@@ -74,6 +74,8 @@ PAGES = [
     (8, "http://e.com", link("/de/")), (9, "http://example.com/de/", ""), (10, "http://e.com/de/", link("mailto:x@a.net")), (11, "http://q.example.net/en/1", link("http://q.net/")),
     (12, "http://q.net/", ""), (13, "http://f.com/#top", link("#here")), (None, "http://g.com/a?b", link("?c")), (14, "http://g.com/a?c", link("http://x.example.com/de/")), (14, "http://g.com/a?c", None),
     (15, "http://fexample.net/en/1", None), (16, "HTTP://Sub.ORG/fr/" + "x" * 5000, None),
+    (17, "http://h.com/1", link("") + link("#x") + link("mailto:a@b.c") + hop("http://two.net/") + link("http://h.com/2")), (18, "http://h.com/2", None),
+    (19, "http://i.com/a/b/c", link("../../z/./y/..") + "<!-- " + link("http://three.net/") + " -->"), (20, "http://i.com/z/", hop("/../../w?p=/../q&#38;r")), (21, "http://i.com/w?p=/../q&r", link("http://four.net/.")),
 ]
 
 
@@ -85,11 +87,35 @@ def test_url_filter_equals_sql(spark):
     con = duckdb.connect()
     con.register("pages", pages)
     assert got == sorted(map(str, con.sql(urlfilter.oracle()).fetchall()))
+    clash = spark.createDataFrame([(*r, "a", "b", "c") for r in PAGES], "page_id long, url string, html string, node string, row string, __x string")
+    assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in urlfilter.filter_urls(clash).collect()) == got
+    assert urlfilter.filter_urls(clash).columns == ["page_id", "url", "node", "row", "__x", "host", "path", "rule", "verdict"]
     verdict = {r.page_id: r.verdict for r in rows}
+    assert verdict[17] == verdict[18] == verdict[20] == verdict[21] == "block"
     assert verdict[2] == verdict[4] == verdict[5] == verdict[14] == verdict[None] == "block"
     assert verdict[3] == verdict[11] == verdict[6] == verdict[13] == "allow" and verdict[15] == "block"
 
 
+def test_url_filter_with_links_at_scale(spark):
+    """Thousands of pages in chains, stars and pairs, against recursive SQL."""
+    rng = random.Random(16)
+    hosts = [f"h{i}.{t}" for i in range(60) for t in ("com", "org", "example.com")] + ["a.net", "b.example.net"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'fr', 'x'])}/{i}" for i in range(3000)]
+    rows = []
+    for i, u in enumerate(urls):
+        body = None if i % 5 == 0 else ""
+        if i % 5 == 1:
+            body = link(urls[i - 1]) + (hop(urls[i + 1]) if i % 3 else "")
+        if i % 5 == 2 and i > 2000:
+            body = link(urls[2000]) + link(f"../{rng.choice(['de', 'fr'])}/{i - 1}")
+        rows.append((i, u, body))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in urlfilter.filter_urls(pages).collect())
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert got == sorted(map(str, con.sql(urlfilter.oracle()).fetchall()))
+
+
 def test_url_filter_shield_and_limits(spark):
     df = spark.createDataFrame([(1, "http://a.net/", None), (2, "http://b.com/", link("http://a.net/")), (3, "http://org/fr/", link("http://b.com/"))], "page_id long, url string, html string")
     plain = {r.page_id: r.verdict for r in urlfilter.filter_urls(df).collect()}
