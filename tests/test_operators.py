@@ -100,6 +100,34 @@ def test_semantic_float(spark, vecs):
     assert rows(semantic.semantic_search(vecs.repartition(4), q, 4), "doc_id", "seq") == [g[:2] for g in got]
 
 
+def test_semantic_blocks_equal_one_pass(spark, monkeypatch):
+    """Many queries meet the rows in blocks; documents of several passages, ties, equal ids left out."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"d{i % 40}", i // 40, [float(rng.choice([-1, 0, 1, 2])) for _ in range(4)] + [0.5]) for i in range(120)]
+    v = spark.createDataFrame(rows, "doc_id string, seq int, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(f"d{i}", rows[i][2]) for i in range(0, 40, 2)], "qid string, embedding array<float>")
+    for kw in ({}, {"exclude_self": True}, {"precision": "binary"}, {"precision": "int8", "exclude_self": True}):
+        want = sorted(map(str, semantic.semantic_search(v, q, 5, digits=6, **kw).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(semantic, "MAX_QUERIES", 6)
+            m.setattr(semantic, "BLOCK", 17)
+            assert sorted(map(str, semantic.semantic_search(v, q, 5, digits=6, **kw).collect())) == want and len(want) == 100
+
+
+def test_stored_index_equals_one_made_on_the_fly(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common Text of number {i} Éa 東京") for i in range(200)] + [(900, None)], "doc_id long, body string")
+    asked = [("1", "word3 common"), ("2", "number 東京"), ("3", "éa of-number"), ("4", "missing")]
+    for tokenizer in ("simple", "porter"):
+        index = lexical.build_index(docs, tokenizer=tokenizer)
+        lexical.save_index(index, f"{tmp_path}/{tokenizer}")
+        stored = lexical.load_index(spark, f"{tmp_path}/{tokenizer}", tokenizer)
+        for match in ("all", "any", "auto"):
+            a, b = (sorted(map(str, lexical.lexical_search(spark, x, asked, 20, match, digits=9).collect())) for x in (index, stored))
+            assert a == b and a
+
+
 def test_semantic_binary_and_int8(spark, vecs):
     q = spark.createDataFrame([("q", [0.6, 0.8, -1.0])], "qid string, embedding array<float>")
     assert rows(semantic.semantic_search(vecs, q, 2, "binary"), "doc_id", "score") == [("a", 0.0), ("b", -1.0)]
