@@ -1,13 +1,13 @@
 import random
-import zlib
+from collections import Counter
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import entry, neardup, tokens
+from tessera.llm import mixing, neardup
 
-from test_small_operators import brute_lines, components, prose
+from test_small_operators import brute_lines, check_packing, components, prose
 
 
 def test_stages(spark, sf):
@@ -26,8 +26,14 @@ def test_stages(spark, sf):
     assert sorted(str((r.doc_id, r.text)) for r in one.collect()) == heads and one.columns == docs.columns
     mixed = stages["mixing"](spark, one, sf).cache()
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in one.collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rated, _ = mixing.mix(one, labels)
+    copies = {r.doc_id: r.copies for r in rated.collect()}
+    times = Counter(r.doc_id for r in mixed.collect())
+    assert {d: times[d] for d in copies} == copies and sum(times.values()) == sum(copies.values())
     packed = stages["packing"](spark, mixed, sf).collect()
-    assert sum(r.length for r in packed) == sum(len(tokens.encode(r.text)) + 1 for r in mixed.collect())
+    _, by_doc, bins = check_packing([(r.doc_id, r.text) for r in mixed.collect()], packed, 1024)
+    assert {d for d, _ in by_doc} == {str(d) for d in times} and sum(r.length for r in packed) > 0.97 * 1024 * (len(bins) - 1)
 
 
 def test_pipeline_on_nothing(spark, sf):
@@ -37,19 +43,39 @@ def test_pipeline_on_nothing(spark, sf):
     assert docs.count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.QUERIES))
-def test_registered(spark, sf, name):
-    df = entry.QUERIES[name](spark, sf)
-    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, repeated rows, one id with several texts, a very long text, clashing and map columns."""
+    rng = random.Random(21)
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    long = "\n".join(prose(rng, 12) for _ in range(20_000))
+    rows = [(None, None, None, None, None), (7001, None, "en", "s", 0), (7002, "", None, None, None), (7003, " \n\t\n", "en", "s", 4), (7004, long, "en", "s", len(long)), (7004, long, "en", "s", len(long)), (7005, "one", "en", "s", 3), (7005, "two words", "en", "s", 9), (None, "no id here", "en", "s", 10)]
+    odd = plain.unionByName(spark.createDataFrame(rows, plain.schema))
+    extra = {c: F.lit("x") for c in ("row", "h", "doc", "low", "node", "lines", "long", "u", "__chance", "__text", "__doc", "__lines", "__keep", "key", "line", "n", "grp", "score", "n_dropped_before")}
+    docs = odd.withColumns(extra).withColumn("map", F.create_map(F.lit("k"), F.col("lang")))
+    columns = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    counts = []
+    for name in ("toxicity", "line_dedup", "near_dedup", "mixing"):
+        docs = stages[name](spark, docs, sf).cache()
+        assert docs.columns == columns
+        counts.append(docs.where("doc_id is null").count())
+        texts = {(r.doc_id, r.text) for r in docs.where("doc_id between 7001 and 7005 or doc_id is null").collect()}
+        if name != "mixing":
+            assert {(7005, "one"), (7005, "two words"), (None, "no id here"), (None, None)} <= texts
+        if name == "near_dedup":
+            assert len([1 for d, t in texts if d in (7001, 7002, 7003)]) == 1 and docs.where("doc_id = 7004").count() == 1
+    assert counts[:3] == [2, 2, 2]
+    packed = stages["packing"](spark, docs, sf).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_packing(rows, packed, 1024)
 
 
-def test_packing_query(spark, sf):
-    got = entry.op8_packing(spark, sf).collect()
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in got[:300]:
-        ids = np.append(tokens.encode(texts[r.doc_id]), 0).astype("<u4")
-        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
-    assert {r.doc_id for r in got} == set(texts)
+def test_run_is_its_stages_on_whole_tables(spark, sf):
+    got = corpus_pipeline.run(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect())) and got.count() > 200
 
 
 def brute_jaccard(rows, similarity=0.8):
