@@ -17,6 +17,12 @@ with a smaller id is removed (overlaps count, strings are judged on the input).
    strings and finds the least id of each.
 4. The answers return to the chunks, which mark their documents' bytes.
 
+A hash range gets an entry from each chunk that has a part of it, so a passage
+that a third of a very large corpus shares would put millions of entries into
+one range. Beyond ``ENTRIES`` chunks the entries of a range first meet in parts
+of that many; a part goes on as one entry without what its chunks repeat, and
+the answer to it is dealt back to them.
+
 All stages are keyed by chunk or hash range, tables between them lie in the
 shared folder, and nothing is collected to the driver but counts.
 
@@ -46,6 +52,8 @@ CHUNK = 768 << 10
 BLOCK = 1 << 16
 GROUP = 128 << 10
 RANGE = 6 << 20
+#: entries of one hash range that a task takes at once
+ENTRIES = 4096
 NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -234,8 +242,8 @@ def _runs(owners: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.bincount(text, minlength=len(windows)), at + 1 - (ends - windows)[text], owners[at]
 
 
-def _solve(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[bytes]:
-    """Answers to each chunk's entries (hash, size, least id, bytes) of one hash range."""
+def _distinct(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct fragments of entries (hash, size, least id, bytes), their hashes and least ids, and which each entry has."""
     seen: dict[bytes, int] = {}
     numbers = []
     for _, size, _, body in entries:
@@ -247,6 +255,19 @@ def _solve(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
     for own, (h, _, low, _) in zip(numbers, entries):
         hashes[own] = h
         np.minimum.at(least, own, low)
+    return texts, hashes, least, numbers
+
+
+def _dealt(count: np.ndarray, ends: np.ndarray, lows: np.ndarray, own: np.ndarray) -> bytes:
+    """The answer to an entry: the runs of its fragments."""
+    start, n = np.cumsum(count) - count, count[own]
+    at = np.arange(int(n.sum())) + np.repeat(start[own] - (np.cumsum(n) - n), n)
+    return _zip(n.astype(np.uint16), ends[at].astype(np.uint16), lows[at])
+
+
+def _solve(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[bytes]:
+    """Answers to each chunk's entries of one hash range."""
+    texts, hashes, least, numbers = _distinct(entries)
     by = np.argsort(hashes, kind="stable")
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))[by]
     total, ordered = np.cumsum(sizes), hashes[by]
@@ -259,16 +280,29 @@ def _solve(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
                 x.append(y)
             i = e
     count, ends, lows = map(np.concatenate, (count, ends, lows))
-    start = np.cumsum(count) - count
     where = np.empty(len(by), np.int64)
     where[by] = np.arange(len(by))
-    out = []
-    for own in numbers:
-        k = where[own]
-        n = count[k]
-        at = np.arange(int(n.sum())) + np.repeat(start[k] - (np.cumsum(n) - n), n)
-        out.append(_zip(n.astype(np.uint16), ends[at].astype(np.uint16), lows[at]))
-    return out
+    return [_dealt(count, ends, lows, where[own]) for own in numbers]
+
+
+def _hashes(block: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(block, np.uint32)[0], dtype=np.uint32)
+
+
+def _in_parts(entries: DataFrame, splits: int, tasks: int, merge, solve, deal) -> DataFrame:
+    """What ``solve`` answers to the entries (bucket, chunk_id, data) of each bucket, by way of ``splits`` parts.
+
+    ``merge`` turns the entries of a part into one, ``solve`` answers the merged
+    entries of a bucket, ``deal`` (entries, merged answer) answers the entries.
+    """
+    shape = "bucket long, chunk_id long, data binary"
+    if splits == 1:
+        return entries.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(solve, shape)
+    part = ["bucket", "part"]
+    dealt = materialise(entries.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(splits))), "suffix-entries")
+    merged = dealt.repartition(tasks, *part).groupBy(*part).applyInArrow(merge, shape)  # a part's number in the place of a chunk's
+    answers = materialise(merged.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(solve, shape).withColumnRenamed("chunk_id", "part"), "suffix-parts")
+    return dealt.repartition(tasks, *part).groupBy(*part).cogroup(answers.repartition(tasks, *part).groupBy(*part)).applyInArrow(deal, shape)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +311,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         raise ValueError("length must be between 8 and 4095 bytes")
     spark = docs.sparkSession
     table = materialise(chunks(docs, id_col, text_col), "suffix-chunks")
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
+    total, chunks_ = table.agg(F.sum("n_bytes"), F.count("*")).first()
+    total = total or 0
+    splits = max(1, -(-chunks_ // ENTRIES))
     buckets = max(partitions(spark), total // RANGE, 1)  # hash ranges: groups of a few MB, many of them in a task
     tasks = max(partitions(spark), 12)
 
@@ -289,7 +325,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                 yield _rows(rows)
 
     def repeated(t: pa.Table) -> pa.Table:
-        got = [np.cumsum(_unzip(d, np.uint32)[0], dtype=np.uint32) for d in t.column("data").to_pylist()]
+        got = [_hashes(d) for d in t.column("data").to_pylist()]
         value, count = np.unique(np.concatenate(got), return_counts=True)
         value = value[count > 1]
         rows = []
@@ -300,12 +336,27 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         return pa.Table.from_batches([_rows(rows)])
 
     shape = "bucket long, chunk_id long, data binary"
-    met = table.select("chunk_id", "data").mapInArrow(minimisers, shape).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, shape)
+    def merge_hashes(t: pa.Table) -> pa.Table:
+        value, count = np.unique(np.concatenate([_hashes(d) for d in t.column("data").to_pylist()]), return_counts=True)
+        both = np.repeat(value, np.minimum(count, 2))
+        return pa.Table.from_batches([_rows([(t.column("bucket")[0].as_py(), t.column("part")[0].as_py(), _zip(np.diff(both, prepend=np.uint32(0))))])])
+
+    def deal_hashes(t: pa.Table, answer: pa.Table) -> pa.Table:
+        rows = []
+        if t.num_rows and answer.num_rows:
+            value = _hashes(answer.column("data")[0].as_py())
+            for k, c, d in zip(*(t.column(n).to_pylist() for n in ("bucket", "chunk_id", "data"))):
+                h = np.intersect1d(np.unique(_hashes(d)), value, assume_unique=True)
+                if len(h):
+                    rows.append((k, c, _zip(np.diff(h, prepend=np.uint32(0)))))
+        return pa.Table.from_batches([_rows(rows)])
+
+    met = _in_parts(table.select("chunk_id", "data").mapInArrow(minimisers, shape), splits, tasks, merge_hashes, repeated, deal_hashes)
     wanted = materialise(met.groupBy("chunk_id").agg(F.collect_list("data").alias("wanted")), "suffix-wanted")
 
     def chosen(d: bytes, w: list[bytes]) -> Chunk:
         c = Chunk(d, length)
-        c.select(np.sort(np.concatenate([np.cumsum(_unzip(x, np.uint32)[0], dtype=np.uint32) for x in w])))
+        c.select(np.sort(np.concatenate([_hashes(x) for x in w])))
         return c
 
     def send(batches):
@@ -318,12 +369,28 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                     rows.append((k, c, _zip(x.text_hash[s:e], np.fromiter(map(len, part), np.uint16, e - s), x.least[s:e], np.frombuffer(b"".join(part), np.uint8))))
                 yield _rows(rows)
 
+    def opened(t: pa.Table) -> list[tuple]:
+        return [tuple(_unzip(d, np.uint32, np.uint16, np.int64, np.uint8)) for d in t.column("data").to_pylist()]
+
+    def merge_fragments(t: pa.Table) -> pa.Table:
+        texts, hashes, least, _ = _distinct(opened(t.sort_by("chunk_id")))
+        data = _zip(hashes, np.fromiter(map(len, texts), np.uint16, len(texts)), least, np.frombuffer(b"".join(texts), np.uint8))
+        return pa.Table.from_batches([_rows([(t.column("bucket")[0].as_py(), t.column("part")[0].as_py(), data)])])
+
+    def deal_answers(t: pa.Table, answer: pa.Table) -> pa.Table:
+        if not t.num_rows or not answer.num_rows:
+            return pa.Table.from_batches([_rows([])])
+        t = t.sort_by("chunk_id")
+        count, ends, lows = _unzip(answer.column("data")[0].as_py(), np.uint16, np.uint16, np.int64)
+        out = [_dealt(count.astype(np.int64), ends, lows, own) for own in _distinct(opened(t))[3]]
+        return pa.Table.from_batches([_rows(list(zip(t.column("bucket").to_pylist(), t.column("chunk_id").to_pylist(), out)))])
+
     def solve(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk_id")
-        entries = [tuple(_unzip(d, np.uint32, np.uint16, np.int64, np.uint8)) for d in t.column("data").to_pylist()]
+        entries = opened(t)
         return pa.Table.from_batches([_rows(list(zip(t.column("bucket").to_pylist(), t.column("chunk_id").to_pylist(), _solve(entries, length))))])
 
-    solved = table.join(wanted, "chunk_id").select("chunk_id", "data", "wanted").mapInArrow(send, shape).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(solve, shape)
+    solved = _in_parts(table.join(wanted, "chunk_id").select("chunk_id", "data", "wanted").mapInArrow(send, shape), splits, tasks, merge_fragments, solve, deal_answers)
     answers = materialise(solved.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("answers")), "suffix-answers")
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
