@@ -667,9 +667,11 @@ def brute_suffix(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk,block", [(768 << 10, 1 << 16), (1500, 64)])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, chunk, block):
+@pytest.mark.parametrize("chunk,block,entries", [(768 << 10, 1 << 16, 4096), (1500, 64, 4096), (700, 64, 3)])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, chunk, block, entries):
+    """Whole chunks; small ones; ranges whose entries meet in parts first."""
     monkeypatch.setattr(suffix, "BLOCK", block)
+    monkeypatch.setattr(suffix, "ENTRIES", entries)
     monkeypatch.setattr(suffix, "GROUP", 400)
     real = suffix.chunks
     monkeypatch.setattr(suffix, "chunks", lambda d, i, t: real(d, i, t, chunk))
