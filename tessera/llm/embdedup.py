@@ -12,9 +12,9 @@ Which pairs meet at all rests on the same sum. Deal the axes to GROUPS groups:
 in one of them at least, the squared gaps of a true pair sum to r^2 / GROUPS or
 less, so no gap there exceeds r / sqrt(GROUPS). In each group a vector enters the
 cells, on the group's first few axes, that its window of that width touches (a
-cell is three windows wide, so 4/3 cells an axis); a true pair shares the cell of its midpoint. The
-number of axes follows the size of the largest label, so cells hold about
-``BLOCK`` rows, and a label of few rows is one cell. A link counts in the first
+cell is ``WIDE`` = 2 windows wide, so 3/2 cells an axis); a true pair shares the
+cell of its midpoint. The number of axes follows the size of the largest label,
+so cells hold about ``BLOCK`` rows, and a label of few rows is one cell. A link counts in the first
 group whose axes all collide, in the midpoint's cell only. A cell of more rows
 is dealt out in pairs of blocks. A task returns link counts and a spanning
 forest of its links, never all pairs.
@@ -42,7 +42,9 @@ from .ann import by_length, rows_of, usable
 from .common import drop, materialise, partitions
 from .graph import connected_components
 
-BLOCK, STRIP, MISSES, FIRST, GROUPS = 4096, 512, 4, 16, 4
+BLOCK, STRIP, MISSES, FIRST = 4096, 512, 4, 16
+#: groups of axes, and windows in the width of a cell
+GROUPS, WIDE = 8, 2
 
 
 @lru_cache(64)
@@ -79,7 +81,7 @@ def cells(x: np.ndarray, cosine: float, axes: int) -> tuple[np.ndarray, np.ndarr
     for g in range(min(GROUPS, d) if axes else 1):
         at, key = np.arange(len(x)), np.full(len(x), g + 1, np.uint64)
         for a in _axes(d, g, axes):
-            low, high = (np.floor((x[at, a] + s) / (3 * eps)) for s in (-half, half))
+            low, high = (np.floor((x[at, a] + s) / (WIDE * eps)) for s in (-half, half))
             two = high > low
             at, key = np.concatenate([at, at[two]]), np.concatenate([_mixed(key, low), _mixed(key[two], high[two])])
         rows.append(at)
@@ -99,7 +101,7 @@ def counted_here(x: np.ndarray, y: np.ndarray, cosine: float, axes: int, group:
     key = np.full(len(x), group + 1, np.uint64)
     for a in _axes(d, group, axes):
         ok &= np.abs(x[:, a] - y[:, a]) <= eps
-        key = _mixed(key, np.floor((x[:, a] + y[:, a]) / 2 / (3 * eps)))
+        key = _mixed(key, np.floor((x[:, a] + y[:, a]) / 2 / (WIDE * eps)))
     return ok & (key.view(np.int64) == cell)
 
 
@@ -187,8 +189,8 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     seen = plain.where(able).groupBy("label", "v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
     rows = materialise(seen.withColumn("row", F.monotonically_increasing_id()), "embdedup-rows")
     most = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    # an axis leaves about two fifths of a label's rows in a cell, and there are GROUPS cells; below that one cell is less work
-    axes = 0 if most <= 4 * BLOCK else max(3, int(np.ceil(np.log(most / BLOCK) / np.log(2.5))))
+    # an axis leaves about half of the pairs in a cell, and there are GROUPS chances to meet; with fewer rows one cell is less work
+    axes = 0 if most <= 16 * BLOCK else max(6, int(np.ceil(np.log2(most / BLOCK))))
 
     entry = pa.schema([("label", pa.string()), ("d", pa.int32()), ("grp", pa.int32()), ("cell", pa.int64()), ("row", pa.int64())])
 
