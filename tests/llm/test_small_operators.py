@@ -407,7 +407,7 @@ def brute_links(rows, cosine):
 
 @pytest.mark.parametrize("block,strip", [(4096, 512), (32, 24), (4, 512)])
 def test_embedding_dedup_equals_brute_force(spark, monkeypatch, block, strip):
-    """One cell for a label; cells of three axes; cells of four axes dealt out in pairs of blocks."""
+    """One cell for a label; one in pairs of blocks; cells on all axes of the groups, also in pairs of blocks."""
     monkeypatch.setattr(embdedup, "BLOCK", block)
     monkeypatch.setattr(embdedup, "STRIP", strip)
     rng = np.random.default_rng(3)
