@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from .errors import TesseraError
 from .functions.vectors import HashingEmbedder
 from .operators.analytics import status
-from .plans.evaluate import load_gold, report, run_eval, run_smoke
+from .plans.evaluate import load_gold, report, run_alpha_sweep, run_eval, run_smoke
 from .plans.ingest import ingest, scan_changes
 from .plans.library import Library
 from .plans.search import results, search
@@ -57,10 +57,18 @@ def parser() -> argparse.ArgumentParser:
     p = add("restore")
     p.add_argument("source")
     p.add_argument("name")
-    p = add("eval")
-    p.add_argument("folder")
-    p.add_argument("qrels")
-    add("smoke").add_argument("gold")
+    for name in ("eval", "sweep-alpha"):
+        p = add(name)
+        p.add_argument("folder")
+        p.add_argument("qrels")
+        p.add_argument("-k", type=int, default=10)
+        p.add_argument("--publish", help="folder for the manifest and the report")
+    p = add("smoke")
+    p.add_argument("gold")
+    p.add_argument("-k", type=int, default=5)
+    p = add("relocate-folder")
+    p.add_argument("root_id", type=int)
+    p.add_argument("path")
     return top
 
 
@@ -82,7 +90,9 @@ def run(spark: SparkSession, argv: list[str], out=print) -> None:
         Collection.restore(spark, a.source, f"{lib.root}/{a.name}")
         return out(json.dumps(lib.register(a.name, f"{lib.root}/{a.name}")))
     if a.command == "eval":
-        return out(report(run_eval(spark, a.folder, a.qrels, model), "Evaluation"))
+        return out(report(run_eval(spark, a.folder, a.qrels, model, a.k, a.publish), "Evaluation"))
+    if a.command == "sweep-alpha":
+        return out(report(run_alpha_sweep(spark, a.folder, a.qrels, model, a.k, a.publish), "Sweep of alpha"))
     col = lib.open(a.collection, model)
     if a.command == "index":
         out(json.dumps(ingest(col, a.path, a.exclude, not a.keep_deleted)))
@@ -113,7 +123,9 @@ def run(spark: SparkSession, argv: list[str], out=print) -> None:
     elif a.command == "rebuild-passages":
         col.rebuild_passages(a.value or "default")
     elif a.command == "smoke":
-        out(json.dumps(run_smoke(spark, col.corpus(), load_gold(a.gold))))
+        out(json.dumps(run_smoke(spark, col.corpus(), load_gold(a.gold), a.k)))
+    elif a.command == "relocate-folder":
+        col.relocate_root(a.root_id, a.path)
     elif a.command == "watch":
         AutoSync(col, float(a.value or 5)).start().query.awaitTermination()
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.passages import with_passages
 from ..functions.vectors import compose_embed_text, embed
-from ..operators import lexical, metrics, semantic
+from ..operators import analytics, lexical, metrics, semantic
 from ..sources import beir
 from .search import Corpus, alpha_sweep, query_vectors, search
+from .store import Files
 
 CONFIGS = (
     ("lexical", {"mode": "lexical"}),
@@ -48,10 +50,47 @@ def run_suite(spark: SparkSession, corpus: Corpus, queries: list[tuple[str, str]
     return out
 
 
-def run_eval(spark: SparkSession, folder: str, qrels_path: str, embedder, k: int = 10) -> list[dict]:
+def dataset_fingerprint(spark: SparkSession, folder: str, qrels_path: str) -> str:
+    """A SHA-256 of a test collection's rows; equal for equal rows, however they are split into files."""
+    parts = {"corpus": beir.load_corpus(spark, folder), "queries": beir.load_queries(spark, folder), "qrels": beir.load_qrels(spark, qrels_path)}
+    rows = [df.select(F.concat(F.lit(f"{name} "), F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)).alias("row")) for name, df in parts.items()]
+    return analytics.id_digest(reduce(DataFrame.unionByName, rows), "row").first().digest
+
+
+def run_eval(spark: SparkSession, folder: str, qrels_path: str, embedder, k: int = 10, publish: str | None = None) -> list[dict]:
+    """Every configuration on a test collection. With ``publish``, a manifest and a report appear in that folder, whole or not at all."""
     queries = [(r.qid, r.text) for r in beir.load_queries(spark, folder).collect()]
     corpus = build_corpus(beir.load_corpus(spark, folder), embedder)
-    return run_suite(spark, corpus, queries, beir.load_qrels(spark, qrels_path), k)
+    rows = run_suite(spark, corpus, queries, beir.load_qrels(spark, qrels_path), k)
+    if publish:
+        model = {"name": embedder.name, "revision": embedder.revision, "dimension": embedder.dimension}
+        manifest = {"dataset": folder, "qrels": qrels_path, "fingerprint": dataset_fingerprint(spark, folder, qrels_path), "model": model, "k": k, "documents": corpus.documents.count(), "queries": len(queries), "created_at": time.time(), "results": rows}
+        publish_report(spark, publish, {"manifest.json": json.dumps(manifest, indent=1), "report.md": report(rows, "Evaluation")})
+    return rows
+
+
+def publish_report(spark: SparkSession, folder: str, contents: dict[str, str]) -> None:
+    """Write some small files to a new folder and rename it into place; an older report is kept beside it."""
+    files, folder = Files(spark), folder.rstrip("/")
+    staged = f"{folder}.writing-{time.time_ns()}"
+    for name, text in contents.items():
+        files.create(f"{staged}/{name}", text)
+    if files.exists(folder):
+        files.rename(folder, f"{folder}-before-{time.time_ns()}")
+    files.rename(staged, folder)
+
+
+def run_alpha_sweep(spark: SparkSession, folder: str, qrels_path: str, embedder, k: int = 10, publish: str | None = None) -> list[dict]:
+    """Quality of linear fusion for alpha = 0 to 1, and of rank fusion as the row to beat."""
+    corpus, qrels = build_corpus(beir.load_corpus(spark, folder), embedder), beir.load_qrels(spark, qrels_path)
+    queries = [(r.qid, r.text) for r in beir.load_queries(spark, folder).collect()]
+    rows = [{"alpha": r.alpha, **{m: round(r[m] or 0.0, 4) for m in ("ndcg", "map", "mrr", "precision")}} for r in run_sweep(spark, corpus, queries, qrels, k).orderBy("alpha").collect()]
+    rrf = run_suite(spark, corpus, queries, qrels, k, [("rrf", {"mode": "hybrid", "precision": "float"})])[0]
+    rows.append({"alpha": "rrf", **{m: rrf[m] for m in ("ndcg", "map", "mrr", "precision")}})
+    if publish:
+        manifest = {"dataset": folder, "qrels": qrels_path, "fingerprint": dataset_fingerprint(spark, folder, qrels_path), "k": k, "created_at": time.time(), "results": rows}
+        publish_report(spark, publish, {"manifest.json": json.dumps(manifest, indent=1), "report.md": report(rows, "Sweep of alpha")})
+    return rows
 
 
 def run_sweep(spark: SparkSession, corpus: Corpus, queries: list[tuple[str, str]], qrels: DataFrame, k: int = 10, match: str = "all") -> DataFrame:

@@ -232,6 +232,11 @@ def test_evaluation(spark, tmp_path):
     got = evaluate.run_eval(spark, str(d), str(d / "test.tsv"), HashingEmbedder(64))
     assert len(got) == 8 and all(r["queries"] == 2 for r in got) and got[0]["ndcg"] == 1.0 and got[4]["mrr"] == 1.0
     assert "| lexical |" in evaluate.report(got, "T")
+    rows = evaluate.run_alpha_sweep(spark, str(d), str(d / "test.tsv"), HashingEmbedder(64), publish=f"{tmp_path}/sweep")
+    evaluate.publish_report(spark, f"{tmp_path}/sweep", {"manifest.json": "{}"})
+    assert len(rows) == 12 and rows[-1]["alpha"] == "rrf" and json.load(open(f"{tmp_path}/sweep/manifest.json")) == {}
+    old = json.load(open(next(p for p in tmp_path.glob("sweep-before-*")) / "manifest.json"))
+    assert old["results"] == rows and old["fingerprint"] == evaluate.dataset_fingerprint(spark, str(d), str(d / "test.tsv"))
     corpus = evaluate.build_corpus(beir.load_corpus(spark, str(d)), HashingEmbedder(64))
     sweep = evaluate.run_sweep(spark, corpus, [("q1", "vitamin"), ("q2", "yeast")], beir.load_qrels(spark, str(d / "test.tsv"))).collect()
     assert len(sweep) == 11 and all(0 <= r.ndcg <= 1 for r in sweep)
