@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then deletes the shuffle files of an action when the action ends
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -33,32 +34,36 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _cleaning(spark: SparkSession):
-    """Actions in here leave no shuffle files behind."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _setting(spark: SparkSession, key: str, value: str | None):
+    """A session setting for the actions in here; none changes nothing."""
+    if value is None:
+        yield
+        return
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEANUP, before)
+            spark.conf.set(key, before)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
     Cuts the lineage: a lost executor costs a re-read, not a re-computation. The
-    shuffle files of the writing go when it is done.
+    shuffle files of the writing go when it is done. ``batch_rows``: how many
+    rows of the plan, where they are large, go to a Python worker at once.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    with _cleaning(spark):
+    with _setting(spark, CLEANUP, "true"), _setting(spark, BATCH_ROWS, batch_rows and str(batch_rows)):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tessera_path = path

@@ -14,7 +14,10 @@ dealt out by shingle, so every true pair meets and nothing hangs on a radius or
 on chance. Shingles that are common in a sample of documents come last in the
 order, so passages that many documents share hardly enter a prefix; the sample
 changes the work, never the result. Pairs that the first step has joined are
-not looked at again. Pairs whose bitmaps of parities differ in more bits than
+not looked at again. Where two sets meet at places i and j of their orders and
+nowhere before, they share at most one shingle and what follows either place:
+pairs for which that is too little are left to an earlier meeting or are out.
+Pairs whose bitmaps of parities (four bits a shingle) differ in more bits than
 similar sets may differ in shingles are out for certain; all others are
 verified on whole sets, which are cut again for their documents only.
 
@@ -51,8 +54,10 @@ SAMPLE = 16384
 COMMON = 1 << 19
 SMALL = 48
 BLOCK = 1024
-#: bits of a set's bitmap of parities
+#: the fewest bits of a set's bitmap of parities
 PARITY = 1024
+#: pairs of sets that a worker holds at once
+PAIRS = 256
 #: bytes of the bitmap of documents to be cut again (a false bit costs work, never results)
 BITMAP = 1 << 22
 
@@ -81,8 +86,21 @@ def least(n: int, similarity: float) -> int:
 
 
 def parity(found: np.ndarray) -> bytes:
-    """Bits set by an odd number of shingles: two of them differ in no more bits than the sets in shingles."""
-    return np.packbits(np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+    """Bits set by an odd number of shingles, a power of two of them, four for each shingle: two of them differ in no more bits than the sets in shingles."""
+    bits = max(PARITY, 1 << (4 * len(found) - 1).bit_length()) if len(found) else PARITY
+    return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """The bitmap with ``size`` bytes that a larger one stands for."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(-1, size), axis=0)
+
+
+def enough(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets that first meet at these places can be similar: the larger one no larger than it may be, and enough shingles left."""
+    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    left = np.minimum(size_a - place_a, size_b - place_b)
+    return (small >= similarity * large - 1e-9) & (left >= similarity / (1 + similarity) * (small + large) - 1e-6)
 
 
 def _common(plain: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,42 +176,42 @@ def by_fingerprint(reps: DataFrame) -> DataFrame:
 
 def meetings(reps: DataFrame, similarity: float) -> DataFrame:
     """kind 0: pairs (a, b); kind 1: (cell, node) with its size where more than ``SMALL`` meet. Pairs of one ``root`` are left out."""
-    entry = pa.schema([("cell", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("root", pa.int64())])
+    entry = pa.schema([("cell", pa.int64()), ("size", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("place", pa.int32())])
 
     def deal(batches):
         for b in batches:
             for n, s, r, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
                 cells = np.frombuffer(raw, np.int64)
                 k = len(cells)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(k, s, np.int32)), pa.array(np.full(k, n, np.int64)), pa.array(np.full(k, r, np.int64))], schema=entry)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(k, s, np.int32)), pa.array(np.full(k, n, np.int64)), pa.array(np.full(k, r, np.int64)), pa.array(np.arange(k, dtype=np.int32))], schema=entry)
 
-    kind = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32())])
+    kind = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
 
-    def out(k, a, b, size):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b), pa.array(size)], schema=kind)
+    def out(k, a, b, size, place):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b), pa.array(size), pa.array(place)], schema=kind)
 
     def meet(batches):
-        for c, size, node, root in _runs(batches):
+        for c, size, node, root, place in _runs(batches):
             start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
             many = np.diff(np.r_[start, len(c)])
             big = np.repeat(many > SMALL, many)
             if big.any():
-                yield out(1, c[big], node[big], size[big])
+                yield out(1, c[big], node[big], size[big], place[big])
             pairs = []
             for d in range(1, int(np.minimum(many, SMALL).max(initial=0))):
                 same = np.flatnonzero((c[d:] == c[:-d]) & ((d == 1) | ~big[d:]))
                 if not len(same):
                     break
-                # sizes ascend within a cell
-                same = same[(size[same] >= similarity * size[same + d] - 1e-9) & (root[same] != root[same + d])]
+                other = same + d
+                same = same[(root[same] != root[other]) & enough(size[same], place[same], size[other], place[other], similarity)]
                 pairs.append(np.stack([np.minimum(node[same], node[same + d]), np.maximum(node[same], node[same + d])], 1))
             if pairs:
                 e = np.unique(np.concatenate(pairs), axis=0)
-                yield out(0, e[:, 0], e[:, 1], np.zeros(len(e), np.int32))
+                yield out(0, e[:, 0], e[:, 1], np.zeros(len(e), np.int32), np.zeros(len(e), np.int32))
 
     n = max(partitions(reps.sparkSession), 12)
-    dealt = reps.select("node", "size", "root", "prefix").mapInArrow(deal, "cell long, size int, node long, root long")
-    return dealt.repartition(n, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, "kind int, a long, b long, size int")
+    dealt = reps.select("node", "size", "root", "prefix").mapInArrow(deal, "cell long, size int, node long, root long, place int")
+    return dealt.repartition(n, "cell").sortWithinPartitions("cell", "size", "node").mapInArrow(meet, "kind int, a long, b long, size int, place int")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -204,9 +222,9 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (6, 7))
             total = b.column(4).to_numpy().astype(np.int64) + b.column(5).to_numpy()
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            both = zip(b.column(6).to_pylist(), b.column(7).to_pylist())
+            apart = np.array([int(np.bitwise_count(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).sum()) for x, y in both])
             keep = apart * (1 + similarity) <= total * (1 - similarity) + 1e-6
             yield pa.RecordBatch.from_arrays(b.columns[:4], schema=schema).filter(pa.array(keep))
 
@@ -216,7 +234,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
 
 def similar(pairs: DataFrame, reps: DataFrame, plain: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar."""
-    left = materialise(plausible(pairs, reps, similarity), "near-plausible")
+    left = materialise(plausible(pairs, reps, similarity), "near-plausible", 16 * PAIRS)
     wanted = materialise(left.select(F.col("a").alias("node"), F.col("ida").alias("id")).union(left.select("b", "idb")).distinct(), "near-wanted")
     hashed = wanted.select(F.xxhash64("id").alias("h"))
     rows = hashed.select(F.expr(f"cast((h >> 3) & {BITMAP - 1} as int)").alias("byte"), F.expr("shiftleft(1, cast(h & 7 as int))").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -246,33 +264,43 @@ def similar(pairs: DataFrame, reps: DataFrame, plain: DataFrame, words: int, sim
     texts = plain.select(F.xxhash64("id").alias("h"), "text").mapInArrow(cut, "node long, shingles binary")
     sets = materialise(texts.join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"{k}s")).hint("merge") for k in "ab")
-    out = materialise(left.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "as", "bs").mapInArrow(verify, "a long, b long"), "near-edges")
+    out = materialise(left.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "as", "bs").mapInArrow(verify, "a long, b long"), "near-edges", PAIRS)
     drop(left, wanted, sets)
     return out
 
 
-def _apart(big: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of large cells (cell, node, size) that lie in different components."""
+def _apart(big: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of large cells (cell, node, size, place) that lie in different components (``root`` of ``reps``) and that nothing rules out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    rows = big.join(label.hint("merge"), big["node"] == label["__n"], "left").select("cell", "node", "size", F.coalesce("component", "node").alias("root"))
-    rows = materialise(rows, "near-roots")
+    slim = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("bits", pa.binary())])
+
+    def fold(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([folded(x, PARITY // 8).tobytes() for x in b.column(2).to_pylist()], pa.binary())], schema=slim)
+
+    roots = reps.select("node", "root", "parity").mapInArrow(fold, "node long, root long, bits binary")
+    rows = materialise(big.join(roots.hint("merge"), "node").select("cell", "node", "size", "place", "root", "bits"), "near-roots")
     open_ = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell", "blocks")
     dealt = (
         rows.join(open_, "cell")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "root")
+        .select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "place", "root", "bits")
     )
 
     def run(t: pa.Table) -> pa.Table:
-        own, node, size, root = (t.column(k).to_numpy() for k in ("own", "node", "size", "root"))
+        own, node, size, place, root = (t.column(k).to_numpy() for k in ("own", "node", "size", "place", "root"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(own), -1)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        near = (root[x][:, None] != root[y][None, :]) & (np.minimum(size[x][:, None], size[y][None, :]) >= similarity * np.maximum(size[x][:, None], size[y][None, :]) - 1e-9)
+        near = (root[x][:, None] != root[y][None, :]) & enough(size[x][:, None], place[x][:, None], size[y][None, :], place[y][None, :], similarity)
         if i == j:
             near = np.triu(near, 1)
         p, q = np.nonzero(near)
-        a, b = node[x[p]], node[y[q]]
+        p, q = x[p], y[q]
+        on = [np.bitwise_count(bits[p[k : k + 65536]] ^ bits[q[k : k + 65536]]).sum(1, dtype=np.int64) * (1 + similarity) <= (size[p[k : k + 65536]].astype(np.int64) + size[q[k : k + 65536]]) * (1 - similarity) + 1e-6 for k in range(0, len(p), 65536)]
+        on = np.concatenate(on) if on else np.zeros(0, bool)
+        a, b = node[p[on]], node[q[on]]
         return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     return dealt.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -295,9 +323,9 @@ def simhash_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_c
     pairs = materialise(met.where("kind = 0").select("a", "b").distinct(), "near-pairs")
     edges = edges.unionByName(similar(pairs, reps, plain, words, similarity))
     comp = materialise(connected_components(edges), "near-components")
-    big = met.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("node"), "size")
+    big = met.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("node"), "size", "place")
     if big.limit(1).count():
-        more = materialise(_apart(big, comp.select(F.col("node").alias("__n"), "component"), similarity), "near-apart")
+        more = materialise(_apart(big, _rooted(reps, comp), similarity), "near-apart")
         comp = connected_components(edges.unionByName(similar(more, reps, plain, words, similarity)))
     of = _rooted(reps.select("node", "low"), comp)
     heads = of.groupBy("root").agg(F.min(F.struct("low", "node")).alias("head")).select("head.low", "head.node")
