@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -10,29 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import shared_folder
 
 #: Spark then deletes the shuffle files of an action when the action ends
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Where that is unset
-    a temporary folder is made and set, but only under a local master (tests, a
-    laptop): executors of a cluster would write to disks of their own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        master = spark.sparkContext.master
-        if master.startswith("local-cluster") or not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str | None):
     """A session setting for the actions in here; none changes nothing."""
@@ -51,7 +34,7 @@ def _setting(spark: SparkSession, key: str, value: str | None):
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
