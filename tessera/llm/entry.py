@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import urlfilter
+from . import decontam, filteraudit, spelling, urlfilter
 from .ann import search
 from .common import table
 from .embdedup import embedding_dedup, oracle
@@ -70,6 +70,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_docs(spark, sf_dir))
+
+
+def op12_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_urlfilter": op1_urlfilter,
     "op2_linededup": op2_linededup,
@@ -81,5 +94,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix": op9_suffix,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling": op11_spelling,
+    "op12_decontam": op12_decontam,
+    "op13_filteraudit": op13_filteraudit,
 }
-ORACLE: dict[str, str] = {"op1_urlfilter": urlfilter.oracle(), "op5_embdedup": oracle()}
+ORACLE: dict[str, str] = {
+    "op1_urlfilter": urlfilter.oracle(), "op5_embdedup": oracle(),
+    "op11_spelling": spelling.oracle(), "op12_decontam": decontam.oracle(), "op13_filteraudit": filteraudit.oracle(),
+}
