@@ -12,17 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UsageError
+from . import markdown
 
 VERSION, MAX_PASSAGES = 1, 1000
 DEFAULT = {"version": VERSION, "max_words": 200, "overlap_words": 40}
 
-# Scripts whose characters count as one word each, what ends a sentence, and the lines that stand alone.
+# Scripts whose characters count as one word each, and what ends a sentence.
 _SCRIPTS = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 _WORD = re.compile(rf"[{_SCRIPTS}]|[^\s{_SCRIPTS}]+")
 _STOP = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？][\"'”’)\]」』]*\s*")
-_HEADING = re.compile(r"\s{0,3}#{1,6}(?:\s|$)")
-_ITEM = re.compile(r"\s*(?:[-*+]\s|\d{1,9}[.)]\s|>|\|)")
-_FENCE = re.compile(r"\s*(?:```|~~~)")
 
 
 def count_words(text: str | None) -> int:
@@ -84,21 +82,19 @@ def _blocks(body: str):
     """(start, end, is heading): runs of prose lines, and every other line by itself."""
     prose, fenced = None, False
     for m in re.finditer(r"[^\r\n]+", body):
-        line = m.group()
-        mark = bool(_FENCE.match(line))
-        special = mark or fenced or bool(_HEADING.match(line)) or bool(_ITEM.match(line))
-        if prose and (special or not line.strip()):
-            yield prose[0], prose[1], False
+        kind, _ = markdown.block(m.group())
+        alone = fenced or kind != markdown.TEXT
+        blank = not m.group().strip()
+        if prose and (alone or blank):
+            yield *prose, False
             prose = None
-        if not line.strip():
-            continue
-        if special:
-            yield m.start(), m.end(), not (mark or fenced) and bool(_HEADING.match(line))
-            fenced ^= mark
-        else:
+        if alone and not blank:
+            yield *m.span(), kind == markdown.HEADING and not fenced
+            fenced ^= kind == markdown.FENCE
+        elif not blank:
             prose = (prose[0] if prose else m.start(), m.end())
     if prose:
-        yield prose[0], prose[1], False
+        yield *prose, False
 
 
 def _pieces(body: str, most: int) -> list[tuple[int, int, int, bool]]:

@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 
 from tessera.errors import UsageError
+from tessera.functions import markdown
 from tessera.functions import snippets as S
 from tessera.functions.passages import DEFAULT, chunking_of, chunking_text, count_words, normalize_chunking, split_passages
 from tessera.functions.text import all_tokens, content_tokens, is_stopword, keyword_terms, porter, query_terms, stem_tokens
@@ -130,3 +131,27 @@ def test_snippet_precedence():
     assert "compost" in "".join(s["text"] for s in hint)
     marked = S.build_snippet(None, "yeast", marked=f"wild {S.MARK_ON}yeast{S.MARK_OFF}")
     assert [s["text"] for s in marked if s["highlight"]] == ["yeast"]
+
+
+@pytest.mark.parametrize(
+    ("line", "kind", "text"),
+    [
+        ("## Head ##", "heading", "Head"), ("   # three", "heading", "three"), ("    # four", "text", "# four"), ("#tag", "text", "#tag"), ("####### 7", "text", "####### 7"), ("#", "heading", ""),
+        ("- a", "item", "a"), ("-a", "text", "-a"), ("* [x] done", "item", "done"), ("12) b", "item", "b"), ("1234567890. c", "text", "1234567890. c"), ("3.14", "text", "3.14"),
+        ("> > - q", "item", "q"), (">plain", "text", "plain"), ("|a|b|", "row", "|a|b|"), ("```py", "fence", "py"), ("~~~", "fence", ""), ("``x``", "text", "``x``"), ("", "text", ""), ("--", "text", "--"),
+    ],
+)
+def test_blocks_of_markdown(line, kind, text):
+    assert markdown.content(line) == (kind, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a **b** *c* ***d*** ~~e~~ f", "a b c d e f"), ("2 * 3 * 4", "2 * 3 * 4"), ("snake_case_name __init__ _so it is_", "snake_case_name __init__ so it is"),
+        ("[label](http://x/(1)) ![pic](y) [open](", "label pic [open]("), ("[**bold** [in](z)](w)!", "bold in!"), ("`a*b*` ``c`d`` `e", "a*b* c`d `e"), (r"\*no\* \a", r"*no* \a"),
+        ("<http://x.y/z> a<b>c", "http://x.y/z a<b>c"), ("**open *mixed* text", "**open mixed text"), ("a ~b~ c", "a ~b~ c"), ("", ""), ("***", "***"),
+    ],
+)
+def test_inline_markdown(text, want):
+    assert markdown.plain(text) == want
