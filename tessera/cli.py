@@ -10,9 +10,9 @@ from pyspark.sql import SparkSession
 
 from .errors import TesseraError
 from .functions.vectors import HashingEmbedder
-from .operators.analytics import status
+from .operators.analytics import capabilities, status
 from .plans.evaluate import load_gold, report, run_alpha_sweep, run_eval, run_smoke
-from .plans.ingest import ingest, scan_changes
+from .plans.ingest import ingest, scan_all, scan_changes
 from .plans.library import Library
 from .plans.search import results, search
 from .plans.store import Collection
@@ -52,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("folders", "compact", "watch", "rebuild-passages"):
         p = add(name)
         p.add_argument("value", nargs="?", default=None)
-    add("changes").add_argument("root_id", type=int)
+    add("changes").add_argument("root_id", type=int, nargs="?", help="one folder; all of them if left out")
     add("backup").add_argument("target", nargs="?")
     p = add("restore")
     p.add_argument("source")
@@ -101,7 +101,7 @@ def run(spark: SparkSession, argv: list[str], out=print) -> None:
         col.record_search(a.query, a.mode, a.precision, hits.where("confidence <> 'weak'").count(), a.filters)
         show(results(hits, col.corpus(), a.query).orderBy("rank"), a.k)
     elif a.command in ("status", "check"):
-        show(status(col.health()))
+        show(capabilities(status(col.health()), "model" in col.manifest))
     elif a.command == "doctor":
         show(col.integrity())
     elif a.command == "repair":
@@ -115,7 +115,7 @@ def run(spark: SparkSession, argv: list[str], out=print) -> None:
     elif a.command == "remove":
         col.remove_documents(spark.createDataFrame([(a.name,)], "doc_id string"))
     elif a.command == "changes":
-        show(scan_changes(col, a.root_id).where("change <> 'unchanged'"))
+        show((scan_all(col) if a.root_id is None else scan_changes(col, a.root_id)).where("change <> 'unchanged'"))
     elif a.command == "backup":
         out(col.backup(a.target or lib.backup_path(a.collection or lib._load()["active"])))
     elif a.command == "compact":

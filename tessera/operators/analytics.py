@@ -113,15 +113,48 @@ def status(health_row: DataFrame) -> DataFrame:
     return health_row.withColumns({"state": state, "size_class": size})
 
 
+def capabilities(health_row: DataFrame, has_model: bool, calibrated: bool = False) -> DataFrame:
+    """What a collection can be asked: ``modes`` and ``precisions``, from the counts of its health."""
+    vectors = F.col("vectors") if "vectors" in health_row.columns else F.lit(0)
+    able = (F.col("documents") > 0) & (vectors > 0) & F.lit(has_model)
+    pick = lambda *pairs: F.array_compact(F.array(*(F.when(when, F.lit(name)) for name, when in pairs)))
+    modes = pick(("lexical", F.col("documents") > 0), ("semantic", able), ("hybrid", able))
+    return health_row.withColumns({"modes": modes, "precisions": pick(("float", vectors > 0), ("int8", F.lit(calibrated)), ("binary", vectors > 0))})
+
+
+def beyond_model(documents: DataFrame, passages: DataFrame, max_tokens: int) -> DataFrame:
+    """One row: how many documents have a passage that, with the title, is longer than a model reads (four characters a token)."""
+    met = passages.join(documents.select("doc_id", "title"), "doc_id")
+    long = F.length(F.coalesce("title", F.lit(""))) + F.length(F.coalesce("text", F.lit(""))) > 4 * max_tokens
+    return met.where(long).agg(F.count_distinct("doc_id").alias("long_documents"))
+
+
+def with_twins(rows: DataFrame, documents: DataFrame, most: int = 20) -> DataFrame:
+    """``rows`` (doc_id ...) with ``duplicates``, the first ``most`` ids of other documents of the same content, and ``n_duplicates``, how many there are.
+
+    A class is reduced to its first ids and its size before it is joined, so no row grows with it.
+    """
+    hashed = documents.where("content_hash is not null").select("doc_id", "content_hash")
+    own = rows.select("doc_id").distinct().join(hashed, "doc_id")
+    first = Window.partitionBy("content_hash").orderBy("doc_id")
+    same = hashed.join(own.select("content_hash").distinct(), "content_hash", "left_semi")
+    sizes = same.groupBy("content_hash").agg(F.count("*").alias("n"))
+    heads = same.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most + 1).groupBy("content_hash").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    twins = own.join(sizes, "content_hash").join(heads, "content_hash").where("n > 1")
+    others = F.slice(F.array_remove("ids", F.col("doc_id")), 1, most)
+    return rows.join(twins.select("doc_id", others.alias("duplicates"), (F.col("n") - 1).alias("n_duplicates")), "doc_id", "left").withColumn("n_duplicates", F.coalesce("n_duplicates", F.lit(0).cast("long")))
+
+
 def passage_census(passages: DataFrame) -> DataFrame:
     """One row: passages, documents, and documents of more than one passage."""
     per = passages.groupBy("doc_id").agg(F.count("*").alias("n"))
     return per.agg(F.sum("n").alias("passages"), F.count("*").alias("documents"), F.count(F.when(F.col("n") > 1, 1)).alias("split_documents"))
 
 
-def document_view(documents: DataFrame, most: int = BODY_CHARS) -> DataFrame:
-    """Bodies cut for display, and whether they were."""
-    return documents.withColumns({"truncated": F.length("body") > most, "body": F.left("body", F.lit(most))})
+def document_view(documents: DataFrame, most: int = BODY_CHARS, ids: DataFrame | None = None) -> DataFrame:
+    """Bodies cut for display, and whether they were; of ``ids`` alone if given, with what else has their content."""
+    shown = documents if ids is None else with_twins(documents.join(ids.select("doc_id"), "doc_id", "left_semi"), documents)
+    return shown.withColumns({"truncated": F.length("body") > most, "body": F.left("body", F.lit(most))})
 
 
 def id_digest(ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -55,6 +55,14 @@ def remove(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def below(rows: DataFrame, path: str, folders: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose path lies in or below one of ``folders`` (one column; the empty path is above all)."""
+    parts = F.split(path, "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    at = folders.select(F.col(folders.columns[0]).alias("__above")).distinct()
+    return rows.withColumn("__above", F.explode(above)).join(at, "__above", "left_semi").drop("__above").distinct()
+
+
 def scan_changes(disk: DataFrame, stored: DataFrame, truncated: bool = False) -> DataFrame:
     """(path, change) from (path, mtime, size, content_hash): sizes and times first, hashes only where those differ.
 

@@ -47,7 +47,7 @@ def _tag(raw: str) -> str:
 
 
 def epoch(name: str, value, last: bool) -> float | None:
-    """Epoch seconds of a number, a day (its start, or as an upper bound its end) or an ISO time; days are UTC days."""
+    """Epoch seconds of a number, a day (its start, or as an upper bound its end) or an ISO time; days and times without a zone are those of this machine's zone."""
     if value is None or (isinstance(value, str) and not value.strip()):
         return None
     try:
@@ -59,10 +59,10 @@ def epoch(name: str, value, last: bool) -> float | None:
             return float(value)
         text = value.strip()
         moment = dt.datetime.fromisoformat(text.replace("Z", "+00:00"))
-        moment = moment if moment.tzinfo else moment.replace(tzinfo=dt.UTC)
-        day = re.fullmatch(r"\d{4}-\d{2}-\d{2}", text)
-        return moment.timestamp() + (86400 - 0.001 if day and last else 0)
-    except (ValueError, AttributeError):
+        if last and re.fullmatch(r"\d{4}-\d{2}-\d{2}", text) and moment.date() < dt.date.max:
+            return (moment + dt.timedelta(days=1)).timestamp() - 0.001  # days differ in length where clocks change
+        return moment.timestamp()
+    except (ValueError, AttributeError, OverflowError):
         raise UsageError(f"filter {name!r} must be epoch seconds or a YYYY-MM-DD date") from None
 
 

@@ -5,32 +5,31 @@ lengths, and one row of corpus statistics. The length of a document stands in
 its postings, so scoring needs no join with the lengths. Statistics are always those of the
 whole corpus; metadata filters act on the documents that may be ranked.
 
-A search matches the postings of the query terms only: the filter on ``term``
-reaches the scan of a stored index, whose postings lie in folders by a hash of
-the term and sorted in them (and goes below the grouping of one that is built
-on the fly). Scores are grouped by (query, document) with map-side
-partial sums, so a term that a third of all documents has stays spread out.
+A search matches the postings of the query terms only: a stored index
+(``postings.py``) opens the files of those terms and skips blocks that can't
+reach the first k; one that is built on the fly is filtered below its grouping.
+Scores are grouped by (query, document) with map-side partial sums, so a term
+that a third of all documents has stays spread out.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import UsageError
 from ..functions.text import all_tokens, content_tokens, fold_tokens, porter, simple_tokens
+from . import postings
 
-K1, B = 1.2, 0.75
+K1, B = postings.K1, postings.B
 MATCHES = ("all", "any", "auto")
 MAX_RESULTS = 10_000
 #: beyond so many distinct terms, postings are matched by a join and not by a list in the plan
 MAX_LISTED_TERMS = 1000
-#: folders of a stored index's postings
-TERM_BUCKETS = 64
 
 
 @dataclass
@@ -42,7 +41,7 @@ class TextIndex:
     stats: DataFrame
     tokenizer: str = "simple"
     scan: DataFrame | None = None
-    bucketed: bool = False
+    store: postings.Postings | None = None
 
     def lookup(self, terms: list[str]) -> DataFrame:
         """Postings of some terms.
@@ -51,8 +50,8 @@ class TextIndex:
         up in each document's tokens, so nothing but matches is ever exploded
         and no shuffle is needed to bring a term's positions together.
         """
-        if self.bucketed:  # prunes folders, then row groups
-            return self.postings.where(F.col("bucket").isin(sorted({_bucket_of(t) for t in terms})) & F.col("term").isin(terms))
+        if self.store is not None:  # opens the files of these terms only
+            return self.store.postings(terms)
         if self.scan is None:
             return self.postings.where(F.col("term").isin(terms))
         met = self.scan.select("doc_id", "len", "all", F.explode(F.array_intersect("all", F.array(*map(F.lit, terms)))).alias("term")) if terms else self.scan.select("doc_id", "len", "all", F.lit("").alias("term")).where("false")
@@ -67,25 +66,23 @@ class TextIndex:
         return regex.findall(r"[\p{L}\p{N}\p{Co}]+", (text or "").lower())
 
 
-def _bucket_of(term: str) -> int:
-    """What :func:`save_index` computes on the JVM: XXH64 with Spark's seed, as a signed number."""
-    h = xxhash.xxh64_intdigest(term.encode(), 42)
-    return (h - (1 << 64) if h >> 63 else h) % TERM_BUCKETS
-
-
 def save_index(index: TextIndex, folder: str) -> None:
-    """Write an index: postings by bucket and sorted by term, lengths, and last the one row of statistics."""
-    postings = index.postings.select("term", "doc_id", "positions", "len").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
-    postings.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    """Write an index: postings as blocks, lengths, and last the one row of statistics."""
+    spark = index.lengths.sparkSession
+    postings.write(index.postings, f"{folder}/postings")
     index.lengths.select("doc_id", "len").write.parquet(f"{folder}/lengths")
-    lengths = index.lengths.sparkSession.read.parquet(f"{folder}/lengths")
+    lengths = spark.read.parquet(f"{folder}/lengths")
     lengths.agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avgdl")).coalesce(1).write.parquet(f"{folder}/stats")
 
 
 def load_index(spark: SparkSession, folder: str, tokenizer: str = "simple") -> TextIndex:
     """What :func:`save_index` wrote."""
-    postings, lengths, stats = (spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "stats"))
-    return TextIndex(postings, lengths, stats, tokenizer, bucketed=True)
+    lengths, stats = (spark.read.parquet(f"{folder}/{name}") for name in ("lengths", "stats"))
+    return stored_index(postings.Postings(spark, [f"{folder}/postings"], lengths.schema["doc_id"].dataType), lengths, stats, tokenizer)
+
+
+def stored_index(store: postings.Postings, lengths: DataFrame, stats: DataFrame, tokenizer: str) -> TextIndex:
+    return TextIndex(store.postings(), lengths, stats, tokenizer, store=store)
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", title_col: str | None = None, body_col: str = "body", tokenizer: str = "simple") -> TextIndex:
@@ -96,17 +93,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", title_col: str | None =
         both = plain.select("doc_id", F.concat("t", F.array(F.lit(None).cast("string")), "b").alias("all"), (F.size("t") + F.size("b")).cast("long").alias("len"))
         lengths, scan = both.select("doc_id", "len"), both
         placed = both.select("doc_id", "len", F.posexplode("all").alias("pos", "term")).where(F.col("term").isNotNull())
-        postings = placed.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
+        found = placed.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
     elif tokenizer == "porter":
         plain = docs.select(F.col(id_col).alias("doc_id"), title.cast("string").alias("title"), F.col(body_col).cast("string").alias("body"))
         kind = plain.schema["doc_id"].dataType.simpleString()
-        postings = plain.mapInArrow(_stem_postings, f"term string, doc_id {kind}, positions array<int>, len bigint")
+        found = plain.mapInArrow(_stem_postings, f"term string, doc_id {kind}, positions array<int>, len bigint")
         scan = None
         lengths = plain.mapInArrow(_stem_lengths, f"doc_id {kind}, len bigint")
     else:
         raise UsageError(f"unknown tokenizer {tokenizer!r} (simple|porter)")
     stats = lengths.agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avgdl"))
-    return TextIndex(postings, lengths, stats, tokenizer, scan)
+    return TextIndex(found, lengths, stats, tokenizer, scan)
 
 
 def _stem_postings(batches):
@@ -174,8 +171,8 @@ def phrases(spark: SparkSession, index: TextIndex, queries: list[tuple[str, str]
 def _phrase_hits(index: TextIndex, wanted: Phrases) -> DataFrame:
     """(qid, phrase, n_phrases, doc_id, len, tf) of every phrase occurrence."""
     terms, table = wanted.terms, wanted.table
-    postings = index.lookup(terms) if len(terms) <= MAX_LISTED_TERMS else index.postings.join(table.select("term").distinct(), "term", "left_semi")
-    met = postings.join(table.drop("word"), "term")
+    found = index.lookup(terms) if len(terms) <= MAX_LISTED_TERMS else index.postings.join(table.select("term").distinct(), "term", "left_semi")
+    met = found.join(table.drop("word"), "term")
     single = met.where("width = 1").select("qid", "phrase", "n_phrases", "doc_id", "len", F.size("positions").alias("tf"))
     if not wanted.several:
         return single
@@ -186,12 +183,25 @@ def _phrase_hits(index: TextIndex, wanted: Phrases) -> DataFrame:
     return single.unionByName(several)
 
 
-def bm25(index: TextIndex, wanted: Phrases) -> DataFrame:
+def _stored_bm25(index: TextIndex, wanted: Phrases, k: int | None, match: str, slack: float, skip_from: int | None) -> DataFrame:
+    """:func:`bm25` for queries of single words on a stored index, whose blocks say in how many documents a term occurs."""
+    n_docs, avgdl = index.stats.select("n_docs", "avgdl").first()
+    counts = index.store.document_counts(wanted.terms)
+    idf = {t: x if (x := math.log((n_docs - n + 0.5) / (n + 0.5))) > 0 else 1e-6 for t, n in counts.items() if n}
+    weights = [(qid, phrase, term, n_phrases, idf[term]) for qid, phrase, _, term, _, n_phrases, _ in wanted.rows if term in idf]
+    return postings.scored(index.store, weights, counts, k, match, avgdl or 1.0, slack, skip_from).select("qid", "doc_id", "score", "matched", "n_phrases")
+
+
+def bm25(index: TextIndex, wanted: Phrases, k: int | None = None, match: str = "any", slack: float = 0.0, skip_from: int | None = None) -> DataFrame:
     """(qid, doc_id, score, matched, n_phrases): the sum of the matched phrases' scores.
 
     idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; tf is damped with
-    k1 = 1.2 and b = 0.75 on the length of title and body together.
+    k1 = 1.2 and b = 0.75 on the length of title and body together. With ``k``
+    documents that can't be among a query's first k may be left out; scores that
+    are closer than ``slack`` count as equal.
     """
+    if index.store is not None and not wanted.several and len(wanted.terms) <= MAX_LISTED_TERMS:
+        return _stored_bm25(index, wanted, k, match, slack, skip_from)
     # dealt by what the final grouping needs; both uses below read every column, so they share this one shuffle
     hits = _phrase_hits(index, wanted).repartition("qid", "doc_id")
     whole = (F.col("tf") > 0) & (F.col("len") > 0) & (F.col("n_phrases") > 0) & F.col("doc_id").isNotNull()
@@ -217,7 +227,7 @@ def check_k(k: int) -> int:
     return k
 
 
-def lexical_search(spark: SparkSession, index: TextIndex, queries: list[tuple[str, str]], k: int = 10, match: str = "all", allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+def lexical_search(spark: SparkSession, index: TextIndex, queries: list[tuple[str, str]], k: int = 10, match: str = "all", allowed: DataFrame | None = None, digits: int | None = None, skip_from: int | None = None) -> DataFrame:
     """(qid, rank, doc_id, score, matched, n_phrases, tier, strict_count, relaxed).
 
     ``all``: documents with every token. ``any``: with at least one keyword.
@@ -225,9 +235,12 @@ def lexical_search(spark: SparkSession, index: TextIndex, queries: list[tuple[st
     partial matches (tier 1), whose scores are brought below the last strict
     one. One pass over the postings serves both tiers.
     ``digits`` rounds scores before ranking, for comparisons across engines.
+    ``skip_from``: postings of the queries from which on a stored index skips
+    blocks that can't reach the first k (results are the same).
     """
     check_k(k)
-    scored = bm25(index, phrases(spark, index, queries, match))
+    # what a filter lets through isn't known to the blocks' bounds
+    scored = bm25(index, phrases(spark, index, queries, match), k if allowed is None else None, match, 0.0 if digits is None else 10.0**-digits, skip_from)
     if digits is not None:
         scored = scored.withColumn("score", F.round("score", digits))
     if allowed is not None:

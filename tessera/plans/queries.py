@@ -7,6 +7,7 @@ of doubles depend on the order of their terms.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import wraps
 
 import pandas as pd
@@ -22,6 +23,7 @@ from ..operators.filters import SearchFilters, allowed
 from ..sources.files import front_matter
 from ..sources.tables import file_stamp, shared_folder, spread
 from . import search as plan
+from .store import Collection
 
 QUERY_SET = [("q1", "tion thon ther"), ("q2", "ndtion estion the"), ("q3", "the thor anea thor"), ("q4", "éle oution")]
 QUERY_VECTORS = {"q1": 1, "q2": 7, "q3": 42, "q4": 99}
@@ -65,8 +67,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf: str, tokenizer: str = "simple") -> lexical.TextIndex:
     """The stored index of the documents: built by the first query that needs it, and anew when a file of theirs changes."""
-    docs = _docs(spark, sf)
-    stamp = hashlib.sha256(f"{tokenizer}\n{file_stamp(docs)}".encode()).hexdigest()[:32]
+    stamp = hashlib.sha256(f"{tokenizer}\n{file_stamp(spark, f'{sf}/documents.parquet')}".encode()).hexdigest()[:32]
     folder = f"{shared_folder(spark)}/tessera/index-{stamp}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stats/_SUCCESS")
     files = done.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -159,6 +160,12 @@ def lexical_any_bm25(spark, sf):
     return _lex(spark, sf).select(*HITS, "matched")
 
 
+@query(f"WITH {_lex_sql('any')} SELECT qid, rank, doc_id, score, matched FROM lex")
+def lexical_any_blockmax(spark, sf):
+    """The same search when the stored index skips blocks, which larger tables make it do by itself."""
+    return _lex(spark, sf, skip_from=0).select(*HITS, "matched")
+
+
 @query(f"WITH {_lex_sql('all')} SELECT qid, rank, doc_id, score FROM lex")
 def lexical_all_bm25(spark, sf):
     return _lex(spark, sf, "all").select(*HITS)
@@ -513,6 +520,18 @@ _DIFF = f"""WITH n AS ({_NEW}), o AS ({_OLD}),
 c AS (SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'stale' WHEN n.h <> o.h THEN 'updated' ELSE 'unchanged' END AS change FROM n FULL JOIN o ON n.doc_id = o.doc_id)"""
 
 
+@query(
+    """WITH i AS (SELECT DISTINCT item_id AS doc_id FROM benchmark),
+o AS (SELECT a.doc_id, b.doc_id AS other, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) AS r FROM documents a JOIN i USING (doc_id) JOIN documents b ON a.text = b.text AND a.doc_id <> b.doc_id)
+SELECT a.doc_id, left(a.text, 200000) AS body, length(a.text) > 200000 AS truncated, coalesce(string_agg(other::VARCHAR, ',' ORDER BY other) FILTER (r <= 20), '') AS duplicates, count(other) AS n_duplicates
+FROM documents a JOIN i USING (doc_id) LEFT JOIN o USING (doc_id) GROUP BY a.doc_id, a.text"""
+)
+def document_view_duplicates(spark, sf):
+    d = _docs(spark, sf).withColumn("content_hash", F.sha2("body", 256))
+    shown = analytics.document_view(d, ids=_t(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")))
+    return shown.select("doc_id", "body", "truncated", F.coalesce(F.array_join("duplicates", ","), F.lit("")).alias("duplicates"), "n_duplicates")
+
+
 @query(f"{_DIFF} SELECT * FROM c")
 def ingest_diff(spark, sf):
     return changes.classify(_current(spark, sf), _stored(spark, sf))
@@ -536,6 +555,24 @@ def upsert_documents(spark, sf):
     return changes.upsert(_stored(spark, sf), _current(spark, sf))
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, CASE WHEN lang = 'de' THEN coalesce(text, '') || ' revised edition' ELSE coalesce(text, '') END AS body, CASE WHEN lang = 'de' THEN 'revised' ELSE source END AS title
+  FROM documents WHERE lang IS DISTINCT FROM 'fr' OR n_chars >= 1000),
+t AS (SELECT doc_id, title, body, regexp_extract_all(lower(coalesce(title, '')), '{CLASS}') || regexp_extract_all(lower(body), '{CLASS}') AS ts FROM d)
+SELECT doc_id::VARCHAR AS doc_id, coalesce(title, '') AS title, md5(body) AS body_md5, len(ts)::BIGINT AS n_tokens, len(list_distinct(ts))::BIGINT AS n_terms FROM t"""
+)
+def segmented_upsert(spark, sf):
+    """Documents inserted, then those of one language revised and short ones of another removed: three segments and two burials, read as one table."""
+    docs = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"), "lang", "n_chars")
+    col = Collection.create(spark, f"{shared_folder(spark)}/tessera/segments-{uuid.uuid4().hex}", chunking="off", tokenizer="simple")
+    col.add_documents(docs)
+    col.add_documents(docs.where("lang = 'de'").withColumns({"title": F.lit("revised"), "body": F.concat("body", F.lit(" revised edition"))}))
+    col.remove_documents(docs.where("lang = 'fr' and n_chars < 1000").select("doc_id"))
+    terms = col.table("postings").groupBy("doc_id").agg(F.sum(F.size("positions")).cast("long").alias("n_tokens"), F.count("*").alias("n_terms"))
+    none = F.lit(0).cast("long")
+    return col.table("documents").join(terms, "doc_id", "left").select("doc_id", "title", F.md5("body").alias("body_md5"), F.coalesce("n_tokens", none).alias("n_tokens"), F.coalesce("n_terms", none).alias("n_terms"))
+
+
 @query(
     """WITH a AS (SELECT doc_id, n_chars, hash_ FROM (SELECT doc_id, n_chars, md5(coalesce(text, '')) AS hash_ FROM documents)),
 d AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS n_chars, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE hash_ END AS hash_ FROM a WHERE doc_id % 9 <> 0)

@@ -193,9 +193,7 @@ def results(hits: DataFrame, corpus: Corpus, queries, bookmarks: DataFrame | Non
 
     out = out.withColumn("snippet", light("body", "query", "passage", "title"))
     if "content_hash" in corpus.documents.columns:
-        same = corpus.documents.where("content_hash is not null").select(F.col("content_hash"), F.col("doc_id").alias("other"))
-        twins = hits.select("doc_id").distinct().join(corpus.documents.select("doc_id", "content_hash"), "doc_id").join(same, "content_hash").where("doc_id <> other")
-        out = out.join(twins.groupBy("doc_id").agg(F.sort_array(F.collect_list("other")).alias("duplicates")), "doc_id", "left")
+        out = analytics.with_twins(out, corpus.documents)
     if bookmarks is not None:
         out = analytics.is_bookmarked(bookmarks, out)
     return out.drop("body")

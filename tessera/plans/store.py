@@ -1,9 +1,15 @@
-"""Versioned collections: immutable table directories behind one manifest.
-
-Every change writes new directories for the tables it touches and then swaps
-the manifest, so readers see one consistent version, a failed run leaves the
-old one in place, and a backup is a copy of what a manifest names. Tables are
-written first; the swap is short: under a lock file it compares the version it
+"""Versioned collections: immutable segments of tables behind one manifest.
+
+A table is a list of segments and a list of burials. A change to n documents
+writes a segment of their new rows and one of the ids whose earlier rows are
+buried by them, so it writes in proportion to n, whatever the collection holds.
+Every row bears the version that wrote it; a burial of version v hides rows of
+its ids from before v. Segments of like size are merged as they pile up, and
+all of a table when burials are many, so a reader never meets more than a few.
+
+Every change then swaps the manifest, so readers see one consistent version, a
+failed run leaves the old one in place, and a backup is a copy of what a
+manifest names. The swap is short: under a lock file it compares the version it
 started from and renames a new manifest over the old one, so there is a whole
 manifest at any moment. A lock left by a killed writer expires.
 """
@@ -11,23 +17,30 @@ manifest at any moment. A lock left by a killed writer expires.
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schemas
 from ..errors import ConflictError, DataError, UsageError
 from ..functions.passages import chunking_of, chunking_text, normalize_chunking, with_passages
 from ..functions.vectors import compose_embed_text, embed
-from ..operators import analytics, changes, lexical
+from ..operators import analytics, changes, lexical, postings
+from ..sources.tables import small
 from .search import Corpus
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 KEYED = ("passages", "postings", "doc_stats", "vectors", "bookmarks", "activity")
-TERM_BUCKETS = 64
+#: segments of like size (within this factor) that are merged into one
+FAN = 8
+#: share of the documents that may be buried before a table is written anew
+BURIED_SHARE = 0.25
 #: seconds after which a lock is taken to be left by a writer that died; a swap takes far less
 LOCK_SECONDS = 300
 #: bytes a file of a compacted table should have
@@ -104,6 +117,14 @@ class Files:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+@dataclass
+class Delta:
+    """A change to a table: rows that come, and ids (doc_id) whose earlier rows go."""
+
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+
+
 class Collection:
     """One corpus: its documents, index, vectors and the user's rows."""
 
@@ -164,34 +185,121 @@ class Collection:
                 self.files.delete(lock)
 
     def table(self, name: str) -> DataFrame:
-        where = self.manifest["tables"].get(name)
+        """The live rows of a table."""
+        return self._live(name, self.manifest["tables"].get(name))
+
+    def _live(self, name: str, entry: dict | None, only: list[dict] | None = None) -> DataFrame:
         schema = schemas.TABLES[name]
-        if where is None:
+        segments = entry["segments"] if entry and only is None else only
+        if not segments:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{where}")
-
-    def publish(self, tables: dict[str, DataFrame], **keys) -> dict:
-        """Write new directories for some tables and, once all are whole, swap the manifest."""
+        paths = [f"{self.path}/{s['path']}" for s in segments]
+        if name == "postings":
+            return postings.Postings(self.spark, paths, buried=self._buried(entry)).postings()
+        rows = self.spark.read.schema(StructType([*schema.fields, StructField("segment", LongType())])).parquet(*paths)
+        buried = self._buried(entry, min(s["version"] for s in segments))
+        if buried is None:
+            return rows.drop("segment")
+        return rows.join(buried, "doc_id", "left").where("since is null or segment >= since").drop("since", "segment")
+
+    def _buried(self, entry: dict | None, oldest: int = 0) -> DataFrame | None:
+        """(doc_id, since): ids and the last version that buried them, as far as it hides rows from ``oldest`` on; None if there is none."""
+        burials = [b for b in entry["buried"] if b["version"] > oldest] if entry else []
+        if not burials:
+            return None
+        ids = self.spark.read.schema("doc_id string, since long").parquet(*[f"{self.path}/{b['path']}" for b in burials])
+        return small(ids.groupBy("doc_id").agg(F.max("since").alias("since")), sum(b["rows"] for b in burials))
+
+    def _write_segment(self, name: str, df: DataFrame, version: int) -> dict:
+        where = f"tables/{name}/v{version}-{uuid.uuid4().hex[:8]}"
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]])
+        if name == "postings":
+            postings.write(df, f"{self.path}/{where}", version)
+        else:
+            df.withColumn("segment", F.lit(version).cast("long")).write.parquet(f"{self.path}/{where}")
+        return {"path": where, "version": version, "bytes": self.files.size(f"{self.path}/{where}")}
+
+    def _write_burial(self, ids: DataFrame, version: int) -> dict:
+        where = f"tables/buried/v{version}-{uuid.uuid4().hex[:8]}"
+        ids.select("doc_id").distinct().select("doc_id", F.lit(version).cast("long").alias("since")).write.parquet(f"{self.path}/{where}")
+        return {"path": where, "version": version, "rows": self.spark.read.parquet(f"{self.path}/{where}").count()}
+
+    def publish(self, tables: dict[str, DataFrame | Delta], merged: dict[str, list[dict]] | None = None, **keys) -> dict:
+        """Write what is new and, once all of it is whole, swap the manifest.
+
+        A table is replaced by a DataFrame and changed by a :class:`Delta`.
+        ``merged``: segments of tables to be written as one.
+        """
         before = self.manifest
-        state = {**before, **keys, "version": before["version"] + 1, "tables": dict(before["tables"])}
-        new = {name: f"tables/{name}/v{state['version']}-{uuid.uuid4().hex[:8]}" for name in tables}
+        version = before["version"] + 1
+        state = {**before, **keys, "version": version, "tables": {t: {k: list(v) for k, v in e.items()} for t, e in before["tables"].items()}}
+        written: list[str] = []
+        burials: dict[int, dict] = {}  # several tables bury the same ids: one file
+
+        def note(made: dict) -> dict:
+            written.append(made["path"])
+            return made
+
         try:
-            for name, df in tables.items():
-                df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name]])
-                if name == "postings":  # a query's terms touch a few row groups of a few files
-                    df = df.repartition(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS))).sortWithinPartitions("term", "doc_id")
-                df.write.parquet(f"{self.path}/{new[name]}")
-            state["tables"] |= new
+            for name, change in tables.items():
+                if isinstance(change, DataFrame):
+                    state["tables"][name] = {"segments": [note(self._write_segment(name, change, version))], "buried": []}
+                    continue
+                entry = state["tables"].setdefault(name, {"segments": [], "buried": []})
+                if change.gone is not None and entry["segments"]:
+                    made = burials.get(id(change.gone)) or note(self._write_burial(change.gone, version))
+                    burials[id(change.gone)] = made
+                    if made["rows"]:
+                        entry["buried"].append(made)
+                if change.rows is not None:
+                    entry["segments"].append(note(self._write_segment(name, change.rows, version)))
+            for name, segments in (merged or {}).items():
+                entry = state["tables"][name]
+                kept = [s for s in entry["segments"] if s not in segments]
+                made = note(self._write_segment(name, self._live(name, entry, segments), version))
+                state["tables"][name] = {"segments": [*kept, made], "buried": entry["buried"] if kept else []}
+            if "doc_stats" in tables:
+                n, total = self._live("doc_stats", state["tables"]["doc_stats"]).agg(F.count("*"), F.sum("len")).first()
+                state["stats"] = {"n_docs": n, "total_len": total or 0}
             with self._swapping() as ours:
                 if self.manifest["version"] != before["version"] or not ours():
                     raise ConflictError("another writer has published meanwhile")
                 self.files.write(self._manifest, json.dumps(state))
         except BaseException:
-            for where in new.values():
+            for where in written:
                 self.files.delete(f"{self.path}/{where}")
             raise
         return state
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables, to be read several times; :meth:`unstage` deletes it."""
+        path = f"{self.path}/staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.staged_path = path
+        return out
+
+    def unstage(self, *staged: DataFrame) -> None:
+        for df in staged:
+            self.files.delete(df.staged_path)
+
+    def settle(self) -> list[str]:
+        """Merge what many small changes have left: a table's segments of like size, or all of them where burials are many; their names."""
+        state, merged = self.manifest, {}
+        for name, entry in state["tables"].items():
+            tiers: dict[int, list[dict]] = {}
+            for s in entry["segments"]:
+                tiers.setdefault(int(math.log(max(s["bytes"], 1), FAN)), []).append(s)
+            like = max(tiers.values(), key=len, default=[])
+            many = sum(b["rows"] for b in entry["buried"]) > max(1000, BURIED_SHARE * state.get("stats", {}).get("n_docs", 0))
+            if many or len(entry["buried"]) >= FAN * FAN:
+                merged[name] = entry["segments"]
+            elif len(like) >= FAN:
+                merged[name] = like
+        if merged:
+            self.publish({}, merged)
+        return sorted(merged)
+
     # -- documents -----------------------------------------------------------------
 
     def derived(self, docs: DataFrame) -> dict[str, DataFrame]:
@@ -208,37 +316,55 @@ class Collection:
         if self.embedder is None or self._model(self.embedder) != model:
             raise UsageError("this collection needs the model it was built with")
         text = passages.join(docs.select("doc_id", "title"), "doc_id").select("doc_id", "seq", compose_embed_text(F.col("title"), F.col("text")).alias("t"))
-        old = self.table("passages").join(self.table("documents").select("doc_id", "title"), "doc_id").join(self.table("vectors"), ["doc_id", "seq"])
+        own = docs.select("doc_id").distinct()  # what a document says again keeps its vector
+        old = self.table("passages").join(own, "doc_id", "left_semi").join(self.table("documents").select("doc_id", "title"), "doc_id").join(self.table("vectors"), ["doc_id", "seq"])
         known = old.select(F.sha2(compose_embed_text(F.col("title"), F.col("text")), 256).alias("h"), F.col("embedding").alias("known")).dropDuplicates(["h"])
         met = text.withColumn("h", F.sha2("t", 256)).join(known, "h", "left")
         fresh = embed(met.where("known is null"), self.embedder, "t").select("doc_id", "seq", "embedding")
         return met.where("known is not null").select("doc_id", "seq", F.col("known").alias("embedding")).unionByName(fresh)
 
-    def with_documents(self, docs: DataFrame) -> dict[str, DataFrame]:
-        """All tables as they are with some documents inserted or replaced; creation times of known ones stay."""
+    def with_documents(self, docs: DataFrame) -> dict[str, Delta]:
+        """The changes that insert or replace some documents; creation times of known ones stay."""
         now = F.current_timestamp()
         full = docs
         for f in schemas.DOCUMENTS:
             if f.name not in full.columns:
                 full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
         full = full.withColumns({"created_at": F.coalesce("created_at", now), "updated_at": now, "title": F.coalesce("title", F.lit(""))}).select(*[f.name for f in schemas.DOCUMENTS])
-        ids = full.select("doc_id").distinct()
-        new = self.derived(full)
-        tables = {"documents": changes.upsert(self.table("documents"), full, keep=("created_at",))}
-        for name, df in new.items():
-            tables[name] = changes.remove(self.table(name), ids).unionByName(df.select(*[f.name for f in schemas.TABLES[name]]))
-        return tables
+        known = self.table("documents").select("doc_id", F.col("created_at").alias("__old")).join(full.select("doc_id").distinct(), "doc_id", "left_semi")
+        kept = full.join(known, "doc_id", "left").withColumn("created_at", F.coalesce("__old", "created_at")).drop("__old")
+        gone = known.select("doc_id")
+        return {name: Delta(rows, gone) for name, rows in {"documents": kept, **self.derived(full)}.items()}
 
     def add_documents(self, docs: DataFrame) -> dict:
-        return self.publish(self.with_documents(docs))
-
-    def without_documents(self, ids: DataFrame, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-        """``tables`` (of those not given, the stored ones) without some documents and every row that hangs on them."""
-        given, present = tables or {}, self.manifest["tables"]
-        return {**given, **{t: changes.remove(given[t] if t in given else self.table(t), ids) for t in ("documents", *KEYED) if t in present or t in given}}
+        """Insert or replace documents; what is written grows with them alone."""
+        staged = self.stage(docs)
+        try:
+            self.publish(self.with_documents(staged))
+        finally:
+            self.unstage(staged)
+        self.settle()
+        return self.manifest
+
+    def without_documents(self, ids: DataFrame, tables: dict[str, DataFrame | Delta] | None = None) -> dict[str, DataFrame | Delta]:
+        """``tables`` with the changes that remove some documents and every row that hangs on them."""
+        given = dict(tables or {})
+        for t in ("documents", *KEYED):
+            change = given.get(t)
+            if isinstance(change, DataFrame):
+                given[t] = changes.remove(change, ids)
+            elif change is not None:
+                gone = ids if change.gone is None else change.gone.select("doc_id").unionByName(ids.select("doc_id"))
+                given[t] = Delta(None if change.rows is None else changes.remove(change.rows, ids), gone)
+            elif t in self.manifest["tables"]:
+                given[t] = Delta(gone=ids)
+        return given
 
     def remove_documents(self, ids: DataFrame) -> dict:
-        return self.publish(self.without_documents(ids))
+        """Bury some documents' rows; nothing else is written."""
+        self.publish(self.without_documents(ids))
+        self.settle()
+        return self.manifest
 
     def clear(self) -> dict:
         """Empty the collection; its name, model and settings stay."""
@@ -250,10 +376,8 @@ class Collection:
         if state.get("model") not in (None, self._model(embedder)):
             raise UsageError("the collection was built with another model")
         self.embedder = embedder
-        passages, docs, old = self.table("passages"), self.table("documents"), self.table("vectors")
-        missing = passages.join(old, ["doc_id", "seq"], "left_anti")
-        vectors = old.join(passages.select("doc_id", "seq"), ["doc_id", "seq"], "left_semi").unionByName(self._vectors(missing, docs, self._model(embedder)))
-        return self.publish({"vectors": vectors}, model=self._model(embedder))
+        missing = self.table("passages").join(self.table("vectors"), ["doc_id", "seq"], "left_anti")
+        return self.publish({"vectors": Delta(self._vectors(missing, self.table("documents"), self._model(embedder)))}, model=self._model(embedder))
 
     def vectors_need_rebuild(self, chunking) -> bool:
         """Whether passages were cut, or vectors made, under another setting or model than asked for."""
@@ -282,10 +406,16 @@ class Collection:
 
     # -- reading ----------------------------------------------------------------
 
+    def postings(self) -> postings.Postings:
+        """The stored postings of all segments."""
+        entry = self.manifest["tables"].get("postings") or {"segments": [], "buried": []}
+        return postings.Postings(self.spark, [f"{self.path}/{s['path']}" for s in entry["segments"]], buried=self._buried(entry))
+
     def corpus(self) -> Corpus:
-        lengths = self.table("doc_stats")
-        stats = lengths.agg(F.count("*").alias("n_docs"), (F.sum("len") / F.count("*")).alias("avgdl"))
-        index = lexical.TextIndex(self.table("postings"), lengths, stats, self.manifest["tokenizer"])
+        """What searches read: the stored index with the statistics of its version, and the tables."""
+        known = self.manifest.get("stats") or {"n_docs": 0, "total_len": 0}
+        stats = self.spark.createDataFrame([(known["n_docs"], known["total_len"] / known["n_docs"] if known["n_docs"] else None)], "n_docs long, avgdl double")
+        index = lexical.stored_index(self.postings(), self.table("doc_stats"), stats, self.manifest["tokenizer"])
         return Corpus(self.table("documents"), index, self.table("passages"), self.table("vectors") if "model" in self.manifest else None, self.embedder)
 
     def health(self) -> DataFrame:
@@ -373,62 +503,77 @@ class Collection:
     def relocate_root(self, root_id: int, path: str) -> dict:
         return self.publish({"roots": self.table("roots").withColumn("path", F.when(F.col("root_id") == root_id, path).otherwise(F.col("path")))})
 
-    def adopted(self, documents: DataFrame, child: int, parent: int, prefix: str) -> DataFrame:
-        """``documents`` with a nested root's given to the root above it; their sources and folders get the prefix."""
-        own = F.col("root_id") == child
-        docs = documents.withColumns({
-            "source": F.when(own, F.concat_ws("/", F.lit(prefix), "source")).otherwise(F.col("source")),
-            "folder": F.when(own, F.when(F.coalesce("folder", F.lit("")) == "", prefix).otherwise(F.concat_ws("/", F.lit(prefix), "folder"))).otherwise(F.col("folder")),
-        })
-        return docs.withColumn("root_id", F.when(own, F.lit(parent).cast("long")).otherwise(F.col("root_id")))
+    def adopted(self, child: int, parent: int, prefix: str) -> DataFrame:
+        """The documents of a nested root as the root above it has them; their sources and folders get the prefix."""
+        docs = self.table("documents").where(F.col("root_id") == child)
+        folder = F.when(F.coalesce("folder", F.lit("")) == "", prefix).otherwise(F.concat_ws("/", F.lit(prefix), "folder"))
+        return docs.withColumns({"source": F.concat_ws("/", F.lit(prefix), "source"), "folder": folder, "root_id": F.lit(parent).cast("long")})
 
     def adopt_root(self, child: int, parent: int, prefix: str) -> dict:
-        return self.publish({"documents": self.adopted(self.table("documents"), child, parent, prefix), "roots": self.table("roots").where(F.col("root_id") != child)})
+        docs = self.adopted(child, parent, prefix)
+        return self.publish({"documents": Delta(docs, docs.select("doc_id")), "roots": self.table("roots").where(F.col("root_id") != child)})
 
     # -- copies ----------------------------------------------------------------
 
+    @staticmethod
+    def _paths(state: dict) -> list[str]:
+        """The folders a manifest names."""
+        return sorted({part["path"] for entry in state["tables"].values() for part in (*entry["segments"], *entry["buried"])})
+
     def backup(self, target: str) -> str:
         """A whole copy of the current version; the manifest comes last."""
         state = self.manifest
         if self.files.exists(f"{target}/manifest.json"):
             raise UsageError(f"{target} exists")
-        for where in state["tables"].values():
+        for where in self._paths(state):
             self.files.copy(f"{self.path}/{where}", f"{target}/{where}")
         self.files.write(f"{target}/manifest.json", json.dumps(state))
         return target
 
     @classmethod
     def restore(cls, spark: SparkSession, source: str, target: str, embedder=None, replace: bool = False) -> "Collection":
-        """A new collection from a backup; with ``replace`` the old one is kept beside it as a safety copy.
+        """A collection from a backup; with ``replace`` the old one is copied beside it first.
 
-        The copy is made and checked in a folder of its own; only then does it
-        take the target's place, by renames.
+        What the backup names is copied to the target and checked; then one
+        swap of the manifest takes the target from its old state to the new
+        one, so there is a whole collection at any moment.
         """
         target = target.rstrip("/")
-        got, old = cls(spark, source, embedder), cls(spark, target)
-        there = old.files.exists(old._manifest)
+        got, new = cls(spark, source, embedder), cls(spark, target, embedder)
+        there = new.files.exists(new._manifest)
         if there and not replace:
             raise UsageError(f"a collection exists at {target}")
-        staged = cls(spark, f"{target}.restoring-{uuid.uuid4().hex[:8]}", embedder)
+        state = got.manifest
+        before = new.manifest if there else {"version": 0}
+        if there:
+            new.backup(f"{target}-before-restore-{time.time_ns()}")
+        copied = []
         try:
-            got.backup(staged.path)
-            for name, where in staged.manifest["tables"].items():
-                if staged.files.size(f"{staged.path}/{where}") != got.files.size(f"{got.path}/{where}"):
-                    raise DataError(f"the copy of table {name} is not whole")
+            for where in cls._paths(state):
+                size = got.files.size(f"{source}/{where}")
+                if new.files.exists(f"{target}/{where}") and new.files.size(f"{target}/{where}") == size:
+                    continue  # segments never change: the same name is the same segment
+                copied.append(where)
+                got.files.copy(f"{source}/{where}", f"{target}/{where}")
+                if new.files.size(f"{target}/{where}") != size:
+                    raise DataError(f"the copy of {where} is not whole")
+            state = {**state, "version": max(state["version"], before["version"]) + there}
+            with new._swapping() as ours:
+                if there and new.manifest["version"] != before["version"] or not ours():
+                    raise ConflictError("another writer has published meanwhile")
+                new.files.write(new._manifest, json.dumps(state))
         except BaseException:
-            staged.files.delete(staged.path)
+            for where in copied:
+                new.files.delete(f"{target}/{where}")
             raise
-        if there:
-            old.files.rename(target, f"{target}-before-restore-{time.time_ns()}")
-        staged.files.rename(staged.path, target)
-        return cls(spark, target, embedder)
+        return new
 
     def compact(self, file_bytes: int = FILE_BYTES) -> tuple[int, int]:
-        """Rewrite tables into files of about ``file_bytes`` and delete directories no manifest names; bytes before and after."""
+        """Write every table as one segment with files of about ``file_bytes`` and delete folders no manifest names; bytes before and after."""
         before, state = self.files.size(self.path), self.manifest
-        few = lambda t, where: self.table(t).coalesce(max(1, self.files.size(f"{self.path}/{where}") // file_bytes))
-        self.publish({t: few(t, where) for t, where in state["tables"].items()})
-        live = set(self.manifest["tables"].values())
+        few = lambda t, entry: self.table(t).coalesce(max(1, sum(s["bytes"] for s in entry["segments"]) // file_bytes))
+        self.publish({t: few(t, e) for t, e in state["tables"].items() if t != "postings"}, {"postings": state["tables"]["postings"]["segments"]} if "postings" in state["tables"] else None)
+        live = set(self._paths(self.manifest))
         for t in self.files.children(f"{self.path}/tables"):
             for v in self.files.children(f"{self.path}/tables/{t}"):
                 if f"tables/{t}/{v}" not in live:

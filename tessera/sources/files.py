@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..errors import DataError, UsageError
 from ..functions.text import normalize_tags
+from . import walk
 
 # Which files are text, what is left out, limits, and the lines of a front matter.
 SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".org", ".text")
@@ -118,10 +120,37 @@ def _parse(content: pd.Series, stem: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "body", "tags", "skip"])
 
 
+@contextmanager
+def listed(spark: SparkSession, folder: str, exclude=()):
+    """(path, kind, size, mtime_ns, reason) of a folder's text files, and of folders below it that could not be listed.
+
+    Contents are not read and excluded folders not entered. The table lives as long as the block.
+    """
+    listing = listing_of(spark, folder, exclude)
+    try:
+        yield listing
+    finally:
+        if hasattr(listing, "walk_path"):
+            walk.forget(listing)
+
+
+def listing_of(spark: SparkSession, folder: str, exclude=()) -> DataFrame:
+    """The table of :func:`listed`, to be deleted by who asked for it."""
+    patterns, root = [*EXCLUDES, *normalize_excludes(exclude)], walk.local_path(spark, folder)
+    text = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)
+    if root is None:
+        found = _spark_files(spark, folder).where(~excluded(F.col("relative"), patterns))
+        none = F.lit(None).cast("string")
+        return found.select(F.col("relative").alias("path"), F.lit(walk.FILE).alias("kind"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), none.alias("reason")).where(text)
+    found = walk.walk(spark, root, patterns)
+    out = found.where((F.col("kind") == walk.UNREADABLE) | text)
+    out.walk_path = found.walk_path
+    return out
+
+
 def snapshot(spark: SparkSession, folder: str, exclude=()) -> DataFrame:
     """(path, mtime_ns, size): a stat-only listing; file contents are not read."""
-    files = _files(spark, folder, exclude)
-    return files.select(F.col("relative").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"))
+    return listing_of(spark, folder, exclude).where(F.col("kind") == walk.FILE).select("path", "mtime_ns", "size")
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
@@ -130,6 +159,12 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def list_directory(spark: SparkSession, path: str, most: int = 500) -> list[dict]:
     """Up to ``most`` entries of a folder for a picker, folders first; hidden ones are left out."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -137,51 +172,71 @@ def list_directory(spark: SparkSession, path: str, most: int = 500) -> list[dict
     return sorted((x for x in found if not x["name"].startswith(".")), key=lambda x: (not x["folder"], x["name"].lower()))[:most]
 
 
-def count_files(spark: SparkSession, folder: str, exclude=()) -> int:
-    return _files(spark, folder, exclude).count()
+def hashes(paths: DataFrame, folder: str) -> DataFrame:
+    """(path, content_hash) of the files of a folder at the ways in ``paths`` (path); no other file is opened, and the ways stay a table."""
+    return _contents(paths.select("path"), folder).select("path", F.sha2("content", 256).alias("content_hash"))
 
 
-def hashes(spark: SparkSession, folder: str, exclude, paths: list[str]) -> DataFrame:
-    """(path, content_hash) of some files of a folder; no other file is opened."""
-    if not paths:
-        return spark.createDataFrame([], "path string, content_hash string")
-    files = _files(spark, folder, exclude, paths)
-    return files.select(F.col("relative").alias("path"), F.when(F.col("length") <= MAX_BYTES, F.sha2("content", 256)).alias("content_hash"))
+def _contents(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` (path ...) with content and problem; files that are too large or can't be read have a problem."""
+    spark = rows.sparkSession
+    root = walk.local_path(spark, folder)
+    if root is not None:
+        return walk.read(rows.repartition(spark.sparkContext.defaultParallelism), root, MAX_BYTES)
+    files = _spark_files(spark, folder).select(F.col("relative").alias("path"), "length", "content")
+    big = F.col("length") > MAX_BYTES
+    return rows.join(files, "path", "left").withColumns({"content": F.when(~big, F.col("content")), "problem": F.when(big, "too large").when(F.col("length").isNull(), "unreadable")}).drop("length")
 
 
-def _files(spark: SparkSession, folder: str, exclude, only: list[str] | None = None) -> DataFrame:
-    """The files of a folder, or those at some ways below it."""
-    reader = spark.read.format("binaryFile")
-    files = reader.load([f"{folder.rstrip('/')}/{p}" for p in only]) if only else reader.option("recursiveFileLookup", True).load(folder)
+def _spark_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below a folder of any store Spark can reach, by Spark's reader."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
     at = F.instr(F.col("path"), base)
-    files = files.withColumn("relative", F.url_decode(F.replace(F.substr("path", at + F.lit(len(base))), F.lit("+"), F.lit("%2B"))))
-    suffix = F.lower(F.regexp_extract("relative", r"(\.[^./]+)$", 1))
-    return files.withColumn("ext", suffix).where(F.col("ext").isin(*SUFFIXES) & ~excluded(F.col("relative"), [*EXCLUDES, *normalize_excludes(exclude)]))
+    return files.withColumn("relative", F.url_decode(F.replace(F.substr("path", at + F.lit(len(base))), F.lit("+"), F.lit("%2B"))))
+
+
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of a single file, as that of its folder has it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    name = p.getName()
+    row = (name, walk.FILE, s.getLen(), s.getModificationTime() * 1_000_000, None)
+    return spark.createDataFrame([row] if f".{name.rpartition('.')[2].lower()}" in SUFFIXES else [], walk.SCHEMA)
 
 
-def read_folder(spark: SparkSession, folder: str, exclude=(), root_id: int | None = None, limit: int | None = None, way: str = "", only: str | None = None) -> DataFrame:
-    """Documents of a folder, and the files that were skipped (column ``skip`` says why).
+def read_folder(spark: SparkSession, folder: str, exclude=(), root_id: int | None = None, limit: int | None = None, way: str = "") -> DataFrame:
+    """Documents of a folder, and the files and folders that were skipped (column ``skip`` says why)."""
+    return read_listed(listing_of(spark, folder, exclude), folder, root_id, limit, way)
+
+
+def read_listed(listing: DataFrame, folder: str, root_id: int | None = None, limit: int | None = None, way: str = "") -> DataFrame:
+    """Documents of the files of a listing of ``folder``; what has no document has a row that says why (``skip``).
 
     ``way``: how the folder lies below its root; ids and folders start with it.
-    ``only``: the name of the one file to be read.
+    A listing cut at ``limit`` files has a row ``truncated``, a folder that
+    could not be listed a row ``unreadable folder``.
     """
-    files = _files(spark, folder, exclude, [only] if only else None)
-    if way:
-        files = files.withColumn("relative", F.concat(F.lit(way + "/"), "relative"))
+    files = listing.where(F.col("kind") == walk.FILE)
+    marks = listing.where(F.col("kind") == walk.UNREADABLE).select("path", F.lit("unreadable folder").alias("mark"))
     if limit:
-        files = files.orderBy("relative").limit(limit)
+        over = listing.where(F.col("kind") == walk.FILE).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+        marks = marks.unionByName(over.select(F.lit("").alias("path"), F.lit("truncated").alias("mark")))
+        files = files.orderBy("path").limit(limit)
     parse = F.pandas_udf(_parse, PARSED)
-    name = F.regexp_extract("relative", r"([^/]+?)(\.[^./]*)?$", 1)
-    big = F.col("length") > MAX_BYTES
-    rows = files.withColumn("p", F.when(~big, parse(F.when(~big, F.col("content")), name)))
-    return rows.select(
-        F.col("relative").alias("doc_id"), F.col("p.title").alias("title"), F.col("p.body").alias("body"), F.col("relative").alias("source"), F.lit(None).cast("string").alias("meta"),
-        F.when(~big, F.sha2("content", 256)).alias("content_hash"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size_bytes"), "ext",
-        F.regexp_extract("relative", r"^(.*)/[^/]*$", 1).alias("folder"), F.col("p.tags").alias("tags"), F.lit(root_id).cast("long").alias("root_id"),
-        F.when(big, "too large").otherwise(F.col("p.skip")).alias("skip"),
+    below = lambda c: F.concat(F.lit(way + "/"), c) if way else F.col(c)
+    found = _contents(files.select("path", "size", "mtime_ns"), folder)
+    found = found.withColumns({"p": F.when(F.col("content").isNotNull(), parse("content", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))), "relative": below("path")})
+    none = lambda kind: F.lit(None).cast(kind)
+    docs = found.select(
+        F.col("relative").alias("doc_id"), F.col("p.title").alias("title"), F.col("p.body").alias("body"), F.col("relative").alias("source"), none("string").alias("meta"),
+        F.sha2("content", 256).alias("content_hash"), (F.col("mtime_ns") / 1e9).alias("mtime"), F.col("size").alias("size_bytes"), F.lower(F.regexp_extract("relative", r"(\.[^./]+)$", 1)).alias("ext"),
+        F.regexp_extract("relative", r"^(.*)/[^/]*$", 1).alias("folder"), F.col("p.tags").alias("tags"), F.lit(root_id).cast("long").alias("root_id"), F.coalesce("problem", "p.skip").alias("skip"),
     )
+    at = F.rtrim(below("path"), F.lit("/")) if way else F.col("path")
+    others = marks.select(at.alias("doc_id"), F.col("mark").alias("skip")).withColumns({f.name: none(f.dataType) for f in docs.schema if f.name not in ("doc_id", "skip")})
+    return docs.unionByName(others.withColumn("folder", F.col("doc_id")))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

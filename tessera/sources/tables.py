@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: bytes up to which a table may be dealt anew; beyond it has row groups enough to be split as it is
@@ -28,15 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def file_stamp(table: DataFrame) -> str:
-    """Paths, sizes and times of a table's files, as text; it changes whenever a file does."""
-    spark, out = table.sparkSession, []
-    conf = spark._jsc.hadoopConfiguration()
-    for name in sorted(table.inputFiles()):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        s = path.getFileSystem(conf).getFileStatus(path)
-        out.append(f"{name} {s.getLen()} {s.getModificationTime()}")
-    return "\n".join(out)
+def file_stamp(spark: SparkSession, path: str) -> str:
+    """Paths, sizes and times of a table's files, as text; it changes whenever a file does. One listing, however many files there are."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = spark._jvm.java.util.Arrays.toString(at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    return re.sub(r"access_time=\d+", "", found)
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -50,3 +49,25 @@ def spread(table: DataFrame) -> DataFrame:
     if int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL or len(table._jdf.inputFiles()) >= cores:
         return table
     return table.repartition(cores)
+
+
+#: rows of ids up to which they are broadcast
+FEW_IDS = 1 << 20
+
+
+def small(ids: DataFrame, rows: int) -> DataFrame:
+    """``ids``, of which there are ``rows``, to be broadcast if those are few."""
+    return F.broadcast(ids) if rows <= FEW_IDS else ids
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for results whose sources are about to go."""
+    path = f"{shared_folder(df.sparkSession)}/tessera/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on any file system Spark can reach."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

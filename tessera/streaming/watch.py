@@ -1,9 +1,10 @@
-"""Keeping a collection in step with its folders by Structured Streaming triggers.
+"""Keeping a collection in step with its folders by Structured Streaming.
 
-A file source would deliver new files only, so every trigger of a rate source
-takes a stat-only snapshot and compares it with the stored one: a change is
-acted on when it has held for two polls, a root that suddenly lost nearly all
-its files is left alone, and failures back off.
+A file source would deliver new files only, so the stream is that of
+``source.py``: every trigger is a poll, whose changes are kept as state until
+they have held for two polls; then the root is ingested. A root that suddenly
+lost all its files is left alone, and failures back off. :meth:`AutoSync.tick`
+does the same for callers without a stream, with the state in memory.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from ..operators import changes
 from ..plans.ingest import ingest_folder
 from ..plans.store import Collection
-from ..sources.files import snapshot
+from ..sources.files import listed
+from .source import VANISH_MIN, folder_changes, settled, watch_roots
 
-STABLE_POLLS, VANISH_MIN = 2, 5
+STABLE_POLLS = 2
 MAX_BACKOFF, MAX_INTERVAL = 300.0, 120.0
 
 
@@ -71,7 +73,8 @@ class AutoSync:
         state = self.states.setdefault(root, RootState())
         began = self.clock()
         try:
-            now = fingerprint(snapshot(self.col.spark, root, exclude))
+            with listed(self.col.spark, root, exclude) as found:
+                now = fingerprint(found.where("kind = 'file'"))
             wait = poll_interval(self.interval, self.clock() - began)
             if vanished(state.synced[0], now[0]):
                 return self._say(root, "vanished", wait)
@@ -109,14 +112,45 @@ class AutoSync:
         with self._busy:
             yield self
 
+    def _roots(self) -> dict[str, tuple]:
+        return {r.path: tuple(r.exclude or ()) for r in self.col.table("roots").where("not coalesce(files_only, false)").collect()}
+
+    def _act(self, events: DataFrame, _: int) -> None:
+        """One poll's events, a few for each root: act on what has settled, and again on what failed when that is due."""
+        with self._busy:  # a manual job goes first
+            settled = {r.root: r.action for r in events.select("root", "action").collect()}
+            self.log += [(r, what) for r, what in settled.items() if what != "sync"]
+            failed = {x["root"]: x for x in self.col.preference("sync_failed", [])}
+            roots, now = self._roots(), time.time()
+            for root in sorted(roots.keys() & ({r for r, what in settled.items() if what == "sync"} | {r for r, x in failed.items() if x["due"] <= now})):
+                try:
+                    self.sync(self.col, root, roots[root])
+                    failed.pop(root, None)
+                    self.log.append((root, "synced"))
+                except Exception:
+                    times = failed.get(root, {}).get("times", 0) + 1
+                    failed[root] = {"root": root, "times": times, "due": now + backoff(self.interval, times)}
+                    self.log.append((root, "failed"))
+            if list(failed.values()) != self.col.preference("sync_failed", []):
+                self.col.set_preference("sync_failed", list(failed.values()))
+            watch_roots(self.state, self._roots())
+
     def start(self) -> "AutoSync":
-        """Poll at every trigger until stopped; the collection remembers that it is kept in step."""
+        """Poll at every trigger until stopped; the collection remembers that it is kept in step.
+
+        Polls, snapshots and what waits live in the collection's folder, so a
+        restart goes on where the last run ended.
+        """
         if self.query is not None and self.query.isActive:
             return self
         if not self.col.preference("auto_sync", False):
             self.col.set_preference("auto_sync", True)
-        ticks = self.col.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        self.query = ticks.writeStream.foreachBatch(lambda _, __: self.tick() and None).trigger(processingTime=f"{self.interval} seconds").start()
+        where = self.col.path if "://" in self.col.path else f"file://{self.col.path}"
+        self.state = f"{where}/sync/snapshots"
+        watch_roots(self.state, self._roots())
+        events = settled(folder_changes(self.col.spark, self.state), self.interval * (STABLE_POLLS - 1))
+        stream = events.writeStream.outputMode("update").option("checkpointLocation", f"{where}/sync/checkpoint").foreachBatch(self._act)
+        self.query = stream.trigger(processingTime=f"{self.interval} seconds").start()
         return self
 
     def stop(self, forget: bool = False) -> None:
