@@ -108,7 +108,7 @@ class Index:
         turned = self.rotate(asked, True)
         self.probes = self._calibrate(turned, turned_rows, recall)
         self.row_parts = self._parts(self.lists_of(turned_rows), rows / len(sample))
-        self.query_parts = self._parts(self.probed(turned).ravel(), queries / max(1, len(asked)))
+        self.query_parts = self._parts(self.probed(turned)[1], queries / max(1, len(asked)))
 
     def _parts(self, lists: np.ndarray, times: float) -> np.ndarray:
         """Into how many chunks each list is cut, from the sample's share of it (and a margin for chance)."""
@@ -129,9 +129,24 @@ class Index:
     def lists_of(self, rotated: np.ndarray) -> np.ndarray:
         return self._nearest(rotated, self.centres)
 
-    def probed(self, rotated: np.ndarray) -> np.ndarray:
-        """The lists each query probes, nearest first."""
-        return np.argsort(self._gaps(rotated, self.centres), axis=1, kind="stable")[:, : self.probes]
+    def probed(self, rotated: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, list, place) of the lists that queries probe, each query's nearest first.
+
+        A query probes ``probes`` lists, and on until its lists hold k rows;
+        ``held``: how many rows each list holds.
+        """
+        who, lists, places = [], [], []
+        for s in range(0, len(rotated), 1024):
+            order = np.argsort(self._gaps(rotated[s : s + 1024], self.centres), axis=1, kind="stable")
+            n = np.full(len(order), min(self.probes, order.shape[1]))
+            if held is not None:
+                n = np.maximum(n, np.minimum((held[order].cumsum(1) < self.k).sum(1) + 1, order.shape[1]))
+            q = np.repeat(np.arange(len(order)), n)
+            place = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+            who.append(q + s)
+            places.append(place)
+            lists.append(order[q, place])
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (who, lists, places))
 
     def _calibrate(self, asked: np.ndarray, rows: np.ndarray, recall: float) -> int:
         """The fewest probes with which the sample's queries find ``recall`` of their neighbours in the sample."""
@@ -261,12 +276,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 for at, x in by_length(b.column(1)):
                     index, query = shared.value.get(x.shape[1]), b.column(0).to_numpy()[at]
                     if index:
-                        turned = index.rotate(x, True)
-                        lists = index.probed(turned)[:, :1] if first else index.probed(turned)[:, 1:]
+                        who, lists, nth = index.probed(index.rotate(x, True), held.value[x.shape[1]])
+                        own = nth == 0 if first else nth > 0
+                        who, lists = who[own], lists[own]
                         worst = np.full(len(x), np.inf) if first else b.column(2).to_numpy(zero_copy_only=False)[at]
                     else:
-                        lists, worst = np.zeros((len(x), int(first)), np.int64), np.full(len(x), np.inf)
-                    who, lists = np.repeat(np.arange(len(x)), lists.shape[1]), lists.ravel()
+                        who = np.arange(len(x) if first else 0)
+                        lists, worst = np.zeros(len(who), np.int64), np.full(len(x), np.inf)
                     own, others = (index.query_parts[lists], index.row_parts[lists]) if index else (np.full(len(who), parts), np.full(len(who), parts))
                     yield deal(x.shape[1], lists, own, others, query[who], query[who], worst[who], b.column(1).take(pa.array(at[who])))
 
@@ -306,6 +322,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(scan, out)
 
     indexed = materialise(rows.select("row", "id", "v").mapInArrow(place, shape), "ann-index")
+    filled = {d: np.zeros(len(index.centres), np.int64) for d, index in indexes.items()}
+    for r in indexed.where(F.col("d").isin(*indexes)).groupBy("d", "list").count().collect():  # one row for each list
+        filled[r["d"]][r["list"]] = r["count"]
+    held = spark.sparkContext.broadcast(filled)
     near = materialise(met(asked.select("query", "v").mapInArrow(probe(True), shape)), "ann-nearest")
     known = asked.join(near.groupBy("query").agg(F.min("kth").alias("worst")), "query", "left").select("query", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
     rest = materialise(met(known.mapInArrow(probe(False), shape)), "ann-rest")
