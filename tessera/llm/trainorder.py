@@ -146,11 +146,14 @@ def training_order(docs: DataFrame, folder: str | None = None, stride: int = 102
 
     ``folder`` is a URI of a file system that all executors share; by default a
     new folder below the checkpoint folder. The shards there are the result.
+    Executors write through Arrow's file systems: local and mounted folders, S3
+    (also as s3a), GCS, Azure, and HDFS where libhdfs is installed; a view of
+    file systems (viewfs) is resolved to what it links to.
     """
     if stride < 1 or per_shard < 1 or group_docs < 1 or waves < 1 or width not in (2, 4):
         raise ValueError("stride, per_shard, group_docs and waves must be positive, width 2 or 4")
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "shards")
+    folder = _resolved(spark, folder or new_folder(spark, "shards"))
     cut = materialise(sequences(docs, stride, closing_id, width, id_col, text_col, group_docs), "order-sequences")
     counts = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number for each shuffle partition
     base = np.cumsum([0] + [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)])
@@ -201,25 +204,66 @@ def training_order(docs: DataFrame, folder: str | None = None, stride: int = 102
         written = dealt.sortWithinPartitions("slot").mapInArrow(write, "shard long, path string, first_slot long, n_sequences long, n_ids long, stride_bytes long, n_bytes long, crc32 long")
         manifests.append(materialise(written, "order-manifest"))
     drop(cut)
+    _sweep(spark, folder)
     if not manifests:
         return spark.createDataFrame([], "shard long, path string, first_slot long, n_sequences long, n_ids long, stride_bytes long, n_bytes long, crc32 long")
     return reduce(DataFrame.unionByName, manifests)
 
 
+#: how executors reach the stores that Hadoop names otherwise
+ALIASES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
 def _file(folder: str, shard: int):
     from pyarrow import fs
 
+    scheme, colon, rest = folder.partition("://")
+    if folder.startswith("dbfs:/"):
+        folder = f"file:///dbfs/{folder.removeprefix('dbfs:').lstrip('/')}"  # mounted on every worker
+    elif colon:
+        folder = f"{ALIASES.get(scheme, scheme)}://{rest}"
+    elif folder.startswith("file:/"):
+        folder = f"file://{folder.removeprefix('file:')}"
     system, path = fs.FileSystem.from_uri(folder)
-    return system, f"{path}/shard-{shard:08d}.bin"
+    return system, f"{path.rstrip('/')}/shard-{shard:08d}.bin"
+
+
+def _resolved(spark, folder: str) -> str:
+    """``folder`` as executors can name it: links of a view of file systems are followed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    return system.resolvePath(path).toString()
+
+
+def _sweep(spark, folder: str) -> None:
+    """Delete what attempts that were lost have left beside the shards."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard-*.bin.*")
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(at) or []:
+        system.delete(found.getPath(), False)
 
 
 def write_shard(folder: str, shard: int, raw: bytes) -> str:
-    """Write one shard as ``folder``/shard-NNNNNNNN.bin, whole or not at all; return its path."""
+    """Write one shard as ``folder``/shard-NNNNNNNN.bin, whole or not at all; return its path.
+
+    A repeated attempt finds the file of the one before it: equal bytes stay, others are replaced.
+    """
+    from pyarrow import fs
+
     system, path = _file(folder, shard)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{TaskContext.get().taskAttemptId()}"
     with system.open_output_stream(part) as f:
         f.write(raw)
+    there = system.get_file_info(path)
+    if there.type != fs.FileType.NotFound:  # not every store moves onto a file that exists
+        with system.open_input_stream(path) as f:
+            same = there.size == len(raw) and f.read() == raw
+        if same:
+            system.delete_file(part)
+            return path
+        system.delete_file(path)
     system.move(part, path)
     return path
 
