@@ -83,3 +83,42 @@ def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 def masked(values: np.ndarray, nulls: np.ndarray) -> pa.Array:
     return pa.array(values, mask=nulls)
+
+
+def cell_runs(batches, limit: int):
+    """(columns, whole): arrays of rows sorted by the first column, cut between its values (cells).
+
+    ``whole`` says that no cell goes on elsewhere. A cell that goes over a
+    batch's end is held until its end or ``limit`` rows; beyond, its rows come
+    in pieces of their own as they are read, so no cell is ever held together.
+    """
+    held: list[list[np.ndarray]] = []  # the open cell, column by column in pieces
+    n, open_cell, large = 0, None, False
+    for b in batches:
+        got = [b.column(k).to_numpy() for k in range(b.num_columns)]
+        c = got[0]
+        if not len(c):
+            continue
+        if (c[1:] < c[:-1]).any() or open_cell is not None and c[0] < open_cell:
+            raise ValueError("the rows are not sorted by cell")
+        if open_cell is not None and large:
+            same = int(np.searchsorted(c, open_cell, "right"))
+            if same:
+                yield [x[:same] for x in got], False
+            got, c = [x[same:] for x in got], c[same:]
+            if not len(c):
+                continue
+            open_cell, large = None, False
+        cut = int(np.searchsorted(c, c[-1])) if open_cell is None or c[-1] != open_cell else 0
+        if cut or (held and c[0] != open_cell):
+            whole = [np.concatenate([*(h[k] for h in held), x[:cut]]) for k, x in enumerate(got)]
+            if len(whole[0]):
+                yield whole, True
+            held, n = [], 0
+        held.append([x[cut:] for x in got])
+        n, open_cell = n + len(c) - cut, c[-1]
+        if n > limit:
+            yield [np.concatenate([h[k] for h in held]) for k in range(len(got))], False
+            held, n, large = [], 0, True
+    if held:
+        yield [np.concatenate([h[k] for h in held]) for k in range(len(held[0]))], True

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise, partitions
+from .common import cell_runs, drop, materialise, partitions
 from .graph import connected_components
 from .simhash import SEED, links, majority
 
@@ -145,22 +145,6 @@ def prefixes(plain: DataFrame, words: int, similarity: float) -> DataFrame:
     return plain.mapInArrow(run, "id long, node long, size int, fp long, prefix binary, parity binary")
 
 
-def _runs(batches):
-    """Arrays made of whole cells, from rows sorted by the first column."""
-    rest = None
-    for b in batches:
-        got = [b.column(k).to_numpy() for k in range(b.num_columns)]
-        rest = got if rest is None else [np.concatenate(p) for p in zip(rest, got)]
-        if not len(rest[0]):
-            continue
-        cut = int(np.searchsorted(rest[0], rest[0][-1]))
-        if cut:
-            yield [c[:cut] for c in rest]
-            rest = [c[cut:] for c in rest]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
 def by_fingerprint(reps: DataFrame) -> DataFrame:
     """Pairs (a, b) that link all nodes whose fingerprints are linked: nodes with the first of their fingerprint, those by the grid."""
     prints = materialise(reps.groupBy("fp").agg(F.min("node").alias("head")), "near-prints")
@@ -191,10 +175,10 @@ def meetings(reps: DataFrame, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b), pa.array(size), pa.array(place)], schema=kind)
 
     def meet(batches):
-        for c, size, node, root, place in _runs(batches):
+        for (c, size, node, root, place), whole in cell_runs(batches, BLOCK):
             start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
             many = np.diff(np.r_[start, len(c)])
-            big = np.repeat(many > SMALL, many)
+            big = np.repeat((many > SMALL) | (not whole), many)
             if big.any():
                 yield out(1, c[big], node[big], size[big], place[big])
             pairs = []

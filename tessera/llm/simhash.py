@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, masked, materialise, partitions
+from .common import cell_runs, materialise, partitions
 from .graph import connected_components
 
 SEED = 42
@@ -120,22 +120,6 @@ def forest(x: np.ndarray, y: np.ndarray | None, bits: int) -> list[tuple[np.ndar
     return [(x[moved], x[label[moved]])]
 
 
-def _cell_runs(batches):
-    """(cell, fp) arrays made of whole cells, from rows sorted by cell."""
-    rest_c, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-    for b in batches:
-        c = np.concatenate([rest_c, b.column(0).to_numpy()])
-        f = np.concatenate([rest_f, b.column(1).to_numpy().view(np.uint64)])
-        if not len(c):
-            continue
-        cut = int(np.searchsorted(c, c[-1])) if (np.diff(c) >= 0).all() else len(c)
-        if cut:
-            yield c[:cut], f[:cut]
-        rest_c, rest_f = c[cut:], f[cut:]
-    if len(rest_c):
-        yield rest_c, rest_f
-
-
 def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     """(a, b): edges between distinct fingerprints (column fp) with the same components as all links have."""
     if not 0 <= bits <= 5:
@@ -157,7 +141,11 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a.astype(np.uint64, copy=False).view(np.int64)), pa.array(b.astype(np.uint64, copy=False).view(np.int64))], schema=kind)
 
     def join(batches):
-        for c, f in _cell_runs(batches):
+        for (c, f), whole in cell_runs(batches, CELL_LIMIT):
+            f = f.view(np.uint64)
+            if not whole:
+                yield out(1, c.view(np.uint64), f)
+                continue
             start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
             size = np.diff(np.r_[start, len(c)])
             small = np.repeat(size <= 48, size)
