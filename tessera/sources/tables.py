@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def file_stamp(spark: SparkSession, path: str) -> str:
     """Paths, sizes and times of a table's files, as text; it changes whenever a file does. One listing, however many files there are."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = spark._jvm.java.util.Arrays.toString(at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    found = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
     return re.sub(r"access_time=\d+", "", found)
 
 
