@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ HELD = 400_000
 WORD_BITS, MAX_BITS = 16, 1 << 27
 PROBES = 4
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: array elements of a chunk of candidates
-CHUNK = 1 << 20
+#: array elements of a chunk of candidates, and code points beyond which a word's candidates are not made strings
+CHUNK, LONG = 1 << 20, 64
 
 
 def word_counts(text: str | None, doc_id: int | None, typo: int = TYPO, min_length: int = MIN_LENGTH) -> Counter:
@@ -139,9 +140,19 @@ def _filter(words: DataFrame, n: int) -> tuple:
     return size, words.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def neighbourhood(words: list[str], alphabet: str, seen=lambda h: np.ones(h.shape, bool)):
-    """(index of the word, candidate) of all distinct strings at one edit over ``alphabet`` whose hash ``seen`` lets through."""
+CUT, PUT, SWAP = 0, 1, 2
+
+
+def edits(words: list[str], alphabet: str, seen=lambda h: np.ones(h.shape, bool)):
+    """Arrays (index of the word, kind, place, letter, hash, length) of all distinct strings at one edit over ``alphabet`` whose hash ``seen`` lets through."""
     letters = np.frombuffer(alphabet.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+    def found(kind, hit, hashes, at, places, size):
+        where = np.nonzero(hit)
+        r, k, a = where if len(where) == 3 else (*where, np.zeros(len(where[0]), np.int64))
+        if len(r):
+            yield at[r], np.full(len(r), kind, np.int8), places[k], a, hashes[where], np.full(len(r), size)
+
     for at, codes in _by_length(words):
         m, size = codes.shape
         power = _powers(size + 1)
@@ -155,57 +166,100 @@ def neighbourhood(words: list[str], alphabet: str, seen=lambda h: np.ones(h.shap
             i = np.arange(lo, min(lo + step, size + 1))
             j = i[i < size]
             put = before[:, i, None] * power[size + 1 - i][None, :, None] + letters * power[size - i][None, :, None] + after[:, i, None]
-            own = np.full((m, len(i)), 0, np.uint64)  # no letter
+            own = np.zeros((m, len(i)), np.uint64)  # no letter after the last
             own[:, : len(j)] = codes[:, j]
             other = letters != own[:, :, None]  # neither the letter that is there, nor one more of a run before its end
-            for r, k, a in zip(*np.nonzero(other & seen(put))):
-                w = words[at[r]]
-                yield at[r], w[: i[k]] + alphabet[a] + w[i[k] :]
+            yield from found(PUT, other & seen(put), put, at, i, size + 1)
             if not len(j):
                 continue
             swap = before[:, j, None] * power[size - j][None, :, None] + letters * power[size - 1 - j][None, :, None] + after[:, j + 1, None]
-            for r, k, a in zip(*np.nonzero(other[:, : len(j)] & seen(swap))):
-                w = words[at[r]]
-                yield at[r], w[: j[k]] + alphabet[a] + w[j[k] + 1 :]
+            yield from found(SWAP, other[:, : len(j)] & seen(swap), swap, at, j, size)
             cut = before[:, j] * power[size - 1 - j][None, :] + after[:, j + 1]
             first = np.ones((m, len(j)), bool)
             inner = j > 0
             first[:, inner] = codes[:, j[inner]] != codes[:, j[inner] - 1]
-            for r, k in zip(*np.nonzero(first & seen(cut))):
-                w = words[at[r]]
-                yield at[r], w[: j[k]] + w[j[k] + 1 :]
+            yield from found(CUT, first & seen(cut), cut, at, j, size - 1)
+
+
+def neighbourhood(words: list[str], alphabet: str, seen=lambda h: np.ones(h.shape, bool)):
+    """(index of the word, candidate) of the same strings."""
+    for at, kind, place, letter, _, _ in edits(words, alphabet, seen):
+        for i, what, k, a in zip(at.tolist(), kind.tolist(), place.tolist(), letter.tolist()):
+            w = words[i]
+            yield i, w[:k] + ("" if what == CUT else alphabet[a]) + w[k + (what != PUT) :]
+
+
+def _passing(size: int, raw: bytes):
+    """The test of a Bloom filter of ``size`` bits."""
+    bits = np.frombuffer(raw, np.int64).view(np.uint64)
+
+    def seen(h):
+        flat, where = h.reshape(-1), np.arange(h.size)
+        for k in range(PROBES):
+            at = _mix(flat[where], k) & np.uint64(size - 1)
+            where = where[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        out = np.zeros(h.size, bool)
+        out[where] = True
+        return out.reshape(h.shape)
+
+    return seen
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n): every ordered pair of words of ``words`` (word, n; a stored table) at one edit."""
-    spark = words.sparkSession
+    """(word, n, near, near_n): every ordered pair of words of ``words`` (word, n; a stored table) at one edit.
+
+    Candidates are strings, but for those of words beyond ``LONG`` code points,
+    which would repeat such a word thousands of times: they are joined by hash
+    and length, made of the word they came from only then, and compared.
+    """
     n = words.count()
     alphabet = "".join(sorted(r[0] for r in words.select(F.explode(F.split("word", "")).alias("letter")).where("letter <> ''").distinct().collect()))  # at most 90 letters
     size, held = _filter(words, n)
     schema = pa.schema([("near", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        bits = np.frombuffer(held.value, np.int64).view(np.uint64)
-
-        def seen(h):
-            flat, where = h.reshape(-1), np.arange(h.size)
-            for k in range(PROBES):
-                at = _mix(flat[where], k) & np.uint64(size - 1)
-                where = where[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
-            out = np.zeros(h.size, bool)
-            out[where] = True
-            return out.reshape(h.shape)
-
+        seen = _passing(size, held.value)
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 own, counts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                out = [(c, own[i], counts[i]) for i, c in neighbourhood(own, alphabet, seen)]
-                if out:
+                made = neighbourhood(own, alphabet, seen)
+                while out := [(c, own[i], counts[i]) for i, c in islice(made, 50_000)]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    made = words.select("word", "n").mapInArrow(run, "near string, word string, n long")
-    return made.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").select("word", "n", "near", "near_n")
+    of = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
+    made = words.where(F.length("word") <= LONG).select("word", "n").mapInArrow(run, "near string, word string, n long")
+    near = made.join(of, "near").select("word", "n", "near", "near_n")
+    long = words.where(F.length("word") > LONG)
+    return near.unionByName(_near_long(words, long, alphabet, size, held)) if long.limit(1).count() else near
+
+
+def _near_long(words: DataFrame, long: DataFrame, alphabet: str, size: int, held) -> DataFrame:
+    """:func:`near_words` for the words of ``long``."""
+    keyed = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+    edit = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("own", pa.int64()), ("own_size", pa.int32()), ("kind", pa.int8()), ("place", pa.int32()), ("letter", pa.int32())])
+
+    def name(batches):
+        for b in batches:
+            own = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(own).view(np.int64)), pa.array(list(map(len, own)), pa.int32()), *b.columns], schema=keyed)
+
+    def run(batches):
+        seen = _passing(size, held.value)
+        for b in batches:
+            own = b.column(0).to_pylist()
+            names, sizes = word_hashes(own).view(np.int64), np.array(list(map(len, own)))
+            for at, kind, place, letter, h, length in edits(own, alphabet, seen):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((h.view(np.int64), length, names[at], sizes[at], kind, place, letter), edit)], schema=edit)
+
+    named = materialise(words.where(F.length("word") >= LONG).select("word", "n").mapInArrow(name, "h long, size int, word string, n long"), "spelling-long")
+    made = long.select("word").mapInArrow(run, "h long, size int, own long, own_size int, kind byte, place int, letter int")
+    met = made.join(named.withColumnsRenamed({"word": "near", "n": "near_n"}), ["h", "size"]).drop("h", "size")
+    met = met.join(named.withColumnsRenamed({"h": "own", "size": "own_size"}), ["own", "own_size"])
+    letter = F.when(F.col("kind") == CUT, "").otherwise(F.substr(F.lit(alphabet), F.col("letter") + 1, F.lit(1)))
+    rest = F.col("place") + F.when(F.col("kind") == PUT, 1).otherwise(2)
+    same = F.concat(F.substr("word", F.lit(1), F.col("place")), letter, F.substr("word", rest)) == F.col("near")
+    return met.where(same).select("word", "n", "near", "near_n").distinct()
 
 
 def _larger(ratio: int) -> Column:
