@@ -214,17 +214,20 @@ def training_order(docs: DataFrame, folder: str | None = None, stride: int = 102
 ALIASES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
 
 
+def _uri(folder: str) -> str:
+    """A folder as Arrow's file systems name it."""
+    scheme, colon, rest = folder.partition("://")
+    if folder.startswith("dbfs:/"):
+        return f"file:///dbfs/{folder.removeprefix('dbfs:').lstrip('/')}"  # mounted on every worker
+    if folder.startswith("file:/"):
+        return f"file:///{folder.removeprefix('file:').lstrip('/')}"
+    return f"{ALIASES.get(scheme, scheme)}://{rest}" if colon else folder
+
+
 def _file(folder: str, shard: int):
     from pyarrow import fs
 
-    scheme, colon, rest = folder.partition("://")
-    if folder.startswith("dbfs:/"):
-        folder = f"file:///dbfs/{folder.removeprefix('dbfs:').lstrip('/')}"  # mounted on every worker
-    elif colon:
-        folder = f"{ALIASES.get(scheme, scheme)}://{rest}"
-    elif folder.startswith("file:/"):
-        folder = f"file://{folder.removeprefix('file:')}"
-    system, path = fs.FileSystem.from_uri(folder)
+    system, path = fs.FileSystem.from_uri(_uri(folder))
     return system, f"{path.rstrip('/')}/shard-{shard:08d}.bin"
 
 
