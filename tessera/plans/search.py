@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,6 +14,7 @@ from ..functions.snippets import build_snippet
 from ..functions.text import keyword_terms
 from ..operators import analytics, fusion, lexical, semantic
 from ..operators.filters import allowed as allowed_docs
+from ..sources.tables import keep
 
 MODES = ("lexical", "semantic", "hybrid")
 SEGMENTS = "array<struct<text: string, highlight: boolean>>"
@@ -59,7 +61,8 @@ def search_with_outcome(spark: SparkSession, corpus: Corpus, queries, **options)
     (qid, n_hits, strict_count, relaxed, weak_count, abstained): ``strict_count``
     hits have every keyword (null where matching any is asked for, or without a
     keyword leg), ``relaxed`` says whether partial matches follow them, and a
-    search abstains if it has hits and all of them are weak.
+    search abstains if it has hits and all of them are weak. ``timings`` may be
+    a list that gets the stages with their rows and milliseconds.
     """
     hits, lex = _search(spark, corpus, queries, **options)
     asked = spark.createDataFrame([(q,) for q, _ in _checked(queries)], "qid string")
@@ -75,10 +78,29 @@ def search_with_outcome(spark: SparkSession, corpus: Corpus, queries, **options)
     return hits, out.select("qid", zero("n_hits"), "strict_count", no("relaxed"), zero("weak_count"), no("abstained"))
 
 
-def _search(spark: SparkSession, corpus: Corpus, queries, mode: str = "hybrid", k: int = 10, precision: str = "float", fusion_kind: str = "rrf", rrf_k: int = 60, alpha: float = 0.5, rerank: bool = False, depth: int = 50, match: str = "all", filters=None, explain: bool = False, on_stage=None) -> tuple[DataFrame, DataFrame | None]:
-    """The hits and the keyword leg, if there is one."""
+def _search(spark: SparkSession, corpus: Corpus, queries, mode: str = "hybrid", k: int = 10, precision: str = "float", fusion_kind: str = "rrf", rrf_k: int = 60, alpha: float = 0.5, rerank: bool = False, depth: int = 50, match: str = "all", filters=None, explain: bool = False, on_stage=None, timings: list | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The hits and the keyword leg, if there is one.
+
+    ``timings``: a list that gets the stages as they are done, (stage, rows,
+    ms); each stage is then a job of its own whose result is kept, where
+    otherwise all of them are one plan.
+    """
     tell = on_stage or (lambda stage: None)
     tell("parse")
+    began = [time.perf_counter()]
+
+    def done(stage: str, df: DataFrame | None = None) -> DataFrame | None:
+        if timings is None:
+            return df
+        rows, kept = 0, df
+        if df is not None:
+            kept = keep(df)
+            rows = kept.count()
+        now = time.perf_counter()
+        timings.append({"stage": stage, "rows": rows, "ms": round(1000 * (now - began[0]), 3)})
+        began[0] = now
+        return kept
+
     if mode not in MODES:
         raise UsageError(f"unknown mode {mode!r} ({'|'.join(MODES)})")
     lexical.check_k(k)
@@ -92,14 +114,16 @@ def _search(spark: SparkSession, corpus: Corpus, queries, mode: str = "hybrid",
     fetch = max(k, depth) if mode == "hybrid" and rerank else k
     fit = allowed_docs(corpus.documents, filters)
     lex = sem = qv = None
+    done("parse")
     if mode != "semantic":
         tell("lexical")
-        lex = lexical.lexical_search(spark, corpus.index, asked, fetch, match, fit)
+        lex = done("lexical", lexical.lexical_search(spark, corpus.index, asked, fetch, match, fit))
     if mode != "lexical":
         tell("embed")
         qv = query_vectors(spark, corpus.embedder, asked)
+        done("embed")
         tell("semantic")
-        sem = semantic.semantic_search(corpus.vectors, qv, fetch, precision, allowed=fit)
+        sem = done("semantic", semantic.semantic_search(corpus.vectors, qv, fetch, precision, allowed=fit))
     none = lambda t: F.lit(None).cast(t)
     if mode == "lexical":
         hits = lex.select("qid", "rank", "doc_id", "score", F.col("rank").alias("lex_rank"), F.col("score").alias("lex_score"), none("int").alias("sem_rank"), none("double").alias("sem_score"))
@@ -108,10 +132,10 @@ def _search(spark: SparkSession, corpus: Corpus, queries, mode: str = "hybrid",
     else:
         tell("fuse")
         hits = fusion.rrf(lex, sem, rrf_k) if fusion_kind == "rrf" else fusion.linear(lex, sem, alpha)
-        hits = hits.withColumn("fused_score", F.col("score"))
+        hits = done("fuse", hits.withColumn("fused_score", F.col("score")))
         if rerank:
             tell("rerank")
-            hits = semantic.rerank(hits, corpus.vectors, qv, k).drop("seq")
+            hits = done("rerank", semantic.rerank(hits, corpus.vectors, qv, k).drop("seq"))
         else:
             hits = hits.where(F.col("rank") <= k)
     if "fused_score" not in hits.columns:

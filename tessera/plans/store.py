@@ -39,6 +39,8 @@ SCHEMA_VERSION = 2
 KEYED = ("passages", "postings", "doc_stats", "vectors", "bookmarks", "activity")
 #: segments of like size (within this factor) that are merged into one
 FAN = 8
+#: shares in which documents are split anew
+REBUILD_BUCKETS = 8
 #: share of the documents that may be buried before a table is written anew
 BURIED_SHARE = 0.25
 #: seconds after which a lock is taken to be left by a writer that died; a swap takes far less
@@ -305,7 +307,7 @@ class Collection:
     def derived(self, docs: DataFrame) -> dict[str, DataFrame]:
         """Passages, postings, lengths and vectors of some documents; vectors of unchanged texts are reused."""
         state = self.manifest
-        passages = with_passages(docs, chunking_of(state["chunking"]))
+        passages = with_passages(docs, chunking_of((state.get("rebuild") or state)["chunking"]))
         index = lexical.build_index(docs, "doc_id", "title", "body", state["tokenizer"])
         out = {"passages": passages, "postings": index.postings, "doc_stats": index.lengths}
         if "model" in state:
@@ -385,15 +387,38 @@ class Collection:
         other = self.embedder is not None and state.get("model") != self._model(self.embedder)
         return other or state["chunking"] != chunking_text(normalize_chunking(chunking))
 
-    def rebuild_passages(self, chunking) -> dict:
-        """Re-split under another setting; only documents whose passages differ are embedded anew."""
-        setting, state = normalize_chunking(chunking), self.manifest
-        docs = self.table("documents")
-        new = with_passages(docs, setting)
-        tables = {"passages": new}
-        if "model" in state:
-            tables["vectors"] = self._vectors(new, docs, state["model"])
-        return self.publish(tables, chunking=chunking_text(setting))
+    def rebuild_passages(self, chunking, buckets: int = REBUILD_BUCKETS) -> dict:
+        """Re-split under another setting, a share of the documents at a time; only those whose passages differ are written and embedded anew.
+
+        Every share is published with how far the rebuild has come, so one that
+        was cut off goes on where it stopped; documents that come in meanwhile
+        are split under the new setting.
+        """
+        setting = normalize_chunking(chunking)
+        target = chunking_text(setting)
+        progress = self.manifest.get("rebuild") or {}
+        if progress.get("chunking") != target:
+            progress = {"chunking": target, "done": 0, "buckets": buckets}
+        own = F.pmod(F.xxhash64("doc_id"), F.lit(progress["buckets"]))
+        for share in range(progress["done"], progress["buckets"]):
+            docs = self.table("documents").where(own == share)
+            new, old = with_passages(docs, setting).select("doc_id", "seq", "text"), self.table("passages").where(own == share)
+            differ = self.stage(new.exceptAll(old).unionByName(old.exceptAll(new)).select("doc_id").distinct())
+            try:
+                progress = {**progress, "done": share + 1}
+                if not differ.limit(1).count():
+                    self.publish({}, rebuild=progress)
+                    continue
+                cut = new.join(differ, "doc_id", "left_semi")
+                tables = {"passages": Delta(cut, differ)}
+                if "model" in self.manifest:
+                    tables["vectors"] = Delta(self._vectors(cut, docs.join(differ, "doc_id", "left_semi"), self.manifest["model"]), differ)
+                self.publish(tables, rebuild=progress)
+            finally:
+                self.unstage(differ)
+        self.publish({}, chunking=target, rebuild=None)
+        self.settle()
+        return self.manifest
 
     def repair(self) -> dict:
         """Recompute all derived tables from the documents and drop rows of documents that are gone."""

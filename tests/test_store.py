@@ -7,6 +7,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import HashingEmbedder
 from tessera.operators import lexical, postings
 from tessera.plans.ingest import ingest_folder, scan_changes
 from tessera.plans.search import search
@@ -179,6 +180,54 @@ def test_a_restore_that_fails_leaves_the_old_collection(spark, tmp_path, monkeyp
     assert sorted(r.body for r in new.table("documents").collect()) == ["again", "every new"]
 
 
+def test_a_rebuild_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    rows = [(f"d{i}", "T", " ".join(f"w{k}." for k in range(8 + 30 * (i % 3))), str(i)) for i in range(40)]
+    col = Collection.create(spark, str(tmp_path / "c"), chunking={"max_words": 40, "overlap_words": 0}, embedder=HashingEmbedder(16))
+    col.embedder = HashingEmbedder(16)
+    col.add_documents(doc_rows(spark, rows))
+    before = {r.doc_id: r.text for r in col.table("passages").where("seq = 0").collect()}
+    publish, calls = col.publish, []
+
+    def failing(*a, **k):
+        calls.append(k)
+        if len(calls) == 3:
+            raise OSError("lost")
+        return publish(*a, **k)
+
+    monkeypatch.setattr(col, "publish", failing)
+    with pytest.raises(OSError):
+        col.rebuild_passages({"max_words": 20, "overlap_words": 0}, buckets=4)
+    assert col.manifest["rebuild"]["done"] == 2 and "\"max_words\":40" in col.manifest["chunking"]
+    calls.clear()
+    monkeypatch.setattr(col, "publish", lambda *a, **k: calls.append(a[0]) or publish(*a, **k))
+    col.rebuild_passages({"max_words": 20, "overlap_words": 0}, buckets=9)  # the shares are those it began with
+    assert len(calls) == 3 and col.manifest["rebuild"] is None and "\"max_words\":20" in col.manifest["chunking"]
+    assert all(set(c) <= {"passages", "vectors"} for c in calls)  # documents and postings are not written again
+    fresh = Collection.create(spark, str(tmp_path / "f"), chunking={"max_words": 20, "overlap_words": 0}, embedder=HashingEmbedder(16))
+    fresh.embedder = HashingEmbedder(16)
+    fresh.publish({t: d.rows for t, d in fresh.with_documents(doc_rows(spark, rows)).items()})
+    for t in ("passages", "vectors"):
+        assert sorted(map(str, col.table(t).collect())) == sorted(map(str, fresh.table(t).collect()))
+    same = {r.doc_id for r in col.table("passages").where("seq = 0").collect() if r.text == before[r.doc_id]}
+    assert {f"d{i}" for i in range(0, 40, 3)} <= same and col.integrity().first().ok
+
+
+def test_stages_say_how_long_they_took(spark, tmp_path):
+    from tessera.plans.search import search_with_outcome
+
+    col = Collection.create(spark, str(tmp_path / "c"), chunking="off", embedder=HashingEmbedder(16))
+    col.embedder = HashingEmbedder(16)
+    col.add_documents(doc_rows(spark, [(f"d{i}", "T", f"every word{i % 3}", str(i)) for i in range(9)]))
+    told = []
+    asked = [("1", "every word1"), ("2", "missing")]
+    hits, _ = search_with_outcome(spark, col.corpus(), asked, k=3, depth=5, match="any", rerank=True, timings=told)
+    plain, _ = search_with_outcome(spark, col.corpus(), asked, k=3, depth=5, match="any", rerank=True)
+    assert [t["stage"] for t in told] == ["parse", "lexical", "embed", "semantic", "fuse", "rerank"] and all(t["ms"] >= 0 for t in told)
+    rows = {t["stage"]: t["rows"] for t in told}
+    assert rows["lexical"] == 5 and rows["semantic"] == 10 and rows["rerank"] == hits.count()
+    assert sorted(map(str, hits.collect())) == sorted(map(str, plain.collect()))
+
+
 def closed_folder(name, excluded="secret"):
     def listing(folder):
         if folder.endswith("/" + name):
