@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, common, decontam, entry, filteraudit, spelling, trainorder
+from tessera.llm import ann, common, decontam, embdedup, entry, filteraudit, spelling, trainorder
 
 from test_registered import against_sql
 from test_small_operators import docs_of
@@ -292,3 +292,9 @@ def test_shards_by_a_view_of_file_systems_and_after_lost_attempts(spark, tmp_pat
     assert {m.path: open(m.path, "rb").read() for m in first} == raw and len(list((tmp_path / "real" / "x").glob("*.bin.*"))) == 0
     assert trainorder._file("dbfs:/a/b", 3)[1] == "/dbfs/a/b/shard-00000003.bin" and trainorder._file("file:/a", 0)[1] == "/a/shard-00000000.bin"
     assert [trainorder._uri(x) for x in ("s3a://b/a", "gs://b/a", "/a/b", "file:///a")] == ["s3://b/a", "gs://b/a", "/a/b", "file:///a"]
+
+
+def test_op5_with_cells_on_axes_equals_sql(spark, sf, monkeypatch):
+    """The plan that labels of more than 65,536 vectors get, on the registered query's whole table."""
+    monkeypatch.setattr(embdedup, "BLOCK", 2)
+    against_sql(spark, sf, "op5_embdedup")
