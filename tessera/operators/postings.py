@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import delete
+from ..sources.tables import delete, small
 
 K1, B = 1.2, 0.75
 #: postings of a block on average, at most
@@ -54,25 +54,33 @@ def schema(doc_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in one] + [T.StructField(n, T.ArrayType(t)) for n, t in many] + [T.StructField("segment", T.LongType())])
 
 
-def to_blocks(postings: DataFrame) -> DataFrame:
-    """Blocks of stored postings (term, doc_id, positions, len); those without a document are left out."""
-    known = postings.where("doc_id is not null")
-    slots = F.expr(f"shiftleft(1, cast(ceil(log2(greatest(count(*) / {BLOCK}, 1))) as int))").alias("slots")
-    dealt = known.join(known.groupBy("term").agg(slots), "term").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int"))
+def to_blocks(postings: DataFrame, common: DataFrame) -> DataFrame:
+    """Blocks of stored postings (term, doc_id, positions, len); ``common``: (term, n) of the terms with more than ``BLOCK``."""
+    slots = F.expr(f"shiftleft(1, cast(ceil(log2(coalesce(n, {BLOCK}) / {BLOCK})) as int))").alias("slots")
+    dealt = postings.join(common, "term", "left").select("term", "doc_id", "positions", "len", slots)
+    dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int"))
     row = F.struct("doc_id", F.size("positions").alias("tf"), "len", "positions")
     blocks = dealt.groupBy("term", "slots", "slot").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(row)).alias("rows"))
     return blocks.select("term", "slots", "slot", "n", "max_tf", "min_len", F.col("rows.doc_id").alias("docs"), F.col("rows.tf").alias("tfs"), F.col("rows.len").alias("lens"), F.col("rows.positions").alias("positions"))
 
 
 def write(postings: DataFrame, folder: str, segment: int = 0, file_postings: int = FILE_POSTINGS) -> None:
-    """Store postings (term, doc_id, positions, len) as a segment: ``blocks``, and last ``ranges`` (file, first, last)."""
+    """Store postings (term, doc_id, positions, len) as a segment: ``blocks``, and last ``ranges`` (file, first, last).
+
+    Postings without a document are left out. They are staged, and so are the
+    counts of common terms: the join of the two then reads scans alone, so its
+    rows of a very common term may be split over tasks where it isn't broadcast.
+    """
     spark = postings.sparkSession
-    postings.select("term", "doc_id", "positions", "len").write.parquet(f"{folder}/staged")  # read twice: to count and to deal
+    postings.where("doc_id is not null").select("term", "doc_id", "positions", "len").write.parquet(f"{folder}/staged")
     staged = spark.read.parquet(f"{folder}/staged")
+    staged.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).write.parquet(f"{folder}/common")
+    common = spark.read.schema("term string, n long").parquet(f"{folder}/common")
     files = max(1, -(-staged.count() // file_postings))
-    blocks = to_blocks(staged).withColumn("segment", F.lit(segment).cast("long"))
+    blocks = to_blocks(staged, small(common, common.count())).withColumn("segment", F.lit(segment).cast("long"))
     blocks.repartitionByRange(files, "term", "slot").sortWithinPartitions("term", "slot").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/blocks")
     delete(spark, f"{folder}/staged")
+    delete(spark, f"{folder}/common")
     written = spark.read.schema(blocks.schema).parquet(f"{folder}/blocks")
     ranges = written.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last"))
     ranges.coalesce(1).write.parquet(f"{folder}/ranges")
