@@ -21,6 +21,9 @@ EXCLUDES = (".*", "node_modules", "__pycache__", ".venv", "venv")
 MAX_BYTES, SNIFF_BYTES = 5 * 1024 * 1024, 8192
 MAX_TAGS, TAG_CHARS, FRONT_LINES = 50, 64, 200
 
+#: files that are opened by name, on stores that only Spark's reader reaches
+MAX_PATHS = 4096
+
 _KEY = re.compile(r"([A-Za-z0-9_-]+)\s*:\s*(.*)")
 _ITEM = re.compile(r"\s*-\s*(.*)")
 
@@ -183,18 +186,24 @@ def _contents(rows: DataFrame, folder: str) -> DataFrame:
     root = walk.local_path(spark, folder)
     if root is not None:
         return walk.read(rows.repartition(spark.sparkContext.defaultParallelism), root, MAX_BYTES)
-    files = _spark_files(spark, folder).select(F.col("relative").alias("path"), "length", "content")
+    named = [r.path for r in rows.select("path").limit(MAX_PATHS + 1).collect()]
+    # few files are opened by name; of more, all of the folder's are read and met with the rows
+    files = _spark_files(spark, folder, named if len(named) <= MAX_PATHS else None).select(F.col("relative").alias("path"), "length", "content")
     big = F.col("length") > MAX_BYTES
     return rows.join(files, "path", "left").withColumns({"content": F.when(~big, F.col("content")), "problem": F.when(big, "too large").when(F.col("length").isNull(), "unreadable")}).drop("length")
 
 
-def _spark_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below a folder of any store Spark can reach, by Spark's reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def _spark_files(spark: SparkSession, folder: str, only: list[str] | None = None) -> DataFrame:
+    """All files below a folder of any store Spark can reach, or those at some ways below it, by Spark's reader."""
+    reader = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    if only == []:
+        return spark.createDataFrame([], reader.option("recursiveFileLookup", True).load(folder).schema).withColumn("relative", F.col("path"))
+    # a path to load is a pattern, so what would be one in a name is escaped
+    files = reader.load([f"{folder.rstrip('/')}/{re.sub(r'([\\*?{}\[\]])', r'\\\1', p)}" for p in only]) if only else reader.option("recursiveFileLookup", True).load(folder)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
     at = F.instr(F.col("path"), base)
-    return files.withColumn("relative", F.url_decode(F.replace(F.substr("path", at + F.lit(len(base))), F.lit("+"), F.lit("%2B"))))
+    return files.withColumn("relative", F.substr("path", at + F.lit(len(base))))
 
 
 def one_file(spark: SparkSession, path: str) -> DataFrame:

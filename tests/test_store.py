@@ -286,6 +286,22 @@ def test_what_cannot_be_read_is_not_gone(spark, tmp_path, monkeypatch):
     assert not os.path.isdir(tmp_path / "c" / "staged") or not os.listdir(tmp_path / "c" / "staged")
 
 
+@pytest.mark.parametrize("most", [4096, 1])
+def test_stores_that_only_spark_reaches(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(files, "MAX_PATHS", most)
+    for name in ("a.md", "deep/b 1+é%20[x].md", ".git/c.md"):
+        (tmp_path / "notes" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "notes" / name).write_text(f"text of {name}")
+    spark._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.far{most}.link./in", f"file://{tmp_path}/notes")
+    where = f"viewfs://far{most}/in"
+    assert walk.local_path(spark, where) is None
+    col = Collection.create(spark, str(tmp_path / "c"))
+    assert ingest_folder(col, where)["added"] == 2 and ingest_folder(col, where)["unchanged"] == 2
+    assert {r.doc_id: r.body for r in col.table("documents").collect()} == {n: f"text of {n}" for n in ("a.md", "deep/b 1+é%20[x].md")}
+    (tmp_path / "notes" / "a.md").write_text("changed")
+    assert {r.path: r.change for r in scan_changes(col, 1).collect()} == {"a.md": "changed", "deep/b 1+é%20[x].md": "unchanged"}
+
+
 def test_a_run_that_was_lost_is_closed_by_the_next(spark, tmp_path):
     from tessera.errors import ConflictError
     from tessera.plans import ingest
