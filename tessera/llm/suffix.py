@@ -3,8 +3,9 @@
 Every byte covered by a ``length``-byte string that also starts in a document
 with a smaller id is removed (overlaps count, strings are judged on the input).
 
-1. Texts are kept as *chunks*: under a megabyte of whole documents in one
-   compressed row of a shared table.
+1. Texts are kept as *chunks*: about ``CHUNK`` bytes of whole documents in one
+   compressed row of a shared table. It is bucketed by chunk, so the joins that
+   bring hashes and answers to the texts move those alone, never the texts.
 2. Every window of ``length`` bytes has a minimiser: the least hash among its
    ``GRAM``-byte grams, leftmost on ties. Equal windows have equal minimisers.
    Their 32-bit hashes, each at most twice from a chunk, meet by hash range;
@@ -21,7 +22,9 @@ A hash range gets an entry from each chunk that has a part of it, so a passage
 that a third of a very large corpus shares would put millions of entries into
 one range. Beyond ``ENTRIES`` chunks the entries of a range first meet in parts
 of that many; a part goes on as one entry without what its chunks repeat, and
-the answer to it is dealt back to them.
+the answer to it is dealt back to them. That takes the entries twice, so the
+fragments of so many chunks are sent a share of the hash ranges at a time
+(``ROUNDS`` shares at most).
 
 All stages are keyed by chunk or hash range, tables between them lie in the
 shared folder, and nothing is collected to the driver but counts.
@@ -36,6 +39,8 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +50,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import common_prefix_groups
-from .common import drop, materialise, partitions
+from .common import CLEANUP, _setting, drop, materialise, new_folder, partitions
 
 GRAM = 20
-CHUNK = 768 << 10
+CHUNK = 4 << 20
 BLOCK = 1 << 16
 GROUP = 128 << 10
 RANGE = 6 << 20
 #: entries of one hash range that a task takes at once
 ENTRIES = 4096
+#: beyond them, shares of the hash ranges that are sent one after the other, at most
+ROUNDS = 4
 NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -107,6 +114,15 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> D
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "chunk_id long, n_bytes long, data binary")
 
 
+def by_chunk(table: DataFrame, tasks: int) -> DataFrame:
+    """``table`` in the shared folder, bucketed by chunk_id: a join on it leaves the rows where they are."""
+    spark = table.sparkSession
+    name = f"suffix_chunks_{uuid.uuid4().hex}"
+    with _setting(spark, CLEANUP, "true"):
+        table.repartition(tasks, "chunk_id").write.format("parquet").option("compression", "zstd").option("path", new_folder(spark, "suffix-chunks")).bucketBy(tasks, "chunk_id").saveAsTable(name)
+    return spark.table(name)
+
+
 def _least_grams(body: np.ndarray, length: int) -> np.ndarray:
     """For each window of ``length`` bytes its least gram: hash in the upper, place in the lower 32 bits."""
     gram = min(GRAM, length)
@@ -302,7 +318,9 @@ def _in_parts(entries: DataFrame, splits: int, tasks: int, merge, solve, deal) -
     dealt = materialise(entries.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(splits))), "suffix-entries")
     merged = dealt.repartition(tasks, *part).groupBy(*part).applyInArrow(merge, shape)  # a part's number in the place of a chunk's
     answers = materialise(merged.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(solve, shape).withColumnRenamed("chunk_id", "part"), "suffix-parts")
-    return dealt.repartition(tasks, *part).groupBy(*part).cogroup(answers.repartition(tasks, *part).groupBy(*part)).applyInArrow(deal, shape)
+    out = materialise(dealt.repartition(tasks, *part).groupBy(*part).cogroup(answers.repartition(tasks, *part).groupBy(*part)).applyInArrow(deal, shape), "suffix-dealt")
+    drop(dealt, answers)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,12 +328,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     if not 8 <= length < 4096:
         raise ValueError("length must be between 8 and 4095 bytes")
     spark = docs.sparkSession
-    table = materialise(chunks(docs, id_col, text_col), "suffix-chunks")
+    tasks = max(partitions(spark), 12)
+    table = by_chunk(chunks(docs, id_col, text_col), tasks)
     total, chunks_ = table.agg(F.sum("n_bytes"), F.count("*")).first()
     total = total or 0
     splits = max(1, -(-chunks_ // ENTRIES))
     buckets = max(partitions(spark), total // RANGE, 1)  # hash ranges: groups of a few MB, many of them in a task
-    tasks = max(partitions(spark), 12)
 
     def minimisers(batches):
         for b in batches:
@@ -354,15 +372,16 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     met = _in_parts(table.select("chunk_id", "data").mapInArrow(minimisers, shape), splits, tasks, merge_hashes, repeated, deal_hashes)
     wanted = materialise(met.groupBy("chunk_id").agg(F.collect_list("data").alias("wanted")), "suffix-wanted")
 
-    def chosen(d: bytes, w: list[bytes]) -> Chunk:
-        c = Chunk(d, length)
-        c.select(np.sort(np.concatenate([_hashes(x) for x in w])))
+    def chosen(d: bytes, w: list[bytes], first: int = 0, end: int = buckets) -> Chunk:
+        c, hashes = Chunk(d, length), np.sort(np.concatenate([_hashes(x) for x in w]))
+        place = _bucket(hashes, buckets)
+        c.select(hashes[(place >= first) & (place < end)])
         return c
 
-    def send(batches):
+    def send(first, end, batches):
         for b in batches:
             for c, d, w in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x = chosen(d, w)
+                x = chosen(d, w, first, end)
                 rows = []
                 for k, s, e in _cuts(_bucket(x.text_hash, buckets)):
                     part = x.texts[s:e]
@@ -390,7 +409,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         entries = opened(t)
         return pa.Table.from_batches([_rows(list(zip(t.column("bucket").to_pylist(), t.column("chunk_id").to_pylist(), _solve(entries, length))))])
 
-    solved = _in_parts(table.join(wanted, "chunk_id").select("chunk_id", "data", "wanted").mapInArrow(send, shape), splits, tasks, merge_fragments, solve, deal_answers)
+    chunked, rounds = table.join(wanted, "chunk_id").select("chunk_id", "data", "wanted"), []
+    shares = min(splits, ROUNDS)
+    for r in range(shares):
+        sent = chunked.mapInArrow(partial(send, buckets * r // shares, buckets * (r + 1) // shares), shape)
+        rounds.append(_in_parts(sent, splits, tasks, merge_fragments, solve, deal_answers))
+    solved = reduce(DataFrame.unionByName, rounds)
     answers = materialise(solved.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("answers")), "suffix-answers")
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
