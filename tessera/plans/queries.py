@@ -667,8 +667,8 @@ def highlight_segments(spark, sf):
         return pd.Series([segments_with_terms(best_passage(b, q), q) for b, q in zip(bodies, asked)])
 
     asked = spark.createDataFrame(QUERY_SET, "qid string, query string")
-    hits = _lex(spark, sf).select("qid", "doc_id").join(asked, "qid")
-    return _docs(spark, sf).join(hits, "doc_id").select("qid", "doc_id", light("body", "query").alias("segments"))
+    hits = _lex(spark, sf).select("qid", "doc_id").join(asked, "qid")  # K rows a query, so the texts stay where they are
+    return _docs(spark, sf).join(F.broadcast(hits), "doc_id").select("qid", "doc_id", light("body", "query").alias("segments"))
 
 
 @query()
