@@ -23,9 +23,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,14 +57,48 @@ def schema(doc_type: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in one] + [T.StructField(n, T.ArrayType(t)) for n, t in many] + [T.StructField("segment", T.LongType())])
 
 
-def to_blocks(postings: DataFrame, common: DataFrame) -> DataFrame:
-    """Blocks of stored postings (term, doc_id, positions, len); ``common``: (term, n) of the terms with more than ``BLOCK``."""
+def to_blocks(postings: DataFrame, common: DataFrame, files: int, segment: int = 0) -> DataFrame:
+    """Blocks, sorted by (term, slot) and dealt over ``files`` by ranges of it, of stored postings (term, doc_id, positions, len).
+
+    ``common``: (term, n) of the terms with more than ``BLOCK``. Postings are
+    shuffled once, to the file they go to, and sorted there; a block is then a
+    run of rows.
+    """
     slots = F.expr(f"shiftleft(1, cast(ceil(log2(coalesce(n, {BLOCK}) / {BLOCK})) as int))").alias("slots")
-    dealt = postings.join(common, "term", "left").select("term", "doc_id", "positions", "len", slots)
+    dealt = postings.join(common, "term", "left").select("term", slots, "doc_id", "len", "positions")
     dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int"))
-    row = F.struct("doc_id", F.size("positions").alias("tf"), "len", "positions")
-    blocks = dealt.groupBy("term", "slots", "slot").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(row)).alias("rows"))
-    return blocks.select("term", "slots", "slot", "n", "max_tf", "min_len", F.col("rows.doc_id").alias("docs"), F.col("rows.tf").alias("tfs"), F.col("rows.len").alias("lens"), F.col("rows.positions").alias("positions"))
+    placed = dealt.repartitionByRange(files, "term", "slot").sortWithinPartitions("term", "slot", "doc_id")
+    return placed.mapInArrow(partial(_runs, segment), schema(postings.schema["doc_id"].dataType))
+
+
+def _runs(segment: int, batches):
+    """A block of each run of rows (term, slots, doc_id, len, positions, slot) with one term and slot; the last may go on in the next batch."""
+
+    def made(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        column = {c: t.column(c).chunk(0) for c in t.column_names}
+        tf, size = pc.list_value_length(column["positions"]), column["len"]
+        ends = pa.array(np.r_[first, t.num_rows], pa.int32())
+        n = np.diff(np.r_[first, t.num_rows])
+        one = [column[c].take(pa.array(first)) for c in ("term", "slots", "slot")]
+        least = [np.maximum.reduceat(tf.to_numpy(), first), np.minimum.reduceat(size.to_numpy(zero_copy_only=False), first)]
+        many = [pa.ListArray.from_arrays(ends, x) for x in (column["doc_id"], tf, size, column["positions"])]
+        out = [*one, pa.array(n, pa.int64()), pa.array(least[0], pa.int32()), pa.array(least[1], pa.int64()), *many, pa.array(np.full(len(n), segment, np.int64))]
+        return pa.RecordBatch.from_arrays(out, names=["term", "slots", "slot", "n", "max_tf", "min_len", "docs", "tfs", "lens", "positions", "segment"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        term, slot = t.column("term").combine_chunks(), t.column("slot").to_numpy()
+        new = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (slot[1:] != slot[:-1])
+        first = np.r_[0, np.flatnonzero(new) + 1]
+        if len(first) > 1:
+            yield made(t.slice(0, first[-1]), first[:-1])
+        held = t.slice(first[-1])
+    if held is not None:
+        yield made(held, np.zeros(1, np.int64))
 
 
 def write(postings: DataFrame, folder: str, segment: int = 0, file_postings: int = FILE_POSTINGS) -> None:
@@ -77,8 +114,8 @@ def write(postings: DataFrame, folder: str, segment: int = 0, file_postings: int
     staged.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).write.parquet(f"{folder}/common")
     common = spark.read.schema("term string, n long").parquet(f"{folder}/common")
     files = max(1, -(-staged.count() // file_postings))
-    blocks = to_blocks(staged, small(common, common.count())).withColumn("segment", F.lit(segment).cast("long"))
-    blocks.repartitionByRange(files, "term", "slot").sortWithinPartitions("term", "slot").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/blocks")
+    blocks = to_blocks(staged, small(common, common.count()), files, segment)
+    blocks.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/blocks")
     delete(spark, f"{folder}/staged")
     delete(spark, f"{folder}/common")
     written = spark.read.schema(blocks.schema).parquet(f"{folder}/blocks")
