@@ -169,6 +169,12 @@ class Postings:
         """(term, doc_id, positions, len)."""
         return self.each(self.blocks(terms), "term", "positions").select("term", "doc_id", "positions", "len")
 
+    def per_document(self) -> DataFrame:
+        """(doc_id, n_tokens, n_terms) of documents with any; buried ones leave as sums, before which no posting is joined."""
+        each = self.blocks().select("segment", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"))))
+        sums = each.groupBy("doc_id", "segment").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"))
+        return self.live(sums).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_terms").alias("n_terms"))
+
     def document_counts(self, terms: list[str]) -> dict[str, int]:
         """In how many documents each of some terms occurs: from the blocks' counts if nothing is buried."""
         blocks = self.blocks(terms)

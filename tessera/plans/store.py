@@ -334,7 +334,8 @@ class Collection:
                 full = full.withColumn(f.name, F.lit(None).cast(f.dataType))
         full = full.withColumns({"created_at": F.coalesce("created_at", now), "updated_at": now, "title": F.coalesce("title", F.lit(""))}).select(*[f.name for f in schemas.DOCUMENTS])
         known = self.table("documents").select("doc_id", F.col("created_at").alias("__old")).join(full.select("doc_id").distinct(), "doc_id", "left_semi")
-        kept = full.join(known, "doc_id", "left").withColumn("created_at", F.coalesce("__old", "created_at")).drop("__old")
+        # few ids are broadcast, so that the texts stay where they are
+        kept = full if not (n := known.count()) else full.join(small(known, n), "doc_id", "left").withColumn("created_at", F.coalesce("__old", "created_at")).drop("__old")
         gone = known.select("doc_id")
         return {name: Delta(rows, gone) for name, rows in {"documents": kept, **self.derived(full)}.items()}
 
